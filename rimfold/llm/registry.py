@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from rimfold.llm.licenses import op3_license_scan
+from rimfold.llm.lines import OP10_SQL, op10_line_dedup
 from rimfold.llm.quality import op9_quality_rules
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}

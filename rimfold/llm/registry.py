@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from rimfold.llm.chat import OP6_SQL, op6_chat_format
 from rimfold.llm.licenses import op3_license_scan
 from rimfold.llm.lines import OP10_SQL, op10_line_dedup
 from rimfold.llm.quality import op9_quality_rules
+from rimfold.llm.topk import OP7_SQL, op7_exact_topk
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op6_chat_format": op6_chat_format,
+    "op7_exact_topk": op7_exact_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
+    "op7_exact_topk": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }

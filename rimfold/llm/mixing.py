@@ -84,7 +84,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         x, h, m, k = out[live], half[live], mask[live], key[live]
         a, b = x >> h, x & m
         for turn in range(4):
-            a, b = b, a ^ (mix64(b + k + MIX * np.uint64(turn + 1)) & m)
+            a, b = b, a ^ (mix64(b + k + np.uint64(turn * 0x632BE5AB + 1)) & m)
         out[live] = (a << h) | b
         live = live[out[live] >= n[live].astype(np.uint64)]
     return out.astype(np.int64)

@@ -6,6 +6,7 @@ from rimfold.llm.chat import OP6_SQL, op6_chat_format
 from rimfold.llm.licenses import op3_license_scan
 from rimfold.llm.lines import OP10_SQL, op10_line_dedup
 from rimfold.llm.mixing import op2_mix_sources
+from rimfold.llm.neardup import op8_near_duplicates
 from rimfold.llm.pieces import op5_sentencepiece
 from rimfold.llm.quality import op9_quality_rules
 from rimfold.llm.topk import OP7_SQL, op7_exact_topk
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_exact_topk": op7_exact_topk,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }

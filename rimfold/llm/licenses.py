@@ -1,6 +1,6 @@
 r"""License scans: phrases, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-Words: A-Z is lower-cased, then runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F]. A block is BLOCK consecutive words; blocks start
+Words: runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z is lower-cased (found here on the text as it is, ignoring the case of A-Z). A block is BLOCK consecutive words; blocks start
 every STEP words, so that each run of up to BLOCK - STEP + 1 words lies in one as a whole. A template labels a text
 if a block holds at least `least` of the template's distinct words (containment of the template in the block).
 
@@ -9,8 +9,8 @@ The join: template words are ordered by their count over the whole corpus, rares
 filter). Blocks are ordered the same way; words of no template cannot match and take no part. A block needs at least
 `need` such words (length filter), and at the first shared word the words that remain on either side must still allow
 `need` (positional filter). What passes is compared exactly. The templates are a constant of this module, so the
-broadcast tables have a fixed size. Texts without any prefix word of any template, found by one regular expression,
-are not exploded: they hold no candidate.
+broadcast tables have a fixed size. Texts that hold none of the templates' prefix words even as a substring are not
+exploded for the join: they hold no candidate.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are each scanned.
 """
@@ -18,15 +18,16 @@ Defined cases: null and empty texts have no words, no labels and score 0; repeat
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimfold.llm.common import read
 
-OUT = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+OUT = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # on the text as it is: A-Z belong to words
 TOKEN = rf"[^{OUT}]+"
-BLOCK, STEP, LEAST = 32, 16, 0.8
+BLOCK, STEP, LEAST = 32, 16, 0.9
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
@@ -39,20 +40,16 @@ TEMPLATES = {
     "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike international license"],
-    "cc-by-4.0": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
+    "cc-by-4.0": ["licensed under a creative commons attribution 4 0 international license"],
     "cc0": ["dedicated to the public domain under cc0 1 0 universal"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
 
-def lowered(text: str) -> F.Column:
-    return F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def any_of(phrases: list[str]) -> str:
     """A pattern for any of the phrases as whole consecutive words."""
     gap = f"[{OUT}]+"
-    return rf"(?<![^{OUT}])(?:" + "|".join(gap.join(p.split()) for p in sorted(phrases, key=len, reverse=True)) + rf")(?![^{OUT}])"
+    return rf"(?i)(?<![^{OUT}])(?:" + "|".join(gap.join(p.split()) for p in sorted(phrases, key=len, reverse=True)) + rf")(?![^{OUT}])"
 
 
 def templates() -> list[tuple[int, str, list[str]]]:
@@ -68,16 +65,23 @@ def enumerate_templates():
             n += 1
 
 
+def words_of(docs: DataFrame, vocabulary: DataFrame, *keep: str) -> DataFrame:
+    """keep, at, rank: where the words of the vocabulary (word, rank) stand."""
+    words = docs.select(*keep, F.posexplode(F.regexp_extract_all("_own", F.lit(TOKEN), F.lit(0))).alias("at", "own"))
+    found = words.withColumn("word", F.lower("own")).join(F.broadcast(vocabulary), "word")
+    return found.where(F.octet_length("own") == F.length("own")).drop("own")  # lower() also maps some signs to a-z
+
+
 def word_order(docs: DataFrame) -> dict[str, int]:
     """Rank by corpus count, rarest first, of every template word; at most as many counts as there are such words."""
     words = sorted({w for _, _, own in templates() for w in own})
-    found = docs.select(F.explode(F.regexp_extract_all("_low", F.lit(any_of(words)), F.lit(0))).alias("word")).groupBy("word").count()
-    counts = {r["word"]: r["count"] for r in found.collect()}
+    vocabulary = docs.sparkSession.createDataFrame([(w, 0) for w in words], "word string, rank int")
+    counts = {r["word"]: r["count"] for r in words_of(docs, vocabulary).groupBy("word").count().collect()}
     return {w: i for i, w in enumerate(sorted(words, key=lambda w: (counts.get(w, 0), w)))}
 
 
 def template_labels(docs: DataFrame, order: dict[str, int], *, least: float = LEAST) -> DataFrame:
-    """_row, method_labels (sorted set), containment (the highest) of the rows of docs (_row, _low) that hold a block that meets the threshold."""
+    """_row, method_labels (sorted set), containment (the highest) of the rows of docs (_row, _own) that hold a block that meets the threshold."""
     spark, prefix, sets = docs.sparkSession, [], []
     for n, label, words in templates():
         ranks = sorted(order[w] for w in words)
@@ -86,14 +90,12 @@ def template_labels(docs: DataFrame, order: dict[str, int], *, least: float = LE
         prefix += [(r, n, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     by_rank = {r: w for w, r in order.items()}
     rare = sorted({by_rank[p[0]] for p in prefix})
-    vocabulary = F.broadcast(spark.createDataFrame([(w, r) for w, r in order.items()], "word string, rank int"))
+    vocabulary = spark.createDataFrame(list(order.items()), "word string, rank int")
     prefixes = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, i int, size int, need int"))
     whole = F.broadcast(spark.createDataFrame(sets, "template int, label string, ranks array<int>, need int"))
-    words = (
-        docs.where(F.col("_low").rlike(any_of(rare)))
-        .select("_row", F.posexplode(F.regexp_extract_all("_low", F.lit(TOKEN), F.lit(0))).alias("at", "word"))
-        .join(vocabulary, "word")
-    )
+    low = F.lower("_own")
+    may = reduce(lambda a, b: a | b, [low.contains(w) for w in rare])
+    words = words_of(docs.where(may), vocabulary, "_row")
     block = F.floor(F.col("at") / STEP)
     spans = F.sequence(F.greatest(F.lit(0), block - (BLOCK // STEP - 1)), block)
     blocks = words.select("_row", "rank", F.explode(spans).alias("block")).groupBy("_row", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
@@ -110,27 +112,28 @@ def template_labels(docs: DataFrame, order: dict[str, int], *, least: float = LE
     )
 
 
-def phrase_facts(text: str = "_low") -> dict[str, F.Column]:
+def phrase_facts(text: str = "_own") -> dict[str, F.Column]:
     base = any_of(list(PHRASES))
-    has = F.col(text).rlike(base)
-    start = F.regexp_instr(F.col(text), F.lit(base))
-    before = F.substring(F.col(text), F.lit(1), start - 1)
+    low = F.lower(text)
+    may = low.contains("general") | low.contains("rights") | low.rlike(f"cc[{OUT}]+by")  # a cheap test before the exact one
+    has = may & F.col(text).rlike(base)
+    before = F.substring(F.col(text), F.lit(1), F.regexp_instr(F.col(text), F.lit(base)) - 1)
     before_last = F.regexp_extract(F.col(text), f"(?s)^(.*){base}", 1)
-    held = [F.when(F.col(text).rlike(any_of([p])), F.lit(label)) for p, label in PHRASES.items()]
+    held = [F.when(has & F.col(text).rlike(any_of([p])), F.lit(label)) for p, label in PHRASES.items()]
     return {
         "n_words": F.regexp_count(F.col(text), F.lit(TOKEN)).cast("long"),
         "n_base": F.when(has, F.regexp_count(F.col(text), F.lit(base))).otherwise(0).cast("long"),
         "first_word": F.when(has, F.regexp_count(before, F.lit(TOKEN))).cast("long"),
         "last_word": F.when(has, F.regexp_count(before_last, F.lit(TOKEN))).cast("long"),
-        "_base": F.array_sort(F.array_compact(F.array(*held))),
+        "_base": F.when(has, F.array_sort(F.array_compact(F.array(*held)))).otherwise(F.array().cast("array<string>")),
     }
 
 
 def scan(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
     """docs' doc_id with the facts, labels and score of each text. Rows of equal doc_id and text share what is found."""
-    low = docs.select("doc_id", lowered("text").alias("_low")).withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("_low").alias("h")))
-    facts = low.select("doc_id", "_row", *[c.alias(n) for n, c in phrase_facts().items()])
-    found = template_labels(low, word_order(low), least=least).withColumnRenamed("_row", "_r")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_own")).withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("_own").alias("h")))
+    facts = own.select("doc_id", "_row", *[c.alias(n) for n, c in phrase_facts().items()])
+    found = template_labels(own, word_order(own), least=least).withColumnRenamed("_row", "_r")
     joined = facts.join(found, facts["_row"].eqNullSafe(F.col("_r")), "left")
     labels = F.array_sort(F.array_union("_base", F.coalesce("method_labels", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from rimfold.llm.chat import OP6_SQL, op6_chat_format
 from rimfold.llm.licenses import op3_license_scan
 from rimfold.llm.lines import OP10_SQL, op10_line_dedup
+from rimfold.llm.lm import op4_lm_scores
 from rimfold.llm.mixing import op2_mix_sources
 from rimfold.llm.neardup import op8_near_duplicates
 from rimfold.llm.pieces import op5_sentencepiece
@@ -14,6 +15,7 @@ from rimfold.llm.topk import OP7_SQL, op7_exact_topk
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
+    "op4_lm_scores": op4_lm_scores,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_exact_topk": op7_exact_topk,

@@ -35,6 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rimfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is done
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,11 @@ from rimfold.llm.mixing import op2_mix_sources
 from rimfold.llm.neardup import op8_near_duplicates
 from rimfold.llm.pieces import op5_sentencepiece
 from rimfold.llm.quality import op9_quality_rules
+from rimfold.llm.substrings import op1_suffix_dedup
 from rimfold.llm.topk import OP7_SQL, op7_exact_topk
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
     "op4_lm_scores": op4_lm_scores,

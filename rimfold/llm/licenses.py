@@ -9,8 +9,7 @@ The join: template words are ordered by their count over the whole corpus, rares
 filter). Blocks are ordered the same way; words of no template cannot match and take no part. A block needs at least
 `need` such words (length filter), and at the first shared word the words that remain on either side must still allow
 `need` (positional filter). What passes is compared exactly. The templates are a constant of this module, so the
-broadcast tables have a fixed size. Texts that hold none of the templates' prefix words even as a substring are not
-exploded for the join: they hold no candidate.
+broadcast tables have a fixed size. Function words (COMMON) belong to no template's set.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are each scanned.
 """
@@ -23,11 +22,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimfold.llm.common import read
+from rimfold.llm.common import read, stored
 
 OUT = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # on the text as it is: A-Z belong to words
 TOKEN = rf"[^{OUT}]+"
 BLOCK, STEP, LEAST = 32, 16, 0.9
+COMMON = {"a", "all", "and", "any", "are", "by", "in", "is", "may", "not", "of", "or", "the", "this", "to", "under", "you"}
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
@@ -46,12 +46,6 @@ TEMPLATES = {
 }
 
 
-def any_of(phrases: list[str]) -> str:
-    """A pattern for any of the phrases as whole consecutive words."""
-    gap = f"[{OUT}]+"
-    return rf"(?i)(?<![^{OUT}])(?:" + "|".join(gap.join(p.split()) for p in sorted(phrases, key=len, reverse=True)) + rf")(?![^{OUT}])"
-
-
 def templates() -> list[tuple[int, str, list[str]]]:
     """(number, label, distinct words) of each template."""
     return list(enumerate_templates())
@@ -61,44 +55,45 @@ def enumerate_templates():
     n = 0
     for label, texts in TEMPLATES.items():
         for text in texts:
-            yield n, label, sorted(set(text.split()))
+            yield n, label, sorted(set(text.split()) - COMMON)
             n += 1
 
 
-def words_of(docs: DataFrame, vocabulary: DataFrame, *keep: str) -> DataFrame:
-    """keep, at, rank: where the words of the vocabulary (word, rank) stand."""
-    words = docs.select(*keep, F.posexplode(F.regexp_extract_all("_own", F.lit(TOKEN), F.lit(0))).alias("at", "own"))
-    found = words.withColumn("word", F.lower("own")).join(F.broadcast(vocabulary), "word")
-    return found.where(F.octet_length("own") == F.length("own")).drop("own")  # lower() also maps some signs to a-z
+def found_words(docs: DataFrame) -> DataFrame:
+    """_row (doc_id and text hash), n_words, hits: place and lower-cased form of the words of phrases and templates."""
+    wanted = sorted({w for _, _, own in templates() for w in own} | {w for p in PHRASES for w in p.split()})
+    words = F.regexp_extract_all("_own", F.lit(TOKEN), F.lit(0))
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_own")).select(
+        "doc_id", F.struct(F.col("doc_id"), F.xxhash64("_own").alias("h")).alias("_row"), words.alias("_words")
+    )
+    # lower() also maps some other signs to a-z: only words of one byte a character are compared
+    hit = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("at"), F.lower(w).alias("word"), w.alias("own"))), lambda x: x["word"].isin(wanted) & (F.octet_length(x["own"]) == F.length(x["own"])))
+    return known.select("doc_id", "_row", F.size("_words").cast("long").alias("n_words"), F.transform(hit, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"))).alias("hits"))
 
 
-def word_order(docs: DataFrame) -> dict[str, int]:
+def word_order(words: DataFrame) -> dict[str, int]:
     """Rank by corpus count, rarest first, of every template word; at most as many counts as there are such words."""
-    words = sorted({w for _, _, own in templates() for w in own})
-    vocabulary = docs.sparkSession.createDataFrame([(w, 0) for w in words], "word string, rank int")
-    counts = {r["word"]: r["count"] for r in words_of(docs, vocabulary).groupBy("word").count().collect()}
-    return {w: i for i, w in enumerate(sorted(words, key=lambda w: (counts.get(w, 0), w)))}
+    names = sorted({w for _, _, own in templates() for w in own})
+    counts = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}
+    return {w: i for i, w in enumerate(sorted(names, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def template_labels(docs: DataFrame, order: dict[str, int], *, least: float = LEAST) -> DataFrame:
-    """_row, method_labels (sorted set), containment (the highest) of the rows of docs (_row, _own) that hold a block that meets the threshold."""
-    spark, prefix, sets = docs.sparkSession, [], []
-    for n, label, words in templates():
-        ranks = sorted(order[w] for w in words)
+def template_labels(words: DataFrame, order: dict[str, int], *, least: float = LEAST) -> DataFrame:
+    """_row, method_labels (sorted set), containment (the highest) of the texts that hold a block that meets the
+    threshold; words: _row, at, word."""
+    spark, prefix, sets = words.sparkSession, [], []
+    for n, label, own in templates():
+        ranks = sorted(order[w] for w in own)
         need = math.ceil(least * len(ranks) - 1e-9)
         sets.append((n, label, ranks, need))
         prefix += [(r, n, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    by_rank = {r: w for w, r in order.items()}
-    rare = sorted({by_rank[p[0]] for p in prefix})
-    vocabulary = spark.createDataFrame(list(order.items()), "word string, rank int")
+    vocabulary = F.broadcast(spark.createDataFrame(list(order.items()), "word string, rank int"))
     prefixes = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, i int, size int, need int"))
     whole = F.broadcast(spark.createDataFrame(sets, "template int, label string, ranks array<int>, need int"))
-    low = F.lower("_own")
-    may = reduce(lambda a, b: a | b, [low.contains(w) for w in rare])
-    words = words_of(docs.where(may), vocabulary, "_row")
     block = F.floor(F.col("at") / STEP)
     spans = F.sequence(F.greatest(F.lit(0), block - (BLOCK // STEP - 1)), block)
-    blocks = words.select("_row", "rank", F.explode(spans).alias("block")).groupBy("_row", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
+    ranked = words.join(vocabulary, "word").select("_row", "rank", F.explode(spans).alias("block"))
+    blocks = ranked.groupBy("_row", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
     shared = blocks.where(F.size("own") >= min(s[3] for s in sets)).select("_row", "block", "own", F.posexplode("own").alias("j", "rank")).join(prefixes, "rank")
     candidates = (
         shared.where(F.size("own") >= F.col("need"))
@@ -112,34 +107,32 @@ def template_labels(docs: DataFrame, order: dict[str, int], *, least: float = LE
     )
 
 
-def phrase_facts(text: str = "_own") -> dict[str, F.Column]:
-    base = any_of(list(PHRASES))
-    low = F.lower(text)
-    may = low.contains("general") | low.contains("rights") | low.rlike(f"cc[{OUT}]+by")  # a cheap test before the exact one
-    has = may & F.col(text).rlike(base)
-    before = F.substring(F.col(text), F.lit(1), F.regexp_instr(F.col(text), F.lit(base)) - 1)
-    before_last = F.regexp_extract(F.col(text), f"(?s)^(.*){base}", 1)
-    held = [F.when(has & F.col(text).rlike(any_of([p])), F.lit(label)) for p, label in PHRASES.items()]
-    return {
-        "n_words": F.regexp_count(F.col(text), F.lit(TOKEN)).cast("long"),
-        "n_base": F.when(has, F.regexp_count(F.col(text), F.lit(base))).otherwise(0).cast("long"),
-        "first_word": F.when(has, F.regexp_count(before, F.lit(TOKEN))).cast("long"),
-        "last_word": F.when(has, F.regexp_count(before_last, F.lit(TOKEN))).cast("long"),
-        "_base": F.when(has, F.array_sort(F.array_compact(F.array(*held)))).otherwise(F.array().cast("array<string>")),
-    }
+def places(phrase: str) -> F.Column:
+    """Where the phrase's words stand consecutively, as starts; each is a hit, so they are neighbours in hits."""
+    words = phrase.split()
+    first = F.filter(F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), x["word"].alias("word"), i.alias("i"))), lambda x: x["word"] == words[0])
+
+    def whole(x):
+        follows = [(F.get("hits", x["i"] + k)["word"] == w) & (F.get("hits", x["i"] + k)["at"] == x["at"] + k) for k, w in enumerate(words) if k]
+        return F.coalesce(reduce(lambda a, b: a & b, follows), F.lit(False))
+
+    return F.transform(F.filter(first, whole), lambda x: x["at"].cast("long"))
 
 
 def scan(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
-    """docs' doc_id with the facts, labels and score of each text. Rows of equal doc_id and text share what is found."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_own")).withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("_own").alias("h")))
-    facts = own.select("doc_id", "_row", *[c.alias(n) for n, c in phrase_facts().items()])
-    found = template_labels(own, word_order(own), least=least).withColumnRenamed("_row", "_r")
-    joined = facts.join(found, facts["_row"].eqNullSafe(F.col("_r")), "left")
-    labels = F.array_sort(F.array_union("_base", F.coalesce("method_labels", F.array().cast("array<string>"))))
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))
+    """doc_id with the facts, labels and score of each text. Rows of equal doc_id and text share what is found."""
+    texts = stored(found_words(docs))
+    words = texts.select("_row", F.explode("hits").alias("x")).select("_row", "x.at", "x.word")
+    found = template_labels(words, word_order(words), least=least).withColumnRenamed("_row", "_r")
+    starts = texts.select("doc_id", "_row", "n_words", *[places(p).alias(f"_{k}") for k, p in enumerate(PHRASES)])
+    joined = starts.join(found, starts["_row"].eqNullSafe(F.col("_r")), "left")
+    every = F.concat(*[F.col(f"_{k}") for k in range(len(PHRASES))])
+    base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])))
+    labels = F.array_sort(F.array_union(base, F.coalesce("method_labels", F.array().cast("array<string>"))))
+    score = F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))
     return joined.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
+        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )
 
 

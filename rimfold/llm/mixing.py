@@ -127,7 +127,7 @@ def placed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def mix(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, source, size): the slots (shard, source_no, pass, block), and rows with source_size, target and taken."""
+    """rows (doc_id, source, size): the slots (shard, source_no, pass, block), and rows with all their columns, source_size, target and taken."""
     spark = rows.sparkSession
     known = sources_of(rows)
     sizes = np.array([w for _, w in known], np.int64)
@@ -145,7 +145,7 @@ def mix(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) ->
     times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = pieces.withColumn("words", inside).join(times, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
     held = docs.join(taken, ["source_no", "begin"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    return slots, held.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return slots, held.select(*rows.columns, "source_size", "target", "taken")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

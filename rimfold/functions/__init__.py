@@ -1 +1 @@
-"""."""
+"""Column expressions: geometry of ellipses, windows, statistics."""

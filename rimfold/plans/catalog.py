@@ -1,4 +1,7 @@
-"""Registry of the engine's queries."""
+"""Registry of the engine's queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rimfold.plans import matching
+
+PLANS = [matching]
+QUERIES: dict = {k: v for m in PLANS for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in PLANS for k, v in m.ORACLES.items()}

@@ -1 +1 @@
-"""."""
+"""Reading and writing: ellipse tables, images, tiles, settings."""

@@ -1,7 +1,7 @@
 """Registry of the engine's queries and their SQL."""
 
-from rimfold.plans import analysis, matching
+from rimfold.plans import analysis, matching, rasters
 
-PLANS = [matching, analysis]
+PLANS = [matching, analysis, rasters]
 QUERIES: dict = {k: v for m in PLANS for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in PLANS for k, v in m.ORACLES.items()}

@@ -10,12 +10,12 @@ Signatures: sample k of a document is the least of ln a = ln c - r (t - beta) -
 t = floor(ln w / r + beta), r and c from Gamma(2, 1) and beta uniform; the variates are rows of a seeded table that a
 shingle's hash picks, so equal shingles of equal weight give equal values. BANDS bands of ROWS samples are the buckets.
 
-Texts of the same words are one node (smallest doc_id). In each bucket every node is compared with its smallest one:
-first each node's most promising partner, which links nearly all; then every pair of a bucket whose nodes are still in
-different classes, the ones with the smallest node or not. So a pair that shares a bucket is left out only if both are
-in one class already. Pairs are first held against the whole signatures (agreement of at least `hint`, five standard
-deviations below the threshold), then verified: weighted Jaccard similarity of the texts' shingles of at least
-`threshold`. Classes are the connected components of the verified links, found by large-star and small-star rounds.
+Texts of the same words are one node (smallest doc_id). In each bucket every node is compared with its hub: first each
+node's most promising hub, which links nearly all, then its other hubs; then every pair of a bucket whose nodes are
+still in different classes. So a pair that shares a bucket is left out only if both are in one class already. Pairs are
+first held against the whole signatures (agreement of at least `hint`, five standard deviations below the threshold),
+then verified: weighted Jaccard similarity of the texts' shingles of at least `threshold`. Classes are the connected
+components of the verified links, found by large-star and small-star rounds.
 
 Defined cases: texts without words (null, empty) are classes of one; rows of equal doc_id are nodes of equal id.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rimfold.llm.common import MIX, mix64, read, slices, stored
 
-WIDTH, THRESHOLD, BANDS, ROWS, IDF_WORDS, DAMPING, HINT = 5, 0.8, 16, 4, 1 << 16, 0.5, 0.55
+WIDTH, THRESHOLD, BANDS, ROWS, IDF_WORDS, DAMPING, HINT, PROBES = 5, 0.8, 16, 4, 1 << 16, 0.5, 0.55, 4
 TABLE = 1 << 15
 
 
@@ -223,6 +223,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def ordered(x: str, y: str) -> list[F.Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def hub_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a < b: each member of a bucket with the bucket's hub, the member whose signature agrees best with the probes (a
+    few members by hash). Copies of a text are all near that text, but may be too far from one another: the hub is
+    what links them. In a bucket of two the hub is either."""
+    probe = F.explode(F.array(*[F.col(f"p{k}") for k in range(PROBES)])).alias("probe")
+    asked = members.where("n > 2").select("band", "key", "node", probe).where("node <> probe").distinct()
+    agreed = hinted(asked.select(*ordered("node", "probe")).distinct(), nodes, 0.0)
+    means = asked.select("band", "key", "node", *ordered("node", "probe")).join(agreed, ["a", "b"]).groupBy("band", "key", "node").agg(F.avg("hint").alias("mean"))
+    hubs = means.groupBy("band", "key").agg(F.max(F.struct("mean", (-F.col("node")).alias("minus"))).alias("x")).select("band", "key", (-F.col("x.minus")).alias("hub"))
+    led = members.select("band", "key", "node", "lead").join(hubs, ["band", "key"], "left").withColumn("hub", F.coalesce("hub", "lead"))
+    return led.where("node <> hub").select(*ordered("node", "hub")).distinct()
+
+
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
+    both = pairs.join(la, "a", "left").join(lb, "b", "left")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def crossing(tagged: DataFrame) -> DataFrame:
+    """a < b: all pairs of a bucket (band, key, node, label) with different labels. One node of such a pair is not of
+    the bucket's most frequent label, so only those are held against the whole bucket."""
+    counts = tagged.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    mixed = stored(tagged.join(main, ["band", "key"]).select("band", "key", "node", "label", "main"))
+    few = mixed.where("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    return few.join(mixed.select("band", "key", F.col("node").alias("y"), F.col("label").alias("ly")), ["band", "key"]).where("lx <> ly").select(*ordered("x", "y")).distinct()
+
+
 def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hint: float = HINT, damping: float = DAMPING, seed: int = 5) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) for every row of docs."""
     weights = learn_weights(docs, text=text, damping=damping)
@@ -232,23 +266,24 @@ def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
         .agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("digest").alias("digest"))
     )
     banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    leads = banded.groupBy("band", "key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(banded.join(leads, ["band", "key"]).select("band", "key", "node", "lead", "n"))
-    star = stored(hinted(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), nodes, hint))
+    probes = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PROBES)]
+    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), *probes).where("n > 1")
+    members = stored(banded.join(buckets, ["band", "key"]))
+    star = stored(hinted(hub_pairs(members, nodes), nodes, hint))
     # texts of the nodes that any pair can need, written once; pairs are between nodes of one bucket
     wanted = members.where("n > 2").select("node").unionByName(star.select(F.col("a").alias("node"))).unionByName(star.select(F.col("b").alias("node"))).distinct()
     texts = stored(docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text")).join(wanted, "node"))
     best = star.groupBy("b").agg(F.max(F.struct("hint", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b")
-    links = stored(verified(best, texts, weights, threshold))
+    links = stored(verified(best, texts, weights, threshold)).select("a", "b")
+    tried = best
+    for pairs in (lambda _: star.select("a", "b"), crossing):
+        label = components(links)
+        tagged = members.select("band", "key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = apart(pairs(tagged), label).join(tried, ["a", "b"], "left_anti")
+        rest = stored(rest if pairs is not crossing else hinted(rest, nodes, hint).select("a", "b"))
+        links = links.unionByName(stored(verified(rest, texts, weights, threshold)).select("a", "b"))
+        tried = tried.unionByName(rest)
     label = components(links)
-    tagged = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
-    apart = stored(tagged.join(mixed, ["band", "key"]).select("band", "key", "node", "label"))
-    left, right = apart.toDF("band", "key", "a", "la"), apart.toDF("band", "key", "b", "lb")
-    cross = left.join(right, ["band", "key"]).where("a < b and la <> lb").select("a", "b").distinct()
-    tried = best.select("a", "b")
-    more = verified(hinted(cross, nodes, hint).join(tried, ["a", "b"], "left_anti"), texts, weights, threshold)
-    label = components(links.select("a", "b").unionByName(more.select("a", "b")))
     of_node = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     return every.select("doc_id", "h1", "h2").join(of_node, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

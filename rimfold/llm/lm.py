@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rimfold.llm.common import MIX, groups_for, mix64, read, slices, stored
 
-DISCOUNT, LEAST, GROUP, PART = 0.75, 2, 16_000_000, 1_500_000
+DISCOUNT, LEAST, GROUP, PART = 0.75, 2, 8_000_000, 1_500_000
 START, END = np.uint64(1), np.uint64(2)  # hashes of the start (never a token) and the end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FOLLOWER = np.uint64((1 << 40) - 1)
@@ -86,7 +86,7 @@ def _group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     size = 0
     for batch in batches:
-        for own in slices(batch, most=3_000_000):
+        for own in slices(batch, most=1_500_000):
             tokens, counts = token_hashes(own["text"].fillna("").tolist())
             missing = own["doc_id"].isna().to_numpy()
             flags = (own["held_out"].to_numpy().astype(np.uint8)) | (missing.astype(np.uint8) << 1)
@@ -147,7 +147,7 @@ def heavy(groups: DataFrame) -> np.ndarray:
 
     total = groups.agg(F.sum("n")).first()[0] or 0
     sums = groups.select("words", "ids").mapInPandas(local, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") * 256 > total)
-    return np.append(np.array([r["word"] for r in sums.collect()], np.int64).view(np.uint64), START)
+    return np.sort(np.append(np.array([r["word"] for r in sums.collect()], np.int64).view(np.uint64), START))
 
 
 def _requests(parts: int, hot: np.ndarray):
@@ -164,7 +164,13 @@ def _requests(parts: int, hot: np.ndarray):
                 for p in range(parts):
                     w, b = words[at[p] : at[p + 1]], pairs[to[p] : to[p + 1]]
                     if len(w) or len(b):
-                        rows.append((p, row["g"], pack(group.words[w]), pack(counts[w]), pack(group.words[found[b] // n]), pack((group.words[found[b] % n] & FOLLOWER).astype(np.uint64)), pack(seen[b])))
+                        # contexts as steps between places in the part's words and, after them, the hot ones
+                        context = found[b] // n
+                        known = np.searchsorted(w, context)
+                        known[of_word[context] != p] = 0
+                        away = w[known] != context if len(w) else np.ones(len(b), bool)
+                        known[away] = len(w) + np.searchsorted(hot, group.words[context[away]])
+                        rows.append((p, row["g"], pack(np.diff(group.words[w], prepend=np.uint64(0))), pack(counts[w]), pack(np.diff(known, prepend=0).astype(np.int32)), pack(group.words[found[b] % n] & FOLLOWER), pack(seen[b])))
                 yield pd.DataFrame(rows, columns=["p", "g", "words", "counts", "contexts", "followers", "seen"])
 
     return run
@@ -172,8 +178,9 @@ def _requests(parts: int, hot: np.ndarray):
 
 def _answers(hot: np.ndarray):
     def run(key, asked: pd.DataFrame) -> pd.DataFrame:
-        words, counts = [unpack(x, np.uint64) for x in asked["words"]], [unpack(x, np.int64) for x in asked["counts"]]
-        contexts, followers, seen = ([unpack(x, k) for x in asked[c]] for c, k in (("contexts", np.uint64), ("followers", np.uint64), ("seen", np.int64)))
+        words, counts = [np.cumsum(unpack(x, np.uint64)) for x in asked["words"]], [unpack(x, np.int64) for x in asked["counts"]]
+        contexts = [np.append(w, hot)[np.cumsum(unpack(x, np.int32))] for w, x in zip(words, asked["contexts"])]
+        followers, seen = ([unpack(x, k) for x in asked[c]] for c, k in (("followers", np.uint64), ("seen", np.int64)))
         different, which = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(which, np.concatenate(counts), len(different)).astype(np.int64)
         context, of_context = np.unique(np.concatenate(contexts), return_inverse=True)

@@ -30,6 +30,22 @@ def histogram(angles: str, bins: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(own, lambda s: s == k)))
 
 
+def sector_runs(angles: str, bins: int) -> tuple[Column, Column]:
+    """Of sorted angles: sectors that hold any, and the sum of the squares of the sectors' counts, in one pass."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("filled"), F.lit(0).alias("squares"))
+
+    def step(s, v):
+        k = F.least(F.lit(bins - 1), F.floor(v / TURN * bins)).cast("int")
+        same = k == s["last"]
+        return F.struct(
+            k.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), F.when(same, s["filled"]).otherwise(s["filled"] + 1).alias("filled"),
+            F.when(same, s["squares"] + 2 * s["run"] + 1).otherwise(s["squares"] + 1).alias("squares"),
+        )
+
+    done = F.aggregate(angles, start, step)
+    return done["filled"], done["squares"]
+
+
 def widest_gap(angles: str) -> Column:
     """The largest step between neighbours of the sorted angles around the circle, as a share; 1 for one point."""
     a = F.col(angles)
@@ -41,14 +57,14 @@ def geometry(points: DataFrame, key: str, height: int, width: int) -> DataFrame:
     d = G.algebraic_distance("x", "y", *ELLIPSE)
     angle = full_angle(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
     rows = grouped(points, key, F.sqrt(F.avg(d * d)).alias("resid_rms"), F.percentile(d, 0.9).alias("resid_p90"), F.array_sort(F.collect_list(angle)).alias("angles"))
-    rows = rows.withColumn("hist", histogram("angles", 36))
     a, b, n = F.col("a"), F.col("b"), F.col("n")
+    filled, squares = sector_runs("angles", 36)
     mean = n / 36
-    spread = F.sqrt(F.aggregate("hist", F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean)) / 36)
+    spread = F.sqrt(F.greatest(F.lit(0.0), squares / 36 - mean * mean))
     return rows.select(
         key, G.eccentricity(a, b).alias("geometry_eccentricity"), (b / (a + 1e-6)).alias("geometry_axis_ratio"), (G.PI * a * b / (height * width)).alias("geometry_ellipse_area"),
         F.lit(1.0).alias("geometry_area_ratio"), F.col("resid_rms").alias("geometry_resid_rms"), F.col("resid_p90").alias("geometry_resid_p90"),
-        (n / (TURN * F.sqrt((a * a + b * b) / 2) + 1e-6)).alias("geometry_support_ratio"), (F.size(F.filter("hist", lambda c: c > 0)) / 36).alias("geometry_angular_coverage"),
+        (n / (TURN * F.sqrt((a * a + b * b) / 2) + 1e-6)).alias("geometry_support_ratio"), (filled / 36).alias("geometry_angular_coverage"),
         (spread / (n + 1e-6)).alias("geometry_angular_std"), widest_gap("angles").alias("geometry_max_gap"), (a / (b + 1e-6)).alias("geometry_condition"),
     )
 

@@ -41,12 +41,13 @@ def stencil(plane: str, h: int, w: int, weights: list[tuple[int, int, float]]) -
 
 def sobel_magnitude(plane: str, h: int, w: int) -> Column:
     gx, gy = stencil(plane, h, w, SOBEL_X), stencil(plane, h, w, SOBEL_Y)
-    return grid(h, w, lambda y, x: F.sqrt(gx(y, x) * gx(y, x) + gy(y, x) * gy(y, x)))
+    return grid(h, w, lambda y, x: F.hypot(gx(y, x), gy(y, x)))
 
 
 def gradient_map(plane: str, h: int, w: int) -> Column:
     """Sobel magnitude over (its greatest + 1e-6)."""
-    return F.transform(F.array(sobel_magnitude(plane, h, w)), lambda m: F.transform(m, lambda v: v / (F.array_max(m) + 1e-6)))[0]
+    over = lambda m: F.transform(F.array(F.array_max(m) + 1e-6), lambda top: F.transform(m, lambda v: v / top))[0]
+    return F.transform(F.array(sobel_magnitude(plane, h, w)), over)[0]
 
 
 def central_gradient(plane: str, h: int, w: int) -> tuple[Column, Column]:

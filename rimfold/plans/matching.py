@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rimfold.functions import geometry as G
 from rimfold.operators import match, score, select
 from rimfold.plans.fixtures import BASE_SQL, MATCH_SQL, PAIRS_SQL, pred, truth
-from rimfold.sources import ellipses
+from rimfold.sources import ellipses, storage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -365,3 +365,25 @@ def snk1_solution_rows(spark, sf_dir):
 def snk4_low_counts(spark, sf_dir):
     t, p = both(spark, sf_dir)
     return ellipses.low_counts(t.select("image_no").distinct(), p.where("conf > 0.8"))
+
+
+# --- sources and sinks ---
+@query(WITH + PATHS + " select t.seq as row_seq, round(t.cx, 2) as cx, round(t.a, 2) as a, p.path as image, t.cls from truth t join paths p using (seq)")
+def src1_snk1_csv_round_trip(spark, sf_dir):
+    rows = ellipses.with_paths(truth(spark, sf_dir)).withColumnRenamed("path", "image").withColumn("cy", F.col("seq").cast("double"))
+    path = storage.folder(spark)
+    ellipses.write_csv(rows, path)
+    return ellipses.read_csv(spark, path).select(F.col("cy").cast("long").alias("row_seq"), "cx", "a", "image", "cls")
+
+
+@query(WITH + " select seq, cls from truth where cls in (1, 3)")
+def src7_snk8_tile_store(spark, sf_dir):
+    path = storage.folder(spark)
+    storage.write_tiles(truth(spark, sf_dir).select("seq", "cls"), path, "cls")
+    return storage.read_tiles(spark, path, [1, 3], "cls").select("seq", "cls")
+
+
+@query(WITH + " select image_no, count(*) as truths, round(avg(b), 9) as mean_b from truth where b >= 50 group by 1")
+def snk2_per_image_rows(spark, sf_dir):
+    t = truth(spark, sf_dir).where("b >= 50")
+    return t.groupBy("image_no").agg(F.count(F.lit(1)).alias("truths"), F.round(F.avg("b"), 9).alias("mean_b"))

@@ -1 +1 @@
-"""."""
+"""Incremental ingest; an extension, as finite inputs are the engine's main use."""

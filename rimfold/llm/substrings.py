@@ -18,7 +18,8 @@ A run of windows with one anchor is a context (the bytes from the first window's
 4. The matched windows of each document are joined with it and cut out.
 
 Defined cases: null text is empty; texts under LENGTH bytes keep everything; a text's own repeats and overlaps count;
-rows of equal doc_id and text match each other. Anchors and contexts are told apart by 64- and 128-bit hashes.
+rows of equal doc_id and text match each other. Anchors, and the
+contexts of one anchor, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 from rimfold.llm.common import groups_for, mix64, read, stored
 
 LENGTH, GRAM, PERIOD, LARGE, BLOCK, PIECE = 400, 96, 64, 2048, 1_500_000, 2_000_000
-CONTEXT = ["key", "c1", "c2"]
+CONTEXT = ["key", "c1"]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An odd base's powers, its inverse's powers, and a random number for each byte."""
     rng = np.random.default_rng(1000 + which)
@@ -79,12 +80,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> pd.DataFrame:
-    """text (place), key, c1, c2, lo, hi (first and last window), at (the anchor) of all contexts."""
+    """text (place), key, c1, lo (first window) and shape (anchor - lo, last window - lo: 10 bits) of all contexts."""
     octets = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     if len(octets) < LENGTH:
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", *CONTEXT, "lo", "hi", "at")})
-    one, two = Prefixes(octets, 1), Prefixes(octets, 2)
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", *CONTEXT, "lo", "shape")})
+    one = Prefixes(octets, 1)
     grams = one.grams(GRAM)
     low = np.uint64((1 << 26) - 1)  # hash above, place below: the least is the leftmost of the least hash
     least = sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1)
@@ -95,12 +96,10 @@ def anchors(texts: list[bytes]) -> pd.DataFrame:
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[start[1:]] != text[start[:-1]])])[: len(start)])
     last = np.append(first[1:], len(start)) - 1
     lo, hi, at = start[first], start[last], at[first]
-    shape = mix64(((at - lo) * 1024 + (hi - lo)).astype(np.uint64))
+    shape = (at - lo) * 1024 + (hi - lo)
     begin = (stop - sizes)[text[lo]]
-    return pd.DataFrame({
-        "text": text[lo], "key": grams[at].view(np.int64), "c1": (one.of(lo, hi + LENGTH) ^ shape).view(np.int64),
-        "c2": (two.of(lo, hi + LENGTH) ^ shape).view(np.int64), "lo": lo - begin, "hi": hi - begin, "at": at - begin,
-    })
+    context = one.of(lo, hi + LENGTH) ^ mix64(shape.astype(np.uint64))
+    return pd.DataFrame({"text": text[lo], "key": grams[at].view(np.int64), "c1": context.view(np.int64), "lo": lo - begin, "shape": shape})
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +111,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = anchors(texts[a:b])
             own = batch.iloc[a:b]
             found["doc"], found["t"] = own["doc"].to_numpy()[found["text"]], own["t"].to_numpy()[found["text"]]
-            yield found[["doc", "t", *CONTEXT, "lo", "hi", "at"]]
+            yield found[["doc", "t", *CONTEXT, "lo", "shape"]]
 
 
 def ranked(keys: np.ndarray) -> np.ndarray:
@@ -198,20 +197,21 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """doc, t, start, stop: bytes covered by repeated windows of rows (doc, t, octets)."""
-    found = stored(rows.mapInPandas(_anchors, "doc long, t long, key long, c1 long, c2 long, lo int, hi int, at int"))
-    place = F.struct("doc", "t", "lo", "hi", "at")
+    found = stored(rows.mapInPandas(_anchors, "doc long, t long, key long, c1 long, lo int, shape int"))
+    place = F.struct("doc", "t", "lo", "shape")
     contexts = found.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"))
     buckets = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.sum("n").alias("all")).where(F.col("all") > 1)
     contexts = stored(contexts.join(buckets, "key").select(*CONTEXT, "n", "rep.*", "m", "least"))
-    mixed = contexts.where("m > 1 and least = 1").select(*CONTEXT, "n", "m", F.col("doc").alias("d"), F.col("t").alias("u"), "lo", "hi", "at")
+    last = F.col("shape") % 1024
+    mixed = contexts.where("m > 1 and least = 1").select(*CONTEXT, "n", "m", F.col("doc").alias("d"), F.col("t").alias("u"), "lo", "shape")
     same = rows["doc"].eqNullSafe(F.col("d")) & (rows["t"] == F.col("u"))
     cut = rows.join(mixed, same).select(
-        *CONTEXT, "n", "m", (F.col("at") - F.col("lo")).alias("anchor"), (F.col("hi") - F.col("lo") + 1).alias("windows"),
-        F.substring("octets", F.col("lo") + 1, F.col("hi") - F.col("lo") + LENGTH).alias("octets"),
+        *CONTEXT, "n", "m", F.floor(F.col("shape") / 1024).cast("int").alias("anchor"), (last + 1).alias("windows"),
+        F.substring("octets", F.col("lo") + 1, last + LENGTH).alias("octets"),
     )
     small, large = cut.where(F.col("m") <= LARGE), cut.where(F.col("m") > LARGE)
-    size = mixed.agg(F.sum(F.col("hi") - F.col("lo") + LENGTH)).first()[0]
-    blocks = small.repartition(groups_for(size, 16_000_000), "key").sortWithinPartitions("key").mapInPandas(_blocks, "key long, c1 long, c2 long, a int, b int")
+    size = mixed.agg(F.sum(last + LENGTH)).first()[0]
+    blocks = small.repartition(groups_for(size, 16_000_000), "key").sortWithinPartitions("key").mapInPandas(_blocks, "key long, c1 long, a int, b int")
     some = stored(blocks)
     if mixed.where(F.col("m") > LARGE).limit(1).count():
         window = F.substring("octets", F.col("a") + 1, F.lit(LENGTH))
@@ -221,7 +221,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         some = some.unionByName(each.where("n = 1").join(twice, ["w1", "w2"]).select(*CONTEXT, "a", F.col("a").alias("b")))
     whole = contexts.where("n > 1").select(*CONTEXT, F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
     hits = found.join(whole.unionByName(some), CONTEXT)
-    return hits.select("doc", "t", (F.col("lo") + F.col("a")).alias("start"), (F.coalesce(F.col("lo") + F.col("b"), "hi") + LENGTH).alias("stop"))
+    return hits.select("doc", "t", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.coalesce("b", last) + LENGTH).alias("stop"))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

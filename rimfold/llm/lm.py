@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimfold.llm.common import MIX, groups_for, mix64, read, slices, stored
+from rimfold.llm.common import MIX, groups_for, mix64, read, release, slices, stored, tidied
 
 DISCOUNT, LEAST, GROUP, PART = 0.75, 2, 8_000_000, 1_500_000
 START, END = np.uint64(1), np.uint64(2)  # hashes of the start (never a token) and the end
@@ -102,7 +102,7 @@ def _group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def grouped(docs: DataFrame, held_out) -> DataFrame:
     """The documents as groups of about GROUP characters: a row each."""
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return stored(rows.mapInPandas(_group, "g long, n long, docs binary, flags binary, counts binary, words binary, ids binary"))
+    return stored(rows.mapInPandas(tidied(_group), "g long, n long, docs binary, flags binary, counts binary, words binary, ids binary"))
 
 
 class Group:
@@ -250,6 +250,8 @@ def _scores(parts: int, hot: np.ndarray, hot_mass: dict[int, float], tokens: int
         for a, n in zip(group.first.tolist(), group.counts.tolist()):
             scores.append(automaton.score(start, ids[a : a + n].tolist()))
         base = np.log10((total + 0.5) / (tokens + 0.5 * (types + 1)))[ids]
+        del automaton
+        release()
         return pd.DataFrame({
             "doc_id": pd.array(group.docs, dtype="Int64").copy() if not (group.flags & 2).any() else pd.array([None if f & 2 else d for d, f in zip(group.docs.tolist(), group.flags)], dtype="Int64"),
             "held_out": (group.flags & 1) == 1, "n_tokens": group.counts, "n_known": np.add.reduceat((total[ids] > 0).astype(np.int64), group.first),
@@ -264,7 +266,7 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     groups = grouped(docs, held_out)
     tokens = groups.agg(F.sum("n")).first()[0] or 0
     parts, hot = groups_for(tokens, PART), heavy(groups)
-    asked = groups.drop("n").mapInPandas(_requests(parts, hot), "p long, g long, words binary, counts binary, contexts binary, followers binary, seen binary")
+    asked = groups.drop("n").mapInPandas(tidied(_requests(parts, hot)), "p long, g long, words binary, counts binary, contexts binary, followers binary, seen binary")
     answered = stored(asked.repartition(parts, "p").groupBy("p").applyInPandas(_answers(hot), "g long, p long, total binary, mass binary, times binary, tokens long, types long, hot binary, hot_mass binary"))
     sums = answered.where("g is null").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     hot_mass: dict[int, float] = {}

@@ -29,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimfold.llm.common import MIX, mix64, read, slices, stored
+from rimfold.llm.common import MIX, mix64, read, slices, stored, tidied
 
-WIDTH, THRESHOLD, BANDS, ROWS, IDF_WORDS, DAMPING, HINT, PROBES = 5, 0.8, 16, 4, 1 << 16, 0.5, 0.55, 4
+WIDTH, THRESHOLD, BANDS, ROWS, IDF_WORDS, DAMPING, HINT, PROBES = 5, 0.8, 16, 4, 1 << 16, 0.25, 0.55, 4
 TABLE = 1 << 15
 
 
@@ -53,14 +53,14 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch, most=6_000_000):
+            for part in slices(batch, most=3_000_000):
                 which, counts, hashes = word_ids(part["text"].fillna("").tolist())
                 doc = np.repeat(np.arange(len(counts)), counts)
                 pairs = np.unique(which * np.int64(len(counts)) + doc) // max(1, len(counts))
                 found, df = np.unique(pairs, return_counts=True)
                 yield pd.DataFrame({"word": hashes[found].view(np.int64), "df": df})
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    return docs.select(F.col(text).alias("text")).mapInPandas(tidied(count), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
 class Weights:
@@ -152,7 +152,7 @@ def signed(docs: DataFrame, weights: Weights, *, bands: int, rows: int, seed: in
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(bands * rows, seed)
         for batch in batches:
-            for part in slices(batch, most=3_000_000):
+            for part in slices(batch, most=2_000_000):
                 doc, key, weight, whole = shingles(part["text"].fillna("").tolist(), weights)
                 raw = sampler.signatures(len(part), doc, key, weight).view(np.uint32).astype(np.uint64)
                 mixed = mix64(raw + MIX * np.arange(bands * rows, dtype=np.uint64))
@@ -169,7 +169,7 @@ def signed(docs: DataFrame, weights: Weights, *, bands: int, rows: int, seed: in
                 yield frame
 
     schema = "doc_id long, h1 long, h2 long, keys array<long>, digest binary"
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(sign, schema)
+    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(tidied(sign), schema)
 
 
 def agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
                 yield out[out["similarity"] >= threshold]
 
     both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long, similarity double")
+    return both.select("a", "b", "ta", "tb").mapInPandas(tidied(check), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rimfold.llm.common import MIX, mix64, read
+from rimfold.llm.common import MIX, mix64, read, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-SLICE = 6_000_000
+SLICE = 3_500_000
 
 
 def vocabulary(path: str = MODEL) -> tuple[list[str], list[float]]:
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, keep: list[str], *, text: str = "text", key: str = "
     from pyspark.sql import functions as F
 
     ready = docs.select(F.col(text).alias("_text"), F.col(key).cast("long").alias("_key"), *keep)
-    return ready.mapInArrow(encoder(*vocabulary(model), sharpness, seed), T.StructType([docs.schema[c] for c in keep] + added))
+    return ready.mapInArrow(tidied(encoder(*vocabulary(model), sharpness, seed)), T.StructType([docs.schema[c] for c in keep] + added))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

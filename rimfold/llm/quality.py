@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rimfold.llm.common import MIX, mix64, read, slices, stored
+from rimfold.llm.common import MIX, mix64, read, slices, stored, tidied
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -90,7 +90,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep's columns of docs, then the counts of each text (null: empty), prefixed with an underscore."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"_{c}", T.LongType()) for c in COUNTS])
-    return docs.select(*keep, "text").mapInPandas(_measure, schema)
+    return docs.select(*keep, "text").mapInPandas(tidied(_measure), schema)
 
 
 def rule_values() -> dict[str, F.Column]:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimfold.llm.common import groups_for, mix64, read, stored
+from rimfold.llm.common import groups_for, mix64, read, stored, tidied
 
 LENGTH, GRAM, PERIOD, LARGE, BLOCK, PIECE = 400, 96, 64, 2048, 1_500_000, 2_000_000
 CONTEXT = ["key", "c1"]
@@ -197,7 +197,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """doc, t, start, stop: bytes covered by repeated windows of rows (doc, t, octets)."""
-    found = stored(rows.mapInPandas(_anchors, "doc long, t long, key long, c1 long, lo int, shape int"))
+    found = stored(rows.mapInPandas(tidied(_anchors), "doc long, t long, key long, c1 long, lo int, shape int"))
     place = F.struct("doc", "t", "lo", "shape")
     contexts = found.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"))
     buckets = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.sum("n").alias("all")).where(F.col("all") > 1)
@@ -211,7 +211,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     )
     small, large = cut.where(F.col("m") <= LARGE), cut.where(F.col("m") > LARGE)
     size = mixed.agg(F.sum(last + LENGTH)).first()[0]
-    blocks = small.repartition(groups_for(size, 16_000_000), "key").sortWithinPartitions("key").mapInPandas(_blocks, "key long, c1 long, a int, b int")
+    blocks = small.repartition(groups_for(size, 16_000_000), "key").sortWithinPartitions("key").mapInPandas(tidied(_blocks), "key long, c1 long, a int, b int")
     some = stored(blocks)
     if mixed.where(F.col("m") > LARGE).limit(1).count():
         window = F.substring("octets", F.col("a") + 1, F.lit(LENGTH))
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     of_doc = spans.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).toDF("d", "u", "spans")
     joined = rows.join(of_doc, rows["doc"].eqNullSafe(F.col("d")) & (rows["t"] == F.col("u")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.select(F.col("doc").alias("doc_id"), "octets", "spans").mapInPandas(_cut, schema)
+    return joined.select(F.col("doc").alias("doc_id"), "octets", "spans").mapInPandas(tidied(_cut), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

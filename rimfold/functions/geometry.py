@@ -131,7 +131,8 @@ def sigmoid(x, clamp: float | None = None) -> Column:
 
 
 def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 10) -> Column:
-    """Distance from a point to the ellipse: fixed-step Newton iterations on the curve's angle, folded in one column."""
+    """Distance from a point to the ellipse: Newton iterations on the curve's angle, folded in one column; by symmetry
+    in the first quadrant."""
     u, v = local_frame(x, y, cx, cy, rot)
     u, v, a, b = F.abs(u), F.abs(v), col(a), col(b)
 
@@ -142,9 +143,12 @@ def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 10) -> Column:
         return t - F.when(F.abs(g) > 1e-12, f / g).otherwise(F.lit(0.0))
 
     t = F.aggregate(F.array(*[F.lit(k) for k in range(steps)]), F.atan2(a * v, b * u), step)
-    found = F.struct(t.alias("t"))
-    dx, dy = a * F.cos(found["t"]) - u, b * F.sin(found["t"]) - v
-    return F.sqrt(dx * dx + dy * dy)
+    def to(c, s):
+        dx, dy = a * c - u, b * s - v
+        return F.sqrt(dx * dx + dy * dy)
+
+    found = F.transform(F.array(t), lambda k: to(F.cos(k), F.sin(k)))[0]
+    return F.least(found, to(F.lit(1.0), F.lit(0.0)), to(F.lit(0.0), F.lit(1.0)))  # on an axis the iterations may rest at a far end
 
 
 def polar_score(support, residual, separation, gap) -> Column:

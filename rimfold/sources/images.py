@@ -11,7 +11,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,17 +83,21 @@ def decode_png(data: bytes) -> np.ndarray:
     return np.rint(pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
-@F.pandas_udf("struct<h:int,w:int,plane:array<double>>")
-def gray_plane(content: pd.Series) -> pd.DataFrame:
+def gray_plane(content: str) -> Column:
     """Height, width and gray values of each image; null where it does not decode."""
-    rows = []
-    for data in content:
-        try:
-            gray = decode_png(bytes(data))
-            rows.append((gray.shape[0], gray.shape[1], gray.ravel().astype(float).tolist()))
-        except (ValueError, struct.error, zlib.error):
-            rows.append((None, None, None))
-    return pd.DataFrame(rows, columns=["h", "w", "plane"])
+
+    @F.pandas_udf("struct<h:int,w:int,plane:array<double>>")
+    def decode(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in contents:
+            try:
+                gray = decode_png(bytes(data))
+                rows.append((gray.shape[0], gray.shape[1], gray.ravel().astype(float).tolist()))
+            except (ValueError, struct.error, zlib.error):
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["h", "w", "plane"])
+
+    return decode(content)
 
 
 def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:

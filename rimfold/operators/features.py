@@ -173,29 +173,37 @@ def slopes(points: DataFrame, key: str, gradient: str = "g", mean: str = "g_mean
     return points.groupBy(key).agg(F.median(s).alias("mahanti_median_slope"), F.stddev_pop(s).alias("mahanti_slope_std"), (F.max(s) - F.min(s)).alias("mahanti_depth_ratio"), F.avg(s).alias("mahanti_rim_sharpness"))
 
 
-def confidence(samples: DataFrame, key: str, n: int, bins: int = 12) -> DataFrame:
-    """0.4 mean + 0.3 share over 0.5 + 0.15 (1 - uneven bins) + 0.15 (1 - widest gap) of samples (k, p) on the perimeter;
-    0 with under half of them inside the image."""
-    good = F.col("p") > 0.5
-    angle = F.lit(TURN) * F.col("k") / n
+def confidence(samples: DataFrame, key: str, n: int, *, signal: str = "p", over: float = 0.5, bins: int = 36) -> DataFrame:
+    """confidence and completeness from the samples (k of n, signal) of a perimeter that lie in the image:
+    0.4 mean + 0.3 share over `over` + 0.15 (1 - unevenness of the sectors) + 0.15 (1 - widest gap); 0 with under half."""
+    s, angle = F.col(signal), F.lit(TURN) * F.col("k") / n
     rows = samples.groupBy(key).agg(
-        F.count(F.lit(1)).alias("m"), F.avg("p").alias("mean"), F.avg(good.cast("double")).alias("over"), F.array_sort(F.collect_list(F.when(good, angle))).alias("angles"),
-    ).withColumn("hist", histogram("angles", bins))
-    held = F.size("angles")
-    mean = held / bins
-    spread = F.sqrt(F.aggregate("hist", F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean)) / bins)
-    most = F.sqrt((mean * (bins - 1)) * (mean * (bins - 1)) / bins + mean * mean * (bins - 1) / bins)
-    gap = F.when(held > 0, widest_gap("angles")).otherwise(1.0)
-    value = 0.4 * F.col("mean") + 0.3 * F.col("over") + 0.15 * (1 - F.least(spread / (most + 1e-6), F.lit(1.0))) + 0.15 * (1 - gap)
-    return rows.select(key, F.when(F.col("m") * 2 < n, 0.0).otherwise(value).alias("confidence"))
-
-
-def deployed_confidence(rim: DataFrame, disc: DataFrame, key: str) -> DataFrame:
-    """0.5 rim mean + 0.3 share of rim samples over 0.2 + 0.2 share of disc samples over 0.5."""
+        F.count(F.lit(1)).alias("m"), F.avg(s).alias("mean"), F.avg((s > over).cast("double")).alias("share"),
+        F.avg((s > 0.2).cast("double")).alias("completeness"), F.array_sort(F.collect_list(angle)).alias("angles"),
+    )
+    _, squares = sector_runs("angles", bins)
+    each = F.col("m") / bins
+    spread = F.sqrt(F.greatest(F.lit(0.0), squares / bins - each * each))
+    uneven = F.least(spread / (F.sqrt(each * (bins - 1)) + 1e-6), F.lit(1.0))
+    value = 0.4 * F.col("mean") + 0.3 * F.col("share") + 0.15 * (1 - uneven) + 0.15 * (1 - widest_gap("angles"))
+    return rows.select(key, F.when(F.col("m") * 2 < n, 0.0).otherwise(value).alias("confidence"), "completeness")
+
+
+def hybrid_signal(rim: str, gradient: str, p95: str) -> Column:
+    """The rim probability where it is clear, and scaled gradient where it is weak."""
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    alpha = clip((F.col(rim) - 0.2) / 0.3)
+    return alpha * F.col(rim) + (1 - alpha) * clip(F.col(gradient) / (F.col(p95) + 1e-6)) * 0.7
+
+
+def deployed_confidence(rim: DataFrame, disc: DataFrame, key: str, weights: tuple = (0.5, 0.3, 0.2)) -> DataFrame:
+    """Weighted sum of the rim's mean, the share of rim samples over 0.2 and that of disc samples over 0.5; the weights
+    of the earlier formula are (0.8, 0.1, 0.1)."""
     r = rim.groupBy(key).agg(F.avg("p").alias("rim_score"), F.avg((F.col("p") > 0.2).cast("double")).alias("completeness"))
     d = disc.groupBy(key).agg(F.avg((F.col("q") > 0.5).cast("double")).alias("coverage"))
     both = r.join(d, key, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    return both.withColumn("confidence", 0.5 * F.col("rim_score") + 0.3 * F.col("completeness") + 0.2 * F.col("coverage"))
+    parts = zip(weights, ("rim_score", "completeness", "coverage"))
+    return both.withColumn("confidence", sum(w * F.col(c) for w, c in parts))
 
 
 def rescue_confidence(conf: str = "confidence", radius: str = "radius", coverage: str = "coverage", completeness: str = "completeness", mean: str = "rim_score") -> Column:
@@ -210,3 +218,20 @@ def best_scale(samples: DataFrame, key: str, default: float = 1.14) -> DataFrame
     best = means.groupBy(key).agg(F.max(F.struct("m", (-F.col("scale")).alias("s"))).alias("x"))
     found = F.col("x.m") > 0
     return best.select(key, F.when(found, -F.col("x.s")).otherwise(default).alias("scale"), F.when(found, F.col("x.m")).otherwise(0.0).alias("score"))
+
+
+def interactions(rows: DataFrame, pairs: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """rows with products and ratios (name: (kind, left, right)); only those whose columns are there."""
+    made = {}
+    for name, (kind, left, right) in pairs.items():
+        if {left, right} <= set(rows.columns):
+            made[name] = F.col(left) * F.col(right) if kind == "product" else F.col(left) / (F.col(right) + 1e-6)
+    return rows.withColumns(made)
+
+
+def assembled(parts: list[DataFrame], key: str, names: list[str] | None = None) -> DataFrame:
+    """Feature groups of one key joined, as columns; with names in that order, what is missing as 0."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, key, "left")
+    return out if names is None else out.select(key, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) if n in out.columns else F.lit(0.0).alias(n) for n in names])

@@ -294,3 +294,39 @@ def polar_fits(points: DataFrame, keys: list[str], bins: int = 72) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b", "phi"], dtype=float)
 
     return rows.select(*keys, fit("p").alias("fit")).select(*keys, "fit.*")
+
+
+def stability(points: DataFrame, keys: list[str], *, trials: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """How far fits to random parts of a candidate's points (x, y) lie from its ellipse (a, b, rot about cx, cy): mean
+    relative change of the axes, of the angle, of the centre, and 1 / (1 + both axes' changes); 1 under 10 points."""
+    rows = points.groupBy(*keys).agg(F.first(F.struct("cx", "cy", "a", "b", "rot")).alias("e"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"), F.xxhash64(*[F.first(k) for k in keys], F.lit(seed)).alias("draw"))
+    names = ["jitter_a", "jitter_b", "jitter_theta", "center_shift", "iou_subsample"]
+
+    @F.pandas_udf(", ".join(f"stab_{n} double" for n in names))
+    def refit(e: pd.DataFrame, points: pd.Series, draw: pd.Series) -> pd.DataFrame:
+        out = []
+        for (_, own), ps, d in zip(e.iterrows(), points, draw):
+            xy, rng, moved = np.array([[p["x"], p["y"]] for p in ps], float), np.random.default_rng(abs(int(d))), []
+            for _ in range(trials if len(xy) >= 10 else 0):
+                found = fit_ellipse(xy[rng.choice(len(xy), int(share * len(xy)), replace=False)])
+                if found:
+                    cx, cy, a, b, rot = found
+                    turn = abs(np.radians(rot) - np.radians(own["rot"]) % np.pi)
+                    moved.append((abs(a - own["a"]) / (own["a"] + 1e-6), abs(b - own["b"]) / (own["b"] + 1e-6), min(turn, np.pi - turn), np.hypot(cx - own["cx"], cy - own["cy"]) / (np.sqrt(own["a"] * own["b"]) + 1e-6)))
+            mean = np.mean(moved, axis=0) if moved else None
+            out.append((*mean, 1 / (1 + mean[0] + mean[1])) if moved else (1.0,) * 5)
+        return pd.DataFrame(out, columns=[f"stab_{n}" for n in names])
+
+    return rows.select(*keys, refit("e", "points", "draw").alias("s")).select(*keys, "s.*")
+
+
+def guarded_refit(original: DataFrame, refit: DataFrame, keys: list[str], width: int, height: int, *, least: int = 20) -> DataFrame:
+    """The refitted axes (a, b, phi, n points) where there are `least` points, both are 3 or more, the box lies inside the
+    image and no axis exceeds 0.6 of the longer side; else the original."""
+    new = refit.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("a", "b", "phi", "n")])
+    rows = original.join(new, keys, "left")
+    r = F.greatest("_a", "_b")
+    inside = (F.col("cx") - r >= 0) & (F.col("cy") - r >= 0) & (F.col("cx") + r < width) & (F.col("cy") + r < height)
+    fine = F.coalesce((F.col("_n") >= least) & (F.least("_a", "_b") >= 3) & inside & (r <= 0.6 * max(width, height)), F.lit(False))
+    pick = {c: F.when(fine, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("a", "b")} | {"rot": F.when(fine, F.degrees("_phi")).otherwise(F.col("rot")), "refitted": fine}
+    return rows.withColumns(pick).select(*original.columns, "refitted")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimfold.functions import geometry as G
-from rimfold.operators import features, models, raster, segment, stats
+from rimfold.operators import extract, features, models, raster, segment, stats
 from rimfold.plans.analysis import scored, SQL as SCORED
 from rimfold.plans.fixtures import BASE_SQL, PATCH_SQL, pred, table, truth
 
@@ -381,9 +381,85 @@ def fe14_18_deployed_confidence(spark, sf_dir):
     return rows.select("seq", F.round("confidence", 6).alias("confidence"), F.round(features.rescue_confidence(), 6).alias("rescue"))
 
 
-@query()
+IN_IMAGE = "where x >= 0 and y >= 0 and x < 2592 and y < 2048"
+CONF = samples_sql("[1.0e0]", 48).replace("from sm)", f"from sm {IN_IMAGE})") + """, kk as (select seq, k, p, least(35, floor(2 * pi() * k / 48 / (2 * pi()) * 36)) as bin, coalesce(lead(k) over q, first_value(k) over q + 48) - k as gap from pp window q as (partition by seq order by k rows between unbounded preceding and unbounded following)),
+bb as (select seq, sum(c * c) as c2 from (select seq, bin, count(*) as c from kk group by 1, 2) group by 1),
+cf as (select seq, count(*) as m, avg(p) as mean, avg((p > 0.5e0)::int) as share, avg((p > 0.2e0)::int) as completeness, max(gap) / 48 as gap from kk group by 1)"""
+
+
+@query(CONF + """ select seq, round(case when m * 2 < 48 then 0 else 0.4e0 * mean + 0.3e0 * share + 0.15e0 * (1 - least(sqrt(greatest(0, c2 / 36 - (m / 36)**2)) / (sqrt(m / 36 * 35) + 1e-6), 1)) + 0.15e0 * (1 - gap) end, 6) as confidence,
+round(completeness, 6) as completeness from cf join bb using (seq)""")
 def fe13_confidence(spark, sf_dir):
-    return features.confidence(plane_samples(spark, sf_dir, [1.0], 24), "seq", 24).withColumn("confidence", F.round("confidence", 6))
+    s = plane_samples(spark, sf_dir, [1.0], 48).where("x >= 0 and y >= 0 and x < 2592 and y < 2048")
+    return features.confidence(s, "seq", 48).select("seq", F.round("confidence", 6).alias("confidence"), F.round("completeness", 6).alias("completeness"))
+
+
+@query(samples_sql("[1.0e0]", 12) + """, g as (select seq, p, greatest(0, least(1, (p - 0.2e0) / 0.3e0)) as al, greatest(0, least(1, (k % 5) / (3.8e0 + 1e-6))) as gn from pp)
+select seq, round(avg(al * p + (1 - al) * gn * 0.7e0), 6) as hybrid from g group by 1""")
+def fe15_hybrid_signal(spark, sf_dir):
+    s = plane_samples(spark, sf_dir, [1.0], 12).withColumns({"g": (F.col("k") % 5).cast("double"), "p95": F.lit(3.8)})
+    return s.groupBy("seq").agg(F.round(F.avg(features.hybrid_signal("p", "g", "p95")), 6).alias("hybrid"))
+
+
+@query(samples_sql("[1.0e0, 0.5e0]", 12) + """, r as (select seq, avg(p) as rim_score, avg((p > 0.2e0)::int) as completeness from pp where scale = 1 group by 1), d as (select seq, avg((p < 0.5e0)::int) as coverage from pp where scale = 0.5e0 group by 1)
+select seq, round(0.8e0 * rim_score + 0.1e0 * completeness + 0.1e0 * coverage, 6) as confidence from r join d using (seq)""")
+def fe16_earlier_confidence(spark, sf_dir):
+    s = plane_samples(spark, sf_dir, [1.0, 0.5], 12)
+    rows = features.deployed_confidence(s.where("scale = 1.0"), s.where("scale = 0.5").withColumn("q", 1 - F.col("p")), "seq", (0.8, 0.1, 0.1))
+    return rows.select("seq", F.round("confidence", 6).alias("confidence"))
+
+
+@query(POINTS + " select seq from pt group by 1 having count(*) >= 21")
+def flt9_support_gate(spark, sf_dir):
+    return rim_points(spark, sf_dir).groupBy("seq").agg(F.count(F.lit(1)).alias("n")).where("n >= 21").select("seq")
+
+
+@query(PROFILE + " select seq, round(count(*) / 36, 6) as support, round(avg(abs(r - e) / (r + 1e-9)), 6) as residual from ex group by 1")
+def fe12_minimal_profile(spark, sf_dir):
+    p = features.profile_residuals(rim_points(spark, sf_dir), "seq")
+    return p.select("seq", F.round("support", 6).alias("support"), F.round("relative", 6).alias("residual"))
+
+
+@query(POINTS + """, rp as (select seq, avg(greatest(1e-6, least(1 - 1e-6, p))) as m from pt group by 1)
+select t.seq, round(coalesce(m, 0), 9) as rim_prob_mean, round(ln(pi() * a * b / (2048 * 2592) + 1e-6), 6) as meta_log_area, 0.0e0 as morph_solidity from truth t left join rp using (seq)""")
+def fe10_assembled(spark, sf_dir):
+    rim = features.rim_probability(rim_points(spark, sf_dir), "seq")
+    meta = truth(spark, sf_dir).select("seq", features.meta(2048, 2592)["meta_log_area"].alias("meta_log_area"))
+    out = features.assembled([meta, rim], "seq", ["rim_prob_mean", "meta_log_area", "morph_solidity"])
+    return out.select("seq", F.round("rim_prob_mean", 9).alias("rim_prob_mean"), F.round("meta_log_area", 6).alias("meta_log_area"), "morph_solidity")
+
+
+@query()
+def fe5_smp4_stability(spark, sf_dir):
+    s = segment.stability(rim_points(spark, sf_dir), ["seq"])
+    return s.select("seq", *[F.round(c, 4).alias(c) for c in s.columns if c != "seq"])
+
+
+@query()
+def sg13_guarded_refit(spark, sf_dir):
+    pts = rim_points(spark, sf_dir)
+    n = pts.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    refit = segment.polar_fits(pts, ["seq"], 24).join(n, "seq")
+    rows = segment.guarded_refit(truth(spark, sf_dir).select("seq", *features.ELLIPSE), refit, ["seq"], 2592, 2048)
+    return rows.select("seq", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "refitted")
+
+
+@query()
+def sg15_extraction(spark, sf_dir):
+    """Each embedding as an image of one soft ellipse, whose place and size it decides, and a rim plane around it."""
+    v = F.col("embedding")
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image_no"), (24 + 8 * v[0]).cast("double").alias("cx"), (24 + 8 * v[1]).cast("double").alias("cy"),
+        (12 + 6 * v[2]).cast("double").alias("a"), (9 + 4 * v[3]).cast("double").alias("b"), (90 + 180 * v[4]).cast("double").alias("rot"),
+    )
+
+    def z(y, x):
+        u, w = G.local_frame(x.cast("double"), y.cast("double"), "cx", "cy", "rot")
+        return F.sqrt((u / F.col("a")) * (u / F.col("a")) + (w / F.col("b")) * (w / F.col("b")))
+
+    images = e.select("image_no", raster.grid(48, 48, lambda y, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.6 - z(y, x)))).alias("core"), raster.grid(48, 48, lambda y, x: F.exp(-(z(y, x) - 1) * (z(y, x) - 1) / 0.02)).alias("rim"))
+    found = extract.candidates(images, "image_no", 48, 48)
+    return found.select("image_no", "seq", *[F.round(c, 2).alias(c) for c in ("cx", "cy", "a", "b", "confidence")])
 
 
 TREES = [[(0, 0.75, 1, 2, 0), (1, 2.0, 3, 4, 0), (-1, 0, 0, 0, 0.3), (-1, 0, 0, 0, -0.4), (-1, 0, 0, 0, 0.1)], [(1, 1.0, 1, 2, 0), (-1, 0, 0, 0, -0.2), (-1, 0, 0, 0, 0.5)]]

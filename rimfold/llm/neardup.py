@@ -270,9 +270,10 @@ def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), *probes).where("n > 1")
     members = stored(banded.join(buckets, ["band", "key"]))
     star = stored(hinted(hub_pairs(members, nodes), nodes, hint))
-    # texts of the nodes that any pair can need, written once; pairs are between nodes of one bucket
+    # texts of the nodes that any pair can need, written once; pairs are between nodes of one bucket. The ids grow with
+    # the corpus, so they are never broadcast, in a small run either
     wanted = members.where("n > 2").select("node").unionByName(star.select(F.col("a").alias("node"))).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    texts = stored(docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text")).join(wanted, "node"))
+    texts = stored(docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text")).join(wanted.hint("merge"), "node"))
     best = star.groupBy("b").agg(F.max(F.struct("hint", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b")
     links = stored(verified(best, texts, weights, threshold)).select("a", "b")
     tried = best

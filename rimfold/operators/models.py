@@ -115,3 +115,43 @@ def mask_metrics(pixels: DataFrame, key: str, p: str, t: str, gamma: float = 2.0
     return pixels.groupBy(key).agg(
         (1 - (2 * F.sum(F.col(p) * F.col(t)) + 1) / (F.sum(p) + F.sum(t) + 1)).alias("dice"), F.avg(-F.pow(1 - right, F.lit(gamma)) * F.log(right)).alias("focal"),
     )
+
+
+def keep_ranked(rows: DataFrame, features: list[str], trees: list[list[tuple]], depth: int, *, threshold: float, points: str = "n", conf: str = "confidence", least: int = 5) -> DataFrame:
+    """rows with rank_score >= threshold: the ensemble's probability, or the confidence where a candidate has too few rim points."""
+    score = ensemble([tree_score(F.array(*map(F.col, features)), trees, depth)], True)
+    return rows.withColumn("rank_score", F.when(F.col(points) < least, F.col(conf)).otherwise(score)).where(F.col("rank_score") >= threshold)
+
+
+def classified(rows: DataFrame, features: list[str], trees: list[list[tuple]], depth: int, *, points: str = "n", least: int = 5, default: int = 2) -> DataFrame:
+    """rows with cls: the ordinal ensemble's class, or the default with too few rim points."""
+    from rimfold.operators.stats import ordinal_class
+
+    value = ensemble([tree_score(F.array(*map(F.col, features)), trees, depth)], False)
+    return rows.withColumn("cls", F.when(F.col(points) < least, default).otherwise(ordinal_class(value)))
+
+
+def cross_validate(rows: DataFrame, features: list[str], cls: str, target: str, *, k: int = 5, fit=train_ordinal, **settings) -> DataFrame:
+    """fold, macro_f1, accuracy of models fitted without the fold; rows have a fold column. One small row a fold."""
+    from rimfold.operators.stats import averages, class_report, ordinal_class
+
+    out = None
+    for fold in range(k):
+        model = fit(rows.where(F.col("fold") != fold), features, target, **settings)
+        guessed = predict(model, rows.where(F.col("fold") == fold), features, "_value").withColumn("guess", ordinal_class("_value"))
+        one = averages(class_report(guessed, [0, 1, 2, 3, 4], cls, "guess")).select(F.lit(fold).alias("fold"), "macro_f1", "accuracy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def random_search(rows: DataFrame, features: list[str], cls: str, target: str, grid: dict[str, list], *, trials: int = 20, k: int = 5, seed: int = 42) -> tuple[dict, float]:
+    """The settings, of `trials` drawn from the grid, with the best mean macro F1 over the folds; a driver loop over models."""
+    import random
+
+    rng, best = random.Random(seed), ({}, -1.0)
+    for _ in range(trials):
+        settings = {name: rng.choice(values) for name, values in grid.items()}
+        score = cross_validate(rows, features, cls, target, k=k, **settings).agg(F.avg("macro_f1")).first()[0] or 0.0
+        if score > best[1]:
+            best = (settings, score)
+    return best

@@ -31,7 +31,12 @@ def planes(spark: SparkSession, sf_dir: str, unit: bool = False) -> DataFrame:
     """vec_id and plane (8 x 8)."""
     v = lambda x: x.cast("double")
     one = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x.cast("double") + 0.6) / 1.2))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", one if unit else v).alias("plane"))
+    return spread(table(spark, sf_dir, "embeddings")).select("vec_id", F.transform("embedding", one if unit else v).alias("plane"))
+
+
+def spread(rows: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Rows dealt to all cores: rasters cost far more to work on than to move, and a small file is one partition."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, key)
 
 
 def shown(rows: DataFrame, plane, w: int = 8, name: str = "v", digits: int = 6) -> DataFrame:
@@ -448,7 +453,7 @@ def sg13_guarded_refit(spark, sf_dir):
 def sg15_extraction(spark, sf_dir):
     """Each embedding as an image of one soft ellipse, whose place and size it decides, and a rim plane around it."""
     v = F.col("embedding")
-    e = table(spark, sf_dir, "embeddings").select(
+    e = spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("image_no"), (24 + 8 * v[0]).cast("double").alias("cx"), (24 + 8 * v[1]).cast("double").alias("cy"),
         (12 + 6 * v[2]).cast("double").alias("a"), (9 + 4 * v[3]).cast("double").alias("b"), (90 + 180 * v[4]).cast("double").alias("rot"),
     )
@@ -511,3 +516,25 @@ def mod3_ordinal(spark, sf_dir):
 def smp3_oversampling(spark, sf_dir):
     rows = scored(spark, sf_dir).where("cls < 3 or seq % 2 = 0")
     return models.oversample(rows, ["prob", "value"], "cls", "seq").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+
+
+RANKED = SCORED + """, r as (select seq, case when seq % 20 < 5 then prob else 1 / (1 + exp(-(case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end))) end as s,
+case when seq % 20 < 5 then 2 else (v >= 0.3e0)::int + (v >= 1)::int + (v >= 2.1e0)::int + (v >= 3.3e0)::int end as cls from (select *, case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end as v from scored))"""
+
+
+@query(RANKED + " select seq, round(s, 9) as rank_score from r where s >= 0.6e0")
+def mod7_deployed_ranker(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumns({"n": F.col("seq") % 20, "confidence": F.col("prob")})
+    return models.keep_ranked(rows, ["prob", "value"], TREES, 2, threshold=0.6).select("seq", F.round("rank_score", 9).alias("rank_score"))
+
+
+@query(RANKED + " select seq, cls from r")
+def mod8_deployed_classes(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("n", F.col("seq") % 20)
+    return models.classified(rows, ["prob", "value"], TREES, 2).select("seq", "cls")
+
+
+@query()
+def mod6_cross_validation(spark, sf_dir):
+    rows = stats.folds(scored(spark, sf_dir), 3).withColumn("target", stats.ordinal_target("cls"))
+    return models.cross_validate(rows, ["prob", "value", "a"], "cls", "target", k=3, rounds=2, depth=2)

@@ -36,11 +36,11 @@ def candidates(
         inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
         return F.struct(t["scale"].alias("scale"), t["k"].alias("k"), F.when(inside, raster.at(rim, w, y.cast("int"), x.cast("int"))).alias("p"))
 
-    on = fits.join(images.select(key, rim), key).select(F.struct(key, "seq").alias("cand"), F.explode(F.transform(spots, sample)).alias("s")).select("cand", "s.*").where("p is not null")
-    best = features.best_scale(on, "cand").select("cand", F.col("scale").alias("best"))
-    chosen = on.join(best, "cand").where(F.round("scale", 9) == F.round("best", 9))
-    conf = features.confidence(chosen, "cand", samples)
-    rows = fits.withColumn("cand", F.struct(key, "seq")).join(best, "cand").join(conf, "cand").where(F.col("completeness") >= completeness)
-    a, b = F.col("a") * F.col("best"), F.col("b") * F.col("best")
-    out = rows.withColumns({"_a": a, "_b": b})
-    return out.select(key, "seq", "cx", "cy", F.col("_a").alias("a"), G.eccentricity_floor("_a", "_b", floor).alias("b"), "rot", F.col("best").alias("scale"), "confidence", "completeness")
+    each = F.struct(key, "seq", "cx", "cy", "a", "b", "rot")
+    on = fits.join(images.select(key, rim), key).select(each.alias("cand"), F.explode(F.transform(spots, sample)).alias("s")).where("s.p is not null").select(F.struct("cand", "s.scale").alias("tried"), "s.k", "s.p")
+    # one grouping gives every scale's mean and confidence, so the best scale needs no second pass
+    scored = features.confidence(on, "tried", samples)
+    order = F.struct(F.round("rim_score", 12).alias("m"), (-F.col("tried.scale")).alias("minus"), "confidence", "completeness")
+    best = scored.groupBy("tried.cand").agg(F.max(order).alias("x")).where(F.col("x.completeness") >= completeness)
+    rows = best.select("cand.*", (-F.col("x.minus")).alias("scale"), "x.confidence", "x.completeness").withColumns({"a": F.col("a") * F.col("scale"), "b": F.col("b") * F.col("scale")})
+    return rows.withColumn("b", G.eccentricity_floor("a", "b", floor))

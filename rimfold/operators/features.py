@@ -174,7 +174,7 @@ def slopes(points: DataFrame, key: str, gradient: str = "g", mean: str = "g_mean
 
 
 def confidence(samples: DataFrame, key: str, n: int, *, signal: str = "p", over: float = 0.5, bins: int = 36) -> DataFrame:
-    """confidence and completeness from the samples (k of n, signal) of a perimeter that lie in the image:
+    """confidence, completeness and rim_score (the mean) from the samples (k of n, signal) of a perimeter that lie in the image:
     0.4 mean + 0.3 share over `over` + 0.15 (1 - unevenness of the sectors) + 0.15 (1 - widest gap); 0 with under half."""
     s, angle = F.col(signal), F.lit(TURN) * F.col("k") / n
     rows = samples.groupBy(key).agg(
@@ -186,7 +186,7 @@ def confidence(samples: DataFrame, key: str, n: int, *, signal: str = "p", over:
     spread = F.sqrt(F.greatest(F.lit(0.0), squares / bins - each * each))
     uneven = F.least(spread / (F.sqrt(each * (bins - 1)) + 1e-6), F.lit(1.0))
     value = 0.4 * F.col("mean") + 0.3 * F.col("share") + 0.15 * (1 - uneven) + 0.15 * (1 - widest_gap("angles"))
-    return rows.select(key, F.when(F.col("m") * 2 < n, 0.0).otherwise(value).alias("confidence"), "completeness")
+    return rows.select(key, F.when(F.col("m") * 2 < n, 0.0).otherwise(value).alias("confidence"), "completeness", F.col("mean").alias("rim_score"))
 
 
 def hybrid_signal(rim: str, gradient: str, p95: str) -> Column:

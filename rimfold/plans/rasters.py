@@ -458,11 +458,13 @@ def sg15_extraction(spark, sf_dir):
         (12 + 6 * v[2]).cast("double").alias("a"), (9 + 4 * v[3]).cast("double").alias("b"), (90 + 180 * v[4]).cast("double").alias("rot"),
     )
 
+    e = e.withColumns({"c": F.cos(F.radians("rot")), "s": F.sin(F.radians("rot"))})
+
     def z(y, x):
-        u, w = G.local_frame(x.cast("double"), y.cast("double"), "cx", "cy", "rot")
-        return F.sqrt((u / F.col("a")) * (u / F.col("a")) + (w / F.col("b")) * (w / F.col("b")))
+        dx, dy, c, s = x - F.col("cx"), y - F.col("cy"), F.col("c"), F.col("s")
+        return F.hypot((c * dx + s * dy) / F.col("a"), (c * dy - s * dx) / F.col("b"))
 
-    images = e.select("image_no", raster.grid(48, 48, lambda y, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.6 - z(y, x)))).alias("core"), raster.grid(48, 48, lambda y, x: F.exp(-(z(y, x) - 1) * (z(y, x) - 1) / 0.02)).alias("rim"))
+    images = e.select("image_no", raster.grid(48, 48, lambda y, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.6 - z(y, x)))).alias("core"), raster.grid(48, 48, lambda y, x: F.exp(-F.pow(z(y, x) - 1, F.lit(2.0)) / 0.02)).alias("rim"))
     found = extract.candidates(images, "image_no", 48, 48)
     return found.select("image_no", "seq", *[F.round(c, 2).alias(c) for c in ("cx", "cy", "a", "b", "confidence")])
 

@@ -138,3 +138,24 @@ def scan(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> str:
+    """The same by counting every block's words against every template, without filters."""
+    rows = ", ".join(f"({n}, '{label}', '{word}', {math.ceil(LEAST * len(own) - 1e-9)}, {len(own)})" for n, label, own in templates() for word in own)
+    return rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+u as (select doc_id, generate_subscripts(w, 1) - 1 as i, unnest(w) as x from d),
+n as (select *, lead(x) over p as x1, lead(x, 2) over p as x2 from u window p as (partition by doc_id order by i)),
+base as (select doc_id, i, case when x = 'cc' and x1 = 'by' then 'cc-by' when x = 'general' and x1 = 'public' and x2 = 'license' then 'gpl' when x = 'all' and x1 = 'rights' and x2 = 'reserved' then 'reserved' end as label from n),
+t(tmpl, label, word, need, size) as (values {rows}),
+b as (select doc_id, i // {STEP} as block, x from u union select doc_id, i // {STEP} - 1, x from u where i >= {STEP}),
+m as (select doc_id, block, tmpl, label, count(distinct x) as common, any_value(need) as need, any_value(size) as size from b join t on b.x = t.word group by 1, 2, 3, 4),
+hit as (select doc_id, label, max(common / size) as share from m where common >= need group by 1, 2),
+one as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base where label is not null group by 1),
+l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base where label is not null union select doc_id, label from hit) group by 1),
+s as (select doc_id, max(share) as share from hit group by 1)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+case when n_base > 0 then 1.0e0 else coalesce(share, 0) end::double as score
+from d left join one using (doc_id) left join l using (doc_id) left join s using (doc_id)
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rimfold.llm.chat import OP6_SQL, op6_chat_format
 from rimfold.llm.licenses import op3_license_scan
+from rimfold.llm.licenses import oracle_sql as op3_sql
 from rimfold.llm.lines import OP10_SQL, op10_line_dedup
 from rimfold.llm.lm import op4_lm_scores
 from rimfold.llm.mixing import op2_mix_sources
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_license_scan": op3_sql(),
     "op6_chat_format": OP6_SQL,
     "op7_exact_topk": OP7_SQL,
     "op10_line_dedup": OP10_SQL,

@@ -14,7 +14,8 @@ Texts of the same words are one node (smallest doc_id). In each bucket every nod
 node's most promising hub, which links nearly all, then its other hubs; then every pair of a bucket whose nodes are
 still in different classes. So a pair that shares a bucket is left out only if both are in one class already. Pairs are
 first held against the whole signatures (agreement of at least `hint`, five standard deviations below the threshold),
-then verified: weighted Jaccard similarity of the texts' shingles of at least `threshold`. Classes are the connected
+then verified: weighted Jaccard similarity of the texts' shingles of at least `threshold`. In buckets of over SMALL nodes
+the pairs still apart are verified inside tasks, block against block, and only links come out. Classes are the connected
 components of the verified links, found by large-star and small-star rounds.
 
 Defined cases: texts without words (null, empty) are classes of one; rows of equal doc_id are nodes of equal id.
@@ -33,6 +34,7 @@ from rimfold.llm.common import MIX, mix64, read, slices, stored, tidied
 
 WIDTH, THRESHOLD, BANDS, ROWS, IDF_WORDS, DAMPING, HINT, PROBES = 5, 0.8, 16, 4, 1 << 16, 0.25, 0.55, 4
 TABLE = 1 << 15
+SMALL, CROSS = 64, 1024
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,14 +249,52 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def crossing(tagged: DataFrame) -> DataFrame:
-    """a < b: all pairs of a bucket (band, key, node, label) with different labels. One node of such a pair is not of
-    the bucket's most frequent label, so only those are held against the whole bucket."""
-    counts = tagged.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed = stored(tagged.join(main, ["band", "key"]).select("band", "key", "node", "label", "main"))
-    few = mixed.where("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    return few.join(mixed.select("band", "key", F.col("node").alias("y"), F.col("label").alias("ly")), ["band", "key"]).where("lx <> ly").select(*ordered("x", "y")).distinct()
+def mixed_buckets(tagged: DataFrame) -> DataFrame:
+    """band, key, node, label, main (the bucket's most frequent label), n of the buckets with more than one label. One node
+    of any pair that is still apart is not of the main label, so only those are held against the whole bucket."""
+    counts = tagged.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("band", "key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("n")).where("labels > 1")
+    return stored(tagged.join(main, ["band", "key"]).select("band", "key", "node", "label", "main", "n"))
+
+
+def crossing(mixed: DataFrame) -> DataFrame:
+    """a < b: the pairs with different labels of buckets of up to SMALL nodes."""
+    small = mixed.where(F.col("n") <= SMALL)
+    few = small.where("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    return few.join(small.select("band", "key", F.col("node").alias("y"), F.col("label").alias("ly")), ["band", "key"]).where("lx <> ly").select(*ordered("x", "y")).distinct()
+
+
+def block_links(mixed: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """a, b of verified pairs with different labels in buckets of over SMALL nodes. The nodes off the main label meet all
+    others block by block inside tasks, and only links leave them: for a node one to each label it reaches."""
+    large = mixed.where(F.col("n") > SMALL).join(texts, "node")
+    blocks = F.ceil(F.col("n") / CROSS).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    own = F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")
+    left = large.where("label <> main").select("band", "key", own.alias("i"), other.alias("j"), "node", "label", "text")
+    right = large.select("band", "key", other.alias("i"), own.alias("j"), "node", "label", "text").toDF("band_", "key_", "i_", "j_", "node", "label", "text")
+
+    def compare(few: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(few) and len(all_):
+            dx, kx, wx, _ = shingles(few["text"].fillna("").tolist(), weights)
+            dy, ky, wy, _ = shingles(all_["text"].fillna("").tolist(), weights)
+            order = np.argsort(ky, kind="stable")
+            dy, ky, wy = dy[order], ky[order], wy[order]
+            whole, edges = np.bincount(dy, wy, len(all_)), np.searchsorted(dx, np.arange(len(few) + 1))
+            nodes, labels = all_["node"].to_numpy(), all_["label"].to_numpy()
+            lo, hi = np.searchsorted(ky, kx, "left"), np.searchsorted(ky, kx, "right")
+            for i, (x, label) in enumerate(zip(few["node"], few["label"])):
+                a, b = edges[i], edges[i + 1]
+                n = hi[a:b] - lo[a:b]
+                at = np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(dy[at], np.minimum(np.repeat(wx[a:b], n), wy[at]), len(all_))
+                near = np.flatnonzero((common >= threshold * (wx[a:b].sum() + whole - common)) & (labels != label))
+                for y in near[np.unique(labels[near], return_index=True)[1]]:
+                    out.append((min(x, nodes[y]), max(x, nodes[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("band", "key", "i", "j").cogroup(right.groupBy("band_", "key_", "i_", "j_")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hint: float = HINT, damping: float = DAMPING, seed: int = 5) -> DataFrame:
@@ -276,14 +316,15 @@ def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     texts = stored(docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text")).join(wanted.hint("merge"), "node"))
     best = star.groupBy("b").agg(F.max(F.struct("hint", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b")
     links = stored(verified(best, texts, weights, threshold)).select("a", "b")
-    tried = best
-    for pairs in (lambda _: star.select("a", "b"), crossing):
-        label = components(links)
-        tagged = members.select("band", "key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = apart(pairs(tagged), label).join(tried, ["a", "b"], "left_anti")
-        rest = stored(rest if pairs is not crossing else hinted(rest, nodes, hint).select("a", "b"))
-        links = links.unionByName(stored(verified(rest, texts, weights, threshold)).select("a", "b"))
-        tried = tried.unionByName(rest)
+    others = stored(apart(star.select("a", "b"), components(links)).join(best, ["a", "b"], "left_anti"))
+    links = links.unionByName(stored(verified(others, texts, weights, threshold)).select("a", "b"))
+    label = components(links)
+    tagged = members.select("band", "key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = mixed_buckets(tagged)
+    rest = crossing(mixed).join(best.unionByName(others), ["a", "b"], "left_anti")
+    links = links.unionByName(stored(verified(hinted(rest, nodes, hint), texts, weights, threshold)).select("a", "b"))
+    if mixed.where(F.col("n") > SMALL).limit(1).count():
+        links = links.unionByName(stored(block_links(mixed, texts, weights, threshold)))
     label = components(links)
     of_node = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     return every.select("doc_id", "h1", "h2").join(of_node, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -295,3 +295,11 @@ def test_empty_tables(none, spark):
     assert mixing.mix(mixing.sized(none))[1].count() == 0
     assert pieces.encode(none, ["doc_id"]).count() == 0
     assert quality.apply_rules(none, labels).count() == 0
+
+
+def test_blocks_find_the_links_that_pairs_find(docs, monkeypatch):
+    want = bag(map(tuple, neardup.classes(docs).collect()))
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "CROSS", 2)
+    monkeypatch.setattr(neardup, "hub_pairs", lambda members, nodes: members.where("node <> lead and (n = 2 or lead % 3 = 0)").select(*neardup.ordered("node", "lead")).distinct())
+    assert bag(map(tuple, neardup.classes(docs).collect())) == want

@@ -1 +1 @@
-"""."""
+"""Operators: each takes DataFrames or columns and returns them."""

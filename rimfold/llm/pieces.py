@@ -33,7 +33,7 @@ from rimfold.llm.common import MIX, mix64, read, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-SLICE = 3_500_000
+SLICE = 1_200_000
 
 
 def vocabulary(path: str = MODEL) -> tuple[list[str], list[float]]:

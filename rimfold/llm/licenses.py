@@ -1,15 +1,18 @@
 r"""License scans: phrases, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-Words: runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z is lower-cased (found here on the text as it is, ignoring the case of A-Z). A block is BLOCK consecutive words; blocks start
-every STEP words, so that each run of up to BLOCK - STEP + 1 words lies in one as a whole. A template labels a text
-if a block holds at least `least` of the template's distinct words (containment of the template in the block).
+Words: runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z is lower-cased (found here on the text as it is, ignoring the case of A-Z). A block is BLOCK consecutive words, and blocks
+start at every word. A template labels a text if a block holds at least `least` of the template's distinct words
+(containment of the template in the block).
 
 The join: template words are ordered by their count over the whole corpus, rarest first. A block that holds all but
 |T| - need of a template's |T| words (need = ceil(least * |T|)) must hold one of its |T| - need + 1 rarest (prefix
-filter). Blocks are ordered the same way; words of no template cannot match and take no part. A block needs at least
-`need` such words (length filter), and at the first shared word the words that remain on either side must still allow
-`need` (positional filter). What passes is compared exactly. The templates are a constant of this module, so the
-broadcast tables have a fixed size. Function words (COMMON) belong to no template's set.
+filter), so only what lies around these words is looked at: BLOCK - 1 words to either side must hold `need` of the
+template's (length filter). There, each block that starts at a word of the template and holds the rare word is counted
+exactly; a block that starts elsewhere holds no more than the one at its first word of the template. The templates are
+a constant of this module, so the broadcast table has a fixed size. Function words (COMMON) belong to no template's set.
+
+STEP is the distance of the blocks in the SQL below, which sees only every 16th start: what spans over 17 words may be
+missing there.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are each scanned.
 """
@@ -78,33 +81,30 @@ def word_order(words: DataFrame) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(names, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def template_labels(words: DataFrame, order: dict[str, int], *, least: float = LEAST) -> DataFrame:
+def template_labels(texts: DataFrame, order: dict[str, int], *, least: float = LEAST) -> DataFrame:
     """_row, method_labels (sorted set), containment (the highest) of the texts that hold a block that meets the
-    threshold; words: _row, at, word."""
-    spark, prefix, sets = words.sparkSession, [], []
+    threshold; texts: _row, hits."""
+    prefix = []
     for n, label, own in templates():
-        ranks = sorted(order[w] for w in own)
-        need = math.ceil(least * len(ranks) - 1e-9)
-        sets.append((n, label, ranks, need))
-        prefix += [(r, n, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    vocabulary = F.broadcast(spark.createDataFrame(list(order.items()), "word string, rank int"))
-    prefixes = F.broadcast(spark.createDataFrame(prefix, "rank int, template int, i int, size int, need int"))
-    whole = F.broadcast(spark.createDataFrame(sets, "template int, label string, ranks array<int>, need int"))
-    block = F.floor(F.col("at") / STEP)
-    spans = F.sequence(F.greatest(F.lit(0), block - (BLOCK // STEP - 1)), block)
-    ranked = words.join(vocabulary, "word").select("_row", "rank", F.explode(spans).alias("block"))
-    blocks = ranked.groupBy("_row", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
-    shared = blocks.where(F.size("own") >= min(s[3] for s in sets)).select("_row", "block", "own", F.posexplode("own").alias("j", "rank")).join(prefixes, "rank")
-    candidates = (
-        shared.where(F.size("own") >= F.col("need"))
-        .groupBy("_row", "block", "template").agg(F.min(F.struct("i", "j", "size", "need", "own")).alias("x"))
-        .where(1 + F.least(F.col("x.size") - F.col("x.i") - 1, F.size("x.own") - F.col("x.j") - 1) >= F.col("x.need"))
-    )
-    both = candidates.join(whole.drop("need"), "template").withColumn("common", F.size(F.array_intersect("x.own", "ranks")))
-    return (
-        both.where(F.col("common") >= F.col("x.need")).withColumn("share", F.col("common") / F.size("ranks"))
-        .groupBy("_row").agg(F.array_sort(F.collect_set("label")).alias("method_labels"), F.max("share").alias("containment"))
-    )
+        ranked = sorted(own, key=order.__getitem__)
+        need = math.ceil(least * len(ranked) - 1e-9)
+        prefix += [(w, n, label, need, own) for w in ranked[: len(ranked) - need + 1]]
+    prefixes = F.broadcast(texts.sparkSession.createDataFrame(prefix, "word string, template int, label string, need int, own array<string>"))
+    numbered = F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), x["word"].alias("word"), i.alias("i")))
+    rare = F.filter(numbered, lambda x: x["word"].isin(sorted({r[0] for r in prefix})))
+    # hits are in order of place, so those less than BLOCK words away are less than BLOCK hits away
+    around = F.transform(rare, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"), F.slice("hits", F.greatest(x["i"] - (BLOCK - 2), F.lit(1)), F.lit(2 * BLOCK - 1)).alias("near")))
+    anchors = texts.select("_row", F.explode(around).alias("x")).select("_row", "x.*").join(prefixes, "word")
+    near = F.filter("near", lambda x: (F.abs(x["at"] - F.col("at")) < BLOCK) & F.array_contains("own", x["word"]))
+    candidates = anchors.withColumn("near", near).where(F.size(F.array_distinct("near.word")) >= F.col("need"))
+    starts = F.filter("near", lambda x: x["at"] <= F.col("at"))
+
+    def held(start):
+        inside = F.filter("near", lambda x: (x["at"] >= start["at"]) & (x["at"] < start["at"] + BLOCK))
+        return F.size(F.array_distinct(F.transform(inside, lambda x: x["word"])))
+
+    both = candidates.withColumn("common", F.array_max(F.transform(starts, held))).where(F.col("common") >= F.col("need"))
+    return both.groupBy("_row").agg(F.array_sort(F.collect_set("label")).alias("method_labels"), F.max(F.col("common") / F.size("own")).alias("containment"))
 
 
 def places(phrase: str) -> F.Column:
@@ -122,8 +122,8 @@ def places(phrase: str) -> F.Column:
 def scan(docs: DataFrame, *, least: float = LEAST) -> DataFrame:
     """doc_id with the facts, labels and score of each text. Rows of equal doc_id and text share what is found."""
     texts = stored(found_words(docs))
-    words = texts.select("_row", F.explode("hits").alias("x")).select("_row", "x.at", "x.word")
-    found = template_labels(words, word_order(words), least=least).withColumnRenamed("_row", "_r")
+    words = texts.select(F.explode("hits.word").alias("word"))
+    found = template_labels(texts, word_order(words), least=least).withColumnRenamed("_row", "_r")
     starts = texts.select("doc_id", "_row", "n_words", *[places(p).alias(f"_{k}") for k, p in enumerate(PHRASES)])
     joined = starts.join(found, starts["_row"].eqNullSafe(F.col("_r")), "left")
     every = F.concat(*[F.col(f"_{k}") for k in range(len(PHRASES))])

@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later copies of repeated runs of lines; some are empty then, and n_chars follows."""
-    left = lines.drop_repeated_lines(docs)
+    left = lines.drop_repeated_lines(docs, every=True)
     return left.withColumns({"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 

@@ -7,8 +7,10 @@ its earliest position (by doc_id, then text hash, then place) is the copy that s
 leave the loop, so each level handles only what still repeats.
 
 A run is deleted where an earlier copy exists and the run has `lines` lines (a power of two), or has `chars`
-characters at one of the depths 1, 2, 4, ... below that. A longer repeated run is the union of such windows, so
-maximal runs go as a whole, and what the windows cover together is what is deleted.
+characters and fewer lines. A longer repeated run is the union of its windows of `lines` lines, each with an earlier
+copy, so doubling can end there: maximal runs go as a whole, and what the windows cover together is what is deleted.
+Lengths between h and 2h are named by two overlapping names of depth h (`every`). Without `every`, shorter runs are
+tested at the depths 1, 2, 4, ... only: so the SQL of op10_line_dedup has it.
 
 Names are two 64-bit hashes of the lines. Groups are only aggregated (with partial sums) and joined, never collected;
 the rows collected for a document are its own deleted lines.
@@ -45,11 +47,13 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.join(groups, ["n1", "n2"]).withColumn("later", place > F.col("_first")).drop("_first")
 
 
-def repeated_runs(docs: DataFrame, *, text: str = "text", lines: int = LINES, chars: int = CHARS) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, text: str = "text", lines: int = LINES, chars: int = CHARS, every: bool = False) -> DataFrame:
     """_doc, _text (hash), at, length: windows of a document's filled lines that have an earlier copy and qualify."""
     rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_text"), F.posexplode(_filled(text)).alias("at", "x")).select(
         *KEY, "at", F.xxhash64("x.s").alias("n1"), F.xxhash64("x.s", F.lit(1)).alias("n2"), F.length("x.s").alias("chars")
     )
+    kept = ["first_chars"] if every else []
+    rows = rows.withColumns({c: F.col("chars") for c in kept})
     found, depth, rows = None, 1, _repeated(rows)
     while True:
         rows = stored(rows)
@@ -57,15 +61,24 @@ def repeated_runs(docs: DataFrame, *, text: str = "text", lines: int = LINES, ch
         found = here if found is None else found.unionByName(here)
         if depth >= lines:
             return found
-        ahead = Window.partitionBy(*KEY).orderBy("at").rangeBetween(depth, depth)
-        rows = rows.select(*KEY, "at", "n1", "n2", "chars", *[F.first(c).over(ahead).alias(f"_{c}") for c in ("n1", "n2", "chars")]).where("_n1 is not null")
-        rows = _repeated(rows.select(*KEY, "at", F.xxhash64("n1", "_n1").alias("n1"), F.xxhash64("n2", "_n2").alias("n2"), (F.col("chars") + F.col("_chars")).alias("chars")))
+        between = range(depth + 1, min(2 * depth, lines)) if every else ()
+        one = Window.partitionBy(*KEY).orderBy("at")
+        for more in between:
+            # characters: those of the name further on, and the `more - depth` lines before it
+            ahead = one.rangeBetween(more - depth, more - depth)
+            wide = rows.select(*KEY, "at", "n1", "n2", "first_chars", *[F.first(c).over(ahead).alias(f"_{c}") for c in ("n1", "n2", "chars")], F.sum("first_chars").over(one.rangeBetween(0, more - depth - 1)).alias("_before"))
+            wide = wide.where(F.col("_n1").isNotNull() & (F.col("_before") + F.col("_chars") >= chars))
+            same = _repeated(wide.select(*KEY, "at", F.xxhash64("n1", "_n1").alias("n1"), F.xxhash64("n2", "_n2").alias("n2")))
+            found = found.unionByName(same.where("later").select(*KEY, "at", F.lit(more).alias("length")))
+        ahead = one.rangeBetween(depth, depth)
+        rows = rows.select(*KEY, "at", "n1", "n2", "chars", *kept, *[F.first(c).over(ahead).alias(f"_{c}") for c in ("n1", "n2", "chars")]).where("_n1 is not null")
+        rows = _repeated(rows.select(*KEY, "at", F.xxhash64("n1", "_n1").alias("n1"), F.xxhash64("n2", "_n2").alias("n2"), (F.col("chars") + F.col("_chars")).alias("chars"), *kept))
         depth *= 2
 
 
-def drop_repeated_lines(docs: DataFrame, *, text: str = "text", lines: int = LINES, chars: int = CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, text: str = "text", lines: int = LINES, chars: int = CHARS, every: bool = False) -> DataFrame:
     """docs with _kept_text, _n_lines (filled lines) and _n_removed."""
-    runs = repeated_runs(docs, text=text, lines=lines, chars=chars)
+    runs = repeated_runs(docs, text=text, lines=lines, chars=chars, every=every)
     gone = (
         runs.select(*KEY, F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("at"))
         .groupBy(*KEY).agg(F.collect_set("at").alias("_gone"))

@@ -1,10 +1,10 @@
 """LM scoring by a weighted backoff automaton.
 
 Tokens: A-Z lower-cased, runs of [^\\x20\\x09-\\x0D]+, then one end. Training documents count; the others are held out.
-The model interpolates: P(w | v) = max(c(vw) - D, 0) / c(v) + rest(v) P(w) for the bigrams seen at least twice in
+The model interpolates: P(w | v) = max(c(vw) - D, 0) / c(v) + rest(v) P(w) for the bigrams seen in
 training, rest(v) P(w) for any other, where rest(v) = 1 - sum over these of (c(vw) - D) / c(v), and
 P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). As an automaton: a state for each word as context (and the start), an arc for
-each kept bigram, a failure arc of weight rest(v) to the root, which has an arc for each word and one for unknown ones.
+each seen bigram, a failure arc of weight rest(v) to the root, which has an arc for each word and one for unknown ones.
 A text is one traversal from left to right: take the arc, or else the failure arc and the root's; the state is then
 the word.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rimfold.llm.common import MIX, groups_for, mix64, read, release, slices, stored, tidied
 
-DISCOUNT, LEAST, GROUP, PART = 0.75, 2, 8_000_000, 1_500_000
+DISCOUNT, LEAST, GROUP, PART = 0.75, 1, 8_000_000, 1_500_000
 START, END = np.uint64(1), np.uint64(2)  # hashes of the start (never a token) and the end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FOLLOWER = np.uint64((1 << 40) - 1)
@@ -190,7 +190,6 @@ def _answers(hot: np.ndarray):
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
         times = np.bincount(pair, np.concatenate(seen), int(new.sum())).astype(np.int64)
-        times[times < LEAST] = 0
         kept = np.where(times > 0, times - DISCOUNT, 0.0)
         sums = np.bincount(a[new], kept, len(context))
         is_hot = np.isin(context, hot)
@@ -217,19 +216,20 @@ class Automaton:
     def __init__(self, words: int, found: np.ndarray, times: np.ndarray, total: np.ndarray, mass: np.ndarray, tokens: int, types: int):
         p = (total + 0.5) / (tokens + 0.5 * (types + 1))
         rest = 1.0 - np.where(total > 0, mass / np.maximum(total, 1), 0.0)
-        self.words, self.root, self.fail = words, np.log10(p).tolist(), np.log10(np.maximum(rest, 1e-300)).tolist()
+        self.words, self.root, self.fail = words, np.log10(p), np.log10(np.maximum(rest, 1e-300))
         has = times > 0
         context, word = found[has] // words, found[has] % words
-        arcs = np.log10((times[has] - DISCOUNT) / total[context] + rest[context] * p[word])
-        self.arcs = dict(zip(found[has].tolist(), arcs.tolist()))
+        self.keys, self.arcs = found[has], np.log10((times[has] - DISCOUNT) / total[context] + rest[context] * p[word])  # keys ascend
 
-    def score(self, state: int, tokens: list[int]) -> float:
-        arcs, fail, root, words, total = self.arcs, self.fail, self.root, self.words, 0.0
-        for w in tokens:
-            arc = arcs.get(state * words + w)
-            total += fail[state] + root[w] if arc is None else arc
-            state = w
-        return total
+    def score(self, state: int, tokens) -> float:
+        tokens = np.asarray(tokens, np.int64)
+        states = np.append(state, tokens[:-1])  # the state after a word is the word
+        out, keys = self.fail[states] + self.root[tokens], states * self.words + tokens
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            arc = self.keys[at] == keys
+            out[arc] = self.arcs[at[arc]]
+        return float(out.sum())
 
 
 def _scores(parts: int, hot: np.ndarray, hot_mass: dict[int, float], tokens: int, types: int):
@@ -248,7 +248,7 @@ def _scores(parts: int, hot: np.ndarray, hot_mass: dict[int, float], tokens: int
         automaton = Automaton(len(words), found, times, total, mass, tokens, types)
         start, ids, scores = int(np.searchsorted(group.words, START)), group.ids, []
         for a, n in zip(group.first.tolist(), group.counts.tolist()):
-            scores.append(automaton.score(start, ids[a : a + n].tolist()))
+            scores.append(automaton.score(start, ids[a : a + n]))
         base = np.log10((total + 0.5) / (tokens + 0.5 * (types + 1)))[ids]
         del automaton
         release()

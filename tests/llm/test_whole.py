@@ -4,7 +4,9 @@ import math
 
 import pytest
 
-from rimfold.llm import licenses
+from pyspark.sql import functions as F
+
+from rimfold.llm import licenses, lm
 
 
 @pytest.mark.parametrize("least", [licenses.LEAST, 0.6])
@@ -31,3 +33,15 @@ def test_licenses_at_every_offset(spark, least):
     shares = licenses.template_labels(words, licenses.word_order(words.selectExpr("explode(hits.word) as word")), least=least)
     assert {r["_row"]["doc_id"]: r["containment"] for r in shares.collect()} == {i: max(f.values()) for i, f in enumerate(want) if f}
     assert least == licenses.LEAST or any(v < 1 for f in want for v in f.values())
+
+
+def test_bigrams_seen_once_count(spark):
+    """A held-out text that repeats a passage seen once scores by its bigrams, not as if never seen."""
+    docs = spark.createDataFrame([(0, "the red fox ran home"), (1, "red the home fox ran"), (2, "the red fox"), (3, "fox the red")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("doc_id") >= 2).collect()}
+    # 12 tokens in training, 6 different (the end twice); every context is seen twice, with two followers seen once but the ends
+    p = lambda c: (c + 0.5) / (12 + 0.5 * 7)
+    arc = lambda n, c, v, kept: (n - lm.DISCOUNT) / v + (1 - kept / v) * p(c)
+    want = arc(1, 2, 2, 0.5) * arc(1, 2, 2, 0.5) * arc(1, 2, 2, 0.5) * (1 - 1.25 / 2) * p(2)
+    assert got[2] == pytest.approx(math.log10(want))
+    assert got[2] > got[3]

@@ -5,7 +5,8 @@ The words of a source, its documents laid end to end in a pseudorandom order, ar
 slots each source gets: the whole part of its expected number, and the rest by a multinomial draw seeded by the shard.
 The slots of a source are numbered over the shards; number j is pass j div n over its n blocks, and the place in the
 pass goes through a permutation of the blocks that source, pass and seed determine (a Feistel network on the next even
-power of two, walked until it falls inside). Slots and blocks are then joined by index.
+power of two, walked until it falls inside). Slots and blocks are then joined by index: token_blocks() cuts the words of the documents into blocks and gives each
+slot its words, which are the mixed shards.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, 1, ...; they share the words of all documents by weight;
 none gets more than `most` times its words, and the excess goes to the others by weight until none is above.
@@ -122,12 +123,12 @@ def placed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(BUCKETS)))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", *[F.xxhash64(c) for c in rows.columns if c == "text"]).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["source_no", "bucket"]).withColumn("begin", F.col("offset") + F.col("inner")).drop("bucket", "offset", "inner")
 
 
-def mix(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """rows (doc_id, source, size): the slots (shard, source_no, pass, block), and rows with all their columns, source_size, target and taken."""
+def drawn_slots(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The slots (shard, source_no, pass, block) and the numbered sources (own, source_no, source_size, target)."""
     spark = rows.sparkSession
     known = sources_of(rows)
     sizes = np.array([w for _, w in known], np.int64)
@@ -138,6 +139,12 @@ def mix(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) ->
     shards = spark.createDataFrame(drawn, "shard int, source_no int, slots long, begin long, blocks long")
     slots = shards.repartition(max(1, min(len(drawn), spark.sparkContext.defaultParallelism * 4))).mapInPandas(_slots(seed), "shard int, source_no int, pass long, block long")
     numbers = spark.createDataFrame([(s, i, int(w), float(t)) for i, ((s, w), t) in enumerate(zip(known, due))], "own string, source_no int, source_size long, target double")
+    return slots, numbers
+
+
+def mix(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, source, size): the slots (shard, source_no, pass, block), and rows with all their columns, source_size, target and taken."""
+    slots, numbers = drawn_slots(rows, block=block, seed=seed, most=most)
     docs = placed(rows, numbers)
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
     pieces = docs.where("size > 0").select("source_no", "begin", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -148,6 +155,31 @@ def mix(rows: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) ->
     return slots, held.select(*rows.columns, "source_size", "target", "taken")
 
 
+def token_blocks(docs: DataFrame, slots: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """shard, source, source_size, target, pass, block, words (array) of every slot of a mix of docs (doc_id, source, size,
+    text) in which they are placed: columns source_no, begin, source_size, target."""
+    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
+    words = docs.where("size > 0").withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+
+    def part(b):
+        start = F.greatest(F.lit(0), b * block - F.col("begin"))
+        return F.struct(b.alias("block"), F.slice("_words", (start + 1).cast("int"), (F.least(F.col("size"), (b + 1) * block - F.col("begin")) - start).cast("int")).alias("own"))
+
+    own = ["source_no", "source", "source_size", "target"]
+    parts = words.select(*own, "begin", F.explode(F.transform(F.sequence(first, last), part)).alias("x")).select(*own, "begin", "x.*")
+    packed = parts.groupBy("source_no", "block").agg(*[F.first(c).alias(c) for c in own[1:]], F.array_sort(F.collect_list(F.struct("begin", "own"))).alias("parts"))
+    packed = packed.withColumn("words", F.flatten("parts.own")).drop("parts")
+    return slots.join(packed, ["source_no", "block"]).select("shard", *own[1:], "pass", "block", "words")
+
+
+def mixed_shards(docs: DataFrame, *, block: int = BLOCK, seed: int = 1, most: int = 3) -> DataFrame:
+    """The mixed shards of docs (doc_id, source, text) as their slots with words, see token_blocks()."""
+    rows = stored(sized(docs))
+    slots, numbers = drawn_slots(rows, block=block, seed=seed, most=most)
+    texts = docs.select("doc_id", "source", "text").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return token_blocks(placed(texts, numbers), slots, block=block)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, held = mix(stored(sized(read(spark, sf_dir, "documents"))))
-    return held.select("doc_id", "size", "source_size", "target", "taken")
+    shards = mixed_shards(read(spark, sf_dir, "documents"))
+    return shards.select("shard", "source", "source_size", "target", "pass", "block", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))

@@ -181,31 +181,6 @@ def test_consistent_weighted_sampling_estimates_weighted_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(real, abs=0.05)
 
 
-def test_mixing(docs):
-    rows = mixing.sized(docs)
-    _, held = mixing.mix(rows, block=4)
-    again = mixing.mix(rows, block=4)[1]
-    got = held.collect()
-    assert bag(map(tuple, got)) == bag(map(tuple, again.collect()))
-    sizes = collections.Counter()
-    for _, t, s in [(r["doc_id"], r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()]:
-        sizes[s] += len((t or "").encode().split())
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    target, open_, total = {}, set(names), sum(sizes.values())
-    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
-    while open_:
-        share = (total - sum(target.values())) / sum(weight[s] for s in open_)
-        above = {s for s in open_ if weight[s] * share > 3 * sizes[s]}
-        target |= {s: 3 * sizes[s] for s in above} if above else {s: weight[s] * share for s in open_}
-        open_ -= above or open_
-    taken = collections.Counter()
-    for r in got:
-        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
-        taken[r["source"]] += r["taken"]
-    for s in names:
-        assert taken[s] == pytest.approx(target[s], rel=0.05, abs=10)
-
-
 def test_permutation_is_one():
     import numpy as np
 
@@ -292,7 +267,8 @@ def test_empty_tables(none, spark):
     assert licenses.scan(none).count() == 0
     assert lm.score_texts(none, F.lit(False)).count() == 0
     assert neardup.classes(none).count() == 0
-    assert mixing.mix(mixing.sized(none))[1].count() == 0
+    shards, rows, sources = mixing.mix(none)
+    assert shards.count() == sources.count() == mixing.taken_words(shards, rows, sources).count() == 0
     assert pieces.encode(none, ["doc_id"]).count() == 0
     assert quality.apply_rules(none, labels).count() == 0
 

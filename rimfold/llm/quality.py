@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a document whose statistic lies above a cutoff. Cutoffs come from a fixed grid, so every labelled
-document is a holdout. For each stratum (language; null is a stratum of its own) and rule, the strictest cutoff is
-chosen whose false rejection rate on good documents is at most `risk`, by an exact binomial test: with k of n good
-documents rejected, P(X <= k | n, risk) <= delta / (strata * rules * cutoffs), Bonferroni over all that is tried (that
-is the Clopper-Pearson upper bound at that level lying below `risk`). Where no cutoff passes, as in a stratum with few
-labels, the rule is off and rejects nothing.
+document is a holdout. A setting is a cutoff (or none) for each of the rules; it rejects what any of its rules rejects.
+For each stratum (language; null is a stratum of its own) a setting is chosen whose false rejection rate on good
+documents, of all rules together, is at most `risk`, by an exact binomial test: with k of n good documents rejected,
+P(X <= k | n, risk) <= delta / (strata * settings), Bonferroni over every setting there is, so that any of them may be
+chosen after looking (that is the Clopper-Pearson upper bound at that level lying below `risk`). The choice starts with
+all rules off and time and again tightens one rule: of the cutoffs that leave the test passed, the one that rejects the most
+further bad documents for each further good one (the laxest of equals, earlier rules first), until none rejects more
+bad ones. A stratum with few labels passes no test and keeps all.
 
 Defined cases: null text has no words and fails the base rules; null quality is no label; a document labelled more
 than once is good only if each label is 1; repeated document rows are each measured. Other columns pass untouched.
@@ -147,32 +150,49 @@ def binomial_cdf(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
+def choose_setting(above: np.ndarray, good: np.ndarray, bad: np.ndarray, grid: list[int], risk: float, level: float) -> np.ndarray:
+    """For each rule the least number of cutoffs to lie above for a rejection (one more than there are: off).
+
+    above: rows of how many cutoffs of each rule are passed, with numbers of good and bad documents.
+    """
+    setting, gone, n = np.array(grid) + 1, np.zeros(len(good), bool), int(good.sum())
+    while True:
+        best = None
+        for rule, now in enumerate(setting):
+            for j in range(now - 1, 0, -1):
+                more = ~gone & (above[:, rule] >= j)
+                gain, lost = int(bad[more].sum()), int(good[more].sum())
+                if not gain:
+                    continue
+                if binomial_cdf(np.array([good[gone].sum() + lost]), np.array([n]), risk)[0] > level:
+                    break  # stricter cutoffs reject no fewer
+                if best is None or gain * (best[1] + 1) > best[0] * (lost + 1):
+                    best = (gain, lost, rule, j)
+        if best is None:
+            return setting
+        setting[best[2]] = best[3]
+        gone |= above[:, best[2]] >= best[3]
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """stratum, rule, above: a document is rejected where it lies above at least that many cutoffs of the rule's grid.
+    """stratum, rule, level: a document is rejected where it lies above at least that many cutoffs of the rule's grid.
 
-    Counts by stratum, rule and level are sums over all labelled documents; what follows has a row for each of these.
+    Labelled documents are counted by stratum and by what they lie above of each rule; a stratum's choice sees these
+    counts, of which there are no more than settings (2,471,040) whatever the corpus.
     """
-    good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
-    counted = (
-        measured.where(~base_failed()).join(good, "doc_id", "left_semi")
-        .select(stratum().alias("stratum"), F.explode(levels()).alias("x"))
-        .groupBy("stratum", "x.rule", "x.above").agg(F.count(F.lit(1)).alias("docs"))
-    )
-    cells = sum(map(len, RULES.values()))
-    # a reject level j rejects what lies above j cutoffs or more
-    table = counted.groupBy("stratum", "rule").agg(F.sum("docs").alias("n"), F.map_from_entries(F.collect_list(F.struct("above", "docs"))).alias("by_level"))
-    grid = table.sparkSession.createDataFrame([(r, j) for r, g in RULES.items() for j in range(1, len(g) + 1)], "rule string, level int")
-    tries = table.join(F.broadcast(grid), "rule").withColumn("k", F.expr("aggregate(map_entries(by_level), 0L, (s, e) -> s + if(e.key >= level, e.value, 0L))"))
-    strata = table.agg(F.count_distinct("stratum")).first()[0]  # one number
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(binomial_cdf(k.to_numpy(), n.to_numpy(), risk))
-
-    return (
-        tries.where(tail("k", "n") <= delta / (cells * max(1, strata)))
-        .groupBy("stratum", "rule").agg(F.min("level").alias("level"))
-    )
+    quality = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    sides = [F.count_if(c).alias(n) for n, c in (("good", F.col("_quality") == 1), ("bad", F.col("_quality") != 1))]
+    each = [F.get(levels(), i)["above"].alias(rule) for i, rule in enumerate(RULES)]
+    counted = stored(measured.where(~base_failed()).join(quality, "doc_id").select(stratum().alias("stratum"), "_quality", *each).groupBy("stratum", *RULES).agg(*sides))
+    strata = counted.agg(F.count_distinct("stratum")).first()[0]  # one number
+    grid = [len(g) for g in RULES.values()]
+    settings = int(np.prod([n + 1 for n in grid]))
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        found = choose_setting(rows[list(RULES)].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy(), grid, risk, delta / (settings * max(1, strata)))
+        return pd.DataFrame({"stratum": rows["stratum"].iloc[0], "rule": list(RULES), "level": found})[found <= grid]
+
+    return counted.groupBy("stratum").applyInPandas(choose, "stratum string, rule string, level int")
 
 
 def verdicts(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -37,16 +37,21 @@ def test_top_k(spark):
     data[7] = (7, [float("nan"), 1.0])
     data[8] = (8, [float("inf")])
     data[9] = (9, [1.0, 2.0])
-    data += [(None, [1.0] * 6), (900, []), (1000, [0.0] * 6)]
+    data += [(None, [1.0] * 6), (900, []), (1000, [0.0] * 6), (300, [0.3, -0.2] * 3), (301, [0.9] * 6), data[400], data[400], (301, [0.9] * 6)]
     rows = topk.integers(spark.createDataFrame([(*d, 1) for d in data], "vec_id long, embedding array<float>, score int"))
     got = {}
-    for r in topk.top_k(rows, rows.where("vec_id % 100 = 0"), 10, block=64, shard=3).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    fine = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q in [i for i in fine if i % 100 == 0]:
-        scored = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:10]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    assert topk.top_k(rows.limit(0), rows.limit(0), 10).count() == 0
+    for r in topk.top_k(rows, "vec_id % 100 = 0", 10, block=64, shard=3).collect():
+        got.setdefault((r["query_id"], r["query_row"]), []).append((r["rank"], r["vec_id"], r["score"]))
+    fine = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for at, (q, v) in enumerate(fine):
+        if q % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for k, (i, w) in enumerate(fine) if k != at)[:10]
+            want.append((q, [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]))
+    assert sorted((q, sorted(x)) for (q, _), x in got.items()) == sorted(want) and len(want) == 12
+    few = topk.top_k(rows.where("vec_id % 100 = 0"), "vec_id >= 300", 20)
+    assert few.count() == 11 * few.select("query_row").distinct().count()
+    assert topk.top_k(rows.limit(0), "true", 10).count() == 0
 
 
 def test_threshold_algorithm_stops_early():
@@ -61,6 +66,9 @@ def test_threshold_algorithm_stops_early():
     lists = np.argsort(-x, axis=0, kind="stable")
     best = topk.threshold_search(x.view(Watch), np.arange(100), lists, np.array([1, 1]), -1, 3)
     assert sorted(best.tolist()) == [0, 1, 2] and sum(met) < 100
+    once = sum(met)
+    best = topk.threshold_search(x.view(Watch), np.arange(100), lists, np.array([1, 1]), -1, 60, 2 * 99**3)
+    assert sorted(best.tolist()) == [0, 1] and sum(met) - once < 30  # a bound from elsewhere ends the walk before k are found
 
 
 def test_pipeline(spark, docs, tmp_path):

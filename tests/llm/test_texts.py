@@ -48,12 +48,12 @@ def test_line_runs(docs):
     hashes = {t: h for t, h in docs.select("text", F.xxhash64("text")).distinct().collect()}
     order = sorted(by, key=lambda k: (k[0], k[1], hashes[k[2]]))
     gone = {k: set() for k in order}
-    for size in (1, 2, 4):
+    for size in range(1, 300):
         first = {}
         for k in order:
             for p in range(len(by[k]) - size + 1):
                 run = tuple(by[k][p : p + size])
-                if run in first and (size == 4 or sum(map(len, run)) >= 200):
+                if run in first and (size >= 4 or sum(map(len, run)) >= 200):
                     gone[k] |= set(range(p, p + size))
                 first.setdefault(run, (k, p))
     want = []
@@ -175,7 +175,7 @@ def test_consistent_weighted_sampling_estimates_weighted_jaccard():
     weights = neardup.Weights(np.zeros(0, np.uint64), np.zeros(0), 100, 1.0, 0.5)
     a, b = [f"w{k}" for k in range(300)], [f"w{k}" if k % 40 else "x" for k in range(300)]
     doc, key, weight, _ = neardup.shingles([" ".join(a), " ".join(b)], weights)
-    s = neardup.Sampler(2048, 1).signatures(2, doc, key, weight)
+    s = neardup.Sampler(512, 4, 1).signatures(2, doc, key, weight)
     x, y = ({int(k): w for k, w in zip(key[doc == d], weight[doc == d])} for d in (0, 1))
     real = sum(min(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}) / sum(max(x.get(k, 0), y.get(k, 0)) for k in {*x, *y})
     assert (s[0] == s[1]).mean() == pytest.approx(real, abs=0.05)

@@ -2,13 +2,16 @@
 
 A shingle is five words in a row of the lower-cased text (a shorter text with words is one shingle). Its weight is its
 count in the text times the damped mean inverse document frequency of its words, (mean of ln(1 + N / df)) ** damping.
-Document frequencies are counted over all documents. The frequency of words in at most total / IDF_WORDS documents
-(total: the sum of all document frequencies) saturates there, so fewer than IDF_WORDS words need an entry of their own,
-whatever the corpus: that is the proven bound of the table that tasks get.
+Document frequencies are counted over all documents. Part of the weight's definition is that the frequency of words
+whose df is at most 1 / IDF_WORDS of the sum of all df saturates there: a share, alike at every size of a corpus, and fewer
+than IDF_WORDS words need an entry of their own, which is the proven bound of the table that tasks get. The damping
+(a quarter: near copies that change a few rare words are still near copies) is a parameter.
 
-Signatures: sample k of a document is the least of ln a = ln c - r (t - beta) - r over its shingles, with
-t = floor(ln w / r + beta), r and c from Gamma(2, 1) and beta uniform; the variates are rows of a seeded table that a
-shingle's hash picks, so equal shingles of equal weight give equal values. BANDS bands of ROWS samples are the buckets.
+Signatures: sample k of a document is the shingle, and its t, of least ln a = ln c - r (t - beta) - r over its
+shingles, with t = floor(ln w / r + beta), r and c from Gamma(2, 1) and beta uniform. The variates of a shingle come
+from seeded tables, another row of them in each band, picked by its hash: two shingles share a band's variates with
+probability 1 / TABLE and all bands' never but by equal hashes. A sample is told by shingle and t, so unlike shingles do not
+agree by value. BANDS bands of ROWS samples are the buckets.
 
 Texts of the same words are one node (smallest doc_id). In each bucket every node is compared with its hub: first each
 node's most promising hub, which links nearly all, then its other hubs; then every pair of a bucket whose nodes are
@@ -127,24 +130,34 @@ def shingles(texts: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray
 
 
 class Sampler:
-    def __init__(self, samples: int, seed: int):
+    def __init__(self, bands: int, rows: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.samples = samples
-        self.r = rng.gamma(2.0, 1.0, (TABLE, samples)).astype(np.float32)
-        self.lnc = np.log(rng.gamma(2.0, 1.0, (TABLE, samples))).astype(np.float32) - self.r
-        self.beta = rng.random((TABLE, samples), np.float32)
+        self.bands, self.rows = bands, rows
+        r, c = (rng.gamma(2.0, 1.0, (bands, TABLE, rows)).astype(np.float32) for _ in range(2))
+        beta = rng.random((bands, TABLE, rows), np.float32)
+        self.table = np.stack([r, np.log(c) - r, beta], axis=2)  # a row for each shingle and band, read at once
 
     def signatures(self, n: int, doc: np.ndarray, key: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        out = np.full((n, self.samples), np.inf, np.float32)
-        lnw, row = np.log(weight).astype(np.float32), (key & np.uint64(TABLE - 1)).astype(np.int64)
-        for a in range(0, len(doc), 4096):
-            own, rows = doc[a : a + 4096], row[a : a + 4096]
-            r, beta = self.r[rows], self.beta[rows]
-            t = np.floor(lnw[a : a + 4096, None] / r + beta)
-            value = self.lnc[rows] - r * (t - beta)
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            least = np.minimum.reduceat(value, starts, axis=0)
-            out[own[starts]] = np.minimum(out[own[starts]], least)
+        """A hash of the sampled shingle and its t for each document and sample (0 without shingles); doc ascends."""
+        out = np.zeros((n, self.bands * self.rows), np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        edges, salts = np.append(starts, len(doc)), MIX * np.arange(1, self.bands + 1, dtype=np.uint64)
+        lnw = np.log(weight).astype(np.float32)
+        a = 0
+        while a < len(starts):  # some whole documents at a time, or one long one
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + 8192, "right")) - 1)
+            x, y = edges[a], edges[b]
+            own, keys, first = doc[starts[a:b]], key[x:y], starts[a:b] - x
+            which, steps = np.repeat(np.arange(b - a), np.diff(edges[a : b + 1])), lnw[x:y, None]
+            for band in range(self.bands):
+                rows = (mix64(keys + salts[band]) & np.uint64(TABLE - 1)).astype(np.int64)
+                r, lnc, beta = np.moveaxis(self.table[band, rows], 1, 0)
+                t = np.floor(steps / r + beta)
+                value = lnc - r * (t - beta)
+                least = np.minimum.reduceat(value, first, axis=0)
+                at, k = np.nonzero(value == least[which])
+                out[own[which[at]], band * self.rows + k] = mix64(keys[at] + MIX * (t[at, k].astype(np.int64).view(np.uint64) + np.uint64(1)))
+            a = b
         return out
 
 
@@ -152,12 +165,11 @@ def signed(docs: DataFrame, weights: Weights, *, bands: int, rows: int, seed: in
     """doc_id, h1, h2 (hashes of all words; null without words), keys (a hash for each band), digest (a byte a sample)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(bands * rows, seed)
+        sampler = Sampler(bands, rows, seed)
         for batch in batches:
             for part in slices(batch, most=2_000_000):
                 doc, key, weight, whole = shingles(part["text"].fillna("").tolist(), weights)
-                raw = sampler.signatures(len(part), doc, key, weight).view(np.uint32).astype(np.uint64)
-                mixed = mix64(raw + MIX * np.arange(bands * rows, dtype=np.uint64))
+                mixed = sampler.signatures(len(part), doc, key, weight)
                 keys = np.zeros((len(part), bands), np.uint64)
                 for k in range(rows):
                     keys = keys * MIX + mixed[:, k::rows]
@@ -272,7 +284,8 @@ def block_links(mixed: DataFrame, texts: DataFrame, weights: Weights, threshold:
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     own = F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")
     left = large.where("label <> main").select("band", "key", own.alias("i"), other.alias("j"), "node", "label", "text")
-    right = large.select("band", "key", other.alias("i"), own.alias("j"), "node", "label", "text").toDF("band_", "key_", "i_", "j_", "node", "label", "text")
+    there = left.select("band", "key", "i").distinct().toDF("band_", "key_", "i_")  # the other side goes to blocks that exist
+    right = large.select(F.col("band").alias("band_"), F.col("key").alias("key_"), own.alias("j_"), "node", "label", "text").join(there, ["band_", "key_"])
 
     def compare(few: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -294,7 +307,7 @@ def block_links(mixed: DataFrame, texts: DataFrame, weights: Weights, threshold:
                     out.append((min(x, nodes[y]), max(x, nodes[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return left.groupBy("band", "key", "i", "j").cogroup(right.groupBy("band_", "key_", "i_", "j_")).applyInPandas(compare, "a long, b long").distinct()
+    return left.groupBy("band", "key", "i", "j").cogroup(right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy("band_", "key_", "i_", "j_")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hint: float = HINT, damping: float = DAMPING, seed: int = 5) -> DataFrame:

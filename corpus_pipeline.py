@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from rimfold.llm import lines, mixing, neardup, pieces, quality
 from rimfold.llm.common import read, stored
 
+#: Words in a block of the mix.
+BLOCK = 512
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Rows of equal doc_id, language and text are judged alike."""
@@ -25,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later copies of repeated runs of lines; some are empty then, and n_chars follows."""
-    left = lines.drop_repeated_lines(docs, every=True)
+    left = lines.drop_repeated_lines(docs)
     return left.withColumns({"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 
@@ -38,17 +41,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: the whole part of taken / size, and once more with the
-    probability of the rest, by a hash of doc_id and text. Documents that are not taken go."""
-    sized = stored(docs.select("doc_id", "source", F.xxhash64("text").alias("_t"), F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size")))
-    _, held = mixing.mix(sized)
-    share = F.try_divide(F.col("taken"), F.col("size"))
-    chance = F.pmod(F.xxhash64("doc_id", "_t", F.lit(29)), F.lit(1 << 30)) / (1 << 30)
-    times = (F.floor(share) + (chance < share - F.floor(share)).cast("long")).alias("_times")
-    taken = held.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), times).groupBy("_d", "_u").agg(F.max("_times").alias("_times")).where("_times > 0")
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    both = keyed.join(taken, keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["_t"] == F.col("_u")))
-    return both.select(*docs.columns, F.explode(F.expr("sequence(1L, _times)")).alias("_copy")).drop("_copy")
+    """The mixed shards: a row for each piece of a document in a slot, as often as the mix takes it. text is the piece
+    (pieces of BLOCK words at most, most documents whole) and n_chars follows; the other columns are the document's."""
+    rest = [c for c in docs.columns if c != "text"]
+    shards, _, _ = mixing.mix(docs, keep=rest, block=BLOCK)
+    chars = F.length("piece").cast(docs.schema["n_chars"].dataType)
+    return shards.withColumns({"n_chars": chars, "text": F.col("piece")}).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,13 +26,19 @@ def configuration(a, b, rot) -> tuple[Column, Column, Column]:
 
 def gaussian_angle(t: tuple, p: tuple, guard: float | None = None, guarded: float = PI) -> Column:
     """Gaussian angle between two ellipses (cx, cy, a, b, rot). Where det(Yi + Yj) < guard the angle is `guarded`."""
-    (i11, i12, i22), (j11, j12, j22) = configuration(*t[2:]), configuration(*p[2:])
+    return angle_between((*t[:2], *configuration(*t[2:])), (*p[:2], *configuration(*p[2:])), guard, guarded)
+
+
+def angle_between(t: tuple, p: tuple, guard: float | None = None, guarded: float = PI) -> Column:
+    """The same from centres and matrices (cx, cy, y11, y12, y22), which a join should find ready as columns: a filter on
+    the angle is pushed below it, with all that the angle is made of."""
+    i11, i12, i22, j11, j12, j22 = map(col, (*t[2:], *p[2:]))
     dx, dy = col(t[0]) - col(p[0]), col(t[1]) - col(p[1])
     s11, s12, s22 = i11 + j11, i12 + j12, i22 + j22
     det = s11 * s22 - s12 * s12
     v1, v2 = j11 * dx + j12 * dy, j12 * dx + j22 * dy
-    u1, u2 = (s22 * v1 - s12 * v2) / det, (s11 * v2 - s12 * v1) / det
-    e = -0.5 * (dx * (i11 * u1 + i12 * u2) + dy * (i12 * u1 + i22 * u2))
+    w1, w2 = i11 * dx + i12 * dy, i12 * dx + i22 * dy
+    e = -0.5 * (s22 * v1 * w1 - s12 * (v2 * w1 + v1 * w2) + s11 * v2 * w2) / det
     scale = 4.0 * F.sqrt((i11 * i22 - i12 * i12) * (j11 * j22 - j12 * j12)) / det
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scale * F.exp(e))))
     return angle if guard is None else F.when(det < guard, F.lit(guarded)).otherwise(angle)
@@ -42,7 +48,7 @@ def xi_squared(angle, a, b, soft: float = 0.0, floor: float = 0.0) -> Column:
     """Squared angle in units of the truth's tolerance; soft and floor keep degenerate axes finite."""
     a, b = col(a), col(b)
     ref = AXIS_FACTOR / (F.sqrt(a * b) + soft) * PIXEL_RATIO * F.least(a, b)
-    return col(angle) * col(angle) / (ref * ref + floor)
+    return F.pow(col(angle), F.lit(2.0)) / (ref * ref + floor)
 
 
 def near(t: tuple, p: tuple) -> Column:
@@ -132,8 +138,9 @@ def sigmoid(x, clamp: float | None = None) -> Column:
 
 def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 10) -> Column:
     """Distance from a point to the ellipse: Newton iterations on the curve's angle, folded in one column; by symmetry
-    in the first quadrant."""
+    in the first quadrant. Of an ellipse without extent the distance to its centre."""
     u, v = local_frame(x, y, cx, cy, rot)
+    centre = F.hypot(u, v)
     u, v, a, b = F.abs(u), F.abs(v), col(a), col(b)
 
     def step(t, _):
@@ -148,7 +155,8 @@ def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 10) -> Column:
         return F.sqrt(dx * dx + dy * dy)
 
     found = F.transform(F.array(t), lambda k: to(F.cos(k), F.sin(k)))[0]
-    return F.least(found, to(F.lit(1.0), F.lit(0.0)), to(F.lit(0.0), F.lit(1.0)))  # on an axis the iterations may rest at a far end
+    nearest = F.least(found, to(F.lit(1.0), F.lit(0.0)), to(F.lit(0.0), F.lit(1.0)))  # on an axis the iterations may rest at a far end
+    return F.when(F.least(a, b) < 1e-6, centre).otherwise(nearest)
 
 
 def polar_score(support, residual, separation, gap) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rimfold.functions.geometry import PI
-from rimfold.operators.match import greedy_matches, match_rows, measured_pairs
+from rimfold.operators.match import CELL, greedy_matches, match_rows, measured_pairs
 
 
 def counts(rows: DataFrame, name: str) -> DataFrame:
@@ -14,7 +14,7 @@ def counts(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("image_no").agg(F.count(F.lit(1)).alias(name), ((F.count(F.lit(1)) == 1) & (F.min("a") == -1)).alias(f"{name}_empty"))
 
 
-def image_scores(truth: DataFrame, pred: DataFrame, *, sentinels: bool = True, guard: float | None = None, cell: float | None = None) -> DataFrame:
+def image_scores(truth: DataFrame, pred: DataFrame, *, sentinels: bool = True, guard: float | None = None, cell: float | None = CELL) -> DataFrame:
     """image_no, n_truth, n_pred, n_match, score for each truth image.
 
     score = sum(1 - angle / pi) / n_pred * min(1, n_match / min(10, n_truth)); 0 without predictions or matches. With

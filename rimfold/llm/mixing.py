@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from rimfold.llm.common import MIX, WORD, groups_for, mix64, read, stored, tidied
 
-BLOCK, SLOTS, BUCKET, CHUNK, SLICE = 32, 1 << 15, 50_000, 1 << 18, 4_000_000
+BLOCK, SLOTS, BUCKET, CHUNK, SLICE = 32, 1 << 15, 2000, 1 << 18, 2_000_000
 ROW = ["_k1", "_k2"]
 
 
@@ -152,7 +152,8 @@ def drawn_pieces(laid: DataFrame, slots: DataFrame, *, block: int = BLOCK) -> Da
         *ROW, "nth", "source_no", "block", (start - F.col("begin")).cast("int").alias("a"), (F.least(end, (F.col("block") + 1) * block) - start).cast("int").alias("m"),
         (start - F.col("block") * block).cast("int").alias("at"),
     )
-    return blocks.join(slots, ["source_no", "block"]).groupBy(*ROW).agg(F.collect_list(F.struct("a", "m", "at", "nth", "shard", "slot", "block", "pass")).alias("pieces"))
+    # (merge joins: what comes out of a Python function is estimated too small to be broadcast on trust)
+    return blocks.join(slots.hint("merge"), ["source_no", "block"]).groupBy(*ROW).agg(F.collect_list(F.struct("a", "m", "at", "nth", "shard", "slot", "block", "pass")).alias("pieces"))
 
 
 def _cut(names: list[str]):
@@ -185,7 +186,7 @@ def _cut(names: list[str]):
                 for k in range(0, len(owner), 65_536):
                     part = slice(k, k + 65_536)
                     cut = pa.array([text[s:e] for s, e in zip(lo[part].tolist(), hi[part].tolist())], pa.binary()).cast(pa.string())
-                    rest = own.take(pa.array(owner[part])).select(names)
+                    rest = own.select(names).take(pa.array(owner[part]))
                     numbers = [pa.array(piece[c][part].astype(np.int64)) for c in ("shard", "slot", "at", "nth", "block", "pass")]
                     yield pa.RecordBatch.from_arrays([*rest.columns, *numbers, pa.array(count[part].astype(np.int64)), cut], [*names, "shard", "slot", "at", "nth", "block", "pass", "words", "piece"])
 
@@ -198,7 +199,7 @@ def mixed_shards(docs: DataFrame, rows: DataFrame, sources: DataFrame, *, keep:
     pieces = drawn_pieces(placed(rows, sources), drawn_slots(sources, seed=seed), block=block)
     nth = F.row_number().over(Window.partitionBy(*ROW).orderBy(*ROW))
     one = keyed(docs, text).where(F.col(text).isNotNull()).withColumn("_nth", nth).where("_nth = 1")
-    both = one.join(pieces, ROW).select(F.col(text).alias("_text"), "pieces", *keep)
+    both = one.join(pieces.hint("merge"), ROW).select(F.col(text).alias("_text"), "pieces", *keep)
     added = [T.StructField(c, T.LongType()) for c in ("shard", "slot", "at", "nth", "block", "pass", "words")]
     schema = T.StructType([both.schema[c] for c in keep] + added + [T.StructField("piece", T.StringType())])
     return both.mapInArrow(tidied(_cut(keep)), schema)
@@ -216,7 +217,7 @@ def taken_words(shards: DataFrame, rows: DataFrame, sources: DataFrame) -> DataF
     got = shards.groupBy(*ROW, "nth").agg(F.sum("words").alias("got"))
     nth = F.row_number().over(Window.partitionBy(*ROW).orderBy(*ROW)).cast("long") - 1
     numbers = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    held = rows.withColumn("nth", nth).join(got, [*ROW, "nth"], "left")
+    held = rows.withColumn("nth", nth).join(got.hint("merge"), [*ROW, "nth"], "left")
     held = held.join(numbers, held["source"].eqNullSafe(numbers["_source"]))
     return held.select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 

@@ -30,20 +30,16 @@ def histogram(angles: str, bins: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(own, lambda s: s == k)))
 
 
-def sector_runs(angles: str, bins: int) -> tuple[Column, Column]:
-    """Of sorted angles: sectors that hold any, and the sum of the squares of the sectors' counts, in one pass."""
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("filled"), F.lit(0).alias("squares"))
+def sector_counts(angle: Column, bins: int) -> list[Column]:
+    """Aggregates that count the rows of each even sector of [0, 2 pi], named _0, _1, ..."""
+    sector = F.least(F.lit(bins - 1), F.floor(angle / TURN * bins)).cast("int")
+    return [F.count_if(sector == k).alias(f"_{k}") for k in range(bins)]
 
-    def step(s, v):
-        k = F.least(F.lit(bins - 1), F.floor(v / TURN * bins)).cast("int")
-        same = k == s["last"]
-        return F.struct(
-            k.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), F.when(same, s["filled"]).otherwise(s["filled"] + 1).alias("filled"),
-            F.when(same, s["squares"] + 2 * s["run"] + 1).otherwise(s["squares"] + 1).alias("squares"),
-        )
 
-    done = F.aggregate(angles, start, step)
-    return done["filled"], done["squares"]
+def filled_and_squares(bins: int) -> tuple[Column, Column]:
+    """Of those counts: sectors that hold any, and the sum of the counts' squares."""
+    counts = [F.col(f"_{k}") for k in range(bins)]
+    return sum((c > 0).cast("int") for c in counts), sum(c * c for c in counts)
 
 
 def widest_gap(angles: str) -> Column:
@@ -53,17 +49,18 @@ def widest_gap(angles: str) -> Column:
     return F.when(F.size(a) > 1, F.array_max(F.zip_with(ahead, a, lambda p, q: p - q)) / TURN).otherwise(F.lit(1.0))
 
 
-def geometry(points: DataFrame, key: str, height: int, width: int) -> DataFrame:
+def geometry(points: DataFrame, key: str, height: int, width: int, region: str | None = None) -> DataFrame:
+    """The eleven geometry features; region: a column with the area of the candidate's region (without it the area ratio is 1)."""
     d = G.algebraic_distance("x", "y", *ELLIPSE)
     angle = full_angle(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
-    rows = grouped(points, key, F.sqrt(F.avg(d * d)).alias("resid_rms"), F.percentile(d, 0.9).alias("resid_p90"), F.array_sort(F.collect_list(angle)).alias("angles"))
+    rows = grouped(points, key, F.sqrt(F.avg(d * d)).alias("resid_rms"), F.percentile(d, 0.9).alias("resid_p90"), F.array_sort(F.collect_list(angle)).alias("angles"), F.first(region or F.lit(None)).alias("region"), *sector_counts(angle, 36))
     a, b, n = F.col("a"), F.col("b"), F.col("n")
-    filled, squares = sector_runs("angles", 36)
+    filled, squares = filled_and_squares(36)
     mean = n / 36
     spread = F.sqrt(F.greatest(F.lit(0.0), squares / 36 - mean * mean))
     return rows.select(
         key, G.eccentricity(a, b).alias("geometry_eccentricity"), (b / (a + 1e-6)).alias("geometry_axis_ratio"), (G.PI * a * b / (height * width)).alias("geometry_ellipse_area"),
-        F.lit(1.0).alias("geometry_area_ratio"), F.col("resid_rms").alias("geometry_resid_rms"), F.col("resid_p90").alias("geometry_resid_p90"),
+        (F.lit(1.0) if region is None else F.col("region") / (G.PI * a * b + 1e-6)).alias("geometry_area_ratio"), F.col("resid_rms").alias("geometry_resid_rms"), F.col("resid_p90").alias("geometry_resid_p90"),
         (n / (TURN * F.sqrt((a * a + b * b) / 2) + 1e-6)).alias("geometry_support_ratio"), (filled / 36).alias("geometry_angular_coverage"),
         (spread / (n + 1e-6)).alias("geometry_angular_std"), widest_gap("angles").alias("geometry_max_gap"), (a / (b + 1e-6)).alias("geometry_condition"),
     )
@@ -78,12 +75,13 @@ def rim_probability(points: DataFrame, key: str) -> DataFrame:
 
 
 def angular_profile(points: DataFrame, key: str, bins: int = 36) -> DataFrame:
-    """key, the ellipse, n and r: the greatest local radius by sector from -pi, null where there is none."""
+    """key, the ellipse, n and r: the greatest local radius by sector from -pi, null where there is none. One grouping, with
+    a maximum for each sector, so that points are reduced before they move."""
     u, v = G.local_frame("x", "y", "cx", "cy", "rot")
     sector = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.atan2(v, u) + G.PI) / TURN * bins))).cast("int")
-    binned = points.select(key, *ELLIPSE, sector.alias("sector"), F.sqrt(u * u + v * v).alias("r")).groupBy(key, *ELLIPSE, "sector").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("m"))
-    rows = binned.groupBy(key, *ELLIPSE).agg(F.sum("m").alias("n"), F.map_from_entries(F.collect_list(F.struct("sector", "r"))).alias("_m"))
-    return rows.withColumn("r", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.try_element_at("_m", k))).drop("_m")
+    placed = points.select(key, *ELLIPSE, sector.alias("sector"), F.sqrt(u * u + v * v).alias("r"))
+    rows = placed.groupBy(key, *ELLIPSE).agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("sector") == k, F.col("r"))).alias(f"_{k}") for k in range(bins)])
+    return rows.select(key, *ELLIPSE, "n", F.array(*[f"_{k}" for k in range(bins)]).alias("r"))
 
 
 def polar(points: DataFrame, key: str, bins: int = 36) -> DataFrame:
@@ -126,6 +124,90 @@ def profile_residuals(points: DataFrame, key: str, bins: int = 36) -> DataFrame:
     )
 
 
+def polar_library(rim: DataFrame, core: DataFrame, key: str, bins: int = 36) -> DataFrame:
+    """The fifteen features of a candidate's outer profile (points of its rim) and inner profile (of its core) about its ellipse:
+    support, residuals, separation of the profiles (null under 10 common sectors), the widest gap, axis ratio, asymmetry of
+    opposite sectors (null under 5 pairs), roughness (null under 20 sectors)."""
+    rows = angular_profile(rim, key, bins).join(angular_profile(core, key, bins).select(key, F.col("r").alias("inner")), key, "left")
+    expected = lambda k: G.polar_radius(-G.PI + (k + 0.5) * (TURN / bins), "a", "b")
+    resid = F.array_compact(F.transform("r", lambda r, k: r - expected(k)))
+    apart = F.array_compact(F.zip_with("r", F.coalesce("inner", F.array_repeat(F.lit(None).cast("double"), bins)), lambda p, q: p - q))
+    pair = lambda k: F.abs(F.get("r", k) - F.get("r", k + bins // 2)) / ((F.get("r", k) + F.get("r", k + bins // 2)) / 2 + 1e-9)
+    asym = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(bins // 2 - 1)), pair))
+    rows = rows.select(key, "a", "b", "r", F.array_compact("r").alias("held"), resid.alias("resid"), apart.alias("apart"), asym.alias("asym"), empty_run("r", bins).alias("gap"))
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
+    mean = lambda arr: F.try_divide(total(arr), F.size(arr))
+    n = F.size("resid")
+    rows = rows.withColumns({
+        "rmse": F.coalesce(F.sqrt(mean(F.transform("resid", lambda v: v * v))), F.lit(0.0)), "mae": F.coalesce(mean(F.transform("resid", F.abs)), F.lit(0.0)), "mean_r": F.coalesce(mean("held"), F.lit(0.0)),
+        "sep": F.when(F.size("apart") >= 10, mean("apart")), "energy": total(F.transform("resid", lambda v: v * v)),
+        "steps": F.aggregate(F.zip_with(F.slice("resid", 2, F.greatest(n - 1, F.lit(0))), F.slice("resid", 1, F.greatest(n - 1, F.lit(0))), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v),
+    })
+    rows = rows.withColumn("sep_std", F.sqrt(mean(F.transform("apart", lambda v: (v - F.col("sep")) * (v - F.col("sep"))))))
+    pairs, enough = F.size("asym") >= 5, n >= 20
+    return rows.select(
+        key, (n / bins).alias("angular_support"), F.col("rmse").alias("residual_rmse"), F.col("mae").alias("residual_mae"), (F.col("rmse") / (F.col("mean_r") + 1e-9)).alias("residual_relative_rmse"),
+        F.col("sep").alias("separation_mean"), F.when(F.col("sep").isNotNull(), F.col("sep_std")).alias("separation_std"), (F.col("sep_std") / (F.col("sep") + 1e-9)).alias("separation_cv"),
+        (F.col("gap") * 360.0 / bins).alias("largest_gap_degrees"), (F.col("gap") / bins).alias("largest_gap_fraction"), F.when(F.col("b") > 0, F.col("a") / F.col("b")).alias("axis_ratio"),
+        F.when(pairs, mean("asym")).alias("mean_asymmetry"), F.when(pairs, F.array_max("asym")).alias("max_asymmetry"), F.when(pairs, F.size(F.filter("asym", lambda v: v > 0.2)) / F.size("asym")).alias("asymmetry_fraction"),
+        F.when(enough, F.col("steps") / (F.col("energy") + 1e-10)).alias("roughness_ratio"), F.when(enough, F.col("steps")).alias("high_freq_energy"),
+    )
+
+
+#: The inputs of the ranker and of the classifier, in the order of their models.
+GEOMETRY = [f"geometry_{n}" for n in ("eccentricity", "axis_ratio", "ellipse_area", "area_ratio", "resid_rms", "resid_p90", "support_ratio", "angular_coverage", "angular_std", "max_gap", "condition")]
+RIM = [f"rim_prob_{n}" for n in ("mean", "std", "min", "p20", "p80", "frac_above_50", "frac_above_70", "entropy")]
+RANKER = [*GEOMETRY, *RIM, "meta_log_radius", "meta_log_area"]
+CLASSIFIER = [*GEOMETRY, *RIM, *[f"mahanti_{n}" for n in ("median_slope", "slope_std", "depth_ratio", "rim_sharpness")], *[f"ctx_{n}" for n in ("inside_mean", "outside_mean", "diff", "grad_mean", "grad_std")], *[f"snr_{n}" for n in ("raw", "x_illumination", "illumination_level")]]
+
+
+def rim_search(candidates: DataFrame, key: str, plane: str, h: int, w: int, *, samples: int = 48, reach: int = 4, over: float = 0.2, least: int = 5) -> DataFrame:
+    """key, y, x, p of the pixels with p over `over` near the outline: those at most `reach` from one of its samples (rounded
+    half to even). Pixels are told apart before they look into the plane; a candidate with under `least` is left out."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    at = candidates.select(key, *ELLIPSE, k.alias("_k"))
+    x, y = G.perimeter_point("cx", "cy", "a", "b", "rot", F.lit(TURN) * F.col("_k") / samples)
+    step = lambda c, n: F.sequence(F.greatest(F.bround(c).cast("int") - reach, F.lit(0)), F.least(F.bround(c).cast("int") + reach, F.lit(n - 1)))
+    inside = lambda c, n: (F.bround(c) + reach >= 0) & (F.bround(c) - reach <= n - 1)
+    spots = at.where(inside(x, w) & inside(y, h)).select(key, F.explode(step(y, h)).alias("y"), x.alias("_x")).select(key, "y", F.explode(step(F.col("_x"), w)).alias("x")).distinct()
+    own = spots.groupBy(key).agg(F.collect_list(F.struct("y", "x")).alias("_s")).join(candidates.select(key, plane), key)
+    found = F.filter(F.transform("_s", lambda s: F.struct(s["y"].alias("y"), s["x"].alias("x"), F.get(plane, s["y"] * w + s["x"]).alias("p"))), lambda s: s["p"] > over)
+    rows = own.select(key, found.alias("_s")).where(F.size("_s") >= least)
+    return rows.select(key, F.explode("_s").alias("_s")).select(key, "_s.*")
+
+
+def rim_ring(candidates: DataFrame, key: str, plane: str, h: int, w: int, *, over: float = 0.2, width: float = 1.5) -> DataFrame:
+    """key, y, x, p of the pixels with p over `over` in the outline of the ellipse (with axes as whole numbers, about its whole
+    centre), drawn `width` pixels to either side and dilated by one pixel up, down, left and right."""
+    from rimfold.operators import raster
+
+    whole = candidates.select(key, plane, *[F.floor(c).cast("double").alias(c) for c in ("cx", "cy", "a", "b")], "rot")
+
+    def drawn(y, x):
+        u, v = G.local_frame(x.cast("double"), y.cast("double"), "cx", "cy", "rot")
+        far = lambda d: (u / F.greatest(F.col("a") + d, F.lit(0.5))) * (u / F.greatest(F.col("a") + d, F.lit(0.5))) + (v / F.greatest(F.col("b") + d, F.lit(0.5))) * (v / F.greatest(F.col("b") + d, F.lit(0.5)))
+        return F.when((far(width) <= 1) & (far(-width) >= 1), 1.0).otherwise(0.0)
+
+    def cross(p):
+        import numpy as np
+
+        out = p.copy()
+        for lo, hi in (((slice(None), slice(1, None)), (slice(None), slice(None, -1))), ((slice(None), slice(None), slice(1, None)), (slice(None), slice(None), slice(None, -1)))):
+            np.maximum(out[lo], p[hi], out=out[lo])
+            np.maximum(out[hi], p[lo], out=out[hi])
+        return out
+
+    ringed = whole.withColumn("_ring", raster.grid(h, w, drawn)).withColumn("_ring", raster.by_numpy(cross, "_ring", h, w))
+    px = raster.pixels(ringed.withColumn("_z", F.arrays_zip(F.col(plane).alias("p"), F.col("_ring").alias("ring"))), key, "_z", w, "z")
+    return px.where((F.col("z.ring") > 0) & (F.col("z.p") > over)).select(key, "y", "x", F.col("z.p").alias("p"))
+
+
+def angle_histogram(points: DataFrame, key: str, bins: int = 36) -> DataFrame:
+    """key, bin, n: points by sector of [0, 2 pi) about the centre; sectors without any have no row."""
+    angle = full_angle(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
+    return points.groupBy(key, F.least(F.lit(bins - 1), F.floor(angle / TURN * bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def meta(height: int, width: int) -> dict[str, Column]:
     area = F.col("a") * F.col("b")
     return {"meta_log_radius": F.log(F.sqrt(area) / F.sqrt(F.lit(float(height * width))) + 1e-6), "meta_log_area": F.log(G.PI * area / (height * width) + 1e-6)}
@@ -160,11 +242,15 @@ def signal_to_noise(pixels: DataFrame, key: str, brightness: Column, least: int
     return rows.select(key, raw.alias("snr_raw"), (raw * F.col("light") / 255).alias("snr_x_illumination"), (F.col("light") / 255).alias("snr_illumination_level"))
 
 
-def context(pixels: DataFrame, key: str) -> DataFrame:
-    """Means inside 0.8 and in the ring from 1.0 to 1.2, and their difference."""
+def context(pixels: DataFrame, key: str, gradient: str | None = None) -> DataFrame:
+    """Means inside 0.8 and in the ring from 1.0 to 1.2, and their difference; with a gradient column also its mean and
+    standard deviation on the rim (0.95 to 1.05) over those of all pixels."""
     z, v = zone(), F.col("v")
-    rows = pixels.groupBy(key).agg(F.coalesce(F.avg(F.when(z < 0.8, v)), F.lit(0.0)).alias("ctx_inside_mean"), F.coalesce(F.avg(F.when((z > 1.0) & (z <= 1.2), v)), F.lit(0.0)).alias("ctx_outside_mean"))
-    return rows.withColumn("ctx_diff", F.col("ctx_inside_mean") - F.col("ctx_outside_mean"))
+    aggs = [F.coalesce(F.avg(F.when(z < 0.8, v)), F.lit(0.0)).alias("ctx_inside_mean"), F.coalesce(F.avg(F.when((z > 1.0) & (z <= 1.2), v)), F.lit(0.0)).alias("ctx_outside_mean")]
+    if gradient:
+        g, rim = F.col(gradient), (z >= 0.95) & (z <= 1.05)
+        aggs += [F.coalesce(f(F.when(rim, g)) / (f(g) + 1e-6), F.lit(0.0)).alias(f"ctx_grad_{n}") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return pixels.groupBy(key).agg(*aggs).withColumn("ctx_diff", F.col("ctx_inside_mean") - F.col("ctx_outside_mean"))
 
 
 def slopes(points: DataFrame, key: str, gradient: str = "g", mean: str = "g_mean") -> DataFrame:
@@ -179,9 +265,9 @@ def confidence(samples: DataFrame, key: str, n: int, *, signal: str = "p", over:
     s, angle = F.col(signal), F.lit(TURN) * F.col("k") / n
     rows = samples.groupBy(key).agg(
         F.count(F.lit(1)).alias("m"), F.avg(s).alias("mean"), F.avg((s > over).cast("double")).alias("share"),
-        F.avg((s > 0.2).cast("double")).alias("completeness"), F.array_sort(F.collect_list(angle)).alias("angles"),
+        F.avg((s > 0.2).cast("double")).alias("completeness"), F.array_sort(F.collect_list(angle)).alias("angles"), *sector_counts(angle, bins),
     )
-    _, squares = sector_runs("angles", bins)
+    _, squares = filled_and_squares(bins)
     each = F.col("m") / bins
     spread = F.sqrt(F.greatest(F.lit(0.0), squares / bins - each * each))
     uneven = F.least(spread / (F.sqrt(each * (bins - 1)) + 1e-6), F.lit(1.0))

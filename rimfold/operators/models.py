@@ -6,7 +6,7 @@ it with higher-order functions. Training uses Spark's own learners.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,34 +72,100 @@ def predict(model, rows: DataFrame, features: list[str], name: str) -> DataFrame
     return out.withColumn(name, value).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def oversample(rows: DataFrame, features: list[str], cls: str, key: str, *, neighbours: int = 5, seed: int = 42, block: int = 512) -> DataFrame:
-    """Synthetic rows that bring every class to the size of the largest: a row, and a random point towards one of its
-    nearest rows of the same class. Neighbours are searched in hash blocks of a class, so a class never meets in one task."""
+def oversample(rows: DataFrame, features: list[str], cls: str, key: str, *, neighbours: int = 5, seed: int = 42, block: int = 4096) -> DataFrame:
+    """features, cls, base and other (keys): synthetic rows that bring every class to the size of the largest. Each is a base
+    row moved a random share of the way to one of its nearest rows of the class (of min(neighbours, rows - 1); ties to the
+    smaller key). Bases are dealt in turn over a seeded order of the class.
+
+    The search is exact: a class is dealt into blocks, the bases that are needed go to every block of their class, and a block
+    gives back no more than the nearest few for each, so that neither a class nor all its pairs come together.
+    """
     import numpy as np
     import pandas as pd
 
-    counts = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
+    at = rows.select(cls, key, *[F.col(c).cast("double").alias(c) for c in features], F.xxhash64(key, F.lit(seed)).alias("_h")).withColumn("_b", F.pmod("_h", F.lit(1024)))
+    counts = at.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
     most = counts.agg(F.max("_n")).first()[0] or 0
-    wanted = rows.join(counts, cls).withColumn("_block", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / block)))
-
-    def make(frame: pd.DataFrame) -> pd.DataFrame:
-        x, n = frame[features].to_numpy(float), int(frame["_n"].iloc[0])
-        k = min(neighbours, len(x) - 1)
-        share = (most - n) * len(x) / n
-        rng = np.random.default_rng([seed, int(frame["_block"].iloc[0]), n])
-        new = int(share) + int(rng.random() < share - int(share))
-        if k < 1 or new < 1:
-            return pd.DataFrame({c: pd.Series(dtype=float) for c in features} | {cls: pd.Series(dtype="int64")})
-        d = ((x[:, None, :] - x[None]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1)[:, :k]
-        base = rng.integers(0, len(x), new)
-        other = near[base, rng.integers(0, k, new)]
-        made = x[base] + rng.random((new, 1)) * (x[other] - x[base])
-        return pd.DataFrame(made, columns=features).assign(**{cls: int(frame[cls].iloc[0])})
-
-    schema = T.StructType([*[T.StructField(c, T.DoubleType()) for c in features], T.StructField(cls, T.LongType())])
-    return wanted.groupBy(cls, "_block").applyInPandas(make, schema)
+    earlier = Window.partitionBy(cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.groupBy(cls, "_b").agg(F.count(F.lit(1)).alias("_m")).select(cls, "_b", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(cls, "_b").orderBy("_h", key)) - 1
+    placed = at.withColumn("_nth", nth).join(before, [cls, "_b"]).join(counts, cls).withColumn("_blocks", F.ceil(F.col("_n") / block))
+    lack = F.lit(most) - F.col("_n")
+    times = F.floor(lack / F.col("_n")) + (F.col("_nth") + F.col("_before") < lack % F.col("_n")).cast("long")
+    bases = placed.where(F.col("_n") > 1).select(cls, key, *features, times.alias("_times"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")).where("_times > 0")
+    own = placed.select(cls, key, *features, F.pmod(F.shiftright("_h", 10), F.col("_blocks")).alias("_block"))
+    asked = bases.toDF("cls_", "key_", *[f"{c}_" for c in features], "times_", "block_")
+
+    def search(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        x, keys, out = data[features].to_numpy(float), data[key].to_numpy(), []
+        for a in range(0, len(asks) if len(x) else 0, 256):
+            part = asks.iloc[a : a + 256]
+            y = part[[f"{c}_" for c in features]].to_numpy(float)
+            d = ((y[:, None, :] - x[None]) ** 2).sum(axis=2)
+            d[part["key_"].to_numpy()[:, None] == keys[None]] = np.inf
+            near = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :neighbours]
+            rank = np.take_along_axis(d, near, 1)
+            fine = np.isfinite(rank)
+            out.append(pd.DataFrame({"base": np.repeat(part["key_"].to_numpy(), near.shape[1])[fine.ravel()], "d": rank[fine], "other": keys[near][fine], "point": list(x[near][fine])}))
+        return pd.concat(out) if out else pd.DataFrame({"base": pd.Series(dtype="int64"), "d": pd.Series(dtype=float), "other": pd.Series(dtype="int64"), "point": pd.Series(dtype=object)})
+
+    found = own.groupBy(cls, "_block").cogroup(asked.groupBy("cls_", "block_")).applyInPandas(search, "base long, d double, other long, point array<double>")
+    near = found.groupBy("base").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "point"))), 1, neighbours).alias("_near"))
+    draw = lambda k: F.pmod(F.xxhash64(F.col("base"), F.col("_j"), F.lit(seed + k)), F.lit(1 << 30))
+    wanted = placed.where(F.col("_n") > 1).select(cls, F.col(key).alias("base"), F.array(*features).alias("_x"), times.alias("_times")).where("_times > 0")
+    made = wanted.join(near.hint("merge"), "base").select(cls, "base", "_x", "_near", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_j"))
+    made = made.select(cls, "base", "_x", F.get("_near", (draw(1) % F.size("_near")).cast("int")).alias("_o"), (draw(2) / (1 << 30)).alias("_gap"))
+    point = [(F.get("_x", i) + F.col("_gap") * (F.get("_o.point", i) - F.get("_x", i))).alias(c) for i, c in enumerate(features)]
+    return made.select(*point, cls, "base", F.col("_o.other").alias("other"))
+
+
+def train_classes(rows: DataFrame, features: list[str], label: str, *, rounds: int = 20, depth: int = 4, seed: int = 42):
+    """A multiclass model: a gradient-boosted binary classifier for each class against the rest; the surest one decides."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.withColumn("_label", F.col(label).cast("double")))
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), featuresCol="_x", labelCol="_label").fit(data)
+
+
+def read_trees(spark, path: str) -> tuple[list[list[tuple]], int]:
+    """The trees of a boosted model's text dump, as tree_score takes them, and their depth. Lines are parsed and put together
+    by tree in Spark; what comes to the driver is the model.
+
+    In the text a tree is a line Tree=k and lines name=values: split_feature, threshold, left_child, right_child (a child
+    -1 - i is leaf i) and leaf_value; a tree of one leaf has only the last.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\nTree=")).alias("part", "text")).where("part > 0")
+    field = lambda n, kind: F.transform(F.filter(F.split(F.regexp_extract("text", rf"\n{n}=([^\n]*)", 1), " "), lambda v: v != ""), lambda v: v.cast(kind))
+    trees = lines.select(
+        F.regexp_extract("text", r"^(\d+)", 1).cast("int").alias("tree"), field("split_feature", "int").alias("feature"), field("threshold", "double").alias("threshold"),
+        field("left_child", "int").alias("left"), field("right_child", "int").alias("right"), field("leaf_value", "double").alias("leaf"),
+    )
+    out, most = [], 1
+    for r in trees.orderBy("tree").collect():
+        inner = len(r["feature"])
+        place = lambda c, inner=inner: c if c >= 0 else inner - 1 - c
+        nodes = [(f, t, place(a), place(b), 0.0) for f, t, a, b in zip(r["feature"], r["threshold"], r["left"], r["right"])] + [(-1, 0.0, 0, 0, v) for v in r["leaf"]]
+        depth = {0: 0}
+        for i, (f, _, a, b, _) in enumerate(nodes):
+            if f >= 0:
+                depth[a] = depth[b] = depth.get(i, 0) + 1
+        most = max(most, *depth.values())
+        out.append(nodes)
+    return out, most
+
+
+def tree_text(trees: list[list[tuple]]) -> str:
+    """Trees (inner nodes before leaves) in that text form."""
+    parts = ["tree", "version=v3"]
+    for k, nodes in enumerate(trees):
+        inner = [n for n in nodes if n[0] >= 0]
+        order = {i: j for j, i in enumerate([i for i, n in enumerate(nodes) if n[0] >= 0])}
+        leaf = {i: j for j, i in enumerate([i for i, n in enumerate(nodes) if n[0] < 0])}
+        child = lambda c, order=order, leaf=leaf: order[c] if c in order else -1 - leaf[c]
+        rows = {"split_feature": [n[0] for n in inner], "threshold": [n[1] for n in inner], "left_child": [child(n[2]) for n in inner], "right_child": [child(n[3]) for n in inner], "leaf_value": [n[4] for n in nodes if n[0] < 0]}
+        parts += [f"Tree={k}", *[f"{n}={' '.join(map(str, v))}" for n, v in rows.items()], ""]
+    return "\n".join(parts)
 
 
 def rim_overlap(pixels: DataFrame, key: str, guess: Column, real: Column) -> DataFrame:

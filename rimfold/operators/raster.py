@@ -1,7 +1,8 @@
 """Rasters as rows: a plane is an array of h * w doubles in row order, one row for each image or tile.
 
-Stencils, resizing, windows and masks are column expressions over that array, so they need neither a shuffle nor
-Python; pixel rows (y, x, v) are only made where tiles must meet.
+Stencils, resizing and index maps are NumPy over Arrow batches, some planes at a time as one array (whole images have
+millions of pixels, which interpreted array expressions do not reach in time); what is one formula a pixel stays a column expression.
+Neither needs a shuffle. Pixel rows (y, x, v) are only made where tiles must meet. A null pixel is NaN, a null plane null.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SOBEL_X = [(-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1, 1)]
-SOBEL_Y = [(-1, -1, -1), (-1, 0, -2), (-1, 1, -1), (1, -1, 1), (1, 0, 2), (1, 1, 1)]
+AT_ONCE = 2_000_000  # pixels that one NumPy call sees, or a whole plane
 
 
 def grid(h: int, w: int, f: Callable[[Column, Column], Column]) -> Column:
@@ -30,74 +32,92 @@ def pixels(rows: DataFrame, key: str, plane: str, w: int, name: str = "v") -> Da
     return out.select(key, F.floor(F.col("_i") / w).cast("int").alias("y"), (F.col("_i") % w).cast("int").alias("x"), name)
 
 
-def reflect(k: Column, n: int) -> Column:
-    """Border without repeating the edge: -1 is 1, n is n - 2."""
-    return F.when(k < 0, -k).when(k >= n, 2 * n - 2 - k).otherwise(k)
+def by_numpy(f: Callable[[np.ndarray], np.ndarray], plane, h: int, w: int) -> Column:
+    """f of arrays (planes, h, w), as planes again."""
 
+    @F.pandas_udf("array<double>")
+    def run(planes: pd.Series) -> pd.Series:
+        out, there = [None] * len(planes), np.flatnonzero(planes.notna().to_numpy())
+        each = max(1, AT_ONCE // (h * w))
+        for k in range(0, len(there), each):
+            own = there[k : k + each]
+            stack = np.stack([np.asarray(planes.iloc[i], np.float64) for i in own]).reshape(len(own), h, w)
+            for i, row in zip(own, f(stack).reshape(len(own), -1)):
+                out[i] = row
+        return pd.Series(out, dtype=object)
 
-def stencil(plane: str, h: int, w: int, weights: list[tuple[int, int, float]]) -> Callable[[Column, Column], Column]:
-    return lambda y, x: sum(k * at(plane, w, reflect(y + dy, h), reflect(x + dx, w)) for dy, dx, k in weights)
+    return run(F.col(plane) if isinstance(plane, str) else plane)
+
+
+def sobel(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives along x and y of (planes, h, w), as two passes each; borders are reflected without repeating the edge."""
+    wide = np.pad(p, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    across, down = wide[:, :, 2:] - wide[:, :, :-2], wide[:, 2:] - wide[:, :-2]
+    return across[:, :-2] + 2 * across[:, 1:-1] + across[:, 2:], down[:, :, :-2] + 2 * down[:, :, 1:-1] + down[:, :, 2:]
 
 
 def sobel_magnitude(plane: str, h: int, w: int) -> Column:
-    gx, gy = stencil(plane, h, w, SOBEL_X), stencil(plane, h, w, SOBEL_Y)
-    return grid(h, w, lambda y, x: F.hypot(gx(y, x), gy(y, x)))
+    return by_numpy(lambda p: np.hypot(*sobel(p)), plane, h, w)
 
 
 def gradient_map(plane: str, h: int, w: int) -> Column:
     """Sobel magnitude over (its greatest + 1e-6)."""
-    over = lambda m: F.transform(F.array(F.array_max(m) + 1e-6), lambda top: F.transform(m, lambda v: v / top))[0]
-    return F.transform(F.array(sobel_magnitude(plane, h, w)), over)[0]
 
+    def over(p):
+        m = np.hypot(*sobel(p))
+        return m / (m.max(axis=(1, 2), keepdims=True) + 1e-6)
 
-def central_gradient(plane: str, h: int, w: int) -> tuple[Column, Column]:
-    """Differences along y and x: central inside, one-sided at the border."""
+    return by_numpy(over, plane, h, w)
 
-    def along(n: int, value: Callable[[Column], Column], k: Column) -> Column:
-        lo, hi = F.greatest(k - 1, F.lit(0)), F.least(k + 1, F.lit(n - 1))
-        return (value(hi) - value(lo)) / (hi - lo)
 
-    return (
-        grid(h, w, lambda y, x: along(h, lambda k: at(plane, w, k, x), y)),
-        grid(h, w, lambda y, x: along(w, lambda k: at(plane, w, y, k), x)),
-    )
+def central_gradient(plane: str, h: int, w: int) -> tuple[Column, Column]:
+    """Differences along y and x: central inside, one-sided at the border."""
+    return tuple(by_numpy(lambda p, axis=axis: np.gradient(p, axis=axis), plane, h, w) for axis in (1, 2))
 
 
 def extreme(plane: str, h: int, w: int, largest: bool, reach: int = 1) -> Column:
-    """Dilation or erosion with a square element; what lies outside takes no part."""
-    pick = F.greatest if largest else F.least
+    """Dilation or erosion with a square element, by rows and then columns; what lies outside takes no part."""
+    pick = np.maximum if largest else np.minimum
 
-    def value(y, x):
-        return pick(*[at(plane, w, F.greatest(F.lit(0), F.least(F.lit(h - 1), y + dy)), F.greatest(F.lit(0), F.least(F.lit(w - 1), x + dx))) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
+    def value(p):
+        for axis in (1, 2):
+            out = p.copy()
+            for d in range(1, reach + 1):
+                lo, hi = [slice(None)] * 3, [slice(None)] * 3
+                lo[axis], hi[axis] = slice(None, -d), slice(d, None)
+                pick(out[tuple(lo)], p[tuple(hi)], out=out[tuple(lo)])
+                pick(out[tuple(hi)], p[tuple(lo)], out=out[tuple(hi)])
+            p = out
+        return p
 
-    return grid(h, w, value)
+    return by_numpy(value, plane, h, w)
 
 
 def resize_nearest(plane: str, h: int, w: int, oh: int, ow: int) -> Column:
-    return grid(oh, ow, lambda y, x: at(plane, w, F.least(F.lit(h - 1), F.floor(y * (h / oh))), F.least(F.lit(w - 1), F.floor(x * (w / ow)))))
+    y, x = (np.minimum(n - 1, np.floor(np.arange(o) * (n / o)).astype(int)) for n, o in ((h, oh), (w, ow)))
+    return by_numpy(lambda p: p[:, y[:, None], x], plane, h, w)
 
 
 def resize_linear(plane: str, h: int, w: int, oh: int, ow: int) -> Column:
     """Pixel centres map to pixel centres; the border is clamped."""
 
-    def axis(k: Column, n: int, o: int):
-        f = F.greatest(F.lit(0.0), (k + 0.5) * (n / o) - 0.5)
-        lo = F.least(F.lit(n - 1), F.floor(f))
-        return lo, F.least(F.lit(n - 1), lo + 1), F.least(f - lo, F.lit(1.0))
+    def axis(n: int, o: int):
+        f = np.maximum(0.0, (np.arange(o) + 0.5) * (n / o) - 0.5)
+        lo = np.minimum(n - 1, np.floor(f).astype(int))
+        return lo, np.minimum(n - 1, lo + 1), np.minimum(f - lo, 1.0)
+
+    (y0, y1, fy), (x0, x1, fx) = axis(h, oh), axis(w, ow)
 
-    def value(y, x):
-        (y0, y1, fy), (x0, x1, fx) = axis(y, h, oh), axis(x, w, ow)
-        top = at(plane, w, y0, x0) * (1 - fx) + at(plane, w, y0, x1) * fx
-        low = at(plane, w, y1, x0) * (1 - fx) + at(plane, w, y1, x1) * fx
-        return top * (1 - fy) + low * fy
+    def value(p):
+        rows = p[:, y0] * (1 - fy)[:, None] + p[:, y1] * fy[:, None]
+        return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
 
-    return grid(oh, ow, value)
+    return by_numpy(value, plane, h, w)
 
 
 def resize_area(plane: str, h: int, w: int, by: int) -> Column:
     """Means of by x by blocks."""
-    cells = [(dy, dx) for dy in range(by) for dx in range(by)]
-    return grid(h // by, w // by, lambda y, x: sum(at(plane, w, y * by + dy, x * by + dx) for dy, dx in cells) / len(cells))
+    return by_numpy(lambda p: p[:, : h // by * by, : w // by * by].reshape(-1, h // by, by, w // by, by).mean(axis=(2, 4)), plane, h, w)
 
 
 def tile_origins(size: int, tile: int, overlap: int) -> list[int]:
@@ -106,6 +126,13 @@ def tile_origins(size: int, tile: int, overlap: int) -> list[int]:
     return [max(0, min(k * step, size - tile)) for k in range((size - tile + step - 1) // step + 1)]
 
 
+def origins(size: str, tile: str, overlap: int) -> Column:
+    """The same from columns: sizes and tiles by row."""
+    n, t = F.col(size), F.col(tile)
+    step = t - overlap
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((n - t + step - 1) / step))), lambda k: F.greatest(F.lit(0), F.least(k * step, n - t)).cast("long"))
+
+
 def tiles(rows: DataFrame, plane: str, w: int, origins: list[tuple[int, int]], th: int, tw: int) -> DataFrame:
     """rows with tile_no, y0, x0 and tile (th by tw) for each origin."""
     place = F.array(*[F.struct(F.lit(i).alias("tile_no"), F.lit(y).alias("y0"), F.lit(x).alias("x0")) for i, (y, x) in enumerate(origins)])
@@ -149,9 +176,7 @@ def blend(tiled: DataFrame, key: str, tile: str, tw: int, weights: Column) -> Da
 
 def pad(plane: str, h: int, w: int, oh: int, ow: int, replicate: bool = False) -> Column:
     """Bottom and right padding, with zeros or with the nearest edge."""
-    if replicate:
-        return grid(oh, ow, lambda y, x: at(plane, w, F.least(y, F.lit(h - 1)), F.least(x, F.lit(w - 1))))
-    return grid(oh, ow, lambda y, x: F.when((y < h) & (x < w), at(plane, w, y, x)).otherwise(F.lit(0.0)))
+    return by_numpy(lambda p: np.pad(p, ((0, 0), (0, oh - h), (0, ow - w)), mode="edge" if replicate else "constant"), plane, h, w)
 
 
 def strip(plane: str, w: int, oh: int, ow: int) -> Column:
@@ -202,9 +227,69 @@ def ellipse_masks(h: int, w: int, cx, cy, a, b, rot) -> dict[str, Column]:
 
 
 def mirrored(plane: str, h: int, w: int, horizontal: bool) -> Column:
-    return grid(h, w, lambda y, x: at(plane, w, y, w - 1 - x) if horizontal else at(plane, w, h - 1 - y, x))
+    return by_numpy(lambda p: p[:, :, ::-1] if horizontal else p[:, ::-1], plane, h, w)
 
 
 def quarter_turn(plane: str, n: int) -> Column:
     """A square plane turned by 90 degrees against the clock."""
-    return grid(n, n, lambda y, x: at(plane, n, x, n - 1 - y))
+    return by_numpy(lambda p: np.rot90(p, axes=(1, 2)), plane, n, n)
+
+
+def affine(plane: str, h: int, w: int, degrees: float, zoom: float = 1.0, shift: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """Turned about the centre by degrees (at most 30 in training), zoomed and shifted (y, x), by linear interpolation; 0 outside."""
+    t = math.radians(degrees)
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    dy, dx = np.mgrid[0:h, 0:w].astype(float) - np.array([cy + shift[0], cx + shift[1]])[:, None, None]
+    y, x = cy + (math.cos(t) * dy + math.sin(t) * dx) / zoom, cx + (math.cos(t) * dx - math.sin(t) * dy) / zoom
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - y0, x - x0
+
+    def value(p):
+        out = np.zeros_like(p)
+        for v, u, k in ((y0, x0, (1 - fy) * (1 - fx)), (y0, x0 + 1, (1 - fy) * fx), (y0 + 1, x0, fy * (1 - fx)), (y0 + 1, x0 + 1, fy * fx)):
+            inside = (v >= 0) & (v < h) & (u >= 0) & (u < w)
+            out += np.where(inside, k, 0.0) * p[:, np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)]
+        return out
+
+    return by_numpy(value, plane, h, w)
+
+
+def unit(v: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+
+
+def brightened(plane: str, by: float) -> Column:
+    return F.transform(plane, lambda v: unit(v + by))
+
+
+def contrasted(plane: str, factor: float) -> Column:
+    """Distances from the plane's mean times factor."""
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v) / F.size(p)
+    return F.transform(F.array(mean(F.col(plane))), lambda m: F.transform(plane, lambda v: unit(m + (v - m) * factor)))[0]
+
+
+def gamma_of(plane: str, power: float) -> Column:
+    return F.transform(plane, lambda v: F.pow(unit(v), F.lit(power)))
+
+
+def noisy(plane: str, key: str, spread: float, seed: int = 42) -> Column:
+    """Noise by pixel: a hash of seed, key and place as a uniform draw of standard deviation `spread`; the same each time."""
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(1 << 30)) / (1 << 30) - 0.5
+    return F.transform(plane, lambda v, i: unit(v + draw(i) * (spread * math.sqrt(12))))
+
+
+def height_and_gradient(plane: str, h: int, w: int) -> tuple[Column, Column]:
+    """The pseudo elevation (in [0, 1]) and the gradient map of a plane from one Sobel pass, laid behind one another in one
+    array and cut apart."""
+    from rimfold.operators.segment import frequencies
+
+    def value(p):
+        gx, gy = sobel(p)
+        kx, ky, k2 = frequencies(h, w)
+        z = np.real(np.fft.ifft2(-1j * (kx * np.fft.fft2(gx) + ky * np.fft.fft2(gy)) / k2))
+        lo, hi = z.min(axis=(1, 2), keepdims=True), z.max(axis=(1, 2), keepdims=True)
+        m = np.hypot(gx, gy)
+        return np.stack([(z - lo) / (hi - lo + 1e-6), m / (m.max(axis=(1, 2), keepdims=True) + 1e-6)], axis=1)
+
+    both = by_numpy(value, plane, h, w)
+    return F.slice(both, 1, h * w), F.slice(both, h * w + 1, h * w)

@@ -7,6 +7,7 @@ row; everything that aggregates pixels by region is grouping in Spark.
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,15 +38,38 @@ def components(mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance to the nearest pixel outside the mask, by rows and then columns, exactly."""
+    """Euclidean distance to the nearest pixel outside the mask, exactly: by columns, then in each row the lower envelope of
+    the parabolas that stand on the columns' distances. All rows go in step, and memory is a few planes."""
     h, w = mask.shape
-    far = float((h + w) ** 2)
-    column = np.where(mask, far, 0.0)
-    ys, xs = np.arange(h), np.arange(w)
-    g = (np.abs(ys[:, None] - ys[None, :]) ** 2)[:, :, None] + column[None]
-    g = g.min(axis=1)
-    d = g[:, None, :] + (xs[:, None] - xs[None, :]) ** 2
-    return np.sqrt(d.min(axis=2))
+    far = float(h + w)
+    g = np.where(mask, far, 0.0)
+    for y in range(1, h):
+        np.minimum(g[y], g[y - 1] + 1, out=g[y])
+    for y in range(h - 2, -1, -1):
+        np.minimum(g[y], g[y + 1] + 1, out=g[y])
+    f = g * g
+    row, top = np.arange(h), np.zeros(h, int)
+    at, start = np.zeros((h, w), int), np.full((h, w + 1), np.inf)  # parabolas of the envelope, and where each begins
+    start[:, 0] = -np.inf
+    for x in range(1, w):
+        live = row
+        while len(live):
+            v = at[live, top[live]]
+            cross = (f[live, x] + x * x - f[live, v] - v * v) / (2.0 * (x - v))
+            back = cross <= start[live, top[live]]
+            done = live[~back]
+            top[done] += 1
+            at[done, top[done]], start[done, top[done]] = x, cross[~back]
+            start[done, top[done] + 1] = np.inf
+            live = live[back]
+            top[live] -= 1
+    out, k = np.empty((h, w)), np.zeros(h, int)
+    for x in range(w):
+        while (ahead := start[row, k + 1] < x).any():
+            k += ahead
+        v = at[row, k]
+        out[:, x] = (x - v) ** 2 + f[row, v]
+    return np.sqrt(np.minimum(out, far * far))
 
 
 def watershed(image: np.ndarray, markers: np.ndarray, mask: np.ndarray, connectivity: int = 1) -> np.ndarray:
@@ -97,16 +121,21 @@ def thickness(mask: np.ndarray) -> int:
     return 2 * depth
 
 
-def height_from_gradient(plane: np.ndarray) -> np.ndarray:
-    """A pseudo elevation: Sobel gradients integrated in the frequency domain, scaled to [0, 1]."""
-    wide = np.pad(plane, 1, mode="reflect")
-    h, w = plane.shape
-    cut = lambda dy, dx: wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
-    gx = cut(-1, 1) - cut(-1, -1) + 2 * (cut(0, 1) - cut(0, -1)) + cut(1, 1) - cut(1, -1)
-    gy = cut(1, -1) - cut(-1, -1) + 2 * (cut(1, 0) - cut(-1, 0)) + cut(1, 1) - cut(-1, 1)
+@lru_cache(4)
+def frequencies(h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Angular frequencies along x and y and their squared length (1 at 0); kept for the sizes a worker meets."""
     kx, ky = np.meshgrid(2 * np.pi * np.fft.fftfreq(w), 2 * np.pi * np.fft.fftfreq(h))
     k2 = kx * kx + ky * ky
     k2[0, 0] = 1.0
+    return kx, ky, k2
+
+
+def height_from_gradient(plane: np.ndarray) -> np.ndarray:
+    """A pseudo elevation: Sobel gradients integrated in the frequency domain, scaled to [0, 1]."""
+    from rimfold.operators.raster import sobel
+
+    gx, gy = (g[0] for g in sobel(plane[None]))
+    kx, ky, k2 = frequencies(*plane.shape)
     z = np.real(np.fft.ifft2(-1j * (kx * np.fft.fft2(gx) + ky * np.fft.fft2(gy)) / k2))
     return (z - z.min()) / (z.max() - z.min() + 1e-6)
 
@@ -148,6 +177,89 @@ def fit_ellipse(points: np.ndarray) -> tuple[float, float, float, float, float]
     return float(centre[0] * spread + mean[0]), float(centre[1] * spread + mean[1]), float(long), float(short), float(angle)
 
 
+def conic_to_ellipse(p: np.ndarray) -> tuple[float, float, float, float, float] | None:
+    """cx, cy, a >= b, degrees of the conic p . (x2, xy, y2, x, y, 1); None if it is no ellipse."""
+    q = np.array([[p[0], p[1] / 2], [p[1] / 2, p[2]]])
+    if np.linalg.det(q) <= 0:
+        return None
+    centre = np.linalg.solve(-2 * q, p[3:5])
+    axes2 = -(p[5] + 0.5 * p[3:5] @ centre) / (found := np.linalg.eigh(q))[0]
+    if not (axes2 > 0).all():
+        return None
+    k = int(np.argmax(axes2))
+    v = found[1][:, k]
+    return float(centre[0]), float(centre[1]), float(np.sqrt(axes2[k])), float(np.sqrt(axes2[1 - k])), float(np.degrees(np.arctan2(v[1], v[0])) % 180)
+
+
+def fit_taubin(points: np.ndarray) -> tuple[float, float, float, float, float] | None:
+    """The conic of least algebraic distance over its mean squared gradient (Taubin); the direct fit where that is no ellipse."""
+    if len(points) < 5:
+        return None
+    mean, spread = points.mean(axis=0), points.std() + 1e-12
+    x, y = ((points - mean) / spread).T
+    o, z = np.ones_like(x), np.zeros_like(x)
+    d = np.stack([x * x, x * y, y * y, x, y, o], 1)
+    gx, gy = np.stack([2 * x, y, z, o, z, z], 1), np.stack([z, x, 2 * y, z, o, z], 1)
+    m, n = d.T @ d / len(x), (gx.T @ gx + gy.T @ gy) / len(x)
+    # the constant has no gradient: it follows from the other five
+    inner = m[:5, :5] - np.outer(m[:5, 5], m[5, :5]) / m[5, 5]
+    try:
+        values, vectors = np.linalg.eig(np.linalg.solve(n[:5, :5], inner))
+    except np.linalg.LinAlgError:
+        return fit_ellipse(points)
+    own = np.real(vectors[:, np.argmin(np.where(np.isreal(values), np.real(values), np.inf))])
+    found = conic_to_ellipse(np.append(own, -(m[5, :5] @ own) / m[5, 5]))
+    if found is None:
+        return fit_ellipse(points)
+    cx, cy, a, b, rot = found
+    return cx * spread + mean[0], cy * spread + mean[1], a * spread, b * spread, rot
+
+
+def fit_geometric(points: np.ndarray, steps: int = 50) -> tuple[float, float, float, float, float] | None:
+    """Least squares of orthogonal distances from the direct fit on, by Levenberg-Marquardt over the five parameters."""
+    start = fit_ellipse(points)
+    if start is None:
+        return None
+    p, damp = np.array([*start[:2], np.log(start[2]), np.log(start[3]), np.radians(start[4])]), 1e-3
+
+    def residual(q):
+        a, b, c, s = np.exp(q[2]), np.exp(q[3]), np.cos(q[4]), np.sin(q[4])
+        dx, dy = points[:, 0] - q[0], points[:, 1] - q[1]
+        u, v = np.abs(c * dx + s * dy), np.abs(c * dy - s * dx)
+        t = np.arctan2(a * v, b * u)
+        for _ in range(10):
+            ct, st = np.cos(t), np.sin(t)
+            f, g = (a * a - b * b) * ct * st - u * a * st + v * b * ct, (a * a - b * b) * (ct * ct - st * st) - u * a * ct - v * b * st
+            t = np.clip(t - np.divide(f, g, out=np.zeros_like(f), where=np.abs(g) > 1e-12), 0.0, np.pi / 2)
+        sign = np.where((u / a) ** 2 + (v / b) ** 2 >= 1, 1.0, -1.0)
+        return sign * np.hypot(a * np.cos(t) - u, b * np.sin(t) - v)
+
+    r = residual(p)
+    for _ in range(steps):
+        j = np.stack([(residual(p + 1e-6 * e) - r) / 1e-6 for e in np.eye(5)], 1)
+        lhs = j.T @ j
+        try:
+            step = np.linalg.solve(lhs + damp * (np.diag(np.diag(lhs)) + 1e-12 * np.eye(5)), -j.T @ r)
+        except np.linalg.LinAlgError:
+            break
+        new = residual(p + step)
+        if new @ new < r @ r:
+            done = np.abs(step).max() < 1e-10
+            p, r, damp = p + step, new, damp / 3
+            if done:
+                break
+        else:
+            damp *= 4
+            if damp > 1e10:
+                break
+    a, b, rot = np.exp(p[2]), np.exp(p[3]), np.degrees(p[4])
+    return (float(p[0]), float(p[1]), float(a), float(b), float(rot % 180)) if a >= b else (float(p[0]), float(p[1]), float(b), float(a), float((rot + 90) % 180))
+
+
+#: Ways to fit an ellipse to points; each falls back on, or starts from, the direct one.
+FITS = {"direct": fit_ellipse, "taubin": fit_taubin, "geometric": fit_geometric}
+
+
 def refine_polar(theta: np.ndarray, radius: np.ndarray, steps: int = 200, scale: float = 0.05) -> tuple[float, float, float]:
     """Levenberg-Marquardt on (log a, log b, phi) with Huber weights on relative residuals; a >= b, phi in [0, pi)."""
     p, damp = np.array([np.log(np.median(radius)), np.log(np.median(radius) * 0.95), 0.0]), 1e-2
@@ -266,13 +378,13 @@ def angular_samples(points: DataFrame, keys: list[str], bins: int = 64) -> DataF
     return best.select(*keys, "sector", (-F.col("m.nx")).alias("x"), (-F.col("m.ny")).alias("y"))
 
 
-def fits(points: DataFrame, keys: list[str]) -> DataFrame:
+def fits(points: DataFrame, keys: list[str], method: str = "direct") -> DataFrame:
     """keys and fit (cx, cy, a, b, rot; null if it fails) of each point set; the points of one candidate come together."""
-    rows = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+    rows, way = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points")), FITS[method]
 
     @F.pandas_udf("struct<cx:double,cy:double,a:double,b:double,rot:double>")
     def fit(points: pd.Series) -> pd.DataFrame:
-        found = [fit_ellipse(np.array([[p["x"], p["y"]] for p in ps], float)) or (None,) * 5 for ps in points]
+        found = [way(np.array([[p["x"], p["y"]] for p in ps], float)) or (None,) * 5 for ps in points]
         return pd.DataFrame(found, columns=["cx", "cy", "a", "b", "rot"], dtype=float)
 
     return rows.select(*keys, fit("points").alias("fit"))

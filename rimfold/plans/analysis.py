@@ -203,11 +203,12 @@ def smp6_threshold_search(spark, sf_dir):
     return rounded(stats.threshold_search(scored(spark, sf_dir), "value", GRID))
 
 
-@query()
+@query(SQL + """, h as (select seq, cls, md5(concat(image_no, ':', seq, ':', 42)) as h from scored)
+select seq, cls, ((row_number() over (partition by cls, substring(h, 1, 3) order by h, seq) + ('0x' || substring(h, 1, 3))::int) % 5)::int as fold from h""")
 def smp2_stratified_folds(spark, sf_dir):
-    return stats.folds(scored(spark, sf_dir)).groupBy("cls", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return stats.folds(scored(spark, sf_dir)).select("seq", "cls", "fold")
 
 
-@query()
+@query(SQL + " select seq, md5(concat(seq, ':', 42)) as place from scored order by 2, 1")
 def smp1_seeded_order(spark, sf_dir):
-    return scored(spark, sf_dir).select("seq", F.xxhash64("seq", F.lit(42)).alias("place")).orderBy("place", "seq")
+    return scored(spark, sf_dir).select("seq", stats.seeded_place("seq").alias("place")).orderBy("place", "seq")

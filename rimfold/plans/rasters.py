@@ -514,12 +514,6 @@ def mod3_ordinal(spark, sf_dir):
     return models.predict(model, rows, ["prob", "value", "a"], "ordinal").select("seq", stats.ordinal_class("ordinal").alias("cls"))
 
 
-@query()
-def smp3_oversampling(spark, sf_dir):
-    rows = scored(spark, sf_dir).where("cls < 3 or seq % 2 = 0")
-    return models.oversample(rows, ["prob", "value"], "cls", "seq").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-
-
 RANKED = SCORED + """, r as (select seq, case when seq % 20 < 5 then prob else 1 / (1 + exp(-(case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end))) end as s,
 case when seq % 20 < 5 then 2 else (v >= 0.3e0)::int + (v >= 1)::int + (v >= 2.1e0)::int + (v >= 3.3e0)::int end as cls from (select *, case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end as v from scored))"""
 

@@ -29,6 +29,13 @@ def read_csv(spark: SparkSession, paths: str | list[str], *, classes: bool = Tru
     return named.where("_bad is null").drop("_bad")
 
 
+def read_positional(spark: SparkSession, paths: str | list[str], *, least: float = 5.0, groups: list[str] | None = None) -> DataFrame:
+    """Rows of files whose columns are known by place (cx, cy, a, b, rot, image), whatever the header calls them: those with
+    b >= least, of the groups (by default those for validation)."""
+    rows = spark.read.schema("cx double, cy double, a double, b double, rot double, image string").option("header", True).option("enforceSchema", True).csv(paths)
+    return rows.where((F.col("b") >= least) & in_validation("image", groups or VALIDATION))
+
+
 def write_csv(rows: DataFrame, path: str, digits: int = 2) -> None:
     """Rows (short names) in the exchange format."""
     out = [F.format_string(f"%.{digits}f", v).alias(k) if v not in ("image", "cls") else F.col(v).alias(k) for k, v in COLUMNS.items()]

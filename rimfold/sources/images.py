@@ -27,6 +27,14 @@ class Settings:
     downsample_factor: float = 1.0
     limit: int = 12
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, flags: list[str] | None = None) -> Settings:
+        """Defaults, over them the `name: value` lines of a file, over these flags such as --limit=5."""
+        lines = [r["value"] for r in spark.read.text(path).collect()]  # a settings file
+        given = dict(line.split("#")[0].split(":", 1) for line in lines if ":" in line.split("#")[0])
+        flagged = dict(f.removeprefix("--").split("=", 1) for f in flags or [] if "=" in f)
+        return cls.of({k.strip().lower(): v.strip() for k, v in (given | flagged).items()})
+
     @classmethod
     def of(cls, given: dict) -> Settings:
         """Defaults with what is given; unknown names are ignored."""
@@ -58,24 +66,16 @@ def decode_png(data: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or interlace or channels is None:
         raise ValueError("only 8-bit gray and colour without interlacing")
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * channels)
-    out, before = np.zeros((h, w * channels), np.uint8), np.zeros(w * channels, np.uint8)
+    raw, size = zlib.decompress(b"".join(packed)), w * channels
+    out, before = np.zeros((h, size), np.uint8), np.zeros(size, np.uint8)
     for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].copy()
+        kind, line = raw[y * (size + 1)], np.frombuffer(raw, np.uint8, size, y * (size + 1) + 1)
         if kind == 2:
             line = line + before
         elif kind == 1:
             line = np.cumsum(line.reshape(w, channels), axis=0, dtype=np.uint8).ravel()
-        elif kind in (3, 4):
-            for i in range(len(line)):
-                a = int(line[i - channels]) if i >= channels else 0
-                b = int(before[i])
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    c = int(before[i - channels]) if i >= channels else 0
-                    guess = min((a, b, c), key=lambda v, p=a + b - c: abs(p - v))
-                line[i] = (int(line[i]) + guess) & 255
+        elif kind in (3, 4):  # each byte needs the one before it
+            line = np.frombuffer(unfiltered(kind, line.tobytes(), before.tobytes(), channels), np.uint8)
         out[y] = before = line
     pixels = out.reshape(h, w, channels)
     if channels < 3:
@@ -83,6 +83,35 @@ def decode_png(data: bytes) -> np.ndarray:
     return np.rint(pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
+def unfiltered(kind: int, line: bytes, before: bytes, channels: int) -> bytes:
+    """A line of a PNG coded by average (3) or Paeth (4) differences."""
+    out = bytearray(channels) + bytearray(line)
+    above = bytes(channels) + before
+    for i in range(channels, len(out)):
+        a, b = out[i - channels], above[i]
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            c = above[i - channels]
+            p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if p <= q and p <= r else b if q <= r else c
+        out[i] = (out[i] + guess) & 255
+    return bytes(out[channels:])
+
+
+def encode_png(gray: np.ndarray) -> bytes:
+    """An 8-bit gray PNG; line y is coded by filter y mod 5."""
+    h, w = gray.shape
+    wide = np.zeros((h + 1, w + 1), np.int16)
+    wide[1:, 1:] = gray
+    own, left, up, corner = wide[1:, 1:], wide[1:, :-1], wide[:-1, 1:], wide[:-1, :-1]
+    p, q, r = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+    guess = [np.zeros_like(own), left, up, (left + up) >> 1, np.where((p <= q) & (p <= r), left, np.where(q <= r, up, corner))]
+    lines = b"".join(bytes([y % 5]) + (own[y] - guess[y % 5][y]).astype(np.uint8).tobytes() for y in range(h))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 def gray_plane(content: str) -> Column:
     """Height, width and gray values of each image; null where it does not decode."""
 
@@ -100,10 +129,18 @@ def gray_plane(content: str) -> Column:
     return decode(content)
 
 
-def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Feature tables of several CSV files, united by name; columns that a file lacks are null."""
-    out = None
+def union_files(spark: SparkSession, paths: list[str], kinds: dict[str, str] | None = None) -> DataFrame:
+    """Feature tables of several CSV files, united by name; columns that a file lacks are null. Files of equal names (which
+    their first lines tell) are one scan. kinds are the types of columns, double where not named; without kinds types are
+    inferred, which reads the files twice."""
+    by: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        names = tuple(spark.read.option("header", True).csv(path).columns)
+        by.setdefault(names, []).append(path)
+    out = None
+    for names, same in by.items():
+        reader = spark.read.option("header", True)
+        reader = reader.option("inferSchema", True) if kinds is None else reader.schema(", ".join(f"`{n}` {kinds.get(n, 'double')}" for n in names))
+        rows = reader.csv(same)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -25,6 +26,12 @@ def write_tiles(tiles: DataFrame, path: str, group: str) -> None:
     tiles.write.partitionBy(group).parquet(path)
 
 
+def tile_batches(tiles: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """tiles with index (from 0, in order within its group) and batch (index div size): the listing that a loader walks."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    return tiles.withColumn("index", nth.cast("long")).withColumn("batch", F.floor(F.col("index") / size))
+
+
 def read_tiles(spark: SparkSession, path: str, groups: list[str] | None = None, group: str = "group") -> DataFrame:
     rows = spark.read.parquet(path)
     return rows if groups is None else rows.where(rows[group].isin(groups))

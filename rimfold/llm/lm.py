@@ -1,20 +1,24 @@
 """LM scoring by a weighted backoff automaton.
 
 Tokens: A-Z lower-cased, runs of [^\\x20\\x09-\\x0D]+, then one end. Training documents count; the others are held out.
-The model interpolates: P(w | v) = max(c(vw) - D, 0) / c(v) + rest(v) P(w) for the bigrams seen in
-training, rest(v) P(w) for any other, where rest(v) = 1 - sum over these of (c(vw) - D) / c(v), and
-P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). As an automaton: a state for each word as context (and the start), an arc for
-each seen bigram, a failure arc of weight rest(v) to the root, which has an arc for each word and one for unknown ones.
-A text is one traversal from left to right: take the arc, or else the failure arc and the root's; the state is then
-the word.
-
-Counts cover all training documents and nothing of the model is cut to a size: the automaton is never held as a whole.
-Documents are packed in groups (a table in the shared folder: different words as 64-bit hashes, tokens as places in
-that list). Each group asks for the words and bigrams it has; requests go to the part of the hash of the context word,
-which sums the counts over all groups and answers every request in its order. Then each group builds the part of the
-automaton that its texts can reach, and walks it. A context that makes up over 1/128 of all tokens is dealt by the
-following word instead (there are fewer than 256 of those; their sums are joined by the driver), so no part has more
-than its share. Words are told apart by 64 bits, followers of one word by 40.
+The model is of order three and interpolates with absolute discounts:
+    P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | v) = max(c(vw) - D, 0) / c(v) + D T(v) / c(v) P(w), and P(w) where v was not seen
+    P(w | uv) = max(c(uvw) - D, 0) / c(uv) + D T(uv) / c(uv) P(w | v), and P(w | v) where uv was not seen
+with T the number of different words seen after a context. As an automaton: a state for each context (two words, one
+word, or none: the root), an arc with its logarithm for each n-gram seen in training, once is enough, and a failure arc from
+each state to that of its last word, and from there to the root, of weight D T / c. A text is one traversal from left to right
+from the start's state: take the arc, or else failure arcs up to a state that has one; the state is then that of the last words.
+
+Counts cover all training documents and nothing of the model is cut: the automaton is never held as a whole. Documents
+are packed in groups (a table in the shared folder: different words as 64-bit hashes, tokens as places in that list).
+Each group asks for the n-grams it has; a request goes to the part of the hash of its context, which sums the counts
+over all groups and answers every request in its order. Then each group builds the part of the automaton that its
+texts can reach, and walks it. Requests of a group are rows only for parts that it asks, so there are never more rows
+than n-grams; sizes of groups and parts are parameters. Contexts of words that each make up over 1/256 of all tokens (under
+256 words, so under 66,000 contexts), and the root, are dealt by the following word instead; what their parts found is
+summed by a grouping, so that no part has more than its share. In a part, contexts are told apart by 48 bits, and followers
+of one context by 48, 40 or 32 bits at orders one, two and three.
 
 Defined cases: null and empty texts are one end token; a null doc_id is training; repeated rows each count and are
 each scored.
@@ -33,10 +37,10 @@ from pyspark.sql import functions as F
 
 from rimfold.llm.common import MIX, groups_for, mix64, read, release, slices, stored, tidied
 
-DISCOUNT, LEAST, GROUP, PART = 0.75, 1, 8_000_000, 1_500_000
+DISCOUNT, GROUP, PART = 0.75, 8_000_000, 1_500_000
 START, END = np.uint64(1), np.uint64(2)  # hashes of the start (never a token) and the end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-FOLLOWER = np.uint64((1 << 40) - 1)
+BITS = {1: 48, 2: 40, 3: 32}  # of a follower's hash, by order
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -105,37 +109,73 @@ def grouped(docs: DataFrame, held_out) -> DataFrame:
     return stored(rows.mapInPandas(tidied(_group), "g long, n long, docs binary, flags binary, counts binary, words binary, ids binary"))
 
 
+def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(u + MIX * mix64(v ^ MIX))
+
+
 class Group:
-    """What a group's row says, and its requests in their fixed order."""
+    """What a group's row says: its words, tokens and n-grams, in a fixed order."""
 
     def __init__(self, row: pd.Series):
         self.docs, self.flags, self.counts = unpack(row["docs"], np.int64), unpack(row["flags"], np.uint8), unpack(row["counts"], np.int64)
         self.words, self.ids = unpack(row["words"], np.uint64), unpack(row["ids"], np.uint32).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         self.training = np.repeat((self.flags & 1) == 0, self.counts)
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different bigrams as context place * words + word place, ascending, and their training counts."""
-        before = np.empty(len(self.ids), np.int64)
-        before[1:] = self.ids[:-1]
-        before[self.first] = np.searchsorted(self.words, START)
-        found, which = np.unique(before * len(self.words) + self.ids, return_inverse=True)
-        return found, np.bincount(which[self.training], minlength=len(found)).astype(np.int64)
-
-    def word_counts(self) -> np.ndarray:
-        out = np.bincount(self.ids[self.training], minlength=len(self.words)).astype(np.int64)
-        out[np.searchsorted(self.words, START)] = int(((self.flags & 1) == 0).sum())
-        return out
-
-    def parts(self, found: np.ndarray, parts: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The part of each word, and of each bigram."""
-        of_word = (mix64(self.words) % np.uint64(parts)).astype(np.int64)
-        context, word = found // len(self.words), found % len(self.words)
-        return of_word, np.where(np.isin(self.words, hot)[context], of_word[word], of_word[context])
+        n = len(self.words)
+        self.before = np.empty(len(self.ids), np.int64)
+        self.before[1:] = self.ids[:-1]
+        self.before[self.first] = np.searchsorted(self.words, START)
+        #: different bigrams (context place * words + word place), and which of them each token ends
+        self.bigrams, self.bigram = np.unique(self.before * n + self.ids, return_inverse=True)
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that are not first in their text; the different trigrams (place of a bigram * words + word place) and
+        which of them these tokens end."""
+        inner = np.ones(len(self.ids), bool)
+        inner[self.first] = False
+        inner = np.flatnonzero(inner)
+        found, which = np.unique(self.bigram[inner - 1] * len(self.words) + self.ids[inner], return_inverse=True)
+        return inner, found, which
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of an order: places of their contexts and words, and their counts in training here."""
+        n = len(self.words)
+        if order == 1:
+            return np.zeros(n, np.int64), np.arange(n), np.bincount(self.ids[self.training], minlength=n)
+        if order == 2:
+            found, seen = self.bigrams, np.bincount(self.bigram[self.training], minlength=len(self.bigrams))
+        else:
+            inner, found, which = self.trigrams()
+            seen = np.bincount(which[self.training[inner]], minlength=len(found))
+        return found // n, found % n, seen
+
+    def dealt(self, order: int, context: np.ndarray, word: np.ndarray, parts: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For n-grams: their order by part and context, and in it their parts, 48-bit contexts and whether these are hot."""
+        if order == 1:
+            h, is_hot = np.zeros(1, np.uint64), np.ones(1, bool)
+        elif order == 2:
+            h, is_hot = mix64(self.words), np.isin(self.words, hot)
+        else:
+            u, v = self.bigrams // len(self.words), self.bigrams % len(self.words)
+            hot_word = np.isin(self.words, hot)
+            h, is_hot = pair_hash(self.words[u], self.words[v]), hot_word[u] & hot_word[v]
+        own = np.where(is_hot[context], mix64(self.words)[word], h[context]) % np.uint64(parts)
+        short = h[context] >> np.uint64(16)
+        at = np.lexsort((short, own))
+        return at, own[at].astype(np.int64), short[at], is_hot[context[at]]
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change: the first of each run."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 def heavy(groups: DataFrame) -> np.ndarray:
-    """Hashes of all words that make up 1/128 of the tokens, and of no more than 256 words in all."""
+    """Hashes of all words that make up 1/256 of the tokens, and the start: no more than 256 words in all."""
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,112 +190,120 @@ def heavy(groups: DataFrame) -> np.ndarray:
     return np.sort(np.append(np.array([r["word"] for r in sums.collect()], np.int64).view(np.uint64), START))
 
 
-def _requests(parts: int, hot: np.ndarray):
+def hot_contexts(order: int, hot: np.ndarray) -> np.ndarray:
+    """The 48-bit contexts of an order that are dealt by word."""
+    if order == 1:
+        return np.zeros(1, np.uint64)
+    if order == 2:
+        return np.sort(mix64(hot) >> np.uint64(16))
+    return np.sort((pair_hash(np.repeat(hot, len(hot)), np.tile(hot, len(hot))) >> np.uint64(16)))
+
+
+def _requests(orders: list[int], parts: int, hot: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
                 group = Group(row)
-                found, seen = group.bigrams()
-                counts, n = group.word_counts(), len(group.words)
-                of_word, of_pair = group.parts(found, parts, hot)
-                words, pairs = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
-                at, to = np.searchsorted(of_word[words], np.arange(parts + 1)), np.searchsorted(of_pair[pairs], np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
-                    w, b = words[at[p] : at[p + 1]], pairs[to[p] : to[p + 1]]
-                    if len(w) or len(b):
-                        # contexts as steps between places in the part's words and, after them, the hot ones
-                        context = found[b] // n
-                        known = np.searchsorted(w, context)
-                        known[of_word[context] != p] = 0
-                        away = w[known] != context if len(w) else np.ones(len(b), bool)
-                        known[away] = len(w) + np.searchsorted(hot, group.words[context[away]])
-                        rows.append((p, row["g"], pack(np.diff(group.words[w], prepend=np.uint64(0))), pack(counts[w]), pack(np.diff(known, prepend=0).astype(np.int32)), pack(group.words[found[b] % n] & FOLLOWER), pack(seen[b])))
-                yield pd.DataFrame(rows, columns=["p", "g", "words", "counts", "contexts", "followers", "seen"])
+                for order in orders:
+                    context, word, seen = group.grams(order)
+                    at, part, short, _ = group.dealt(order, context, word, parts, hot)
+                    followers, seen = mix64(group.words)[word[at]] >> np.uint64(64 - BITS[order]), seen[at]
+                    cuts = changes(part)
+                    rows = []
+                    for a, b in zip(cuts, np.append(cuts[1:], len(part))):  # parts that are asked
+                        runs = changes(short[a:b])
+                        lengths = np.diff(np.append(runs, b - a))
+                        rows.append((order, part[a], row["g"], pack(np.diff(short[a:b][runs], prepend=np.uint64(0))), pack(lengths.astype(np.uint32)), pack(followers[a:b]), pack(seen[a:b].astype(np.uint32))))
+                    yield pd.DataFrame(rows, columns=["o", "p", "g", "contexts", "runs", "followers", "seen"])
 
     return run
 
 
 def _answers(hot: np.ndarray):
     def run(key, asked: pd.DataFrame) -> pd.DataFrame:
-        words, counts = [np.cumsum(unpack(x, np.uint64)) for x in asked["words"]], [unpack(x, np.int64) for x in asked["counts"]]
-        contexts = [np.append(w, hot)[np.cumsum(unpack(x, np.int32))] for w, x in zip(words, asked["contexts"])]
-        followers, seen = ([unpack(x, k) for x in asked[c]] for c, k in (("followers", np.uint64), ("seen", np.int64)))
-        different, which = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(which, np.concatenate(counts), len(different)).astype(np.int64)
-        context, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
-        order = np.lexsort((np.concatenate(followers), of_context))
-        a, b = of_context[order], np.concatenate(followers)[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        times = np.bincount(pair, np.concatenate(seen), int(new.sum())).astype(np.int64)
-        kept = np.where(times > 0, times - DISCOUNT, 0.0)
-        sums = np.bincount(a[new], kept, len(context))
-        is_hot = np.isin(context, hot)
-        own = np.zeros(len(different))
-        k = np.minimum(np.searchsorted(context, different), max(0, len(context) - 1))
-        if len(context):
-            hit = (context[k] == different) & ~np.isin(different, hot)
-            own[hit] = sums[k[hit]]
-        rows, w, q = [], 0, 0
-        for i, g in enumerate(asked["g"]):
-            x, y = which[w : w + len(words[i])], pair[q : q + len(seen[i])]
-            w, q = w + len(words[i]), q + len(seen[i])
-            rows.append((g, key[0], pack(total[x]), pack(own[x]), pack(times[y]), 0, 0, None, None))
-        real = different != START
-        rows.append((None, key[0], b"", b"", b"", int(total[real].sum()), int((total[real] > 0).sum()), pack(context[is_hot]), pack(sums[is_hot])))
-        return pd.DataFrame(rows, columns=["g", "p", "total", "mass", "times", "tokens", "types", "hot", "hot_mass"])
+        order, bits = int(key[0]), np.uint64(BITS[int(key[0])])
+        contexts, runs = [np.cumsum(unpack(x, np.uint64)) for x in asked["contexts"]], [unpack(x, np.uint32) for x in asked["runs"]]
+        context, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        gram = np.repeat(of.astype(np.uint64) << bits, np.concatenate(runs))
+        gram |= np.concatenate([unpack(x, np.uint64) for x in asked["followers"]])
+        different, which = np.unique(gram, return_inverse=True)
+        del gram
+        times = np.bincount(which, np.concatenate([unpack(x, np.uint32) for x in asked["seen"]]), len(different)).astype(np.int64)
+        after = np.bincount((different >> bits).astype(np.int64)[times > 0], minlength=len(context))
+        rows, c, q = [], 0, 0
+        for g, own, lengths in zip(asked["g"], contexts, runs):
+            n = int(lengths.sum())
+            rows.append((g, order, key[1], pack(times[which[q : q + n]].astype(np.uint32)), pack(after[of[c : c + len(own)]].astype(np.uint32)), None, 0, 0))
+            c, q = c + len(own), q + n
+        for k in np.flatnonzero(np.isin(context, hot_contexts(order, hot))):
+            rows.append((None, order, key[1], None, None, int(context[k]), int(after[k]), int(times.sum()) if order == 1 else 0))
+        return pd.DataFrame(rows, columns=["g", "o", "p", "times", "after", "context", "t", "n"]).astype({"g": "Int64", "context": "Int64"})
 
     return run
 
 
 class Automaton:
-    """Arcs by state * words + word, failure weights by state, and the root's arcs by word; log10."""
-
-    def __init__(self, words: int, found: np.ndarray, times: np.ndarray, total: np.ndarray, mass: np.ndarray, tokens: int, types: int):
-        p = (total + 0.5) / (tokens + 0.5 * (types + 1))
-        rest = 1.0 - np.where(total > 0, mass / np.maximum(total, 1), 0.0)
-        self.words, self.root, self.fail = words, np.log10(p), np.log10(np.maximum(rest, 1e-300))
-        has = times > 0
-        context, word = found[has] // words, found[has] % words
-        self.keys, self.arcs = found[has], np.log10((times[has] - DISCOUNT) / total[context] + rest[context] * p[word])  # keys ascend
-
-    def score(self, state: int, tokens) -> float:
-        tokens = np.asarray(tokens, np.int64)
-        states = np.append(state, tokens[:-1])  # the state after a word is the word
-        out, keys = self.fail[states] + self.root[tokens], states * self.words + tokens
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            arc = self.keys[at] == keys
-            out[arc] = self.arcs[at[arc]]
-        return float(out.sum())
-
-
-def _scores(parts: int, hot: np.ndarray, hot_mass: dict[int, float], tokens: int, types: int):
+    """Arcs by n-gram and failure weights by state; log10."""
+
+    def __init__(self, words: int, tokens: int, types: int, total: np.ndarray, bigrams: np.ndarray, times2: np.ndarray, after2: np.ndarray, trigrams: np.ndarray, times3: np.ndarray, after3: np.ndarray, last2: np.ndarray):
+        """total: counts of words as contexts and words (the start's is that of the end); last2: the bigram at a trigram's end."""
+        root = (total + 0.5) / (tokens + 0.5 * (types + 1))
+        v, w = bigrams // words, bigrams % words
+        fail2, two = self.level(total, after2, v, times2, root[w])
+        uv = trigrams // words
+        fail3, three = self.level(times2, after3, uv, times3, two[last2])
+        self.root, self.fail2, self.fail3 = (np.log10(x) for x in (root, fail2, fail3))
+        self.arc2, self.arc3 = np.where(times2 > 0, np.log10(two), np.nan), np.where(times3 > 0, np.log10(three), np.nan)
+
+    @staticmethod
+    def level(count: np.ndarray, after: np.ndarray, context: np.ndarray, times: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Failure weights of the contexts (1 for one that is no state) and the interpolated probabilities of the n-grams."""
+        fail = np.where(count > 0, DISCOUNT * after / np.maximum(count, 1), 1.0)
+        return np.maximum(fail, 1e-300), np.maximum(times - DISCOUNT, 0.0) / np.maximum(count[context], 1) + fail[context] * lower
+
+    def walk(self, ids: np.ndarray, before: np.ndarray, bigram: np.ndarray, inner: np.ndarray, trigram: np.ndarray) -> np.ndarray:
+        """The weight of every token on the way through the texts: its bigram's place, and where it is not first (inner) its
+        trigram's. The state before a token is that of the two tokens before it."""
+        low = np.where(np.isnan(self.arc2[bigram]), self.fail2[before] + self.root[ids], self.arc2[bigram])
+        high = self.arc3[trigram]
+        low[inner] = np.where(np.isnan(high), self.fail3[bigram[inner - 1]] + low[inner], high)
+        return low
+
+
+def _scores(parts: int, hot: np.ndarray, after_hot: dict[int, dict[int, int]], tokens: int, types: int):
     def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         group = Group(row.iloc[0])
-        found, _ = group.bigrams()
-        of_word, of_pair = group.parts(found, parts, hot)
-        words, pairs = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
-        answers = answers.sort_values("p")
-        total, mass, times = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(found), np.int64)
-        total[words] = np.concatenate([unpack(x, np.int64) for x in answers["total"]])
-        mass[words] = np.concatenate([unpack(x, np.float64) for x in answers["mass"]])
-        times[pairs] = np.concatenate([unpack(x, np.int64) for x in answers["times"]])
-        for i in np.flatnonzero(np.isin(group.words, hot)):
-            mass[i] = hot_mass.get(int(group.words[i]), 0.0)
-        automaton = Automaton(len(words), found, times, total, mass, tokens, types)
-        start, ids, scores = int(np.searchsorted(group.words, START)), group.ids, []
-        for a, n in zip(group.first.tolist(), group.counts.tolist()):
-            scores.append(automaton.score(start, ids[a : a + n]))
-        base = np.log10((total + 0.5) / (tokens + 0.5 * (types + 1)))[ids]
-        del automaton
+        n, answers, found = len(group.words), answers.sort_values(["o", "p"]), {}
+        inner, trigrams, trigram = group.trigrams()
+        sizes = {1: 1, 2: n, 3: len(group.bigrams)}
+        for order in (1, 2, 3):
+            context, word, _ = group.grams(order)
+            at, part, short, is_hot = group.dealt(order, context, word, parts, hot)
+            own = answers[answers["o"] == order]
+            times, after = np.zeros(len(word), np.int64), np.zeros(sizes[order], np.int64)
+            times[at] = np.concatenate([unpack(x, np.uint32) for x in own["times"]] or [np.zeros(0, np.uint32)])
+            runs = changes(part, short) if len(part) else np.zeros(0, np.int64)
+            after[context[at[runs]]] = np.concatenate([unpack(x, np.uint32) for x in own["after"]] or [np.zeros(0, np.uint32)])
+            if order > 1:
+                k = runs[is_hot[runs]]
+                after[context[at[k]]] = [after_hot.get(order, {}).get(int(h), 0) for h in short[k]]
+            found[order] = (times, after)
+        total = found[1][0]
+        total[np.searchsorted(group.words, START)] = 0
+        end = np.searchsorted(group.words, END)
+        base = np.log10((total + 0.5) / (tokens + 0.5 * (types + 1)))[group.ids]
+        known = (total > 0)[group.ids].astype(np.int64)
+        total[np.searchsorted(group.words, START)] = total[end]  # a text has one start and one end
+        last2 = np.zeros(len(trigrams), np.int64)
+        last2[trigram] = group.bigram[inner]
+        automaton = Automaton(n, tokens, types, total, group.bigrams, *found[2], trigrams, *found[3], last2)
+        weights = automaton.walk(group.ids, group.before, group.bigram, inner, trigram)
+        del automaton, found
         release()
         return pd.DataFrame({
             "doc_id": pd.array(group.docs, dtype="Int64").copy() if not (group.flags & 2).any() else pd.array([None if f & 2 else d for d, f in zip(group.docs.tolist(), group.flags)], dtype="Int64"),
-            "held_out": (group.flags & 1) == 1, "n_tokens": group.counts, "n_known": np.add.reduceat((total[ids] > 0).astype(np.int64), group.first),
-            "train_tokens": tokens, "base_score": np.add.reduceat(base, group.first), "score": scores,
+            "held_out": (group.flags & 1) == 1, "n_tokens": group.counts, "n_known": np.add.reduceat(known, group.first),
+            "train_tokens": tokens, "base_score": np.add.reduceat(base, group.first), "score": np.add.reduceat(weights, group.first),
         })
 
     return run
@@ -264,19 +312,25 @@ def _scores(parts: int, hot: np.ndarray, hot_mass: dict[int, float], tokens: int
 def score_texts(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs; held_out: a condition."""
     groups = grouped(docs, held_out)
-    tokens = groups.agg(F.sum("n")).first()[0] or 0
-    parts, hot = groups_for(tokens, PART), heavy(groups)
-    asked = groups.drop("n").mapInPandas(tidied(_requests(parts, hot)), "p long, g long, words binary, counts binary, contexts binary, followers binary, seen binary")
-    answered = stored(asked.repartition(parts, "p").groupBy("p").applyInPandas(_answers(hot), "g long, p long, total binary, mass binary, times binary, tokens long, types long, hot binary, hot_mass binary"))
-    sums = answered.where("g is null").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
-    hot_mass: dict[int, float] = {}
-    for r in answered.where("g is null").select("hot", "hot_mass").toLocalIterator():  # under 256 words a part
-        for w, m in zip(unpack(bytes(r["hot"]), np.uint64).tolist(), unpack(bytes(r["hot_mass"]), np.float64).tolist()):
-            hot_mass[w] = hot_mass.get(w, 0.0) + m
-    answers = answered.where("g is not null").select("g", "p", "total", "mass", "times")
+    size = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
+    parts, hot = groups_for(size["n"], PART), heavy(groups)
+    request = "o int, p long, g long, contexts binary, runs binary, followers binary, seen binary"
+    answer = "g long, o int, p long, times binary, after binary, context long, t long, n long"
+    answers = None
+    for orders in ([1, 2], [3]):  # one after the other: what is asked of an order is gone before the next is asked
+        asked = groups.drop("n").mapInPandas(tidied(_requests(orders, parts, hot)), request)
+        own = stored(asked.repartition(parts * len(orders), "o", "p").groupBy("o", "p").applyInPandas(_answers(hot), answer))
+        answers = own if answers is None else answers.unionByName(own)
+    after_hot: dict[int, dict[int, int]] = {}
+    tokens = types = 0
+    for r in answers.where("g is null").groupBy("o", "context").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect():  # under 66,307 rows
+        after_hot.setdefault(r["o"], {})[r["context"]] = r["t"]
+        if r["o"] == 1:
+            tokens, types = r["n"], r["t"]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    run = _scores(parts, hot, hot_mass, int(sums["n"] or 0), int(sums["v"] or 0))
-    return groups.drop("n").groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(run, schema)
+    many = groups_for(size["groups"], 2)
+    back = answers.where("g is not null").select("g", "o", "p", "times", "after").repartition(many, "g")
+    return groups.drop("n").repartition(many, "g").groupBy("g").cogroup(back.groupBy("g")).applyInPandas(_scores(parts, hot, after_hot, tokens, types), schema)
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,25 +98,28 @@ def test_lm_scores(docs, monkeypatch, group):
     monkeypatch.setattr(lm, "PART", 500)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     texts = [(i, [b"<s>", *(t or "").translate(LOWER).encode().split(), b"</s>"]) for i, t in pairs(docs)]
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = {k: collections.Counter() for k in (1, 2, 3)}
     for i, w in texts:
         if not held(i):
-            one.update(w[1:])
-            two.update(zip(w, w[1:]))
-            context.update(w[:-1])
-    n, v = sum(one.values()), len(one)
-    two = {k: c for k, c in two.items() if c >= lm.LEAST}
-    mass = collections.Counter()
-    for (a, _), c in two.items():
-        mass[a] += c - lm.DISCOUNT
-    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+            for k in grams:
+                grams[k].update(tuple(w[j - k + 1 : j + 1]) for j in range(1, len(w)) if j - k + 1 >= 0)
+    n, v = sum(grams[1].values()), len(grams[1])
+    count, after = collections.Counter(), collections.Counter()
+    for k in (2, 3):
+        for gram, c in grams[k].items():
+            count[gram[:-1]] += c
+            after[gram[:-1]] += 1
+
+    def p(gram):
+        if len(gram) == 1:
+            return (grams[1][gram] + 0.5) / (n + 0.5 * (v + 1))
+        lower, context = p(gram[1:]), gram[:-1]
+        return max(grams[len(gram)][gram] - lm.DISCOUNT, 0) / count[context] + lm.DISCOUNT * after[context] / count[context] * lower if count[context] else lower
+
     want = []
     for i, w in texts:
-        score = 0.0
-        for a, b in zip(w, w[1:]):
-            c = two.get((a, b), 0)
-            score += math.log10((c - lm.DISCOUNT if c else 0) / (context[a] or 1) + (1 - (mass[a] / context[a] if context[a] else 0)) * p(b))
-        want.append((i, held(i), len(w) - 1, sum(x in one for x in w[1:]), n, round(sum(math.log10(p(x)) for x in w[1:]), 6), round(score, 6)))
+        score = sum(math.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(1, len(w)))
+        want.append((i, held(i), len(w) - 1, sum((x,) in grams[1] for x in w[1:]), n, round(sum(math.log10(p((x,))) for x in w[1:]), 6), round(score, 6)))
     rows = lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
     got = [(*tuple(r)[:5], round(r[5], 6), round(r[6], 6)) for r in rows.collect()]
     assert bag(got) == bag(want)
@@ -125,12 +128,15 @@ def test_lm_scores(docs, monkeypatch, group):
 def test_lm_probabilities_sum_to_one():
     import numpy as np
 
-    # context 0 was seen 10 times: 4 times before 1, 3 before 2, and three words once
-    total, found, times = np.array([10, 20, 30, 5]), np.array([1, 2]), np.array([4, 3])
-    auto = lm.Automaton(4, found, times, total, np.array([4 + 3 - 2 * lm.DISCOUNT, 0, 0, 0]), 65, 4)
-    words = sum(10 ** auto.score(0, [w]) for w in range(4))
-    unknown = 10 ** (auto.fail[0]) * 0.5 / (65 + 0.5 * 5)
-    assert words + unknown == pytest.approx(1)
+    # four words; the context (0, 1) was seen 6 times: 4 before 2, 2 before 3; the context 1 was seen 20 times, before all but 0
+    total = np.array([10, 20, 30, 5])
+    bigrams, times2, after2 = np.array([1, 4, 5, 6, 7]), np.array([6, 0, 3, 12, 5]), np.array([1, 3, 0, 0])
+    trigrams, times3, after3 = np.arange(0, 4), np.array([0, 0, 4, 2]), np.array([2, 0, 0, 0, 0])
+    auto = lm.Automaton(4, 65, 4, total, bigrams, times2, after2, trigrams, times3, after3, np.array([1, 2, 3, 4]))
+    ids, before, bigram = np.array([1, 0, 1, 1, 1, 2, 1, 3]), np.array([0, 1, 0, 1, 0, 1, 0, 1]), np.array([0, 1, 0, 2, 0, 3, 0, 4])
+    way = auto.walk(ids, before, bigram, np.array([1, 3, 5, 7]), np.arange(4))
+    unknown = 10 ** (auto.fail3[0] + auto.fail2[1]) * 0.5 / (65 + 0.5 * 5)
+    assert sum(10 ** way[[1, 3, 5, 7]]) + unknown == pytest.approx(1)
 
 
 def test_near_duplicates(docs):

@@ -35,13 +35,16 @@ def test_licenses_at_every_offset(spark, least):
     assert least == licenses.LEAST or any(v < 1 for f in want for v in f.values())
 
 
-def test_bigrams_seen_once_count(spark):
-    """A held-out text that repeats a passage seen once scores by its bigrams, not as if never seen."""
+def test_what_was_seen_once_counts(spark):
+    """A held-out text that repeats a passage seen once scores by its n-grams, not as if never seen."""
     docs = spark.createDataFrame([(0, "the red fox ran home"), (1, "red the home fox ran"), (2, "the red fox"), (3, "fox the red")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("doc_id") >= 2).collect()}
-    # 12 tokens in training, 6 different (the end twice); every context is seen twice, with two followers seen once but the ends
+    # 12 tokens in training, 6 different (the end twice)
     p = lambda c: (c + 0.5) / (12 + 0.5 * 7)
-    arc = lambda n, c, v, kept: (n - lm.DISCOUNT) / v + (1 - kept / v) * p(c)
-    want = arc(1, 2, 2, 0.5) * arc(1, 2, 2, 0.5) * arc(1, 2, 2, 0.5) * (1 - 1.25 / 2) * p(2)
-    assert got[2] == pytest.approx(math.log10(want))
+    d = lm.DISCOUNT
+    the = (1 - d) / 2 + d * 2 / 2 * p(2)  # P(the | start): seen once of two, two followers
+    red = (1 - d) / 1 + d * 1 / 1 * ((1 - d) / 2 + d * 2 / 2 * p(2))  # P(red | start the)
+    fox = (1 - d) / 1 + d * 1 / 1 * ((1 - d) / 2 + d * 2 / 2 * p(2))  # P(fox | the red)
+    end = d * 1 / 1 * (d * 1 / 2 * p(2))  # after (red fox) only ran was seen, and after fox ran, twice
+    assert got[2] == pytest.approx(math.log10(the * red * fox * end))
     assert got[2] > got[3]

@@ -133,31 +133,36 @@ class Sampler:
     def __init__(self, bands: int, rows: int, seed: int):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        r, c = (rng.gamma(2.0, 1.0, (bands, TABLE, rows)).astype(np.float32) for _ in range(2))
-        beta = rng.random((bands, TABLE, rows), np.float32)
-        self.table = np.stack([r, np.log(c) - r, beta], axis=2)  # a row for each shingle and band, read at once
+        shape = (bands * TABLE, rows)  # a block of TABLE rows for each band
+        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
+        self.lnc = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32) - self.r
+        self.beta = rng.random(shape, np.float32)
 
     def signatures(self, n: int, doc: np.ndarray, key: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """A hash of the sampled shingle and its t for each document and sample (0 without shingles); doc ascends."""
-        out = np.zeros((n, self.bands * self.rows), np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        edges, salts = np.append(starts, len(doc)), MIX * np.arange(1, self.bands + 1, dtype=np.uint64)
-        lnw = np.log(weight).astype(np.float32)
-        a = 0
-        while a < len(starts):  # some whole documents at a time, or one long one
-            b = max(a + 1, int(np.searchsorted(edges, edges[a] + 8192, "right")) - 1)
-            x, y = edges[a], edges[b]
-            own, keys, first = doc[starts[a:b]], key[x:y], starts[a:b] - x
-            which, steps = np.repeat(np.arange(b - a), np.diff(edges[a : b + 1])), lnw[x:y, None]
-            for band in range(self.bands):
-                rows = (mix64(keys + salts[band]) & np.uint64(TABLE - 1)).astype(np.int64)
-                r, lnc, beta = np.moveaxis(self.table[band, rows], 1, 0)
-                t = np.floor(steps / r + beta)
-                value = lnc - r * (t - beta)
-                least = np.minimum.reduceat(value, first, axis=0)
-                at, k = np.nonzero(value == least[which])
-                out[own[which[at]], band * self.rows + k] = mix64(keys[at] + MIX * (t[at, k].astype(np.int64).view(np.uint64) + np.uint64(1)))
-            a = b
+        """A hash of the sampled shingle and its t for each document and sample (0 without shingles); doc ascends. Of
+        equal values the greatest hash counts, so the order of shingles makes no difference."""
+        samples = self.bands * self.rows
+        best, out = np.full((n, samples), np.inf, np.float32), np.zeros((n, samples), np.uint64)
+        lnw, salts = np.log(weight).astype(np.float32), MIX * np.arange(1, self.bands + 1, dtype=np.uint64)
+        blocks = np.arange(self.bands, dtype=np.int64) * TABLE
+        for a in range(0, len(doc), 4096):
+            own, keys = doc[a : a + 4096], key[a : a + 4096]
+            salted = mix64(keys[:, None] + salts)
+            at = ((salted & np.uint64(TABLE - 1)).astype(np.int64) + blocks).ravel()
+            r, lnc, beta = (np.take(x, at, axis=0).reshape(len(own), samples) for x in (self.r, self.lnc, self.beta))
+            t = lnw[a : a + 4096, None] / r
+            t += beta
+            np.floor(t, out=t)
+            value = np.subtract(beta, t, out=beta)
+            value *= r
+            value += lnc
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            docs = own[starts]
+            least = np.minimum(np.minimum.reduceat(value, starts, axis=0), best[docs])
+            out[docs] = np.where(least < best[docs], np.uint64(0), out[docs])
+            best[docs] = least
+            row, k = np.divmod(np.flatnonzero(value == np.repeat(least, np.diff(np.append(starts, len(own))), axis=0)), samples)
+            np.maximum.at(out, (own[row], k), mix64(salted[row, k // self.rows] + MIX * (t[row, k].astype(np.int64).view(np.uint64) + np.uint64(1))))
         return out
 
 

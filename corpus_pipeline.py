@@ -33,11 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one of least doc_id. Rows of equal doc_id are one document (the least text);
-    rows without a doc_id stay."""
-    first = neardup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return one.where("_nth = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class, the one of least doc_id (no id first, then the text's hash). Rows are told apart by doc_id
+    and text, so texts of one doc_id are documents of their own and equal rows are one; texts without words stay."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(3)))
+    found = stored(neardup.classes(keyed.select(F.col("_row").alias("doc_id"), "text")).distinct().toDF("_row", "_class"))
+    least = F.min(F.struct("doc_id", F.col("_row").alias("row"))).alias("least")
+    first = keyed.select("doc_id", "_row").join(found.hint("merge"), "_row").groupBy("_class").agg(least).select(F.col("least.row").alias("_row"))
+    one = keyed.join(first.hint("merge"), "_row", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    return one.where("_nth = 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

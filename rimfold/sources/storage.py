@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset, as in tests."""
+    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset and all runs on this machine,
+    as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="rimfold-"))
         base = _own[0]

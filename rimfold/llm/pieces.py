@@ -11,6 +11,9 @@ No piece has a space after another character, and none has a line feed, so every
 (spaces and what follows them, or a line feed). The forward sums of a chunk are computed once for all its occurrences
 in a slice of rows, all chunks in step; the draws run over all occurrences at once.
 
+A chunk of over LONG characters (a long text without spaces or line feeds) goes by itself, in windows: the forward sums take a
+number for each character, and edges are made anew for the window where the draws stand.
+
 Decoding joins the bytes of the pieces and drops the space put before: it gives back each text exactly, which the
 encoder checks for every row.
 
@@ -34,6 +37,7 @@ from rimfold.llm.common import MIX, mix64, read, tidied
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 SLICE = 1_200_000
+LONG, WINDOW = 100_000, 20_000
 
 
 def vocabulary(path: str = MODEL) -> tuple[list[str], list[float]]:
@@ -161,7 +165,10 @@ class Lattice:
         which, different = pd.factorize(np.array(chunks, dtype=object))
         del chunks
         lengths = np.array([len(c) for c in different], np.int64)
-        codes = np.frombuffer("".join(different).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        far = np.flatnonzero(lengths > LONG)
+        far_codes = {int(k): self.codes(different[k]) for k in far}
+        lengths[far] = 0  # they take no part in what follows
+        codes = self.codes("".join(c for c, n in zip(different, lengths) if n))
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(codes))
         ids, weights = self.edges(codes, left)
@@ -170,7 +177,10 @@ class Lattice:
         row = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         draw = mix64(mix64(keys + MIX * np.uint64(seed + 1))[row] + MIX * nth.astype(np.uint64))
-        live, sizes, steps = np.arange(len(which)), np.zeros(len(which), np.int64), []
+        live, sizes, steps = np.flatnonzero(lengths[which]), np.zeros(len(which), np.int64), []
+        apart = {int(i): self.encode_long(far_codes[int(which[i])], draw[i]) for i in np.flatnonzero(lengths[which] == 0)}
+        for i, own in apart.items():
+            sizes[i] = len(own)
         while len(live):
             draw_now = (mix64(draw[live] + np.uint64(len(steps))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             at = node[live]
@@ -187,9 +197,48 @@ class Lattice:
         out, stop = np.zeros(sizes.sum(), np.int64), np.cumsum(sizes)
         for k, (own, code) in enumerate(steps):
             out[stop[own] - 1 - k] = code
+        for i, own in apart.items():
+            out[stop[i] - len(own) : stop[i]] = own
         row = np.repeat(row, sizes)
         return self.with_bytes(out, row, len(texts))
 
+    @staticmethod
+    def codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def window(self, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and weights of the pieces that end after characters a to b - 1 of one chunk."""
+        low = max(0, a - self.longest + 1)
+        ids, weights = self.edges(codes[low:b], np.arange(b - low, 0, -1))
+        return ids[a - low :].copy(), weights[a - low :].astype(np.float64)
+
+    def encode_long(self, codes: np.ndarray, draw: np.uint64) -> np.ndarray:
+        """ids of one chunk, by windows: a sum of ways for each character, then draws from the end."""
+        n, back = len(codes), np.arange(self.longest)
+        sums = np.full(n + 1, -np.inf)
+        sums[0] = 0.0
+        for a in range(0, n, WINDOW):
+            _, weights = self.window(codes, a, min(n, a + WINDOW))
+            for k in range(a, min(n, a + WINDOW)):
+                wide = min(k + 1, self.longest)
+                ways = sums[k - back[:wide]] + weights[k - a, :wide]
+                top = ways.max()
+                sums[k + 1] = top + np.log(np.exp(ways - top).sum())
+        out, at, low = [], n, n
+        while at:
+            if at <= low:
+                low = (at - 1) // WINDOW * WINDOW
+                ids, weights = self.window(codes, low, at)
+            wide = min(at, self.longest)
+            shares = np.cumsum(np.exp(sums[at - 1 - back[:wide]] + weights[at - 1 - low, :wide] - sums[at]))
+            u = float(mix64(np.array([draw], np.uint64) + np.uint64(len(out)))[0] >> np.uint64(11)) * 2.0**-53
+            pick = min(int((u * shares[-1] >= shares).sum()), wide - 1)
+            while ids[at - 1 - low, pick] == -1:
+                pick -= 1
+            out.append(int(ids[at - 1 - low, pick]))
+            at -= pick + 1
+        return np.array(out[::-1], np.int64)
+
     def with_bytes(self, out: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Characters that go by bytes (-2 - code point) become the ids of their bytes."""
         loose = np.flatnonzero(out < -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,21 +22,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="rimfold-"))
         folder = _own_folder[0]
     return folder.rstrip("/")
 
 
+def let_go(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of what nothing refers to any more when the driver collects its garbage, which an idle
+    driver hardly does by itself."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder: cuts lineage and outlives lost executors."""
+    """df, computed once and written to the shared folder: cuts lineage and outlives lost executors. The folder is the
+    job's to clear, as with checkpoints."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rimfold-{uuid.uuid4().hex}"
+    let_go(spark)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is done
+    let_go(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

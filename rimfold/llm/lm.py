@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimfold.llm.common import MIX, groups_for, mix64, read, release, slices, stored, tidied
+from rimfold.llm.common import MIX, groups_for, let_go, mix64, read, release, slices, stored, tidied
 
-DISCOUNT, GROUP, PART = 0.75, 8_000_000, 1_500_000
+DISCOUNT, GROUP, PART = 0.75, 6_000_000, 1_200_000
 START, END = np.uint64(1), np.uint64(2)  # hashes of the start (never a token) and the end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = {1: 48, 2: 40, 3: 32}  # of a follower's hash, by order
@@ -214,7 +214,10 @@ def _requests(orders: list[int], parts: int, hot: np.ndarray):
                         runs = changes(short[a:b])
                         lengths = np.diff(np.append(runs, b - a))
                         rows.append((order, part[a], row["g"], pack(np.diff(short[a:b][runs], prepend=np.uint64(0))), pack(lengths.astype(np.uint32)), pack(followers[a:b]), pack(seen[a:b].astype(np.uint32))))
+                    del context, word, seen, at, part, short, followers
                     yield pd.DataFrame(rows, columns=["o", "p", "g", "contexts", "runs", "followers", "seen"])
+                del group, rows
+                release()
 
     return run
 
@@ -237,6 +240,8 @@ def _answers(hot: np.ndarray):
             c, q = c + len(own), q + n
         for k in np.flatnonzero(np.isin(context, hot_contexts(order, hot))):
             rows.append((None, order, key[1], None, None, int(context[k]), int(after[k]), int(times.sum()) if order == 1 else 0))
+        del which, different, context, of, contexts, runs
+        release()
         return pd.DataFrame(rows, columns=["g", "o", "p", "times", "after", "context", "t", "n"]).astype({"g": "Int64", "context": "Int64"})
 
     return run
@@ -321,6 +326,8 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
         asked = groups.drop("n").mapInPandas(tidied(_requests(orders, parts, hot)), request)
         own = stored(asked.repartition(parts * len(orders), "o", "p").groupBy("o", "p").applyInPandas(_answers(hot), answer))
         answers = own if answers is None else answers.unionByName(own)
+        del asked, own
+    let_go(docs.sparkSession)
     after_hot: dict[int, dict[int, int]] = {}
     tokens = types = 0
     for r in answers.where("g is null").groupBy("o", "context").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect():  # under 66,307 rows

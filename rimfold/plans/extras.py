@@ -356,3 +356,8 @@ def mod5_multiclass(spark, sf_dir):
 
     guessed = model.transform(VectorAssembler(inputCols=["prob", "value"], outputCol="_x").transform(rows))
     return guessed.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(F.col("fold") == 0, (F.col("prediction") == F.col("y")).cast("int"))) > 0.9).cast("int").alias("learns"))
+
+
+# the same SQL holds for the plain queries of these rasters
+ORACLES["ra16_signed_distance"], ORACLES["sg6_thickness"] = ORACLES["ra16_signed_distances"], ORACLES["sg6_rim_thickness"]
+ORACLES["ra2_height_from_gradient"] = UNIT + KERNEL + " select vec_id, y, x, round(z, 5) + 0.0e0 as v from hh"

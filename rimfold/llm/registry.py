@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rimfold.llm.centroids import OP12_SQL, op12_centroid_clusters
 from rimfold.llm.chat import OP6_SQL, op6_chat_format
 from rimfold.llm.licenses import op3_license_scan
 from rimfold.llm.licenses import oracle_sql as op3_sql
@@ -11,6 +12,8 @@ from rimfold.llm.mixing import op2_mix_sources
 from rimfold.llm.neardup import op8_near_duplicates
 from rimfold.llm.pieces import op5_sentencepiece
 from rimfold.llm.quality import op9_quality_rules
+from rimfold.llm.ranking import OP13_SQL, op13_ranked_search
+from rimfold.llm.simhash import op11_simhash_components
 from rimfold.llm.substrings import op1_suffix_dedup
 from rimfold.llm.topk import OP7_SQL, op7_exact_topk
 
@@ -25,10 +28,15 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash_components": op11_simhash_components,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scan": op3_sql(),
     "op6_chat_format": OP6_SQL,
     "op7_exact_topk": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_centroid_clusters": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }

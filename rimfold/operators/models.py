@@ -1,7 +1,7 @@
-"""Scoring and training of rankers and ordinal classifiers.
+"""Scoring of rankers and ordinal classifiers, oversampling, model files, mask metrics.
 
 A tree ensemble is a table of nodes held in the plan as arrays (its size is the model's, not the data's); scoring walks
-it with higher-order functions. Training uses Spark's own learners.
+it with higher-order functions. Training is in boost.py.
 """
 
 from __future__ import annotations
@@ -45,33 +45,6 @@ def feature_vector(values: str, names: list[str]) -> Column:
     return F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at(F.col(values), n), F.lit(0.0)))
 
 
-def train_ranker(rows: DataFrame, features: list[str], label: str, *, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """A gradient-boosted binary classifier; positives weigh n_neg / n_pos."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    counts = rows.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
-    weight = counts["neg"] / max(1, counts["pos"])
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.withColumn("_w", F.when(F.col(label) == 1, weight).otherwise(1.0)))
-    return GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed).fit(data)
-
-
-def train_ordinal(rows: DataFrame, features: list[str], target: str, *, rounds: int = 20, depth: int = 4, seed: int = 42):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
-
-
-def predict(model, rows: DataFrame, features: list[str], name: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
-    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return out.withColumn(name, value).drop("_x", "rawPrediction", "probability", "prediction")
-
-
 def oversample(rows: DataFrame, features: list[str], cls: str, key: str, *, neighbours: int = 5, seed: int = 42, block: int = 4096) -> DataFrame:
     """features, cls, base and other (keys): synthetic rows that bring every class to the size of the largest. Each is a base
     row moved a random share of the way to one of its nearest rows of the class (of min(neighbours, rows - 1); ties to the
@@ -119,15 +92,6 @@ def oversample(rows: DataFrame, features: list[str], cls: str, key: str, *, neig
     return made.select(*point, cls, "base", F.col("_o.other").alias("other"))
 
 
-def train_classes(rows: DataFrame, features: list[str], label: str, *, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """A multiclass model: a gradient-boosted binary classifier for each class against the rest; the surest one decides."""
-    from pyspark.ml.classification import GBTClassifier, OneVsRest
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.withColumn("_label", F.col(label).cast("double")))
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), featuresCol="_x", labelCol="_label").fit(data)
-
-
 def read_trees(spark, path: str) -> tuple[list[list[tuple]], int]:
     """The trees of a boosted model's text dump, as tree_score takes them, and their depth. Lines are parsed and put together
     by tree in Spark; what comes to the driver is the model.
@@ -195,29 +159,3 @@ def classified(rows: DataFrame, features: list[str], trees: list[list[tuple]], d
 
     value = ensemble([tree_score(F.array(*map(F.col, features)), trees, depth)], False)
     return rows.withColumn("cls", F.when(F.col(points) < least, default).otherwise(ordinal_class(value)))
-
-
-def cross_validate(rows: DataFrame, features: list[str], cls: str, target: str, *, k: int = 5, fit=train_ordinal, **settings) -> DataFrame:
-    """fold, macro_f1, accuracy of models fitted without the fold; rows have a fold column. One small row a fold."""
-    from rimfold.operators.stats import averages, class_report, ordinal_class
-
-    out = None
-    for fold in range(k):
-        model = fit(rows.where(F.col("fold") != fold), features, target, **settings)
-        guessed = predict(model, rows.where(F.col("fold") == fold), features, "_value").withColumn("guess", ordinal_class("_value"))
-        one = averages(class_report(guessed, [0, 1, 2, 3, 4], cls, "guess")).select(F.lit(fold).alias("fold"), "macro_f1", "accuracy")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def random_search(rows: DataFrame, features: list[str], cls: str, target: str, grid: dict[str, list], *, trials: int = 20, k: int = 5, seed: int = 42) -> tuple[dict, float]:
-    """The settings, of `trials` drawn from the grid, with the best mean macro F1 over the folds; a driver loop over models."""
-    import random
-
-    rng, best = random.Random(seed), ({}, -1.0)
-    for _ in range(trials):
-        settings = {name: rng.choice(values) for name, values in grid.items()}
-        score = cross_validate(rows, features, cls, target, k=k, **settings).agg(F.avg("macro_f1")).first()[0] or 0.0
-        if score > best[1]:
-            best = (settings, score)
-    return best

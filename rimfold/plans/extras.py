@@ -90,12 +90,6 @@ def snk6_score_file(spark, sf_dir):
     return spark.read.text(path).select(F.round(F.col("value").cast("double"), 4).alias("score"))
 
 
-@query("select unnest(['geometry_area_ratio', 'meta_log_area', 'rim_prob_std']) as name")
-def set3_missing_names(spark, sf_dir):
-    have = [n for n in features.RANKER if n not in ("geometry_area_ratio", "meta_log_area", "rim_prob_std")]
-    return spark.createDataFrame([(features.RANKER, have)], "wanted array<string>, have array<string>").select(F.explode(F.array_except("wanted", "have")).alias("name"))
-
-
 @query(SCORED + " select seq, round(1 / (1 + exp(-(case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end))), 9) as score from scored")
 def src9_model_text(spark, sf_dir):
     path = storage.folder(spark)
@@ -347,17 +341,6 @@ def smp3_oversampled_classes(spark, sf_dir):
     return both.groupBy("cls").agg(F.count(F.lit(1)).alias("made"), F.count_if(~(on("prob", "p") & on("value", "v"))).alias("outside"), F.count_if(strange).alias("strangers"))
 
 
-@query(SCORED + " select count(*) as n, 1::int as learns from scored")
-def mod5_multiclass(spark, sf_dir):
-    """A multiclass model fitted without a fold, on labels that two inputs decide: right on most of the fold's rows."""
-    rows = stats.folds(scored(spark, sf_dir)).withColumn("y", F.when(F.col("prob") < 0.7, 0).when(F.col("value") < 2, 1).otherwise(2))
-    model = models.train_classes(rows.where("fold <> 0"), ["prob", "value"], "y", rounds=5, depth=3)
-    from pyspark.ml.feature import VectorAssembler
-
-    guessed = model.transform(VectorAssembler(inputCols=["prob", "value"], outputCol="_x").transform(rows))
-    return guessed.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(F.col("fold") == 0, (F.col("prediction") == F.col("y")).cast("int"))) > 0.9).cast("int").alias("learns"))
-
-
 # the same SQL holds for the plain queries of these rasters
 ORACLES["ra16_signed_distance"], ORACLES["sg6_thickness"] = ORACLES["ra16_signed_distances"], ORACLES["sg6_rim_thickness"]
 ORACLES["ra2_height_from_gradient"] = UNIT + KERNEL + " select vec_id, y, x, round(z, 5) + 0.0e0 as v from hh"

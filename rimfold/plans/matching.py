@@ -334,14 +334,6 @@ def prj7_resize_dims(spark, sf_dir):
     return rows.select("image_no", "w", "h", rw.alias("rw"), rh.alias("rh"))
 
 
-@query("select s, split_part(replace(s, 'x', ','), ',', 1)::int as w, coalesce(nullif(split_part(replace(s, 'x', ','), ',', 2), ''), split_part(replace(s, 'x', ','), ',', 1))::int as h, "
-       "case s when '672x544' then 24 when '544,416' then 32 else 32 end as ov from (select unnest(['672x544', '544,416', '672']) as s)")
-def prj8_9_size_arguments(spark, sf_dir):
-    rows = spark.createDataFrame([("672x544",), ("544,416",), ("672",)], "s string")
-    w, h = ellipses.parse_size("s")
-    return rows.select("s", w.alias("w"), h.alias("h")).withColumn("ov", ellipses.default_overlap("w", "h", F.when(F.col("s") == "544,416", 1024).otherwise(1296))[0])
-
-
 @query(WITH + " select seq from truth where seq % 2 = 0 union all select seq from pred")
 def set1_union(spark, sf_dir):
     t, p = both(spark, sf_dir)

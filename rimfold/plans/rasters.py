@@ -97,16 +97,6 @@ def ra6_corner_tiles(spark, sf_dir):
     return out.select("vec_id", "tile_no", F.floor(F.col("i") / 5).cast("int").alias("y"), (F.col("i") % 5).alias("x"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("select h::int as h, k::int as k, greatest(0, least(k * 24, h - 32))::int as origin from (select unnest([64, 100, 129, 32]) as h) s, (select unnest(range(10)) as k) r where k < (h - 32 + 23) // 24 + 1")
-def ra7_tile_grid(spark, sf_dir):
-    return spark.createDataFrame([(h, k, o) for h in (64, 100, 129, 32) for k, o in enumerate(raster.tile_origins(h, 32, 8))], "h int, k int, origin int")
-
-
-@query("select k::int as k, round(case when least(k, 15 - k) < 3.75e0 then 0.5e0 * (1 - cos(pi() * least(k, 15 - k) / 3.75e0)) else 1 end, 9) as tukey, round(exp(-((k - 7.5e0)**2) / 32), 9) as gauss from (select unnest(range(16)) as k)")
-def ra8_9_windows(spark, sf_dir):
-    return spark.createDataFrame([(k, round(t, 9), round(g, 9)) for k, (t, g) in enumerate(zip(raster.tukey(16, 4), raster.gaussian(16)))], "k int, tukey double, gauss double")
-
-
 BLEND = P + """, c as (select unnest([0, 3]) as o), k as (select k, exp(-((k - 2)**2) / (2 * 1.25e0**2)) as g from (select unnest(range(5)) as k)),
 s as (select vec_id, y, x, v * (1 + a.o * 0.1e0 + b.o * 0.01e0) as v, ky.g * kx.g as w from patch, c a, c b, k ky, k kx where y - a.o = ky.k and x - b.o = kx.k)"""
 
@@ -120,14 +110,6 @@ def ra10_weighted_blend(spark, sf_dir):
     return out.withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query("select y::int as y, x::int as x, count(*) > 1 as overlap from (select unnest(range(8)) as y), (select unnest(range(8)) as x), (select unnest([0, 3]) as a), (select unnest([0, 3]) as b) where y between a and a + 4 and x between b and b + 4 group by 1, 2")
-def ra11_overlap_mask(spark, sf_dir):
-    one = spark.range(1).select(F.lit(0).alias("vec_id"), F.array(*[F.lit(1.0)] * 64).alias("plane"))
-    cut = raster.tiles(one, "plane", 8, [(y, x) for y in (0, 3) for x in (0, 3)], 5, 5)
-    spots = cut.select("y0", "x0", F.posexplode("tile").alias("i", "v")).select((F.col("y0") + F.floor(F.col("i") / 5)).cast("int").alias("y"), (F.col("x0") + F.col("i") % 5).cast("int").alias("x"))
-    return spots.groupBy("y", "x").agg((F.count(F.lit(1)) > 1).alias("overlap"))
-
-
 @query(P + """, o as (select unnest(range(10))::int as k) select i.vec_id, a.k as y, b.k as x, round(coalesce(p.v, 0), 6) + 0.0e0 as v, round(q.v, 6) + 0.0e0 as r from (select distinct vec_id from patch) i, o a, o b
 left join patch p on p.vec_id = i.vec_id and p.y = a.k and p.x = b.k join patch q on q.vec_id = i.vec_id and q.y = least(a.k, 7) and q.x = least(b.k, 7)""")
 def ra12_padding(spark, sf_dir):
@@ -500,20 +482,6 @@ def sg12_polar_fit(spark, sf_dir):
     return f.select("seq", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"))
 
 
-@query()
-def mod2_ranker(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("size", F.col("a"))
-    model = models.train_ranker(rows, ["prob", "value", "size"], "matched", rounds=5, depth=3)
-    return models.predict(model, rows, ["prob", "value", "size"], "rank_score").select("seq", F.round("rank_score", 6).alias("rank_score"))
-
-
-@query()
-def mod3_ordinal(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("target", stats.ordinal_target("cls"))
-    model = models.train_ordinal(rows, ["prob", "value", "a"], "target", rounds=5, depth=3)
-    return models.predict(model, rows, ["prob", "value", "a"], "ordinal").select("seq", stats.ordinal_class("ordinal").alias("cls"))
-
-
 RANKED = SCORED + """, r as (select seq, case when seq % 20 < 5 then prob else 1 / (1 + exp(-(case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end))) end as s,
 case when seq % 20 < 5 then 2 else (v >= 0.3e0)::int + (v >= 1)::int + (v >= 2.1e0)::int + (v >= 3.3e0)::int end as cls from (select *, case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end as v from scored))"""
 
@@ -528,9 +496,3 @@ def mod7_deployed_ranker(spark, sf_dir):
 def mod8_deployed_classes(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("n", F.col("seq") % 20)
     return models.classified(rows, ["prob", "value"], TREES, 2).select("seq", "cls")
-
-
-@query()
-def mod6_cross_validation(spark, sf_dir):
-    rows = stats.folds(scored(spark, sf_dir), 3).withColumn("target", stats.ordinal_target("cls"))
-    return models.cross_validate(rows, ["prob", "value", "a"], "cls", "target", k=3, rounds=2, depth=2)

@@ -36,39 +36,63 @@ def test_six_defects_together_stay_under_the_risk(spark):
     assert 1 - share[True] <= 0.01 and share[False] < 0.65
 
 
-def plain(rows, grid, risk, level):
-    """rows: (passed cutoffs of each rule, good). The same choice, by sets and exact fractions."""
-    n = sum(g for _, g in rows)
-
-    def passes(k):
-        p = Fraction(risk)
-        return sum(math.comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(k + 1)) <= Fraction(level)
-
-    setting = [m + 1 for m in grid]
+def plain_path(rows, grid):
+    """rows: (passed cutoffs of each rule, good). The same path, by documents and exact fractions."""
+    setting, path = [m + 1 for m in grid], []
     while True:
-        out = [any(a >= s for a, s in zip(above, setting)) for above, _ in rows]
+        left = [(above, good) for above, good in rows if not any(a >= s for a, s in zip(above, setting))]
         options = []
         for rule in range(len(grid)):
-            for j in range(setting[rule] - 1, 0, -1):
-                new = [g for (above, g), o in zip(rows, out) if not o and above[rule] >= j]
-                k = sum(g for (_, g), o in zip(rows, out) if o) + sum(new)
-                if len(new) > sum(new) and passes(k):
-                    options.append((Fraction(len(new) - sum(new), sum(new) + 1), -rule, j))
+            steps = [above[rule] for above, good in left if not good and 0 < above[rule]]
+            if steps:
+                out = [good for above, good in left if above[rule] >= max(steps)]
+                options.append((Fraction(len(out) - sum(out), sum(out) + 1), -rule, max(steps)))
         if not options:
-            return setting
+            return path
         _, rule, j = max(options)
-        setting[-rule] = j
+        setting = [j if r == -rule else s for r, s in enumerate(setting)]
+        path.append(setting)
 
 
-def test_choice_is_the_plain_one():
+def test_path_and_choice_are_the_plain_ones():
     for seed in range(6):
         rng = random.Random(seed)
         grid = [3, 2, 4]
-        rows = [tuple(min(g, int(rng.expovariate(9 if good else 1.2))) for g in grid) + (good,) for good in (rng.random() < 0.7 for _ in range(400))]
+        rows = [tuple(min(g, int(rng.expovariate(9 if good else 1.2))) for g in grid) + (good,) for good in (rng.random() < 0.7 for _ in range(600))]
+        guide, hold = rows[:300], [r for r in rows[300:] if r[3]]
         keys = sorted({r[:3] for r in rows})
-        good, bad = (np.array([sum(r == (*k, side) for r in rows) for k in keys]) for side in (True, False))
-        got = quality.choose_setting(np.array(keys), good, bad, grid, 0.05, 0.01)
-        assert got.tolist() == plain([(r[:3], int(r[3])) for r in rows], grid, Fraction(1, 20), Fraction(1, 100))
+        good, bad = (np.array([sum(r == (*k, side) for r in guide) for k in keys]) for side in (True, False))
+        held = np.array([sum(r[:3] == k for r in hold) for k in keys])
+        path = quality.setting_path(np.array(keys), good, bad, grid)
+        want = plain_path([(r[:3], int(r[3])) for r in guide], grid)
+        assert [p.tolist() for p in path] == want
+        chosen, risk, level = None, Fraction(1, 5), Fraction(1, 80)
+        for setting in want:
+            k = sum(any(a >= s for a, s in zip(r, setting)) for r in hold)
+            if sum(math.comb(len(hold), x) * risk**x * (1 - risk) ** (len(hold) - x) for x in range(k + 1)) > level:
+                break
+            chosen = setting
+        got = quality.tested_setting(path, np.array(keys), held, 0.2, 1 / 80)
+        assert (got is None) == (chosen is None) and (got is None or got.tolist() == chosen)
+        assert chosen is not None
+
+
+def test_strata_exceed_the_risk_no_oftener_than_allowed():
+    """Many strata of 600 good documents whose defects are as frequent in good ones as the risk: a choice that rejects over the
+    risk is to be as rare as delta."""
+    rng, over, some, n = np.random.default_rng(11), 0, 0, 400
+    for _ in range(n):
+        defect = rng.random((900, 3)) < np.array([0.004, 0.02, 0.05])
+        good = np.arange(900) < 600
+        defect[~good] |= rng.random((300, 3)) < 0.5
+        above, which = np.unique(defect.astype(int), axis=0, return_inverse=True)
+        guide = np.arange(900) % 4 == 0
+        count = lambda mask: np.bincount(which.ravel()[mask], minlength=len(above))
+        path = quality.setting_path(above, count(good & guide), count(~good), [1, 1, 1])
+        chosen = quality.tested_setting(path, above, count(good & ~guide), 0.02, 0.05)
+        some += chosen is not None
+        over += chosen is not None and 1 - np.prod(1 - np.array([0.004, 0.02, 0.05])[chosen == 1]) > 0.02
+    assert over <= 0.05 * n + 3 * (0.05 * 0.95 * n) ** 0.5 and some > 0.2 * n
 
 
 def test_every_verdict_is_that_of_the_setting(spark):

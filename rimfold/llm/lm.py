@@ -15,10 +15,12 @@ are packed in groups (a table in the shared folder: different words as 64-bit ha
 Each group asks for the n-grams it has; a request goes to the part of the hash of its context, which sums the counts
 over all groups and answers every request in its order. Then each group builds the part of the automaton that its
 texts can reach, and walks it. Requests of a group are rows only for parts that it asks, so there are never more rows
-than n-grams; sizes of groups and parts are parameters. Contexts of words that each make up over 1/256 of all tokens (under
-256 words, so under 66,000 contexts), and the root, are dealt by the following word instead; what their parts found is
-summed by a grouping, so that no part has more than its share. In a part, contexts are told apart by 48 bits, and followers
-of one context by 48, 40 or 32 bits at orders one, two and three.
+than n-grams; sizes of groups and parts are parameters. Orders go one after the other: what an order counts over PART / 2 times
+is a hot context of the next (no more than two for each part, as all counts add up to the tokens), and hot contexts, like
+the root, are dealt by the following word instead. What their parts find of followers is summed by a grouping and joined
+to the groups that meet the context, as rows. So a part has no context of more than about PART tokens whole, however
+large the corpus. In a part, contexts are told apart by 48 bits, and followers of one context by 48 bits at order one, 40
+at two and three: of n followers that meet in a part about n^2 / 2^41 merge with another, two of PART.
 
 Defined cases: null and empty texts are one end token; a null doc_id is training; repeated rows each count and are
 each scored.
@@ -27,6 +29,7 @@ each scored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,7 @@ from rimfold.llm.common import MIX, groups_for, let_go, mix64, read, release, sl
 DISCOUNT, GROUP, PART = 0.75, 6_000_000, 1_200_000
 START, END = np.uint64(1), np.uint64(2)  # hashes of the start (never a token) and the end
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-BITS = {1: 48, 2: 40, 3: 32}  # of a follower's hash, by order
+BITS = {1: 48, 2: 40, 3: 40}  # of a follower's hash, by order
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -121,12 +124,23 @@ class Group:
         self.words, self.ids = unpack(row["words"], np.uint64), unpack(row["ids"], np.uint32).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         self.training = np.repeat((self.flags & 1) == 0, self.counts)
-        n = len(self.words)
         self.before = np.empty(len(self.ids), np.int64)
         self.before[1:] = self.ids[:-1]
         self.before[self.first] = np.searchsorted(self.words, START)
-        #: different bigrams (context place * words + word place), and which of them each token ends
-        self.bigrams, self.bigram = np.unique(self.before * n + self.ids, return_inverse=True)
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.before * len(self.words) + self.ids, return_inverse=True)
+
+    @property
+    def bigrams(self) -> np.ndarray:
+        """Different bigrams: context place * words + word place."""
+        return self.pairs[0]
+
+    @property
+    def bigram(self) -> np.ndarray:
+        """Which of them each token ends."""
+        return self.pairs[1]
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens that are not first in their text; the different trigrams (place of a bigram * words + word place) and
@@ -150,21 +164,27 @@ class Group:
         return found // n, found % n, seen
 
     def dealt(self, order: int, context: np.ndarray, word: np.ndarray, parts: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For n-grams: their order by part and context, and in it their parts, 48-bit contexts and whether these are hot."""
+        """For n-grams: their order by part and context, and in it their parts, 48-bit contexts and whether these are hot;
+        hot: the keys (gram_key) of the hot contexts."""
+        mixed = mix64(self.words)
         if order == 1:
             h, is_hot = np.zeros(1, np.uint64), np.ones(1, bool)
         elif order == 2:
-            h, is_hot = mix64(self.words), np.isin(self.words, hot)
+            h, is_hot = mixed, np.isin(gram_key(1, np.uint64(0), mixed), hot)
         else:
             u, v = self.bigrams // len(self.words), self.bigrams % len(self.words)
-            hot_word = np.isin(self.words, hot)
-            h, is_hot = pair_hash(self.words[u], self.words[v]), hot_word[u] & hot_word[v]
-        own = np.where(is_hot[context], mix64(self.words)[word], h[context]) % np.uint64(parts)
+            h, is_hot = pair_hash(self.words[u], self.words[v]), np.isin(gram_key(2, mixed[u] >> np.uint64(16), mixed[v]), hot)
+        own = np.where(is_hot[context], mixed[word], h[context]) % np.uint64(parts)
         short = h[context] >> np.uint64(16)
         at = np.lexsort((short, own))
         return at, own[at].astype(np.int64), short[at], is_hot[context[at]]
 
 
+def gram_key(order: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What an n-gram is known by as a context of the next order: from its 48-bit context and its word's mixed hash."""
+    return mix64(context + MIX * mix64((word >> np.uint64(64 - BITS[order])) ^ MIX))
+
+
 def changes(*keys: np.ndarray) -> np.ndarray:
     """Where sorted keys change: the first of each run."""
     new = np.ones(len(keys[0]), bool)
@@ -174,79 +194,85 @@ def changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def heavy(groups: DataFrame) -> np.ndarray:
-    """Hashes of all words that make up 1/256 of the tokens, and the start: no more than 256 words in all."""
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                words, ids = unpack(row["words"], np.uint64), unpack(row["ids"], np.uint32)
-                counts = np.bincount(ids, minlength=len(words))
-                big = counts * 512 > len(ids)
-                yield pd.DataFrame({"word": words[big].view(np.int64), "c": counts[big]})
-
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    sums = groups.select("words", "ids").mapInPandas(local, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") * 256 > total)
-    return np.sort(np.append(np.array([r["word"] for r in sums.collect()], np.int64).view(np.uint64), START))
+#: The start is the context of every text's first word: always hot.
+FIRST = gram_key(1, np.zeros(1, np.uint64), mix64(np.array([START])))
 
 
-def hot_contexts(order: int, hot: np.ndarray) -> np.ndarray:
-    """The 48-bit contexts of an order that are dealt by word."""
-    if order == 1:
-        return np.zeros(1, np.uint64)
-    if order == 2:
-        return np.sort(mix64(hot) >> np.uint64(16))
-    return np.sort((pair_hash(np.repeat(hot, len(hot)), np.tile(hot, len(hot))) >> np.uint64(16)))
+def _requests(order: int, parts: int, hot: np.ndarray):
+    """A row for each part that a group asks, and one of the hot contexts that it meets (o < 0)."""
 
-
-def _requests(orders: list[int], parts: int, hot: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
                 group = Group(row)
-                for order in orders:
-                    context, word, seen = group.grams(order)
-                    at, part, short, _ = group.dealt(order, context, word, parts, hot)
-                    followers, seen = mix64(group.words)[word[at]] >> np.uint64(64 - BITS[order]), seen[at]
-                    cuts = changes(part)
-                    rows = []
-                    for a, b in zip(cuts, np.append(cuts[1:], len(part))):  # parts that are asked
-                        runs = changes(short[a:b])
-                        lengths = np.diff(np.append(runs, b - a))
-                        rows.append((order, part[a], row["g"], pack(np.diff(short[a:b][runs], prepend=np.uint64(0))), pack(lengths.astype(np.uint32)), pack(followers[a:b]), pack(seen[a:b].astype(np.uint32))))
-                    del context, word, seen, at, part, short, followers
-                    yield pd.DataFrame(rows, columns=["o", "p", "g", "contexts", "runs", "followers", "seen"])
-                del group, rows
+                context, word, seen = group.grams(order)
+                at, part, short, is_hot = group.dealt(order, context, word, parts, hot)
+                followers, seen = mix64(group.words)[word[at]] >> np.uint64(64 - BITS[order]), seen[at]
+                cuts = changes(part) if len(part) else np.zeros(0, np.int64)
+                met = np.unique(short[is_hot]) if order > 1 else short[:0]
+                rows = [(-order, row["g"] % parts, row["g"], pack(met), None, None, None, None)] if len(met) else []
+                for a, b in zip(cuts, np.append(cuts[1:], len(part))):  # parts that are asked
+                    runs = changes(short[a:b], is_hot[a:b])
+                    lengths = np.diff(np.append(runs, b - a))
+                    own = short[a:b][runs]
+                    rows.append((order, part[a], row["g"], pack(np.diff(own, prepend=np.uint64(0))), pack(is_hot[a:b][runs].astype(np.uint8)), pack(lengths.astype(np.uint32)), pack(followers[a:b]), pack(seen[a:b].astype(np.uint32))))
+                del group, context, word, seen, at, part, short, followers, is_hot
+                yield pd.DataFrame(rows, columns=["o", "p", "g", "contexts", "hot", "runs", "followers", "seen"])
+                del rows
                 release()
 
     return run
 
 
-def _answers(hot: np.ndarray):
+def _answers(least: int):
+    """Counts for every request in its order; besides, without a group, what the part has of each hot context (context, t:
+    followers, n: at the root, tokens), and the n-grams counted over `least` times (gram)."""
+    columns = ["g", "o", "p", "times", "after", "context", "t", "n", "gram"]
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns, dtype=object)  # numbers beside nulls, whole
+        return out.assign(**{c: pd.array(out[c].tolist(), "Int64") for c in columns if c not in ("times", "after")})
+
     def run(key, asked: pd.DataFrame) -> pd.DataFrame:
-        order, bits = int(key[0]), np.uint64(BITS[int(key[0])])
+        order = int(key[0])
+        if order < 0:
+            rows = [(g, order, key[1], None, c, None, 0, 0, None) for g, c in zip(asked["g"], asked["contexts"])]
+            return table(rows)
+        bits = np.uint64(BITS[order])
         contexts, runs = [np.cumsum(unpack(x, np.uint64)) for x in asked["contexts"]], [unpack(x, np.uint32) for x in asked["runs"]]
         context, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        hot = np.zeros(len(context), bool)
+        hot[of[np.concatenate([unpack(x, np.uint8) for x in asked["hot"]]) > 0]] = True
         gram = np.repeat(of.astype(np.uint64) << bits, np.concatenate(runs))
         gram |= np.concatenate([unpack(x, np.uint64) for x in asked["followers"]])
         different, which = np.unique(gram, return_inverse=True)
         del gram
         times = np.bincount(which, np.concatenate([unpack(x, np.uint32) for x in asked["seen"]]), len(different)).astype(np.int64)
-        after = np.bincount((different >> bits).astype(np.int64)[times > 0], minlength=len(context))
+        owner = (different >> bits).astype(np.int64)
+        after = np.bincount(owner[times > 0], minlength=len(context))
         rows, c, q = [], 0, 0
         for g, own, lengths in zip(asked["g"], contexts, runs):
             n = int(lengths.sum())
-            rows.append((g, order, key[1], pack(times[which[q : q + n]].astype(np.uint32)), pack(after[of[c : c + len(own)]].astype(np.uint32)), None, 0, 0))
+            rows.append((g, order, key[1], pack(times[which[q : q + n]].astype(np.uint32)), pack(after[of[c : c + len(own)]].astype(np.uint32)), None, 0, 0, None))
             c, q = c + len(own), q + n
-        for k in np.flatnonzero(np.isin(context, hot_contexts(order, hot))):
-            rows.append((None, order, key[1], None, None, int(context[k]), int(after[k]), int(times.sum()) if order == 1 else 0))
-        del which, different, context, of, contexts, runs
+        rows += [(None, order, key[1], None, None, int(context[k]), int(after[k]), int(times.sum()) if order == 1 else 0, None) for k in np.flatnonzero(hot)]
+        big = np.flatnonzero(times > least)
+        keys = gram_key(order, context[owner[big]], different[big] << (np.uint64(64) - bits)).view(np.int64)
+        rows += [(None, order, key[1], None, None, None, 0, 0, int(k)) for k in keys]
+        del which, different, context, of, contexts, runs, owner
         release()
-        return pd.DataFrame(rows, columns=["g", "o", "p", "times", "after", "context", "t", "n"]).astype({"g": "Int64", "context": "Int64"})
+        return table(rows)
 
     return run
 
 
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """g, o, context: the hot contexts that a group meets, a row each."""
+    for batch in batches:
+        for g, o, packed in zip(batch["g"], batch["o"], batch["after"]):
+            yield pd.DataFrame({"g": g, "o": -o, "context": unpack(packed, np.uint64).astype(np.int64)})
+
+
 class Automaton:
     """Arcs by n-gram and failure weights by state; log10."""
 
@@ -275,23 +301,24 @@ class Automaton:
         return low
 
 
-def _scores(parts: int, hot: np.ndarray, after_hot: dict[int, dict[int, int]], tokens: int, types: int):
+def _scores(parts: int, hot: dict[int, np.ndarray], tokens: int, types: int):
     def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         group = Group(row.iloc[0])
+        told, answers = answers[answers["context"].notna()], answers[answers["context"].isna()]
         n, answers, found = len(group.words), answers.sort_values(["o", "p"]), {}
         inner, trigrams, trigram = group.trigrams()
         sizes = {1: 1, 2: n, 3: len(group.bigrams)}
         for order in (1, 2, 3):
             context, word, _ = group.grams(order)
-            at, part, short, is_hot = group.dealt(order, context, word, parts, hot)
+            at, part, short, is_hot = group.dealt(order, context, word, parts, hot[order])
             own = answers[answers["o"] == order]
             times, after = np.zeros(len(word), np.int64), np.zeros(sizes[order], np.int64)
             times[at] = np.concatenate([unpack(x, np.uint32) for x in own["times"]] or [np.zeros(0, np.uint32)])
-            runs = changes(part, short) if len(part) else np.zeros(0, np.int64)
+            runs = changes(part, short, is_hot) if len(part) else np.zeros(0, np.int64)
             after[context[at[runs]]] = np.concatenate([unpack(x, np.uint32) for x in own["after"]] or [np.zeros(0, np.uint32)])
             if order > 1:
-                k = runs[is_hot[runs]]
-                after[context[at[k]]] = [after_hot.get(order, {}).get(int(h), 0) for h in short[k]]
+                k, whole = runs[is_hot[runs]], told[told["o"] == order].sort_values("context")
+                after[context[at[k]]] = whole["t"].to_numpy(np.int64)[np.searchsorted(whole["context"].to_numpy(np.int64), short[k].astype(np.int64))]
             found[order] = (times, after)
         total = found[1][0]
         total[np.searchsorted(group.words, START)] = 0
@@ -318,26 +345,28 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs; held_out: a condition."""
     groups = grouped(docs, held_out)
     size = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).first()
-    parts, hot = groups_for(size["n"], PART), heavy(groups)
-    request = "o int, p long, g long, contexts binary, runs binary, followers binary, seen binary"
-    answer = "g long, o int, p long, times binary, after binary, context long, t long, n long"
-    answers = None
-    for orders in ([1, 2], [3]):  # one after the other: what is asked of an order is gone before the next is asked
-        asked = groups.drop("n").mapInPandas(tidied(_requests(orders, parts, hot)), request)
-        own = stored(asked.repartition(parts * len(orders), "o", "p").groupBy("o", "p").applyInPandas(_answers(hot), answer))
+    parts = groups_for(size["n"], PART)
+    request = "o int, p long, g long, contexts binary, hot binary, runs binary, followers binary, seen binary"
+    answer = "g long, o int, p long, times binary, after binary, context long, t long, n long, gram long"
+    hot, answers = {1: np.zeros(0, np.uint64)}, None
+    for order in (1, 2, 3):  # one after the other: what is asked of an order is gone before the next is asked
+        asked = groups.drop("n").mapInPandas(tidied(_requests(order, parts, hot[order])), request)
+        own = stored(asked.repartition(parts, "o", "p").groupBy("o", "p").applyInPandas(_answers(PART // 2), answer))
         answers = own if answers is None else answers.unionByName(own)
+        found = own.where("gram is not null").select("gram").collect()  # two for each part at most, as counts add up to the tokens
+        hot[order + 1] = np.append(np.array([r["gram"] for r in found], np.int64).view(np.uint64), FIRST if order == 1 else np.zeros(0, np.uint64))
         del asked, own
     let_go(docs.sparkSession)
-    after_hot: dict[int, dict[int, int]] = {}
-    tokens = types = 0
-    for r in answers.where("g is null").groupBy("o", "context").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect():  # under 66,307 rows
-        after_hot.setdefault(r["o"], {})[r["context"]] = r["t"]
-        if r["o"] == 1:
-            tokens, types = r["n"], r["t"]
+    root = answers.where("o = 1 and context is not null").agg(F.sum("t").alias("types"), F.sum("n").alias("tokens")).first()
+    tokens, types = root["tokens"] or 0, root["types"] or 0
+    sums = answers.where("o > 1 and context is not null").groupBy("o", "context").agg(F.sum("t").alias("t"))
+    met = answers.where("o < 0").select("g", "o", "after").mapInPandas(_met, "g long, o int, context long").join(sums, ["o", "context"])
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     many = groups_for(size["groups"], 2)
-    back = answers.where("g is not null").select("g", "o", "p", "times", "after").repartition(many, "g")
-    return groups.drop("n").repartition(many, "g").groupBy("g").cogroup(back.groupBy("g")).applyInPandas(_scores(parts, hot, after_hot, tokens, types), schema)
+    none = {"p": F.lit(0).cast("long"), "times": F.lit(None).cast("binary"), "after": F.lit(None).cast("binary")}
+    counts = answers.where("g is not null and o > 0").select("g", "o", "p", "times", "after", "context", "t")
+    back = counts.unionByName(met.withColumns(none)).repartition(many, "g")
+    return groups.drop("n").repartition(many, "g").groupBy("g").cogroup(back.groupBy("g")).applyInPandas(_scores(parts, hot, tokens, types), schema)
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

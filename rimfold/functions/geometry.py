@@ -136,27 +136,32 @@ def sigmoid(x, clamp: float | None = None) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 10) -> Column:
-    """Distance from a point to the ellipse: Newton iterations on the curve's angle, folded in one column; by symmetry
-    in the first quadrant. Of an ellipse without extent the distance to its centre."""
+def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 60) -> Column:
+    """Distance from a point to the ellipse. With u, v the point in the ellipse's frame (by symmetry 0 or more, u along the longer
+    axis) the foot point belongs to the one root t > -b^2 of (a u / (t + a^2))^2 + (b v / (t + b^2))^2 = 1, whose left side falls
+    all the way; it is halved in from both sides, which no point, shape or start can mislead. Of an ellipse without extent the
+    distance to its centre."""
     u, v = local_frame(x, y, cx, cy, rot)
-    centre = F.hypot(u, v)
-    u, v, a, b = F.abs(u), F.abs(v), col(a), col(b)
-
-    def step(t, _):
-        c, s = F.cos(t), F.sin(t)
-        f = (a * a - b * b) * c * s - u * a * s + v * b * c
-        g = (a * a - b * b) * (c * c - s * s) - u * a * c - v * b * s
-        return t - F.when(F.abs(g) > 1e-12, f / g).otherwise(F.lit(0.0))
-
-    t = F.aggregate(F.array(*[F.lit(k) for k in range(steps)]), F.atan2(a * v, b * u), step)
-    def to(c, s):
-        dx, dy = a * c - u, b * s - v
-        return F.sqrt(dx * dx + dy * dy)
-
-    found = F.transform(F.array(t), lambda k: to(F.cos(k), F.sin(k)))[0]
-    nearest = F.least(found, to(F.lit(1.0), F.lit(0.0)), to(F.lit(0.0), F.lit(1.0)))  # on an axis the iterations may rest at a far end
-    return F.when(F.least(a, b) < 1e-6, centre).otherwise(nearest)
+    centre, turned = F.hypot(u, v), col(a) < col(b)
+    u, v = F.when(turned, F.abs(v)).otherwise(F.abs(u)), F.when(turned, F.abs(u)).otherwise(F.abs(v))
+    a, b = F.greatest(col(a), col(b)), F.least(col(a), col(b))
+    given = F.struct(a.alias("a"), b.alias("b"), u.alias("u"), v.alias("v"))
+
+    def of(g):
+        a2, b2 = g["a"] * g["a"], g["b"] * g["b"]
+
+        def halve(s, _):
+            t = (s["lo"] + s["hi"]) / 2
+            p, q = F.try_divide(g["a"] * g["u"], t + a2), F.try_divide(g["b"] * g["v"], t + b2)
+            above = F.coalesce(p * p + q * q > 1, F.lit(False))
+            return F.struct(F.when(above, t).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(t).alias("hi"))
+
+        start = F.struct((g["b"] * g["v"] - b2).alias("lo"), (F.hypot(g["a"] * g["u"], g["b"] * g["v"]) - b2).alias("hi"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
+        foot = F.transform(F.array(end["hi"]), lambda t: F.least(g["a"], F.coalesce(F.try_divide(a2 * g["u"], t + a2), F.lit(0.0))))
+        return F.transform(foot, lambda fx: F.hypot(fx - g["u"], g["b"] * F.sqrt(F.greatest(F.lit(0.0), 1 - (fx / g["a"]) * (fx / g["a"]))) - g["v"]))[0]
+
+    return F.when(b < 1e-6, centre).otherwise(F.transform(F.array(given), of)[0])
 
 
 def polar_score(support, residual, separation, gap) -> Column:

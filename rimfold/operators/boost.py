@@ -206,13 +206,13 @@ def boost(
         total = sum(r[f"w{s.target}"] or 0.0 for r in own)
         base.append(sum(r[f"s{s.target}"] or 0.0 for r in own) / total if from_mean and loss != "logistic" and total else 0.0)
     out = Boosted(features, specs, base, depth)
-    live, top, state = [True] * len(specs), [(-1.0, 0)] * len(specs), written(state.withColumn("pred", F.array(*map(F.lit, base)).cast("array<double>")))
+    live, top, state = [True] * len(specs), [(-1.0, 0)] * len(specs), storage.stored(state.withColumn("pred", F.array(*map(F.lit, base)).cast("array<double>")))
     for tree in range(1, rounds + 1):
         grown = grow(state, out, edges, live, tree, loss, gamma)
         shown = models_row(spark, out, grown, live, tree)
         leaf = lambda m: F.coalesce(F.get(m["tree"], walked(m["tree"], "x", depth))["value"], F.lit(0.0))
         pred = F.transform("models", lambda m: F.get("pred", m["model"]) + F.when(m["live"], m["rate"] * leaf(m)).otherwise(0.0))
-        state = written(state.crossJoin(F.broadcast(shown)).withColumn("pred", pred).drop("models"))
+        state = storage.stored(state.crossJoin(F.broadcast(shown)).withColumn("pred", pred).drop("models"))
         if cls and any(s.fold >= 0 for s in specs):
             for m, f1, accuracy, mae in validated(state, specs):
                 if live[m]:
@@ -228,13 +228,6 @@ def boost(
     return out
 
 
-def written(state: DataFrame) -> DataFrame:
-    """The state, cut from its lineage: in the shared folder, so that it outlives lost executors."""
-    path = storage.folder(state.sparkSession)
-    state.write.parquet(path)
-    return state.sparkSession.read.schema(state.schema).parquet(path)
-
-
 def grow(state: DataFrame, out: Boosted, edges: list[list[float]], live: list[bool], tree: int, loss: str, gamma: float) -> list[dict[int, tuple]]:
     """One tree of every live model: node -> (feature, bin, value); also noted in out."""
     specs, trees = out.specs, [{} for _ in out.specs]

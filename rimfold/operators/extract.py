@@ -1,46 +1,127 @@
 """From probability planes to candidates: the extraction as one chain of joins, groupings and column expressions.
 
-threshold -> labels -> regions -> shape gate -> outer points -> a point by sector -> ellipse fit -> axis check ->
-best scale on the rim plane -> eccentricity floor -> confidence -> gates. Only labels and fits are Python.
+core and whole planes -> regions by watershed (the whole plane's mask, flooded from the core's parts) -> shape gates -> rim
+points on the regions' borders -> ellipse or polar fit -> scale of the rim's crest -> eccentricity floor -> confidence ->
+gates; then overlaps, adaptive threshold and rescue. Labels, fits and the search for the scale are NumPy over Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rimfold.functions import geometry as G
 from rimfold.operators import features, raster, segment, select
+from rimfold.sources import storage
+
+
+def labelled_planes(images: DataFrame, key: str, h: int, w: int, *, core: str, whole: str, rim: str, threshold: float) -> DataFrame:
+    """key, core, rim, and the regions' labels with the largest and least label around each pixel: written once, read by all that
+    follows."""
+    labelled = images.select(key, F.col(core).alias("core"), F.col(rim).alias("rim"), segment.watershed_of(F.col(core), F.col(whole), h, w, threshold).alias("l"))
+    return storage.stored(storage.stored(labelled).withColumns({"hi": raster.extreme("l", h, w, True), "lo": raster.extreme("l", h, w, False)}))
+
+
+def region_pixels(planes: DataFrame, key: str, h: int, w: int) -> DataFrame:
+    """key, y, x, label, edge (the pixel has a neighbour of another label, or is at the image's side), c and p (core and rim
+    planes) of the pixels of all regions."""
+    zipped = planes.select(key, F.arrays_zip("l", "hi", "lo", F.col("core").alias("c"), F.col("rim").alias("p")).alias("_z"))
+    side = F.col("y").isin(0, h - 1) | F.col("x").isin(0, w - 1)
+    px = raster.pixels(zipped, key, "_z", w, "z").where("z.l > 0")
+    return px.select(key, "y", "x", F.col("z.l").alias("label"), ((F.col("z.hi") != F.col("z.lo")) | side).alias("edge"), F.col("z.c").alias("c"), F.col("z.p").alias("p"))
+
+
+def regions(px: DataFrame, key: str, *, least_area: int = 40, small: int = 200) -> DataFrame:
+    """The regions' properties that pass the gates of shape. Solidity is asked of small regions only, so hulls are too."""
+    found = segment.region_properties(px, key).where(F.col("area") >= least_area)
+    few = px.join(found.where(F.col("area") < small).select(key, "label"), [key, "label"], "left_semi")
+    hulls = segment.hulls(few, key).select(key, "label", "solidity")
+    shaped = found.join(hulls, [key, "label"], "left").withColumns({"ecc": F.col("eccentricity"), "solidity": F.coalesce("solidity", F.lit(1.0))})
+    return select.region_shape(shaped, area=least_area)
+
+
+def crest(h: int, w: int, scales: np.ndarray, samples: int):
+    """A column function: the scale whose perimeter has the highest mean on the plane (the smallest of equals; the mean of ends
+    if none is over 0), and that mean."""
+    angle = 2 * np.pi * np.arange(samples) / samples
+    c, s = np.cos(angle), np.sin(angle)
+
+    @F.pandas_udf("struct<scale:double,score:double>")
+    def search(e: pd.DataFrame, plane: pd.Series) -> pd.DataFrame:
+        out = []
+        for (cx, cy, a, b, rot), p in zip(e.to_numpy(float), plane):
+            p, t = np.asarray(p, float), np.radians(rot)
+            u, v = np.outer(scales, a * c), np.outer(scales, b * s)
+            x, y = cx + u * np.cos(t) - v * np.sin(t), cy + u * np.sin(t) + v * np.cos(t)
+            inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
+            n = inside.sum(axis=1)
+            at = np.where(inside, y, 0).astype(int) * w + np.where(inside, x, 0).astype(int)
+            mean = np.where(2 * n >= samples, np.round((p[at] * inside).sum(axis=1) / np.maximum(n, 1), 12), 0.0)
+            k = int(mean.argmax())
+            out.append((scales[k], mean[k]) if mean[k] > 0 else (1.14, 0.0))
+        return pd.DataFrame(out, columns=["scale", "score"], dtype=float)
+
+    return search
 
 
 def candidates(
-    images: DataFrame, key: str, h: int, w: int, *, core: str = "core", rim: str = "rim", threshold: float = 0.6, least_area: int = 40, bins: int = 64,
-    least_points: int = 16, scales: tuple = (1.0, 1.1, 1.2, 1.3, 1.4), samples: int = 72, floor: float = 0.15, completeness: float = 0.35,
+    images: DataFrame, key: str, h: int, w: int, *, core: str = "core", whole: str = "whole", rim: str = "rim", method: str = "direct", threshold: float = 0.6, rim_threshold: float = 0.25,
+    least_area: int = 40, bins: int = 64, least_points: int = 16, most_area: int | None = None, scales: tuple = (1.0, 1.4, 40), scale_samples: int = 72, samples: int = 120, floor: float = 0.15,
+    completeness: float = 0.35, polar_bins: int = 120, polar_support: float = 0.4,
 ) -> DataFrame:
-    """key, seq (the label), cx, cy, a, b, rot, scale, confidence, completeness of each region of images (key, planes core and rim)."""
-    labelled = images.select(key, segment.labels_of(F.col(core), h, w, threshold).alias("_l"))
-    edged = labelled.withColumns({"_hi": raster.extreme("_l", h, w, True), "_lo": raster.extreme("_l", h, w, False)})
-    px = raster.pixels(edged.withColumn("_z", F.arrays_zip("_l", "_hi", "_lo")), key, "_z", w, "z").select(key, "y", "x", F.col("z._l").alias("label"), (F.col("z._hi") != F.col("z._lo")).alias("edge"))
-    regions = segment.region_properties(px, key).where((F.col("area") >= least_area) & (F.col("minor") >= F.greatest(F.lit(3.0), 0.02 * F.sqrt("area"))))
-    side = (F.col("y").isin(0, h - 1)) | (F.col("x").isin(0, w - 1))
-    outer = px.where((F.col("label") > 0) & (F.col("edge") | side)).join(regions.select(key, "label", "cx", "cy"), [key, "label"])
-    points = segment.angular_samples(outer.withColumns({c: F.col(c).cast("double") for c in ("x", "y")}), [key, "label"], bins)
-    enough = points.groupBy(key, "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_points).drop("_n")
-    fits = segment.fits(points.join(enough, [key, "label"], "left_semi"), [key, "label"]).where("fit is not null and fit.a is not null").select(key, F.col("label").alias("seq"), "fit.*")
-    fits = fits.where(select.valid_axes("a", "b"))
-    # samples are taken where a candidate's row meets its image's plane; only they go on
-    spots = F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.lit(k).alias("k")) for s in scales for k in range(samples)])
-
-    def sample(t):
-        x, y = G.perimeter_point("cx", "cy", F.col("a") * t["scale"], F.col("b") * t["scale"], "rot", F.lit(2 * G.PI) * t["k"] / samples)
+    """key, seq (the label), cx, cy, a, b, rot, scale, confidence, completeness, rim_score of the candidates of images (key and
+    the planes core, whole, rim).
+
+    method: a fit of segment.FITS over one point in each of `bins` sectors, or polar: the fit of outer and inner profiles, with
+    the direct one where that has none. A region without a valid fit is taken by its box. scales: least, most, number.
+    """
+    keys = [key, "label"]
+    planes = labelled_planes(images, key, h, w, core=core, whole=whole, rim=rim, threshold=threshold)
+    px = region_pixels(planes, key, h, w)
+    found = regions(px, key, least_area=least_area)
+    if most_area:
+        found = found.where(F.col("area") <= most_area)
+    real = {c: F.col(c).cast("double") for c in ("x", "y")}
+    outer = px.where(F.col("edge") & (F.col("p") > rim_threshold)).join(found.select(*keys, "cx", "cy"), keys).withColumns(real)
+    enough = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 20).drop("_n")
+    outer = outer.join(enough, keys, "left_semi")
+    points = segment.angular_samples(outer, keys, bins)
+    some = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_points).drop("_n")
+    fits = segment.fits(points.join(some, keys, "left_semi"), keys, "direct" if method == "polar" else method).select(*keys, F.col("fit.a").isNotNull().alias("_fitted"), F.col("fit.cx").alias("_cx"), F.col("fit.cy").alias("_cy"), F.col("fit.a").alias("_a"), F.col("fit.b").alias("_b"), F.col("fit.rot").alias("_rot"))
+    if method == "polar":
+        inner = px.where(F.col("c") > threshold).join(found.select(*keys, "cx", "cy"), keys).withColumns(real)
+        polar = segment.polar_fits(outer, keys, polar_bins, core=inner, support=polar_support).select(*keys, F.col("a").alias("_pa"), F.col("b").alias("_pb"), F.degrees("phi").alias("_prot"))
+        fits = enough.join(fits, keys, "left").join(polar, keys, "left").where("_fitted is not null or _pa is not null").withColumns({
+            "_cx": F.when(F.col("_pa").isNull(), F.col("_cx")), "_cy": F.when(F.col("_pa").isNull(), F.col("_cy")),
+            "_a": F.coalesce("_pa", "_a"), "_b": F.coalesce("_pb", "_b"), "_rot": F.coalesce("_prot", "_rot"),
+        })
+    fine = F.coalesce(select.valid_axes(2 * F.col("_a"), 2 * F.col("_b")), F.lit(False))
+    pick = {"cx": F.coalesce("_cx", "cx"), "cy": F.coalesce("_cy", "cy"), "a": F.when(fine, F.col("_a")).otherwise((F.col("x1") - F.col("x0") + 1) / 2), "b": F.when(fine, F.col("_b")).otherwise((F.col("y1") - F.col("y0") + 1) / 2), "rot": F.coalesce("_rot", F.lit(0.0))}
+    shaped = found.join(fits, keys).select(key, F.col("label").alias("seq"), *[c.alias(n) for n, c in pick.items()])
+    search = crest(h, w, np.linspace(scales[0], scales[1], int(scales[2])), scale_samples)
+    tried = shaped.join(planes.select(key, "rim"), key).withColumn("_s", search(F.struct("cx", "cy", "a", "b", "rot"), F.col("rim")))
+    sized = tried.withColumn("scale", F.col("_s.scale")).withColumns({"a": F.col("a") * F.col("scale"), "b": F.col("b") * F.col("scale")}).withColumn("b", G.eccentricity_floor("a", "b", floor))
+
+    def sample(k: Column) -> Column:
+        x, y = G.perimeter_point("cx", "cy", "a", "b", "rot", F.lit(2 * G.PI) * k / samples)
         inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
-        return F.struct(t["scale"].alias("scale"), t["k"].alias("k"), F.when(inside, raster.at(rim, w, y.cast("int"), x.cast("int"))).alias("p"))
-
-    each = F.struct(key, "seq", "cx", "cy", "a", "b", "rot")
-    on = fits.join(images.select(key, rim), key).select(each.alias("cand"), F.explode(F.transform(spots, sample)).alias("s")).where("s.p is not null").select(F.struct("cand", "s.scale").alias("tried"), "s.k", "s.p")
-    # one grouping gives every scale's mean and confidence, so the best scale needs no second pass
-    scored = features.confidence(on, "tried", samples)
-    order = F.struct(F.round("rim_score", 12).alias("m"), (-F.col("tried.scale")).alias("minus"), "confidence", "completeness")
-    best = scored.groupBy("tried.cand").agg(F.max(order).alias("x")).where(F.col("x.completeness") >= completeness)
-    rows = best.select("cand.*", (-F.col("x.minus")).alias("scale"), "x.confidence", "x.completeness").withColumns({"a": F.col("a") * F.col("scale"), "b": F.col("b") * F.col("scale")})
-    return rows.withColumn("b", G.eccentricity_floor("a", "b", floor))
+        return F.struct(k.alias("k"), F.when(inside, raster.at("rim", w, y.cast("int"), x.cast("int"))).alias("p"))
+
+    each = F.struct(key, "seq", "cx", "cy", "a", "b", "rot", "scale")
+    on = sized.select(each.alias("cand"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), sample)).alias("s")).where("s.p is not null").select("cand", "s.k", "s.p")
+    return features.confidence(on, "cand", samples).where(F.col("completeness") >= completeness).select("cand.*", "confidence", "completeness", "rim_score")
+
+
+def chosen(found: DataFrame, *, overlaps: bool = True, rescue: bool = True, top: float = 0.7, bottom: float = 0.6, enough: int = 10, rescue_least: float = 0.85) -> DataFrame:
+    """The candidates (image_no, seq, ...) that are reported, with origin: without overlaps, over the image's threshold, filled up
+    by the best of the others."""
+    found = storage.stored(found)
+    if overlaps:
+        found = found.join(select.suppress_overlaps(found, conf="confidence"), ["image_no", "seq"], "left_semi")
+    first = select.adaptive_selection(found, conf="confidence", enough=enough, top=top, bottom=bottom)
+    if not rescue:
+        return first.withColumn("origin", F.lit("selected")).drop("threshold")
+    other = F.when(F.col("completeness") > 0.7, F.greatest("confidence", (F.col("confidence") + F.col("completeness")) / 2)).otherwise(F.col("confidence"))
+    return found.join(select.rescue_fill(first, found.withColumn("_rescue", other), "_rescue", least=rescue_least, enough=enough), ["image_no", "seq"])

@@ -17,24 +17,44 @@ from pyspark.sql import functions as F
 NEAR = {1: [(-1, 0), (0, -1), (0, 1), (1, 0)], 2: [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]}
 
 
-def components(mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
-    """Labels from 1 in raster order of each component's first pixel: the least index spreads until nothing changes."""
-    h, w = mask.shape
-    big = h * w
-    own = np.where(mask, np.arange(big).reshape(h, w), big)
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place of each class once the classes of each pair of a and b are one."""
     while True:
-        wide = np.pad(own, 1, constant_values=big)
-        least = own.copy()
-        for dy, dx in NEAR[connectivity]:
-            np.minimum(least, wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w], out=least)
-        least[~mask] = big
-        flat = np.append(least.ravel(), big)
-        least = flat[flat[least]]  # jump along
-        if (least == own).all():
-            break
-        own = least
-    roots = np.unique(own[mask])
-    return np.where(mask, np.searchsorted(roots, own) + 1, 0)
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(label, further := label[label]):
+            label = further
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and last column + 1 of each run of pixels, in raster order."""
+    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = mask
+    step = np.diff(wide, axis=1)
+    y, x0 = np.nonzero(step == 1)
+    return y, x0, np.nonzero(step == -1)[1]
+
+
+def touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, w: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs (a below b) of neighbouring rows that touch; reach: 1 with diagonals, 0 without."""
+    big = w + 2
+    lo = np.searchsorted(y * big + x1, (y - 1) * big + x0 - reach, "right")
+    hi = np.searchsorted(y * big + x0, (y - 1) * big + x1 + reach, "left")
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(np.arange(len(y)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def components(mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
+    """Labels from 1 in raster order of each component's first pixel: runs of pixels that touch are one."""
+    y, x0, x1 = runs_of(mask)
+    label = joined(np.arange(len(y)), *touching(y, x0, x1, mask.shape[1], connectivity - 1))
+    out = np.zeros(mask.shape, int)
+    out[mask.astype(bool)] = np.repeat(np.searchsorted(np.unique(label), label) + 1, x1 - x0)
+    return out
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
@@ -72,24 +92,43 @@ def distance(mask: np.ndarray) -> np.ndarray:
     return np.sqrt(np.minimum(out, far * far))
 
 
-def watershed(image: np.ndarray, markers: np.ndarray, mask: np.ndarray, connectivity: int = 1) -> np.ndarray:
-    """Flooding from markers in order of value, then of arrival."""
-    out, age = markers.copy(), 0
+def watershed(image: np.ndarray, markers: np.ndarray, mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
+    """Flooding from the markers inside the mask, in order of value, then of arrival. A plateau (all waiting pixels of the least
+    value) is labelled as a whole, then its neighbours queue up, each for the first that reaches it; so a step is one
+    array operation over a plateau."""
     h, w = image.shape
-    heap = []
-    for y, x in zip(*np.nonzero(markers)):
-        heap.append((image[y, x], age, int(y), int(x)))
-        age += 1
-    heapq.heapify(heap)
-    while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for dy, dx in NEAR[connectivity]:
-            v, u = y + dy, x + dx
-            if 0 <= v < h and 0 <= u < w and mask[v, u] and not out[v, u]:
-                out[v, u] = out[y, x]
-                heapq.heappush(heap, (image[v, u], age, v, u))
-                age += 1
-    return out
+    wide = w + 2
+    inside, value, out = np.zeros((h + 2, wide), bool), np.zeros((h + 2, wide)), np.zeros((h + 2, wide), int)
+    inside[1:-1, 1:-1], value[1:-1, 1:-1], out[1:-1, 1:-1] = mask, image, np.where(mask, markers, 0)
+    inside, value, out = inside.ravel(), value.ravel(), out.ravel()
+    free, around = inside & (out == 0), np.array([dy * wide + dx for dy, dx in NEAR[connectivity]])
+    level, waiting, levels = np.unique(value, return_inverse=True)[1].ravel(), {}, []
+
+    def queue(pixels: np.ndarray) -> None:
+        near = (pixels[:, None] + around).ravel()
+        by = np.repeat(out[pixels], len(around))
+        use = free[near]
+        near, by = near[use], by[use]
+        first = np.sort(np.unique(near, return_index=True)[1])
+        near, by = near[first], by[first]
+        free[near] = False
+        at = level[near]
+        order = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.diff(at[order])) + 1
+        for part in np.split(order, cuts) if len(order) else []:
+            k = int(at[part[0]])
+            if k not in waiting:
+                waiting[k] = []
+                heapq.heappush(levels, k)
+            waiting[k].append((near[part], by[part]))
+
+    queue(np.flatnonzero(out))
+    while levels:
+        parts = waiting.pop(heapq.heappop(levels))
+        pixels = np.concatenate([p for p, _ in parts])
+        out[pixels] = np.concatenate([b for _, b in parts])
+        queue(pixels)
+    return out.reshape(h + 2, wide)[1:-1, 1:-1]
 
 
 def hull_area(points: np.ndarray) -> float:
@@ -215,84 +254,157 @@ def fit_taubin(points: np.ndarray) -> tuple[float, float, float, float, float] |
     return cx * spread + mean[0], cy * spread + mean[1], a * spread, b * spread, rot
 
 
-def fit_geometric(points: np.ndarray, steps: int = 50) -> tuple[float, float, float, float, float] | None:
-    """Least squares of orthogonal distances from the direct fit on, by Levenberg-Marquardt over the five parameters."""
-    start = fit_ellipse(points)
-    if start is None:
-        return None
-    p, damp = np.array([*start[:2], np.log(start[2]), np.log(start[3]), np.radians(start[4])]), 1e-3
-
-    def residual(q):
-        a, b, c, s = np.exp(q[2]), np.exp(q[3]), np.cos(q[4]), np.sin(q[4])
-        dx, dy = points[:, 0] - q[0], points[:, 1] - q[1]
-        u, v = np.abs(c * dx + s * dy), np.abs(c * dy - s * dx)
-        t = np.arctan2(a * v, b * u)
-        for _ in range(10):
-            ct, st = np.cos(t), np.sin(t)
-            f, g = (a * a - b * b) * ct * st - u * a * st + v * b * ct, (a * a - b * b) * (ct * ct - st * st) - u * a * ct - v * b * st
-            t = np.clip(t - np.divide(f, g, out=np.zeros_like(f), where=np.abs(g) > 1e-12), 0.0, np.pi / 2)
-        sign = np.where((u / a) ** 2 + (v / b) ** 2 >= 1, 1.0, -1.0)
-        return sign * np.hypot(a * np.cos(t) - u, b * np.sin(t) - v)
-
-    r = residual(p)
+def foot_points(u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest points of axis-parallel ellipses to (u, v), all 0 or more, a >= b: the root t of (a u / (t + a^2))^2 +
+    (b v / (t + b^2))^2 = 1 above -b^2, which falls and is convex, so that Newton's steps from its left end never pass the root."""
+    tiny = 1e-12 * a
+    v = np.maximum(v, tiny)
+    t = -b * b + b * v
     for _ in range(steps):
-        j = np.stack([(residual(p + 1e-6 * e) - r) / 1e-6 for e in np.eye(5)], 1)
-        lhs = j.T @ j
-        try:
-            step = np.linalg.solve(lhs + damp * (np.diag(np.diag(lhs)) + 1e-12 * np.eye(5)), -j.T @ r)
-        except np.linalg.LinAlgError:
-            break
-        new = residual(p + step)
-        if new @ new < r @ r:
-            done = np.abs(step).max() < 1e-10
-            p, r, damp = p + step, new, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e10:
+        p, q = a * u / (t + a * a), b * v / (t + b * b)
+        t = t + np.maximum((p * p + q * q - 1) / (2 * (p * p / (t + a * a) + q * q / (t + b * b))), 0)
+    x = np.minimum(a * a * u / (t + a * a), a)
+    return x, b * np.sqrt(np.maximum(1 - (x / a) ** 2, 0))
+
+
+def fit_geometric_all(points: list[np.ndarray], steps: int = 60) -> list[tuple[float, float, float, float, float] | None]:
+    """Least squares of orthogonal distances from the direct fits on: Levenberg-Marquardt for all point sets together, each with
+    its own damping. A distance changes with the ellipse as its foot point moves along the normal, which gives the slopes."""
+    starts = [fit_ellipse(p) for p in points]
+    some = [i for i, e in enumerate(starts) if e is not None and all(map(np.isfinite, e)) and min(e[2:4]) > 1e-9]
+    out: list = list(starts)
+    for k in range(0, len(some), 4096):
+        own = some[k : k + 4096]
+        width = max(len(points[i]) for i in own)
+        xy, use = np.zeros((len(own), width, 2)), np.zeros((len(own), width))
+        for j, i in enumerate(own):
+            xy[j, : len(points[i])], use[j, : len(points[i])] = points[i], 1.0
+        p = np.array([[*starts[i][:2], np.log(starts[i][2]), np.log(starts[i][3]), np.radians(starts[i][4])] for i in own])
+
+        def distances(q: np.ndarray, xy: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b, c, s = np.exp(q[:, 2:3]), np.exp(q[:, 3:4]), np.cos(q[:, 4:5]), np.sin(q[:, 4:5])
+            dx, dy = xy[:, :, 0] - q[:, 0:1], xy[:, :, 1] - q[:, 1:2]
+            u, v = c * dx + s * dy, c * dy - s * dx
+            long = a >= b
+            pu, pv = np.where(long, np.abs(u), np.abs(v)), np.where(long, np.abs(v), np.abs(u))
+            fu, fv = foot_points(pu, pv, np.maximum(a, b), np.minimum(a, b))
+            x, y = np.copysign(np.where(long, fu, fv), u), np.copysign(np.where(long, fv, fu), v)
+            nx, ny = x / (a * a), y / (b * b)
+            size = np.hypot(nx, ny) + 1e-300
+            nx, ny = nx / size, ny / size
+            r = ((u - x) * nx + (v - y) * ny) * use
+            turn = nx * y - ny * x  # of the foot point with the angle, against the normal
+            j = np.stack([-(c * nx - s * ny), -(s * nx + c * ny), -nx * x, -ny * y, turn], axis=2) * use[:, :, None]
+            return r, j
+
+        live, damp = np.arange(len(own)), np.full(len(own), 1e-3)
+        r, j = distances(p, xy, use)
+        for _ in range(steps):
+            lhs = np.einsum("npi,npj->nij", j[live], j[live])
+            rhs = np.einsum("npi,np->ni", j[live], r[live])
+            diag = np.einsum("nii->ni", lhs)
+            lhs = lhs + np.eye(5) * (damp[live, None] * diag + 1e-12)[:, :, None]
+            step = -np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0]
+            new, slopes = distances(p[live] + step, xy[live], use[live])
+            better = (new * new).sum(axis=1) < (r[live] ** 2).sum(axis=1)
+            took = live[better]
+            p[took] += step[better]
+            r[took], j[took] = new[better], slopes[better]
+            damp[live] = np.where(better, damp[live] / 3, damp[live] * 4)
+            done = np.where(better, np.abs(step).max(axis=1) < 1e-10, damp[live] > 1e10)
+            live = live[~done]
+            if not len(live):
                 break
-    a, b, rot = np.exp(p[2]), np.exp(p[3]), np.degrees(p[4])
-    return (float(p[0]), float(p[1]), float(a), float(b), float(rot % 180)) if a >= b else (float(p[0]), float(p[1]), float(b), float(a), float((rot + 90) % 180))
-
-
-#: Ways to fit an ellipse to points; each falls back on, or starts from, the direct one.
-FITS = {"direct": fit_ellipse, "taubin": fit_taubin, "geometric": fit_geometric}
-
+        for q, i in zip(p, own):
+            a, b, rot = float(np.exp(q[2])), float(np.exp(q[3])), float(np.degrees(q[4]))
+            out[i] = (float(q[0]), float(q[1]), a, b, rot % 180) if a >= b else (float(q[0]), float(q[1]), b, a, (rot + 90) % 180)
+    return out
 
-def refine_polar(theta: np.ndarray, radius: np.ndarray, steps: int = 200, scale: float = 0.05) -> tuple[float, float, float]:
-    """Levenberg-Marquardt on (log a, log b, phi) with Huber weights on relative residuals; a >= b, phi in [0, pi)."""
-    p, damp = np.array([np.log(np.median(radius)), np.log(np.median(radius) * 0.95), 0.0]), 1e-2
 
-    def residual(q):
-        a, b = np.exp(q[0]), np.exp(q[1])
-        d = theta - q[2]
-        return (a * b / np.sqrt((b * np.cos(d)) ** 2 + (a * np.sin(d)) ** 2) - radius) / radius
+def fit_geometric(points: np.ndarray) -> tuple[float, float, float, float, float] | None:
+    return fit_geometric_all([points])[0]
 
-    def cost(r):
-        x = np.abs(r)
-        return np.where(x <= scale, 0.5 * r * r, scale * (x - 0.5 * scale)).sum()
 
-    r = residual(p)
+#: Ways to fit an ellipse to points; each falls back on, or starts from, the direct one.
+FITS = {"direct": fit_ellipse, "taubin": fit_taubin, "geometric": fit_geometric}
+#: Those that fit a whole batch together.
+TOGETHER = {"geometric": fit_geometric_all}
+
+
+#: Least and largest axis of a polar fit, weight of log(a / b), width of the quadratic part of the loss (fixed values).
+POLAR_LEAST, POLAR_MOST, POLAR_RATIO, POLAR_WIDTH = 3.0, 500.0, 0.05, 0.05
+
+
+def polar_start(theta: np.ndarray, radius: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """log a, log b, phi from the mean of log radius and its second harmonic, within the bounds."""
+    n = use.sum(axis=1)
+    log = np.where(use, np.log(np.where(use, radius, 1.0)), 0.0)
+    mean = log.sum(axis=1) / n
+    c, s = (((log - mean[:, None]) * np.where(use, f(2 * theta), 0.0)).sum(axis=1) * 2 / n for f in (np.cos, np.sin))
+    size = np.hypot(c, s)
+    axes = np.clip(np.stack([mean + size, mean - size], 1), np.log(POLAR_LEAST), np.log(POLAR_MOST))
+    return np.column_stack([axes, np.arctan2(s, c) / 2])
+
+
+def polar_terms(p: np.ndarray, theta: np.ndarray, radius: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Relative residuals of the radius at each angle, and the cost: Huber's of the residuals, and half the squared ratio term."""
+    a, b = np.exp(p[:, 0:1]), np.exp(p[:, 1:2])
+    d = theta - p[:, 2:3]
+    r = np.where(use, a * b / np.sqrt((b * np.cos(d)) ** 2 + (a * np.sin(d)) ** 2) / np.where(use, radius, 1.0) - 1, 0.0)
+    x = np.abs(r)
+    loss = np.where(x <= POLAR_WIDTH, 0.5 * r * r, POLAR_WIDTH * x - 0.5 * POLAR_WIDTH**2)
+    return r, loss.sum(axis=1) + 0.5 * (POLAR_RATIO * (p[:, 0] - p[:, 1])) ** 2
+
+
+def polar_slopes(p: np.ndarray, theta: np.ndarray, r: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Slopes of the residuals r by log a, log b and phi."""
+    a, b, d = np.exp(p[:, 0:1]), np.exp(p[:, 1:2]), theta - p[:, 2:3]
+    x, y = (b * np.cos(d)) ** 2, (a * np.sin(d)) ** 2
+    turn = (a * a - b * b) * np.sin(d) * np.cos(d) / (x + y)
+    return np.stack([1 - y / (x + y), 1 - x / (x + y), turn], axis=2) * np.where(use, r + 1, 0.0)[:, :, None]
+
+
+def refine_polar(theta: np.ndarray, radius: np.ndarray, use: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b, phi) with a >= b and phi in [0, pi), and the cost, of profiles (rows) of radii at the angles theta where `use`:
+    Levenberg-Marquardt on (log a, log b, phi) within the bounds, all profiles together, each with its own damping."""
+    low, high, ratio = np.log(POLAR_LEAST), np.log(POLAR_MOST), np.array([POLAR_RATIO, -POLAR_RATIO, 0.0])
+
+    def normal(p: np.ndarray, r: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slope = polar_slopes(p, theta, r, use)
+        w = np.minimum(1.0, POLAR_WIDTH / np.maximum(np.abs(r), 1e-12))
+        lhs = np.einsum("npi,np,npj->nij", slope, w, slope) + np.outer(ratio, ratio)
+        return lhs, np.einsum("npi,np->ni", slope, w * r) + ratio * (POLAR_RATIO * (p[:, 0] - p[:, 1]))[:, None]
+
+    def stepped(p: np.ndarray, lhs: np.ndarray, rhs: np.ndarray, damp: np.ndarray) -> np.ndarray:
+        lhs = lhs + np.eye(3) * (damp[:, None] * np.einsum("nii->ni", lhs) + 1e-12)[:, :, None]
+        new = p - np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0]
+        new[:, :2] = np.clip(new[:, :2], low, high)
+        return new
+
+    p, damp, live = polar_start(theta, radius, use), np.full(len(radius), 1e-3), np.arange(len(radius))
+    r, cost = polar_terms(p, theta, radius, use)
     for _ in range(steps):
-        w = np.minimum(1.0, scale / np.maximum(np.abs(r), 1e-12))
-        j = np.stack([(residual(p + 1e-6 * e) - r) / 1e-6 for e in np.eye(3)], 1)
-        lhs, rhs = j.T @ (w[:, None] * j), j.T @ (w * r)
-        step = np.linalg.solve(lhs + damp * (np.diag(np.diag(lhs)) + 1e-12 * np.eye(3)), -rhs)
-        new = residual(p + step)
-        if cost(new) < cost(r):
-            done = np.abs(step).max() < 1e-8
-            p, r, damp = p + step, new, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e8:
-                break
-    a, b, phi = np.exp(p[0]), np.exp(p[1]), p[2]
-    if a < b:
-        a, b, phi = b, a, phi + np.pi / 2
-    return float(a), float(b), float(phi % np.pi)
+        new = stepped(p[live], *normal(p[live], r[live], use[live]), damp[live])
+        fresh, price = polar_terms(new, theta, radius[live], use[live])
+        better, moved = price < cost[live], np.abs(new - p[live]).max(axis=1)
+        took = live[better]
+        p[took], r[took], cost[took] = new[better], fresh[better], price[better]
+        damp[live] = np.where(better, damp[live] / 3, damp[live] * 4)
+        live = live[~np.where(better, moved < 1e-8, damp[live] > 1e6)]
+        if not len(live):
+            break
+    # where costs are equal to the last digit their slopes still tell: steps that shrink these
+    for _ in range(40):
+        lhs, rhs = normal(p, r, use)
+        new = stepped(p, lhs, rhs, np.zeros(len(p)))
+        fresh, price = polar_terms(new, theta, radius, use)
+        better = np.abs(normal(new, fresh, use)[1]).max(axis=1) < np.abs(rhs).max(axis=1)
+        p[better], r[better], cost[better] = new[better], fresh[better], price[better]
+        if not better.any():
+            break
+    a, b, phi = np.exp(p[:, 0]), np.exp(p[:, 1]), p[:, 2]
+    swap = a < b
+    return np.column_stack([np.where(swap, b, a), np.where(swap, a, b), (phi + np.where(swap, np.pi / 2, 0.0)) % np.pi]), cost
 
 
 def plane_udf(f, returns: str):
@@ -323,15 +435,18 @@ def signed_distance_of(plane, h: int, w: int, threshold: float) -> Column:
     return plane_udf(signed, "array<double>")(plane, F.lit(h), F.lit(w))
 
 
-def watershed_of(plane, h: int, w: int, threshold: float) -> Column:
-    """Basins of the distance inside the mask, from its parts that lie deeper than half the greatest depth."""
+def watershed_of(core, whole, h: int, w: int, threshold: float) -> Column:
+    """Regions of the whole plane's mask, flooded by its distance from the parts of the core plane's mask."""
 
-    def basins(a):
-        m = a > threshold
-        d = distance(m)
-        return watershed(-d, components(d > 0.5 * d.max(), 2) if m.any() else np.zeros(a.shape, int), m)
+    @F.pandas_udf("array<int>")
+    def basins(cores: pd.Series, wholes: pd.Series) -> pd.Series:
+        out = []
+        for c, g in zip(cores, wholes):
+            core, mask = (np.asarray(p, float).reshape(h, w) > threshold for p in (c, g))
+            out.append(watershed(-distance(mask), components(core), mask).ravel().tolist())
+        return pd.Series(out)
 
-    return plane_udf(basins, "array<int>")(plane, F.lit(h), F.lit(w))
+    return basins(core, whole)
 
 
 def height_of(plane, h: int, w: int) -> Column:
@@ -384,28 +499,50 @@ def fits(points: DataFrame, keys: list[str], method: str = "direct") -> DataFram
 
     @F.pandas_udf("struct<cx:double,cy:double,a:double,b:double,rot:double>")
     def fit(points: pd.Series) -> pd.DataFrame:
-        found = [way(np.array([[p["x"], p["y"]] for p in ps], float)) or (None,) * 5 for ps in points]
+        sets = [np.array([[p["x"], p["y"]] for p in ps], float) for ps in points]
+        found = [e or (None,) * 5 for e in (TOGETHER[method](sets) if method in TOGETHER else map(way, sets))]
         return pd.DataFrame(found, columns=["cx", "cy", "a", "b", "rot"], dtype=float)
 
     return rows.select(*keys, fit("points").alias("fit"))
 
 
-def polar_fits(points: DataFrame, keys: list[str], bins: int = 72) -> DataFrame:
-    """keys, a, b, phi of the polar fit to the outermost points by sector about (cx, cy)."""
+def angular_profile_of(points: DataFrame, keys: list[str], bins: int, name: str) -> DataFrame:
+    """keys and a map from sector to the largest radius about (cx, cy)."""
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    sector = F.least(F.lit(bins - 1), F.floor((F.atan2(dy, dx) + F.lit(np.pi)) / (2 * np.pi) * bins)).cast("int")
-    radii = points.groupBy(*keys, sector.alias("sector")).agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("r"))
-    rows = radii.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sector", "r"))).alias("p"))
-
-    @F.pandas_udf("struct<a:double,b:double,phi:double>")
+    sector = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.atan2(dy, dx) + F.lit(np.pi)) / (2 * np.pi / bins)).cast("int")))
+    radii = points.select(*keys, sector.alias("sector"), F.sqrt(dx * dx + dy * dy).alias("r")).groupBy(*keys, "sector").agg(F.max("r").alias("r"))
+    return radii.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sector", "r"))).alias(name))
+
+
+def polar_fits(points: DataFrame, keys: list[str], bins: int = 120, *, core: DataFrame | None = None, support: float = 0.5, share: float = 0.3, margin: float = 1.0) -> DataFrame:
+    """keys, a, b, phi, cost, n of the polar fit to each candidate's outer profile: the largest radius of its points about (cx, cy)
+    in each sector. With core points (keys, x, y, cx, cy) a sector counts only where the outer radius exceeds the core's by
+    more than `margin`; candidates without core points count every sector. Left out are candidates with outer points in under
+    `support` of the sectors, with under `share` of them (or ten) counted, with a median radius under 3, or of a plane's noise
+    (an axis under 3)."""
+    outer = angular_profile_of(points, keys, bins, "outer")
+    inner = angular_profile_of(core, keys, bins, "inner") if core is not None else None
+    rows = outer.join(inner, keys, "left") if inner is not None else outer.withColumn("inner", F.lit(None).cast("map<int,double>"))
+    every = F.sequence(F.lit(0), F.lit(bins - 1))
+    radii = F.transform(every, lambda k: F.when(F.col("inner").isNull() | (F.try_element_at("outer", k) > F.try_element_at("inner", k) + margin), F.try_element_at("outer", k)))
+    found = rows.where(F.size("outer") >= support * bins).withColumn("_r", F.transform(radii, lambda r: F.coalesce(r, F.lit(float("nan")))))
+    found = found.withColumn("_n", F.size(F.filter("_r", lambda r: ~F.isnan(r)))).where(F.col("_n") >= max(10, int(share * bins)))
+
+    @F.pandas_udf("struct<a:double,b:double,phi:double,cost:double>")
     def fit(profiles: pd.Series) -> pd.DataFrame:
-        out = []
-        for profile in profiles:
-            k, r = np.array([[q["sector"], q["r"]] for q in profile], float).T
-            out.append(refine_polar((k + 0.5) * 2 * np.pi / bins - np.pi, r) if len(r) >= 5 else (None,) * 3)
-        return pd.DataFrame(out, columns=["a", "b", "phi"], dtype=float)
-
-    return rows.select(*keys, fit("p").alias("fit")).select(*keys, "fit.*")
+        out = np.full((len(profiles), 4), np.nan)
+        theta = (np.arange(bins) + 0.5) * 2 * np.pi / bins - np.pi
+        for k in range(0, len(profiles), 4096):
+            radius = np.array(profiles.iloc[k : k + 4096].tolist(), float)
+            use = np.isfinite(radius)
+            middle = np.sort(np.where(use, radius, np.inf), axis=1)[np.arange(len(radius)), use.sum(axis=1) // 2]
+            fine = np.flatnonzero(middle >= POLAR_LEAST)
+            if len(fine):
+                e, cost = refine_polar(theta, radius[fine], use[fine])
+                out[k + fine] = np.column_stack([e, cost])
+        return pd.DataFrame(out, columns=["a", "b", "phi", "cost"])
+
+    return found.select(*keys, F.col("_n").alias("n"), fit("_r").alias("fit")).select(*keys, "fit.*", "n").where("not isnan(a) and b >= 3")
 
 
 def stability(points: DataFrame, keys: list[str], *, trials: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:

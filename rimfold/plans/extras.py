@@ -163,22 +163,6 @@ def sg6_rim_thickness(spark, sf_dir):
     return planes(spark, sf_dir).select("vec_id", segment.thickness_of(F.col("plane"), 8, 8, -0.1).alias("thickness"))
 
 
-@query(P + " select vec_id, least(1, count(*) filter (where v > -0.05e0)) as flooded, 0::bigint as spilled, 0::bigint as parted from patch group by 1")
-def sg3_flood_facts(spark, sf_dir):
-    """Of the watershed: a mask with pixels has a basin, no pixel outside is in one, and each basin is of one piece."""
-    rows = planes(spark, sf_dir).select("vec_id", "plane", segment.watershed_of(F.col("plane"), 8, 8, -0.05).alias("l"))
-
-    @F.pandas_udf("long")
-    def parted(labels):
-        import numpy as np
-
-        count = lambda a: sum(int(segment.components(a == k, 2).max() != 1) for k in np.unique(a[a > 0]))
-        return labels.map(lambda x: count(np.asarray(x).reshape(8, 8)))
-
-    inside = lambda hit: F.size(F.filter(F.zip_with("plane", "l", hit), lambda x: x)).cast("long")
-    return rows.select("vec_id", F.least(F.lit(1), inside(lambda v, k: (v > -0.05) & (k > 0))).alias("flooded"), inside(lambda v, k: (v <= -0.05) & (k > 0)).alias("spilled"), parted("l").alias("parted"))
-
-
 # --- rim search and features ---
 SEARCH = ZONES.replace("z as (select", "cand as (select distinct vec_id, 3.5e0 as cx, 3.5e0 as cy, 2.6e0 + (vec_id % 3) * 0.1e0 as a, 2.2e0 as b, ((vec_id * 31) % 180)::double as rot from patch01), z as (select")
 
@@ -307,22 +291,41 @@ def sg11_geometric_fit(spark, sf_dir):
     return recovered(spark, sf_dir, "geometric")
 
 
-@query(T + " select seq, 1::int as close from truth")
-def sg12_polar_axes(spark, sf_dir):
-    """Of the polar fit: both axes within 10 % of those of the ellipse that the points lie on."""
-    f = segment.polar_fits(exact_points(spark, sf_dir), ["seq"], 24)
-    t = truth(spark, sf_dir).select("seq", F.col("a").alias("ta"), F.col("b").alias("tb"))
-    off = F.greatest(F.abs(F.col("a") / F.col("ta") - 1), F.abs(F.col("b") / F.col("tb") - 1))
-    return f.join(t, "seq").select("seq", (off < 0.1).cast("int").alias("close"))
+# the same objective from the same start by Gauss-Newton steps with the slopes written out
+DESCENT = "with recursive " + CORE.removeprefix("with ") + """, pr as (select seq, -pi() + (bin + 0.5e0) * (2 * pi() / 36) as th, r from ex where inner_r is null or r > inner_r + 1),
+fine as (select seq from ex group by 1 having count(*) >= 18), ms as (select seq, avg(ln(r)) as m, count(*) as n from pr join fine using (seq) group by 1 having count(*) >= 10),
+hm as (select seq, any_value(m) as m, sum((ln(r) - m) * cos(2 * th)) * 2 / any_value(n) as c, sum((ln(r) - m) * sin(2 * th)) * 2 / any_value(n) as s from pr join ms using (seq) group by 1),
+it as (select seq, 0 as k, greatest(ln(3), least(ln(500), m + sqrt(c * c + s * s))) as la, greatest(ln(3), least(ln(500), m - sqrt(c * c + s * s))) as lb, atan2(s, c) / 2 as phi from hm
+ union all select seq, k + 1, greatest(ln(3), least(ln(500), la - x1)), greatest(ln(3), least(ln(500), lb - x2)), phi - x3 from (
+  select seq, k, la, lb, phi, (g1 * (m22 * m33 - m23 * m23) - m12 * (g2 * m33 - m23 * g3) + m13 * (g2 * m23 - m22 * g3)) / det as x1, (m11 * (g2 * m33 - m23 * g3) - g1 * (m12 * m33 - m23 * m13) + m13 * (m12 * g3 - g2 * m13)) / det as x2,
+   (m11 * (m22 * g3 - g2 * m23) - m12 * (m12 * g3 - g2 * m13) + g1 * (m12 * m23 - m22 * m13)) / det as x3 from (
+   select *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) as det from (
+    select seq, any_value(k) as k, any_value(la) as la, any_value(lb) as lb, any_value(phi) as phi, sum(w * s1 * s1) + 0.0025e0 + 1e-12 as m11, sum(w * s1 * s2) - 0.0025e0 as m12, sum(w * s1 * s3) as m13, sum(w * s2 * s2) + 0.0025e0 + 1e-12 as m22, sum(w * s2 * s3) as m23, sum(w * s3 * s3) + 1e-12 as m33,
+     sum(w * s1 * res) + 0.0025e0 * any_value(la - lb) as g1, sum(w * s2 * res) - 0.0025e0 * any_value(la - lb) as g2, sum(w * s3 * res) as g3 from (
+     select *, q - 1 as res, least(1, 0.05e0 / greatest(abs(q - 1), 1e-12)) as w, q * (1 - a * a * sn * sn / dd) as s1, q * (1 - b * b * cs * cs / dd) as s2, q * (a * a - b * b) * sn * cs / dd as s3 from (
+      select *, a * b / sqrt(dd) / r as q from (select *, b * b * cs * cs + a * a * sn * sn as dd from (select it.*, pr.r, exp(la) as a, exp(lb) as b, cos(th - phi) as cs, sin(th - phi) as sn from it join pr using (seq) where k < 150) t1) t2) t3) t4 group by seq) t5) t6) t7),
+fit as (select seq, greatest(exp(la), exp(lb)) as a, least(exp(la), exp(lb)) as b from it where k = 150)"""
+
+
+@query(DESCENT + " select seq, round(a, 3) as a, round(b, 3) as b from fit")
+def sg12_polar_fit(spark, sf_dir):
+    """Outer profiles of rim points against inner ones of core points, which half of the candidates have."""
+    rim = rim_points(spark, sf_dir)
+    pulled = lambda c, m: F.col(m) + 0.6 * (F.col(c) - F.col(m))
+    core = rim.where("seq % 2 = 0").withColumns({"x": pulled("x", "cx"), "y": pulled("y", "cy")})
+    f = segment.polar_fits(rim, ["seq"], 36, core=core)
+    return f.select("seq", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
 
 
-NEWTON = "with recursive " + PAIRS_SQL + """, uv as (select t_seq, p_seq, ta as a, tb as b, abs(cos(radians(tr)) * (px - tx) + sin(radians(tr)) * (py - ty)) as u, abs(cos(radians(tr)) * (py - ty) - sin(radians(tr)) * (px - tx)) as v from cand),
-it as (select t_seq, p_seq, a, b, u, v, 0 as k, atan2(a * v, b * u) as t from uv union all
- select t_seq, p_seq, a, b, u, v, k + 1, t - case when abs(g) > 1e-12 then f / g else 0 end from (select *, (a * a - b * b) * cos(t) * sin(t) - u * a * sin(t) + v * b * cos(t) as f, (a * a - b * b) * (cos(t)**2 - sin(t)**2) - u * a * cos(t) - v * b * sin(t) as g from it where k < 10) q)
-select t_seq, p_seq, round(least(sqrt((a * cos(t) - u)**2 + (b * sin(t) - v)**2), sqrt((a - u)**2 + v**2), sqrt(u**2 + (b - v)**2)), 4) as d from it where k = 10"""
+# the least of 65 samples of the quadrant, looked at again closer by four times
+ZOOM = "".join(f"""r{k} as (select *, list_transform(range(65), lambda i: c - hw + i * hw / 32) as ts from z{k}), f{k} as (select *, list_transform(ts, lambda t: (a * cos(t) - u)**2 + (b * sin(t) - v)**2) as ds from r{k}),
+z{k + 1} as (select t_seq, p_seq, a, b, u, v, ts[list_position(ds, list_min(ds))] as c, hw / 32 as hw, list_min(ds) as d2 from f{k}),
+""" for k in range(4)).rstrip().rstrip(",")
+NEAREST = "with " + PAIRS_SQL + """, z0 as (select t_seq, p_seq, ta as a, tb as b, abs(cos(radians(tr)) * (px - tx) + sin(radians(tr)) * (py - ty)) as u, abs(cos(radians(tr)) * (py - ty) - sin(radians(tr)) * (px - tx)) as v, pi() / 4 as c, pi() / 4 as hw, 0.0e0 as d2 from cand),
+""" + ZOOM + " select t_seq, p_seq, round(sqrt(d2), 4) as d from z4"
 
 
-@query(NEWTON)
+@query(NEAREST)
 def geo6_orthogonal_distances(spark, sf_dir):
     d = G.orthogonal_distance("p_cx", "p_cy", "t_cx", "t_cy", "t_a", "t_b", "t_rot")
     return match.candidate_pairs(truth(spark, sf_dir), pred(spark, sf_dir)).select("t_seq", "p_seq", F.round(d, 4).alias("d"))

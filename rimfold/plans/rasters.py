@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rimfold.functions import geometry as G
@@ -203,9 +205,23 @@ def sg4_region_properties(spark, sf_dir):
     return r.select("vec_id", "label", "area", "y0", "x0", "y1", "x1", *[F.round(c, d).alias(c) for c, d in (("cy", 6), ("cx", 6), ("major", 4), ("minor", 4))])
 
 
-@query()
+BASINS = LABELS.replace("v > 0.03e0", "v > 0.15e0") + """, d as (select p.vec_id, p.y * 8 + p.x + 1 as i, (p.v > -0.05e0)::int as m, -1 * coalesce(min((p.y - q.y)**2 + (p.x - q.x)**2) filter (where q.v <= -0.05e0), 256)::int as val from patch p join patch q on q.vec_id = p.vec_id group by p.vec_id, p.y, p.x, p.v),
+g as (select d.vec_id, list(m order by i) as m, list(val order by i) as val, list(case when m = 1 then label else 0 end order by i) as lab from d join lab on lab.vec_id = d.vec_id and lab.y * 8 + lab.x + 1 = d.i group by 1),
+flood as (select vec_id, m, val, lab, list_filter(range(1, 65), lambda i: lab[i] > 0) as batch, []::struct(i bigint, l integer)[] as queue, 0 as step, true as busy from g
+ union all select vec_id, m, val, lab2, list_transform(list_filter(queue2, lambda c: val[c.i] = least), lambda c: c.i), queue2, step + 1, len(queue2) > 0 from (
+  select vec_id, m, val, lab2, queue2, step, list_min(list_transform(queue2, lambda c: val[c.i])) as least from (
+   select vec_id, m, val, lab2, step, rest || list_filter(list_transform(range(1, len(cand) + 1), lambda k: case when list_position(list_transform(cand, lambda c: c.i), cand[k].i) = k then cand[k] end), lambda c: c is not null) as queue2 from (
+    select vec_id, m, val, lab2, step, rest, flatten(list_transform(batch, lambda b: list_transform(list_filter([b - 9, b - 8, b - 7, b - 1, b + 1, b + 7, b + 8, b + 9],
+      lambda n: n between 1 and 64 and abs((n - 1) % 8 - (b - 1) % 8) <= 1 and m[n] = 1 and lab2[n] = 0 and not list_contains(list_transform(rest, lambda c: c.i), n)), lambda n: {'i': n, 'l': lab2[b]}))) as cand from (
+     select vec_id, m, val, batch, step, list_filter(queue, lambda c: not list_contains(batch, c.i)) as rest,
+      list_transform(range(1, 65), lambda i: case when list_contains(batch, i) and step > 0 then list_filter(queue, lambda c: c.i = i)[1].l else lab[i] end)::integer[] as lab2 from flood where busy) q1) q2) q3) q4)"""
+
+
+@query(BASINS + " select vec_id, ((i - 1) // 8)::int as y, ((i - 1) % 8)::int as x, lab[i]::int as label from flood, (select unnest(range(1, 65)) as i) where not busy")
 def sg3_watershed(spark, sf_dir):
-    rows = planes(spark, sf_dir).select("vec_id", segment.watershed_of(F.col("plane"), 8, 8, -0.05).alias("l"))
+    """Regions of the plane over -0.05, flooded from its parts over 0.15."""
+    plane = F.col("plane")
+    rows = planes(spark, sf_dir).select("vec_id", segment.watershed_of(F.transform(plane, lambda v: v - 0.15), F.transform(plane, lambda v: v + 0.05), 8, 8, 0.0).alias("l"))
     return raster.pixels(rows, "vec_id", "l", 8, "label")
 
 
@@ -426,29 +442,63 @@ def fe5_smp4_stability(spark, sf_dir):
 def sg13_guarded_refit(spark, sf_dir):
     pts = rim_points(spark, sf_dir)
     n = pts.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
-    refit = segment.polar_fits(pts, ["seq"], 24).join(n, "seq")
+    refit = segment.polar_fits(pts, ["seq"], 24).drop("n").join(n, "seq")
     rows = segment.guarded_refit(truth(spark, sf_dir).select("seq", *features.ELLIPSE), refit, ["seq"], 2592, 2048)
     return rows.select("seq", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "refitted")
 
 
-@query()
-def sg15_extraction(spark, sf_dir):
-    """Each embedding as an image of one soft ellipse, whose place and size it decides, and a rim plane around it."""
+def two_ellipse_planes(spark, sf_dir) -> DataFrame:
+    """Each embedding as an image of 48 x 96 with two soft ellipses, whose places and sizes it decides, and rims around them; the
+    left rim is the stronger one."""
     v = F.col("embedding")
-    e = spread(table(spark, sf_dir, "embeddings")).select(
-        F.col("vec_id").alias("image_no"), (24 + 8 * v[0]).cast("double").alias("cx"), (24 + 8 * v[1]).cast("double").alias("cy"),
-        (12 + 6 * v[2]).cast("double").alias("a"), (9 + 4 * v[3]).cast("double").alias("b"), (90 + 180 * v[4]).cast("double").alias("rot"),
+    e = spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("image_no"), *[c.alias(f"{n}{k}") for k in range(2) for n, c in zip(
+        ("cx", "cy", "a", "b", "rot"), ((24 + 48 * k + 6 * v[5 * k]).cast("double"), (24 + 6 * v[5 * k + 1]).cast("double"), (12 + 6 * v[5 * k + 2]).cast("double"), (9 + 4 * v[5 * k + 3]).cast("double"), (90 + 180 * v[5 * k + 4]).cast("double")),
+    )])
+    names = [f"{n}{k}" for k in range(2) for n in ("cx", "cy", "a", "b", "rot")]
+
+    @F.pandas_udf("struct<core:array<double>,whole:array<double>,rim:array<double>>")
+    def drawn(e: pd.DataFrame) -> pd.DataFrame:
+        y, x = np.mgrid[:48, :96].astype(float)
+        out = []
+        for row in e.to_numpy():
+            z = []
+            for cx, cy, a, b, rot in row.reshape(2, 5):
+                c, s = np.cos(np.radians(rot)), np.sin(np.radians(rot))
+                z.append(np.hypot((c * (x - cx) + s * (y - cy)) / a, (c * (y - cy) - s * (x - cx)) / b))
+            ring = [np.exp(-((p - 1) ** 2) / 0.02) for p in z]
+            out.append([p.ravel() for p in (np.clip(1.2 - np.minimum(*z), 0, 1), np.clip(1.6 - np.minimum(*z), 0, 1), np.maximum(ring[0], 0.75 * ring[1]))])
+        return pd.DataFrame(out, columns=["core", "whole", "rim"])
+
+    return e.withColumn("d", drawn(F.struct(*names))).select("image_no", *names, "d.*")
+
+
+def extraction_facts(spark, sf_dir, method: str) -> DataFrame:
+    """By image and ellipse: the candidates nearest to it, its place by confidence, and how well centre and axes are met."""
+    images = two_ellipse_planes(spark, sf_dir)
+    found = extract.chosen(extract.candidates(images, "image_no", 48, 96, method=method, polar_bins=36))
+    near = F.when(F.col("cx") < 48, 0).otherwise(1)
+    at = found.withColumns({"ellipse": near, "place": F.row_number().over(Window.partitionBy("image_no").orderBy(F.desc("confidence")))})
+    real = images.select("image_no", F.explode(F.array(*[F.struct(F.lit(k).alias("ellipse"), *[F.col(f"{n}{k}").alias(f"t{n}") for n in ("cx", "cy", "a", "b")]) for k in range(2)])).alias("t")).select("image_no", "t.*")
+    met = real.join(at, ["image_no", "ellipse"], "left")
+    centre = F.hypot(F.col("cx") - F.col("tcx"), F.col("cy") - F.col("tcy")) < 1.0
+    axes = (F.abs(F.greatest("a", "b") / F.greatest("ta", "tb") - 1) < 0.1) & (F.abs(F.least("a", "b") / F.least("ta", "tb") - 1) < 0.1)
+    gates = (F.col("completeness") >= 0.35) & (F.col("confidence") >= 0.6) & F.col("scale").between(1.0, 1.4)
+    return met.groupBy("image_no", "ellipse").agg(
+        F.count("seq").alias("n"), F.max("place").alias("place"), F.count_if(centre).alias("centred"), F.count_if(axes).alias("sized"), F.count_if(gates).alias("gated"),
     )
 
-    e = e.withColumns({"c": F.cos(F.radians("rot")), "s": F.sin(F.radians("rot"))})
 
-    def z(y, x):
-        dx, dy, c, s = x - F.col("cx"), y - F.col("cy"), F.col("c"), F.col("s")
-        return F.hypot((c * dx + s * dy) / F.col("a"), (c * dy - s * dx) / F.col("b"))
+FACTS = "select vec_id as image_no, e::int as ellipse, 1::bigint as n, (e + 1)::int as place, 1::bigint as centred, 1::bigint as sized, 1::bigint as gated from embeddings, (select unnest([0, 1]) as e)"
+
 
-    images = e.select("image_no", raster.grid(48, 48, lambda y, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.6 - z(y, x)))).alias("core"), raster.grid(48, 48, lambda y, x: F.exp(-F.pow(z(y, x) - 1, F.lit(2.0)) / 0.02)).alias("rim"))
-    found = extract.candidates(images, "image_no", 48, 48)
-    return found.select("image_no", "seq", *[F.round(c, 2).alias(c) for c in ("cx", "cy", "a", "b", "confidence")])
+@query(FACTS)
+def sg15_extraction(spark, sf_dir):
+    return extraction_facts(spark, sf_dir, "direct")
+
+
+@query(FACTS)
+def sg16_polar_extraction(spark, sf_dir):
+    return extraction_facts(spark, sf_dir, "polar")
 
 
 TREES = [[(0, 0.75, 1, 2, 0), (1, 2.0, 3, 4, 0), (-1, 0, 0, 0, 0.3), (-1, 0, 0, 0, -0.4), (-1, 0, 0, 0, 0.1)], [(1, 1.0, 1, 2, 0), (-1, 0, 0, 0, -0.2), (-1, 0, 0, 0, 0.5)]]
@@ -476,12 +526,6 @@ def sg9_ellipse_fit(spark, sf_dir):
     return f.select("seq", *[F.round(f"fit.{c}", 3).alias(c) for c in ("cx", "cy", "a", "b")])
 
 
-@query()
-def sg12_polar_fit(spark, sf_dir):
-    f = segment.polar_fits(rim_points(spark, sf_dir), ["seq"], 24)
-    return f.select("seq", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"))
-
-
 RANKED = SCORED + """, r as (select seq, case when seq % 20 < 5 then prob else 1 / (1 + exp(-(case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end))) end as s,
 case when seq % 20 < 5 then 2 else (v >= 0.3e0)::int + (v >= 1)::int + (v >= 2.1e0)::int + (v >= 3.3e0)::int end as cls from (select *, case when prob <= 0.75e0 then case when value <= 2 then -0.4e0 else 0.1e0 end else 0.3e0 end + case when value <= 1 then -0.2e0 else 0.5e0 end as v from scored))"""
 

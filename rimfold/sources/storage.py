@@ -25,6 +25,13 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rimfold-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, computed once and written there: cuts lineage and outlives lost executors."""
+    path = folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_tiles(tiles: DataFrame, path: str, group: str) -> None:
     """Tiles as Parquet, a folder for each group, so that a split by group prunes files."""
     tiles.write.partitionBy(group).parquet(path)

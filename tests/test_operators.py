@@ -133,7 +133,7 @@ def test_fits_recover_an_ellipse(rot):
     cx, cy, a, b, angle = segment.fit_ellipse(np.stack([x, y], 1))
     assert (cx, cy, a, b) == (pytest.approx(5), pytest.approx(-3), pytest.approx(30), pytest.approx(20)) and angle == pytest.approx(rot, abs=1e-6)
     r, theta = np.hypot(x - 5, y + 3), np.arctan2(y + 3, x - 5)
-    a, b, phi = segment.refine_polar(theta, r)
+    (a, b, phi), = segment.refine_polar(theta, r[None], np.ones((1, len(r)), bool))[0]
     assert a == pytest.approx(30, rel=1e-3) and b == pytest.approx(20, rel=1e-3) and abs(np.sin(phi - t)) < 1e-2
     assert segment.fit_ellipse(np.zeros((3, 2))) is None and segment.fit_ellipse(np.stack([k, k], 1)) is None
 

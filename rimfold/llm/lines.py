@@ -122,15 +122,19 @@ def without(lines: F.Column, runs: F.Column) -> F.Column:
 
 
 def drop_repeated_lines(docs: DataFrame, *, text: str = "text", lines: int = LINES, chars: int = CHARS) -> DataFrame:
-    """docs with _kept_text, _n_lines (filled lines) and _n_removed."""
-    runs = repeated_runs(docs, text=text, lines=lines, chars=chars).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumns({"_doc": F.col("doc_id"), "_text": F.xxhash64(text)})
-    joined = keyed.join(runs.hint("merge"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left")
-    removed = F.aggregate("_runs", F.lit(0), lambda s, r: s + r["end"] - r["at"])
-    return joined.select(
-        *docs.columns, F.when(F.col("_runs").isNull(), F.col(text)).otherwise(without(split_lines(text), F.col("_runs"))).alias("_kept_text"),
-        F.size(F.filter(split_lines(text), filled)).alias("_n_lines"), F.coalesce(removed, F.lit(0)).alias("_n_removed"),
+    """docs with _kept_text, _n_lines (filled lines) and _n_removed, which take the place of columns of these names; all other
+    columns stay as they are, whatever their names."""
+    runs = repeated_runs(docs, text=text, lines=lines, chars=chars)
+    made = ["_kept_text", "_n_lines", "_n_removed"]
+    rest = F.struct(*[F.col(c) for c in docs.columns if c not in made]).alias("own")
+    keyed = docs.select(rest, F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
+    joined = keyed.join(runs.hint("merge"), keyed["id"].eqNullSafe(runs["_doc"]) & (keyed["hash"] == runs["_text"]), "left")
+    removed = F.aggregate("runs", F.lit(0), lambda s, r: s + r["end"] - r["at"])
+    found = joined.select(
+        "own", F.when(F.col("runs").isNull(), F.col("own")[text]).otherwise(without(split_lines(f"own.`{text}`"), F.col("runs"))).alias("_kept_text"),
+        F.size(F.filter(split_lines(f"own.`{text}`"), filled)).alias("_n_lines"), F.coalesce(removed, F.lit(0)).alias("_n_removed"),
     )
+    return found.select("own.*", *made)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,29 +18,33 @@ BLOCK = 512
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. Rows of equal doc_id, language and text are judged alike."""
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    measured = stored(quality.statistics(keyed, ["doc_id", "lang", "_t"]))
+    own = F.struct(*docs.columns).alias("own")  # the input's columns go in one, so that no name clashes
+    keyed = docs.select(own, "doc_id", "lang", "text", F.xxhash64("text").alias("hash"))
+    measured = stored(quality.statistics(keyed.drop("own"), ["doc_id", "lang", "hash"]))
     judged = quality.verdicts(measured, quality.fit_cutoffs(measured, read(spark, sf_dir, "labels")))
-    gone = judged.where(~F.col("_kept")).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("_t").alias("_u")).distinct()
-    same = keyed["doc_id"].eqNullSafe(F.col("_d")) & keyed["lang"].eqNullSafe(F.col("_l")) & (keyed["_t"] == F.col("_u"))
-    return keyed.join(gone, same, "left_anti").select(*docs.columns)
+    gone = judged.where(~F.col("_kept")).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), F.col("hash").alias("h")).distinct()
+    rows = docs.select(own, F.col("doc_id").alias("id"), F.col("lang").alias("tongue"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("d")) & F.col("tongue").eqNullSafe(F.col("l")) & (F.col("hash") == F.col("h"))
+    return rows.join(gone, same, "left_anti").select("own.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later copies of repeated runs of lines; some are empty then, and n_chars follows."""
-    left = lines.drop_repeated_lines(docs)
-    return left.withColumns({"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    kept = F.col("_kept_text")
+    made = {"text": kept, "n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)}
+    return lines.drop_repeated_lines(docs).select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one of least doc_id (no id first, then the text's hash). Rows are told apart by doc_id
     and text, so texts of one doc_id are documents of their own and equal rows are one; texts without words stay."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(3)))
-    found = stored(neardup.classes(keyed.select(F.col("_row").alias("doc_id"), "text")).distinct().toDF("_row", "_class"))
-    least = F.min(F.struct("doc_id", F.col("_row").alias("row"))).alias("least")
-    first = keyed.select("doc_id", "_row").join(found.hint("merge"), "_row").groupBy("_class").agg(least).select(F.col("least.row").alias("_row"))
-    one = keyed.join(first.hint("merge"), "_row", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    return one.where("_nth = 1").select(*docs.columns)
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(3))
+    found = stored(neardup.classes(docs.select(row.alias("doc_id"), "text")).distinct().toDF("row", "class"))
+    least = F.min(F.struct(F.col("id"), F.col("row"))).alias("least")
+    first = docs.select(F.col("doc_id").alias("id"), row.alias("row")).join(found.hint("merge"), "row").groupBy("class").agg(least).select(F.col("least.row").alias("row"))
+    keyed = docs.select(F.struct(*docs.columns).alias("own"), row.alias("row"))  # the input's columns go in one, so that no name clashes
+    one = keyed.join(first.hint("merge"), "row", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+    return one.where("nth = 1").select("own.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ it with higher-order functions. Training is in boost.py.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,6 +149,55 @@ def mask_metrics(pixels: DataFrame, key: str, p: str, t: str, gamma: float = 2.0
     )
 
 
+def probability(logit) -> Column:
+    """The sigmoid of a logit held within 20."""
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col(logit)))))
+
+
+def focal_loss(logit: str, t: str, alpha: float = 0.8, gamma: float = 2.0) -> Column:
+    """Mean over the pixels of alpha (1 - e^-c)^gamma c; c: the cross entropy of logit and 0/1 target."""
+    z = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col(logit)))
+    c = F.greatest(z, F.lit(0.0)) - z * F.col(t) + F.log1p(F.exp(-F.abs(z)))
+    return F.avg(alpha * F.pow(1 - F.exp(-c), F.lit(gamma)) * c)
+
+
+def dice_loss(logit: str, t: str, smooth: float = 1.0) -> Column:
+    p = probability(logit)
+    return 1 - (2 * F.sum(p * F.col(t)) + smooth) / (F.sum(p) + F.sum(t) + smooth)
+
+
+def boundary_loss(logit: str, distance: str, mask: Column | None = None) -> Column:
+    """Mean of probability times distance to the boundary (either sign), over all pixels or those of a mask."""
+    far = probability(logit) * F.abs(distance)
+    return F.avg(far) if mask is None else F.sum(F.when(mask, far).otherwise(0.0)) / (F.count_if(mask) + 1e-6)
+
+
+def centreline_loss(p: str, t: str, p_skeleton: str, t_skeleton: str) -> Column:
+    """1 - the harmonic mean of two shares: of the guess's skeleton inside the target, of the target's inside the guess."""
+    share = lambda s, m: F.sum(F.col(s) * F.col(m)) / (F.sum(s) + 1e-6)
+    a, b = share(p_skeleton, t), share(t_skeleton, p)
+    return 1 - 2 * a * b / (a + b + 1e-6)
+
+
+def weighted_losses(
+    pixels: DataFrame, key: str, channels: list[tuple[str, str]], distance: str | None = None, *, s: list[float] | None = None, clamp: tuple[float, float] = (-5.0, 10.0)
+) -> DataFrame:
+    """key, loss_<logit> for each channel (logit, target), boundary and total: each channel's loss is 0.75 focal + 0.25 dice,
+    weighed by its uncertainty s = log(sigma^2), held within clamp, as loss / (2 e^s) + s / 2. With distance the last channel is a rim
+    of 0.7 focal + 0.3 dice, and 0.3 times its boundary loss inside its target is added."""
+    total, out = F.lit(0.0), []
+    for i, (logit, t) in enumerate(channels):
+        share = 0.7 if distance is not None and i == len(channels) - 1 else 0.75
+        out.append((share * focal_loss(logit, t) + (1 - share) * dice_loss(logit, t)).alias(f"loss_{logit}"))
+        held = min(max(s[i] if s else 0.0, clamp[0]), clamp[1])
+        total = total + F.col(f"loss_{logit}") * (0.5 * math.exp(-held)) + held / 2
+    if distance is not None:
+        logit, t = channels[-1]
+        out.append(boundary_loss(logit, distance, F.col(t) > 0.5).alias("boundary"))
+        total = total + 0.3 * F.col("boundary")
+    return pixels.groupBy(key).agg(*out).withColumn("total", total)
+
+
 def keep_ranked(rows: DataFrame, features: list[str], trees: list[list[tuple]], depth: int, *, threshold: float, points: str = "n", conf: str = "confidence", least: int = 5) -> DataFrame:
     """rows with rank_score >= threshold: the ensemble's probability, or the confidence where a candidate has too few rim points."""
     score = ensemble([tree_score(F.array(*map(F.col, features)), trees, depth)], True)

@@ -75,19 +75,30 @@ def central_gradient(plane: str, h: int, w: int) -> tuple[Column, Column]:
     return tuple(by_numpy(lambda p, axis=axis: np.gradient(p, axis=axis), plane, h, w) for axis in (1, 2))
 
 
+def reached(p: np.ndarray, pick: np.ufunc, reach: int = 1) -> np.ndarray:
+    """pick over the square around each pixel of planes, by rows and then columns; what lies outside takes no part."""
+    for axis in (1, 2):
+        out = p.copy()
+        for d in range(1, reach + 1):
+            lo, hi = [slice(None)] * 3, [slice(None)] * 3
+            lo[axis], hi[axis] = slice(None, -d), slice(d, None)
+            pick(out[tuple(lo)], p[tuple(hi)], out=out[tuple(lo)])
+            pick(out[tuple(hi)], p[tuple(lo)], out=out[tuple(hi)])
+        p = out
+    return p
+
+
 def extreme(plane: str, h: int, w: int, largest: bool, reach: int = 1) -> Column:
-    """Dilation or erosion with a square element, by rows and then columns; what lies outside takes no part."""
-    pick = np.maximum if largest else np.minimum
+    """Dilation or erosion with a square element."""
+    return by_numpy(lambda p: reached(p, np.maximum if largest else np.minimum, reach), plane, h, w)
+
+
+def soft_skeleton(plane: str, h: int, w: int, steps: int = 5) -> Column:
+    """A probability plane, in each step multiplied by its maximum over 3 x 3."""
 
     def value(p):
-        for axis in (1, 2):
-            out = p.copy()
-            for d in range(1, reach + 1):
-                lo, hi = [slice(None)] * 3, [slice(None)] * 3
-                lo[axis], hi[axis] = slice(None, -d), slice(d, None)
-                pick(out[tuple(lo)], p[tuple(hi)], out=out[tuple(lo)])
-                pick(out[tuple(hi)], p[tuple(lo)], out=out[tuple(hi)])
-            p = out
+        for _ in range(steps):
+            p = p * reached(p, np.maximum)
         return p
 
     return by_numpy(value, plane, h, w)

@@ -67,7 +67,12 @@ def distance(mask: np.ndarray) -> np.ndarray:
         np.minimum(g[y], g[y - 1] + 1, out=g[y])
     for y in range(h - 2, -1, -1):
         np.minimum(g[y], g[y + 1] + 1, out=g[y])
-    f = g * g
+    return by_rows(g * g, far)
+
+
+def by_rows(f: np.ndarray, far: float) -> np.ndarray:
+    """The root of the least of (x - v)^2 + f[y, v] over v, at most far, for each x of each row y."""
+    h, w = f.shape
     row, top = np.arange(h), np.zeros(h, int)
     at, start = np.zeros((h, w), int), np.full((h, w + 1), np.inf)  # parabolas of the envelope, and where each begins
     start[:, 0] = -np.inf

@@ -51,16 +51,49 @@ def src3_many_csv_files(spark, sf_dir):
     return images.union_files(spark, paths, {}).select("seq", "a", "rot")
 
 
+def gray(plane: str):
+    return F.transform(plane, lambda v: F.floor(v * 255).cast("double"))
+
+
 @query(P + " select vec_id, y, x, floor(v * 255)::double as v from patch01")
 def src6_png_gray(spark, sf_dir):
-    @F.pandas_udf("binary")
-    def encoded(planes):
-        import numpy as np
+    rows = planes(spark, sf_dir, True).select("vec_id", images.gray_plane(images.png_of(gray("plane"), 8, 8)).alias("g"))
+    return raster.pixels(rows.select("vec_id", F.col("g.plane").alias("plane")), "vec_id", "plane", 8)
 
-        return planes.map(lambda p: images.encode_png(np.floor(np.asarray(p) * 255).astype(np.uint8).reshape(8, 8)))
 
-    rows = planes(spark, sf_dir, True).select("vec_id", images.gray_plane(encoded("plane")).alias("g"))
-    return raster.pixels(rows.select("vec_id", F.col("g.plane").alias("plane")), "vec_id", "plane", 8)
+def image_folder(spark, sf_dir) -> str:
+    """Each plane as a PNG file at its image's path; every fifth under a folder whose name only ends in the group's, every third of the
+    rest below truth."""
+    n = F.col("vec_id")
+    rows = ellipses.with_paths(planes(spark, sf_dir, True).withColumn("image_no", n.cast("long")))
+    head = F.when(n % 5 == 4, "old_").when(n % 3 == 2, "truth/").otherwise("")
+    path = storage.folder(spark)
+    images.write_images(rows.select(F.concat(head, "path", F.lit(".png")).alias("path"), images.png_of(gray("plane"), 8, 8).alias("content")), path)
+    return path
+
+
+def image_means(found: DataFrame, path: str) -> DataFrame:
+    """Each image's path below the folder and its mean gray value."""
+    rows = found.select(F.substring_index("path", path.rsplit("/", 1)[1] + "/", -1).alias("image"), images.gray_plane("content").alias("g"))
+    return rows.select("image", F.round(F.aggregate("g.plane", F.lit(0.0), lambda s, v: s + v) / 64, 6).alias("mean"))
+
+
+FOUND = P + """, g as (select vec_id as n, round(avg(floor(v * 255)), 6) as mean from patch01 group by 1),
+found as (select n, mean, case when n % 5 = 4 then 'old_' when n % 3 = 2 then 'truth/' else '' end || 'altitude' || lpad((1 + n % 9)::varchar, 2, '0') || '/longitude' || lpad((1 + (n // 9) % 20)::varchar, 2, '0')
+ || '/orientation' || lpad(n::varchar, greatest(2, length(n::varchar))::int, '0') || '_light01.png' as image from g)"""
+
+
+@query(FOUND + " select image, mean from found where image not like '%truth%'")
+def src4_image_discovery(spark, sf_dir):
+    path = image_folder(spark, sf_dir)
+    return image_means(images.find_images(spark, path), path)
+
+
+@query(FOUND + f" select image, mean from found where image not like 'truth/%' and image not like 'old_%' and split_part(image, '/', 1) || '_' || split_part(image, '/', 2) in ({GROUPS}) order by image limit 12")
+def src5_group_discovery(spark, sf_dir):
+    """The first 12 images of the validation groups."""
+    path = image_folder(spark, sf_dir)
+    return image_means(images.find_images(spark, path, without="/truth/", groups=ellipses.VALIDATION, limit=12), path)
 
 
 @query(T + " select seq, cls, (row_number() over (partition by cls order by seq) - 1) as index, (row_number() over (partition by cls order by seq) - 1) // 16 as batch from truth where cls in (0, 2)")

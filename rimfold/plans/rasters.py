@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rimfold.functions import geometry as G
-from rimfold.operators import extract, features, models, raster, segment, stats
+from rimfold.operators import extract, features, models, mosaic, raster, segment, stats
 from rimfold.plans.analysis import scored, SQL as SCORED
 from rimfold.plans.fixtures import BASE_SQL, PATCH_SQL, pred, table, truth
 
@@ -197,6 +197,40 @@ def sg1_connected_components(spark, sf_dir):
     return labelled(spark, sf_dir)
 
 
+# --- mosaics: 64 planes are the 8 x 8 tiles of one image of 64 x 64 ---
+def mosaics(spark, sf_dir) -> DataFrame:
+    i, t = F.col("vec_id").cast("long"), F.pmod(F.col("vec_id"), F.lit(64))
+    return planes(spark, sf_dir).select(F.floor(i / 64).alias("image"), F.floor(t / 8).cast("int").alias("ty"), (t % 8).cast("int").alias("tx"), "plane")
+
+
+def tiles_shown(rows: DataFrame, plane: str, name: str) -> DataFrame:
+    return raster.pixels(rows.withColumn("vec_id", F.col("image") * 64 + F.col("ty") * 8 + F.col("tx")), "vec_id", plane, 8, name)
+
+
+MOSAIC = "with recursive " + PATCH_SQL + """, big as (select vec_id, y, x, v, vec_id // 64 as image, vec_id % 64 // 8 * 8 + y as gy, vec_id % 8 * 8 + x as gx from patch)"""
+
+
+@query(MOSAIC + """, m as (select image, gy, gx, gy * 64 + gx as i from big where v > 0.03e0), o as (select unnest([-1, -1, -1, 0, 0, 1, 1, 1]) as dy, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) as dx),
+e as (select m.image, m.i as p, n.i as q from m, o, m n where n.image = m.image and n.gy = m.gy + dy and n.gx = m.gx + dx),
+wave as (select image, i as q, i as first from m union select e.image, e.q, min(wave.first) from wave join e on e.image = wave.image and e.p = wave.q where wave.first < e.q group by 1, 2),
+l as (select image, q, dense_rank() over (partition by image order by first) as label from (select image, q, min(first) as first from wave group by 1, 2))
+select vec_id, y, x, coalesce(label, 0)::bigint as label from big left join l on l.image = big.image and l.q = gy * 64 + gx""")
+def sg1_tiled_labels(spark, sf_dir):
+    """Components across the tiles of each mosaic."""
+    return tiles_shown(mosaic.label_tiles(mosaics(spark, sf_dir), 8, 8, 0.03), "labels", "label")
+
+
+@query(MOSAIC + """, size as (select image, (max(vec_id % 64 // 8) + 1) * 8 as h, (max(vec_id % 8) + 1) * 8 as w from big group by 1),
+grid as (select image, gy, gx, h, w from size, (select unnest(range(64)) as gy), (select unnest(range(64)) as gx) where gy < h and gx < w),
+a as (select g.image, g.gy, g.gx, g.h, g.w, vec_id, b.y, b.x, coalesce(v, 0) > -0.1e0 and v is not null as inside from grid g left join big b on b.image = g.image and b.gy = g.gy and b.gx = g.gx),
+d as (select a.image, a.gy, a.gx, min((a.gy - f.gy)**2 + (a.gx - f.gx)**2) as d2 from a join a f on f.image = a.image and not f.inside where a.inside group by 1, 2, 3)
+select a.vec_id, a.y, a.x, round(case when inside then coalesce(sqrt(d2), h + w) else 0 end, 6)::double as v from a left join d on d.image = a.image and d.gy = a.gy and d.gx = a.gx where a.vec_id is not null""")
+def sg2_tiled_distance(spark, sf_dir):
+    """Distances across the tiles of each mosaic."""
+    rows = tiles_shown(mosaic.distance_tiles(mosaics(spark, sf_dir), 8, 8, -0.1), "distance", "v").join(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", "left_semi")
+    return rows.withColumn("v", F.round("v", 6) + 0.0)
+
+
 @query(LABELS + """, s as (select vec_id, label, count(*) as area, min(y) as y0, min(x) as x0, max(y) as y1, max(x) as x1, avg(y) as cy, avg(x) as cx, var_pop(y) as vy, var_pop(x) as vx, covar_pop(x::double, y::double) as c from lab where label > 0 group by 1, 2),
 e as (select *, 4 * sqrt(greatest(0, (vy + vx) / 2 + sqrt(((vy - vx) / 2)**2 + c * c))) as big, 4 * sqrt(greatest(0, (vy + vx) / 2 - sqrt(((vy - vx) / 2)**2 + c * c))) as small from s)
 select vec_id, label, area, y0, x0, y1, x1, round(cy, 6) as cy, round(cx, 6) as cx, round(big, 4) as major, round(small, 4) as minor from e""")
@@ -520,6 +554,38 @@ def mod11_12_mask_metrics(spark, sf_dir):
     return m.select("vec_id", *[F.round(c, 6).alias(c) for c in ("iou", "dice", "focal")])
 
 
+FOCAL = "avg(0.8e0 * (1 - exp(-c{0}))**2 * c{0})"
+DICE = "1 - (2 * sum(p{0} * t{0}) + 1) / (sum(p{0}) + sum(t{0}) + 1)"
+
+
+@query(P + """, far as (select p.vec_id, p.y, p.x, min((p.y - q.y)**2 + (p.x - q.x)**2) as d2 from patch p join patch q on q.vec_id = p.vec_id and (q.v > 0.05e0) <> (p.v > 0.05e0) group by 1, 2, 3),
+z as (select vec_id, y, x, v * 40 as z1, -30 * v + 1 as z2, v * 200 as z3, ((y + x) % 2 = 0)::int as t1, (v < 0)::int as t2, (v > 0.05e0)::int as t3, coalesce(sqrt(d2) / sqrt(128), 50) as d from patch left join far using (vec_id, y, x)),
+k as (select vec_id, d, t1, t2, t3, greatest(-20, least(20, z1)) as z1, greatest(-20, least(20, z2)) as z2, greatest(-20, least(20, z3)) as z3 from z),
+c as (select *, """ + ", ".join(f"1 / (1 + exp(-z{i})) as p{i}, greatest(z{i}, 0) - z{i} * t{i} + ln(1 + exp(-abs(z{i}))) as c{i}" for i in (1, 2, 3)) + """ from k),
+l as (select vec_id, """ + ", ".join(f"{w} * {FOCAL.format(i)} + {1 - w:.2f} * ({DICE.format(i)}) as l{i}" for i, w in ((1, 0.75), (2, 0.75), (3, 0.7))) + """, sum(p3 * d * t3) / (sum(t3) + 1e-6) as b from c group by 1)
+select vec_id, round(l1, 6) as core, round(l2, 6) as whole, round(l3, 6) as rim, round(b, 6) as boundary, round(l1 * 0.5e0 + l2 * 0.5e0 * exp(-0.6e0) + 0.3e0 + l3 * 0.5e0 * exp(5e0) - 2.5e0 + 0.3e0 * b, 6) as total from l""")
+def mod11_weighted_losses(spark, sf_dir):
+    """Losses of three channels, the third with its boundary, weighed by uncertainty; the third weight is held at its bound."""
+    v, checks = F.col("v"), (F.col("y") + F.col("x")) % 2 == 0
+    rows = planes(spark, sf_dir).select("vec_id", F.arrays_zip(F.col("plane").alias("v"), segment.signed_distance_of(F.col("plane"), 8, 8, 0.05).alias("d")).alias("z"))
+    rows = raster.pixels(rows, "vec_id", "z", 8, "z").select("vec_id", "y", "x", "z.v", "z.d")
+    rows = rows.withColumns({"core": v * 40, "whole": -30 * v + 1, "rim": v * 200, "t1": checks.cast("int"), "t2": (v < 0).cast("int"), "t3": (v > 0.05).cast("int")})
+    out = models.weighted_losses(rows, "vec_id", [("core", "t1"), ("whole", "t2"), ("rim", "t3")], "d", s=[0.0, 0.6, -9.0])
+    return out.select("vec_id", *[F.round(f"loss_{c}", 6).alias(c) for c in ("core", "whole", "rim")], F.round("boundary", 6).alias("boundary"), F.round("total", 6).alias("total"))
+
+
+@query(P + """, o as (select unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) as dy, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) as dx),
+s0 as (select vec_id, y, x, v as s, (v > 0.55e0)::int::double as t from patch01)""" + "".join(
+    f""", s{k} as (select a.vec_id, a.y, a.x, any_value(a.s) * max(b.s) as s, any_value(a.t) * max(b.t) as t from s{k - 1} a, o, s{k - 1} b where b.vec_id = a.vec_id and b.y = a.y + dy and b.x = a.x + dx group by 1, 2, 3)"""
+    for k in range(1, 6)) + """, m as (select vec_id, sum(e.s * a.t) / (sum(e.s) + 1e-6) as tp, sum(e.t * a.s) / (sum(e.t) + 1e-6) as ts from s0 a join s5 e using (vec_id, y, x) group by 1)
+select vec_id, round(1 - 2 * tp * ts / (tp + ts + 1e-6), 6) as centreline from m""")
+def mod11_centreline_loss(spark, sf_dir):
+    rows = planes(spark, sf_dir, True).withColumn("t", F.transform("plane", lambda v: (v > 0.55).cast("double")))
+    rows = rows.select("vec_id", F.arrays_zip(F.col("plane").alias("p"), "t", raster.soft_skeleton("plane", 8, 8).alias("ps"), raster.soft_skeleton("t", 8, 8).alias("ts")).alias("z"))
+    each = raster.pixels(rows, "vec_id", "z", 8, "z").select("vec_id", "z.*")
+    return each.groupBy("vec_id").agg(F.round(models.centreline_loss("p", "t", "ps", "ts"), 6).alias("centreline"))
+
+
 @query()
 def sg9_ellipse_fit(spark, sf_dir):
     f = segment.fits(rim_points(spark, sf_dir), ["seq"])

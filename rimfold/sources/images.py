@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,46 @@ class Settings:
         return cls(**{k: known[k](v) for k, v in given.items() if k in known})
 
 
-def find_images(spark: SparkSession, path: str, *, without: str = "truth", limit: int | None = None) -> DataFrame:
-    """path and content of all PNG files below path, without those with `without` in their path, by path."""
+def find_images(spark: SparkSession, path: str, *, without: str = "truth", groups: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """path and content of all PNG files below path, without those with `without` in their path. With groups (such as
+    altitude01_longitude10) only those that have both parts of one as folders of exactly these names. A limit takes the first by path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
     rows = rows.where(~F.col("path").contains(without)).select("path", "content")
-    return rows if limit is None else rows.orderBy("path").limit(limit)
+    if groups is not None:
+        parts = [g.split("_", 1) for g in groups if "_" in g]
+        inside = [F.col("path").contains(f"/{a}/") & F.col("path").contains(f"/{b}/") for a, b in parts]
+        rows = rows.where(reduce(Column.__or__, inside, F.lit(False)))
+    if limit is None:
+        return rows
+    return rows.join(F.broadcast(rows.select("path").orderBy("path").limit(limit)), "path", "left_semi")  # contents are not sorted
+
+
+def write_images(rows: DataFrame, folder: str) -> int:
+    """Writes content to folder/path for each row (path, content), in the folder that all executors share; how many were written.
+    Each file gets its name when it is whole, and a task that runs again writes the same files."""
+
+    def write(batches):
+        import posixpath
+        import uuid
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                to = posixpath.join(base, path)
+                above = posixpath.dirname(to)
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                part = posixpath.join(above, f".{uuid.uuid4().hex}")
+                with system.open_output_stream(part) as out:
+                    out.write(content)
+                system.move(part, to)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -112,6 +148,16 @@ def encode_png(gray: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def png_of(plane, h: int, w: int) -> Column:
+    """A gray PNG of a plane of values from 0 to 255."""
+
+    @F.pandas_udf("binary")
+    def encoded(planes: pd.Series) -> pd.Series:
+        return planes.map(lambda p: None if p is None else encode_png(np.asarray(p, float).astype(np.uint8).reshape(h, w)))
+
+    return encoded(plane)
+
+
 def gray_plane(content: str) -> Column:
     """Height, width and gray values of each image; null where it does not decode."""
 

@@ -259,7 +259,13 @@ def sg3_watershed(spark, sf_dir):
     return raster.pixels(rows, "vec_id", "l", 8, "label")
 
 
-@query()
+# a hull's edge: a pair of corners with no corner to its right, nor beyond it on its line
+@query(LABELS + """, corner as (select distinct vec_id, label, y + dy as y, x + dx as x from lab, (select unnest([0, 0, 1, 1]) as dy, unnest([0, 1, 0, 1]) as dx) where label > 0),
+line as (select vec_id, label, y, min(x) as x0, max(x) as x1 from corner group by 1, 2, 3), pts as (select vec_id, label, y, x0 as x from line union select vec_id, label, y, x1 from line),
+edge as (select p.vec_id, p.label, p.x * q.y - q.x * p.y as twice from pts p join pts q on q.vec_id = p.vec_id and q.label = p.label and (q.y <> p.y or q.x <> p.x) join pts r on r.vec_id = p.vec_id and r.label = p.label
+ group by p.vec_id, p.label, p.x, p.y, q.x, q.y having bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 or ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) and (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) <= 0))),
+hull as (select vec_id, label, sum(twice) / 2.0e0 as hull from edge group by 1, 2), size as (select vec_id, label, count(*)::int as area from lab where label > 0 group by 1, 2)
+select vec_id, label, area, round(hull, 6) as hull, round(area / hull, 6) as solidity from hull join size using (vec_id, label)""")
 def sg5_hulls(spark, sf_dir):
     return segment.hulls(labelled(spark, sf_dir), "vec_id").withColumns({"hull": F.round("hull", 6), "solidity": F.round("solidity", 6)})
 
@@ -481,6 +487,16 @@ def sg13_guarded_refit(spark, sf_dir):
     return rows.select("seq", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "refitted")
 
 
+@query(T + """, r as (select t.*, p.a as na, p.b as nb, p.rot as nrot, 10 + t.seq % 30 as n, greatest(p.a, p.b) as big from truth t left join pred p using (seq)),
+f as (select *, coalesce(n >= 20 and least(na, nb) >= 3 and cx - big >= 0 and cy - big >= 0 and cx + big < 1600 and cy + big < 1500 and big <= 0.6e0 * 1600, false) as fine from r)
+select seq, case when fine then na else a end as a, case when fine then nb else b end as b, round(case when fine then nrot else rot end, 6) as rot, fine as refitted from f""")
+def sg13_guard(spark, sf_dir):
+    """The guard over given refits: the predictions, with 10 to 39 points each."""
+    refit = pred(spark, sf_dir).select("seq", "a", "b", F.radians("rot").alias("phi"), (10 + F.col("seq") % 30).alias("n"))
+    rows = segment.guarded_refit(truth(spark, sf_dir).select("seq", *features.ELLIPSE), refit, ["seq"], 1600, 1500)
+    return rows.select("seq", "a", "b", F.round("rot", 6).alias("rot"), "refitted")
+
+
 def two_ellipse_planes(spark, sf_dir) -> DataFrame:
     """Each embedding as an image of 48 x 96 with two soft ellipses, whose places and sizes it decides, and rims around them; the
     left rim is the stronger one."""

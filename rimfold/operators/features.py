@@ -321,3 +321,20 @@ def assembled(parts: list[DataFrame], key: str, names: list[str] | None = None)
     for part in parts[1:]:
         out = out.join(part, key, "left")
     return out if names is None else out.select(key, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) if n in out.columns else F.lit(0.0).alias(n) for n in names])
+
+
+MORPHOLOGY = [f"morph_{n}" for n in ("solidity", "convexity", "extent", "perimeter", "minor", "log_area")]
+STABILITY = [f"stab_{n}" for n in ("jitter_a", "jitter_b", "jitter_theta", "center_shift", "iou_subsample")]
+FULL = [*GEOMETRY, *RIM, *MORPHOLOGY, *STABILITY, *CLASSIFIER[19:28], "meta_log_radius", "meta_log_area", *CLASSIFIER[28:]]
+
+
+def full_vector(points: DataFrame, pixels: DataFrame, key: str, height: int, width: int, brightness: Column, *, region: str | None = None, stability: DataFrame | None = None, least: int = 10) -> DataFrame:
+    """key and the 44 features FULL (CLASSIFIER is part of them), every group measured. points: rim points with p, the gradient g
+    there and its image's mean g_mean (region: a column of theirs, as in geometry); pixels: v and gradient g around each candidate; stability: its table, or what holds of a
+    candidate that does not move. The area of meta is that of morphology. A candidate without rim points has no row."""
+    own = points.groupBy(key).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    shape = morphology(height, width)
+    shapes = own.select(key, *[c.alias(n) for n, c in shape.items()], meta(height, width)["meta_log_radius"].alias("meta_log_radius"), shape["morph_log_area"].alias("meta_log_area"))
+    parts = [shapes, geometry(points, key, height, width, region), rim_probability(points, key), slopes(points, key), context(pixels, key, "g"), signal_to_noise(pixels, key, brightness, least)]
+    parts.append(own.select(key, *[F.lit(float(n.endswith("subsample"))).alias(n) for n in STABILITY]) if stability is None else stability)
+    return assembled(parts, key, FULL)

@@ -472,6 +472,46 @@ def fe10_assembled(spark, sf_dir):
     return out.select("seq", F.round("rim_prob_mean", 9).alias("rim_prob_mean"), F.round("meta_log_area", 6).alias("meta_log_area"), "morph_solidity")
 
 
+def candidate_planes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Rim points and pixels of one candidate in each plane, both with the gradient."""
+    i, k = F.col("vec_id"), F.col("k")
+    gradients = planes(spark, sf_dir).select("vec_id", raster.sobel_magnitude("plane", 8, 8).alias("g"))
+    rows = planes(spark, sf_dir, True).join(gradients, "vec_id")
+    rows = rows.withColumns({"cx": F.lit(3.5), "cy": F.lit(3.5), "a": 2.6 + (i % 3) * 0.1, "b": F.lit(2.2), "rot": ((i * 31) % 180).cast("double")})
+    x, y = G.perimeter_point("cx", "cy", "a", "b", "rot", F.lit(2 * G.PI) * (k + 0.3) / 24)
+    points = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(23)))).where((i + k * 5) % 7 != 0).withColumns({"x": x, "y": y})
+    at = (F.floor(F.col("y") + 0.5) * 8 + F.floor(F.col("x") + 0.5)).cast("int")
+    mean = F.aggregate("g", F.lit(0.0), lambda s, v: s + v) / 64
+    points = points.select("vec_id", *features.ELLIPSE, "x", "y", F.get("plane", at).alias("p"), F.get("g", at).alias("g"), mean.alias("g_mean"), F.size(F.filter("plane", lambda v: v > 0.5)).alias("region"))
+    z = rows.withColumn("z", F.arrays_zip(F.col("plane").alias("v"), "g"))
+    pixels = raster.pixels(z, "vec_id", "z", 8, "z").select("vec_id", "y", "x", "z.v", "z.g").join(rows.select("vec_id", *features.ELLIPSE), "vec_id")
+    return points, pixels
+
+
+@query(NEIGHBOURS + """, own as (select distinct vec_id, 2.6e0 + (vec_id % 3) * 0.1e0 as a, 2.2e0 as b, radians((vec_id * 31) % 180) as r from patch),
+px as (select vec_id, y, x, greatest(0, least(1, (v + 0.6e0) / 1.2e0)) as v, m as g from patch join sob using (vec_id, y, x)),
+pt as (select *, 2 * pi() * (k + 0.3e0) / 24 as th from own, (select unnest(range(24)) as k) where (vec_id + k * 5) % 7 <> 0),
+spot as (select vec_id, floor(4 + a * cos(th) * cos(r) - b * sin(th) * sin(r)) as x, floor(4 + a * cos(th) * sin(r) + b * sin(th) * cos(r)) as y from pt),
+mean as (select vec_id, avg(g) as gm, stddev_pop(g) as gs, avg(v) as level from px group by 1),
+rim as (select vec_id, avg(greatest(1e-6, least(1 - 1e-6, v))) as rim_mean, avg(g / (gm + 1e-6)) as sharp from spot join px using (vec_id, y, x) join mean using (vec_id) group by 1),
+z as (select px.*, a, b, sqrt(((cos(r) * (x - 3.5e0) + sin(r) * (y - 3.5e0)) / a)**2 + ((cos(r) * (y - 3.5e0) - sin(r) * (x - 3.5e0)) / b)**2) as z from px join own using (vec_id)),
+c as (select vec_id, any_value(a) as a, any_value(b) as b, count(*) filter (where v > 0.5e0) as region, coalesce(avg(v) filter (where z < 0.8e0), 0) - coalesce(avg(v) filter (where z > 1 and z <= 1.2e0), 0) as diff, avg(g) filter (where z between 0.95e0 and 1.05e0) as rg,
+ (avg(v) filter (where z between 0.8e0 and 1.2e0) - avg(v) filter (where z < 0.8e0)) / (stddev_pop(v) filter (where z > 1.2e0 and z <= 1.5e0) + 1e-6) as snr,
+ least(count(*) filter (where z between 0.8e0 and 1.2e0), count(*) filter (where z < 0.8e0), count(*) filter (where z > 1.2e0 and z <= 1.5e0)) as least_n from z group by 1)
+select vec_id, 44::int as width, 31::int as classifier_width, round(b / (a + 1e-6), 6) as axis_ratio, round(rim_mean, 6) as rim_mean, round(ln(pi() * a * b / 64 + 1e-6), 6) as morph_log_area, round(ln(pi() * a * b / 64 + 1e-6), 6) as meta_log_area,
+round(sharp, 5) as sharpness, round(diff, 6) as ctx_diff, round(coalesce(rg / (gm + 1e-6), 0), 5) as grad_mean, round(case when least_n >= 4 then snr else 0 end, 4) as snr, round(case when least_n >= 4 then snr else 0 end, 4) as classifier_snr, round(level, 6) as level, round(region / (pi() * a * b + 1e-6), 6) as area_ratio, true as stable
+from c join rim using (vec_id) join mean using (vec_id)""")
+def fe10_full_vectors(spark, sf_dir):
+    """All 44 inputs measured on planes, and the classifier's 31 of them by place; of stability SQL knows how its values hang together."""
+    points, pixels = candidate_planes(spark, sf_dir)
+    whole = features.full_vector(points, pixels, "vec_id", 8, 8, F.avg("v") * 255, region="region", stability=segment.stability(points, ["vec_id"]), least=4)
+    ja, jb, iou = (F.col(f"stab_{n}") for n in ("jitter_a", "jitter_b", "iou_subsample"))
+    x = whole.select("vec_id", F.array(*features.FULL).alias("x"), F.array(*features.CLASSIFIER).alias("y"), ((F.abs(iou - 1 / (1 + ja + jb)) < 1e-9) | ((iou == 1) & (ja == 1))).alias("stable"))
+    at = lambda n, d: F.round(F.get("x", features.FULL.index(n)), d)
+    named = [("axis_ratio", features.GEOMETRY[1], 6), ("area_ratio", "geometry_area_ratio", 6), ("rim_mean", features.RIM[0], 6), ("morph_log_area", "morph_log_area", 6), ("meta_log_area", "meta_log_area", 6), ("sharpness", "mahanti_rim_sharpness", 5), ("ctx_diff", "ctx_diff", 6), ("grad_mean", "ctx_grad_mean", 5), ("snr", "snr_raw", 4), ("level", "snr_illumination_level", 6)]
+    return x.select("vec_id", F.size("x").alias("width"), F.size("y").alias("classifier_width"), *[at(n, d).alias(c) for c, n, d in named], F.round(F.get("y", 28), 4).alias("classifier_snr"), "stable")
+
+
 @query()
 def fe5_smp4_stability(spark, sf_dir):
     s = segment.stability(rim_points(spark, sf_dir), ["seq"])

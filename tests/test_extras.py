@@ -87,3 +87,19 @@ def test_positional_files_keep_large_ellipses_of_validation(spark, tmp_path):
     group = "altitude01/longitude10/orientation01_light01"
     (tmp_path / "t.csv").write_text("\n".join([head, f"1,2,9,8,0,{group}", f"1,2,9,4.9,0,{group}", "1,2,9,8,0,altitude01/longitude11/o"]) + "\n")
     assert [(r["a"], r["b"]) for r in ellipses.read_positional(spark, str(tmp_path / "t.csv")).collect()] == [(9.0, 8.0)]
+
+
+def test_every_feature_of_the_full_vector_is_measured(spark):
+    """44 distinct names, the classifier's among them, none constant but the closed forms; without a table of stability its defaults."""
+    from rimfold.operators import features
+    from rimfold.plans import rasters
+
+    points, pixels = rasters.candidate_planes(spark, "/root/testdata/sf0.001")
+    full = lambda s: features.full_vector(points, pixels, "vec_id", 8, 8, F.avg("v") * 255, region="region", stability=s, least=4)
+    assert len(set(features.FULL)) == 44 and set(features.CLASSIFIER) < set(features.FULL)
+    rows = full(segment.stability(points, ["vec_id"])).toPandas()
+    assert len(rows) == 500 and not rows.isna().any().any()
+    constant = {n for n in features.FULL if rows[n].nunique() == 1}
+    assert constant <= {"morph_solidity", "morph_convexity", "morph_extent"}, constant
+    still = full(None).select(*features.STABILITY).distinct().collect()
+    assert [tuple(r) for r in still] == [(0.0, 0.0, 0.0, 0.0, 1.0)]

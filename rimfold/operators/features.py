@@ -30,16 +30,17 @@ def histogram(angles: str, bins: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(own, lambda s: s == k)))
 
 
-def sector_counts(angle: Column, bins: int) -> list[Column]:
-    """Aggregates that count the rows of each even sector of [0, 2 pi], named _0, _1, ..."""
-    sector = F.least(F.lit(bins - 1), F.floor(angle / TURN * bins)).cast("int")
-    return [F.count_if(sector == k).alias(f"_{k}") for k in range(bins)]
+def filled_and_squares(angles: str, bins: int) -> tuple[Column, Column]:
+    """Even sectors of [0, 2 pi] that hold any of the sorted angles, and the sum of the squares of their counts: a sector of n adds
+    1 + 3 + ... + (2 n - 1)."""
+    sectors = F.transform(angles, lambda v: F.least(F.lit(bins - 1), F.floor(v / TURN * bins)).cast("int"))
 
+    def step(t, sector):
+        run = F.when(t["at"] == sector, t["run"] + 1).otherwise(1)
+        return F.struct(sector.alias("at"), run.alias("run"), (t["squares"] + 2 * run - 1).alias("squares"))
 
-def filled_and_squares(bins: int) -> tuple[Column, Column]:
-    """Of those counts: sectors that hold any, and the sum of the counts' squares."""
-    counts = [F.col(f"_{k}") for k in range(bins)]
-    return sum((c > 0).cast("int") for c in counts), sum(c * c for c in counts)
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("squares"))
+    return F.size(F.array_distinct(sectors)), F.aggregate(sectors, start, step, lambda t: t["squares"])
 
 
 def widest_gap(angles: str) -> Column:
@@ -53,9 +54,9 @@ def geometry(points: DataFrame, key: str, height: int, width: int, region: str |
     """The eleven geometry features; region: a column with the area of the candidate's region (without it the area ratio is 1)."""
     d = G.algebraic_distance("x", "y", *ELLIPSE)
     angle = full_angle(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
-    rows = grouped(points, key, F.sqrt(F.avg(d * d)).alias("resid_rms"), F.percentile(d, 0.9).alias("resid_p90"), F.array_sort(F.collect_list(angle)).alias("angles"), F.first(region or F.lit(None)).alias("region"), *sector_counts(angle, 36))
+    rows = grouped(points, key, F.sqrt(F.avg(d * d)).alias("resid_rms"), F.percentile(d, 0.9).alias("resid_p90"), F.array_sort(F.collect_list(angle)).alias("angles"), F.first(region or F.lit(None)).alias("region"))
     a, b, n = F.col("a"), F.col("b"), F.col("n")
-    filled, squares = filled_and_squares(36)
+    filled, squares = filled_and_squares("angles", 36)
     mean = n / 36
     spread = F.sqrt(F.greatest(F.lit(0.0), squares / 36 - mean * mean))
     return rows.select(
@@ -265,9 +266,9 @@ def confidence(samples: DataFrame, key: str, n: int, *, signal: str = "p", over:
     s, angle = F.col(signal), F.lit(TURN) * F.col("k") / n
     rows = samples.groupBy(key).agg(
         F.count(F.lit(1)).alias("m"), F.avg(s).alias("mean"), F.avg((s > over).cast("double")).alias("share"),
-        F.avg((s > 0.2).cast("double")).alias("completeness"), F.array_sort(F.collect_list(angle)).alias("angles"), *sector_counts(angle, bins),
+        F.avg((s > 0.2).cast("double")).alias("completeness"), F.array_sort(F.collect_list(angle)).alias("angles"),
     )
-    _, squares = filled_and_squares(bins)
+    _, squares = filled_and_squares("angles", bins)
     each = F.col("m") / bins
     spread = F.sqrt(F.greatest(F.lit(0.0), squares / bins - each * each))
     uneven = F.least(spread / (F.sqrt(each * (bins - 1)) + 1e-6), F.lit(1.0))

@@ -1,25 +1,25 @@
 r"""License scans: phrases, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-Words: runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z is lower-cased (found here on the text as it is, ignoring the case of A-Z). A block is BLOCK consecutive words, and blocks
-start at every word. A template labels a text if a block holds at least `least` of the template's distinct words
-(containment of the template in the block).
+Words: runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z is lower-cased (found here on the text as it is, ignoring the case of A-Z). A template's blocks are
+as many consecutive words as its text has and a quarter more, BLOCK at least, and start at every word. A template labels a
+text if a block holds at least `least` of the template's distinct words (containment of the template in the block).
 
 The join: template words are ordered by their count over the whole corpus, rarest first. A block that holds all but
 |T| - need of a template's |T| words (need = ceil(least * |T|)) must hold one of its |T| - need + 1 rarest (prefix
-filter), so only what lies around these words is looked at: BLOCK - 1 words to either side must hold `need` of the
-template's (length filter). There, each block that starts at a word of the template and holds the rare word is counted
-exactly; a block that starts elsewhere holds no more than the one at its first word of the template. The templates are
+filter), so only what lies less than a block around these words is looked at. Length filter: there must be `need` different
+words of templates there. Positional filter: with j of the template's words before the rare one in the order, the block can
+share at most j and at most the earlier words that are there, and as to the others at most |T| - j and the later words that are
+there; the sum must reach `need`. What is left is counted exactly, in each block that starts at a word of the template and holds the
+rare word; a block that starts elsewhere holds no more than the one at its first word of the template. The templates are
 a constant of this module, so the broadcast table has a fixed size. Function words (COMMON) belong to no template's set.
 
-STEP is the distance of the blocks in the SQL below, which sees only every 16th start: what spans over 17 words may be
-missing there.
-
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are each scanned.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +29,10 @@ from rimfold.llm.common import read, stored
 
 OUT = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # on the text as it is: A-Z belong to words
 TOKEN = rf"[^{OUT}]+"
-BLOCK, STEP, LEAST = 32, 16, 0.9
+BLOCK, LEAST = 32, 0.9
 COMMON = {"a", "all", "and", "any", "are", "by", "in", "is", "may", "not", "of", "or", "the", "this", "to", "under", "you"}
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: Short notices, then paragraphs of public license texts.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
     "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
@@ -48,23 +49,78 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
-
-def templates() -> list[tuple[int, str, list[str]]]:
-    """(number, label, distinct words) of each template."""
-    return list(enumerate_templates())
+PARAGRAPHS = {
+    "apache-2.0": [
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    ],
+    "mit": [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software.""",
+        """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+        COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ],
+    "bsd": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.""",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission.""",
+        """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ],
+    "isc": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies.""",
+        """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    ],
+    "gpl-or-later": [
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+        """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+        for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.""",
+    ],
+    "unlicense": [
+        """Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+        compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ],
+}
 
 
-def enumerate_templates():
-    n = 0
-    for label, texts in TEMPLATES.items():
-        for text in texts:
-            yield n, label, sorted(set(text.split()) - COMMON)
-            n += 1
+def templates() -> list[tuple[int, str, list[str], int]]:
+    """(number, label, distinct words, words of a block) of each template."""
+    texts = [(label, text) for kind in (TEMPLATES, PARAGRAPHS) for label, of_label in kind.items() for text in of_label]
+    words = [re.findall(r"[0-9a-z]+", text.lower()) for _, text in texts]
+    return [(n, label, sorted(set(own) - COMMON), max(BLOCK, math.ceil(1.25 * len(own)))) for n, ((label, _), own) in enumerate(zip(texts, words))]
 
 
 def found_words(docs: DataFrame) -> DataFrame:
     """_row (doc_id and text hash), n_words, hits: place and lower-cased form of the words of phrases and templates."""
-    wanted = sorted({w for _, _, own in templates() for w in own} | {w for p in PHRASES for w in p.split()})
+    wanted = sorted({w for _, _, own, _ in templates() for w in own} | {w for p in PHRASES for w in p.split()})
     words = F.regexp_extract_all("_own", F.lit(TOKEN), F.lit(0))
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_own")).select(
         "doc_id", F.struct(F.col("doc_id"), F.xxhash64("_own").alias("h")).alias("_row"), words.alias("_words")
@@ -76,7 +132,7 @@ def found_words(docs: DataFrame) -> DataFrame:
 
 def word_order(words: DataFrame) -> dict[str, int]:
     """Rank by corpus count, rarest first, of every template word; at most as many counts as there are such words."""
-    names = sorted({w for _, _, own in templates() for w in own})
+    names = sorted({w for _, _, own, _ in templates() for w in own})
     counts = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}
     return {w: i for i, w in enumerate(sorted(names, key=lambda w: (counts.get(w, 0), w)))}
 
@@ -84,24 +140,37 @@ def word_order(words: DataFrame) -> dict[str, int]:
 def template_labels(texts: DataFrame, order: dict[str, int], *, least: float = LEAST) -> DataFrame:
     """_row, method_labels (sorted set), containment (the highest) of the texts that hold a block that meets the
     threshold; texts: _row, hits."""
-    prefix = []
-    for n, label, own in templates():
-        ranked = sorted(own, key=order.__getitem__)
-        need = math.ceil(least * len(ranked) - 1e-9)
-        prefix += [(w, n, label, need, own) for w in ranked[: len(ranked) - need + 1]]
-    prefixes = F.broadcast(texts.sparkSession.createDataFrame(prefix, "word string, template int, label string, need int, own array<string>"))
+    prefix, reach = [], {}
+    for n, label, own, span in templates():
+        ranks = sorted(order[w] for w in own)
+        need = math.ceil(least * len(own) - 1e-9)
+        names = sorted(own, key=order.__getitem__)
+        for j, w in enumerate(names[: len(own) - need + 1]):
+            prefix.append((w, ranks[j], j, n, label, need, span, ranks))
+            reach[w] = max(span, reach.get(w, 0))
+    schema = "word string, rank int, j int, template int, label string, need int, span int, own array<int>"
+    prefixes = F.broadcast(texts.sparkSession.createDataFrame(prefix, schema))
     numbered = F.transform("hits", lambda x, i: F.struct(x["at"].alias("at"), x["word"].alias("word"), i.alias("i")))
-    rare = F.filter(numbered, lambda x: x["word"].isin(sorted({r[0] for r in prefix})))
-    # hits are in order of place, so those less than BLOCK words away are less than BLOCK hits away
-    around = F.transform(rare, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"), F.slice("hits", F.greatest(x["i"] - (BLOCK - 2), F.lit(1)), F.lit(2 * BLOCK - 1)).alias("near")))
+    rare = F.filter(numbered, lambda x: x["word"].isin(sorted(reach)))
+
+    def wide(x):  # the longest block of the word's templates
+        return reduce(lambda rest, span: F.when(x["word"].isin([w for w in reach if reach[w] == span]), F.lit(span)).otherwise(rest), sorted(set(reach.values())), F.lit(BLOCK))
+
+    # hits are in order of place, so those less than a block away are less than its words away as hits
+    around = F.transform(rare, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"), F.slice("hits", F.greatest(x["i"] - (wide(x) - 2), F.lit(1)), 2 * wide(x) - 1).alias("near")))
     anchors = texts.select("_row", F.explode(around).alias("x")).select("_row", "x.*").join(prefixes, "word")
-    near = F.filter("near", lambda x: (F.abs(x["at"] - F.col("at")) < BLOCK) & F.array_contains("own", x["word"]))
-    candidates = anchors.withColumn("near", near).where(F.size(F.array_distinct("near.word")) >= F.col("need"))
+    names = F.split(F.lit(" ".join(sorted(order, key=order.__getitem__))), " ")  # by rank, which is the place here
+    ranked = F.transform("near", lambda x: F.struct(x["at"].alias("at"), (F.array_position(names, x["word"]) - 1).cast("int").alias("rank")))
+    near = F.filter(ranked, lambda x: (F.abs(x["at"] - F.col("at")) < F.col("span")) & (x["rank"] >= 0))
+    different = anchors.withColumn("near", near).withColumn("ranks", F.array_distinct("near.rank")).where(F.size("ranks") >= F.col("need"))
+    earlier = F.size(F.filter("ranks", lambda r: r < F.col("rank")))
+    most = F.least("j", earlier) + F.least(F.size("own") - F.col("j"), F.size("ranks") - earlier)
+    candidates = different.where(most >= F.col("need")).withColumn("near", F.filter("near", lambda x: F.array_contains("own", x["rank"])))
     starts = F.filter("near", lambda x: x["at"] <= F.col("at"))
 
     def held(start):
-        inside = F.filter("near", lambda x: (x["at"] >= start["at"]) & (x["at"] < start["at"] + BLOCK))
-        return F.size(F.array_distinct(F.transform(inside, lambda x: x["word"])))
+        inside = F.filter("near", lambda x: (x["at"] >= start["at"]) & (x["at"] < start["at"] + F.col("span")))
+        return F.size(F.array_distinct(F.transform(inside, lambda x: x["rank"])))
 
     both = candidates.withColumn("common", F.array_max(F.transform(starts, held))).where(F.col("common") >= F.col("need"))
     return both.groupBy("_row").agg(F.array_sort(F.collect_set("label")).alias("method_labels"), F.max(F.col("common") / F.size("own")).alias("containment"))
@@ -141,16 +210,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same by counting every block's words against every template, without filters."""
-    rows = ", ".join(f"({n}, '{label}', '{word}', {math.ceil(LEAST * len(own) - 1e-9)}, {len(own)})" for n, label, own in templates() for word in own)
+    """The same by counting the words of blocks at every start, in the texts that hold enough of a template as a whole."""
+    rows = ", ".join(f"({n}, '{label}', '{word}', {math.ceil(LEAST * len(own) - 1e-9)}, {len(own)}, {span})" for n, label, own, span in templates() for word in own)
     return rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 u as (select doc_id, generate_subscripts(w, 1) - 1 as i, unnest(w) as x from d),
 n as (select *, lead(x) over p as x1, lead(x, 2) over p as x2 from u window p as (partition by doc_id order by i)),
 base as (select doc_id, i, case when x = 'cc' and x1 = 'by' then 'cc-by' when x = 'general' and x1 = 'public' and x2 = 'license' then 'gpl' when x = 'all' and x1 = 'rights' and x2 = 'reserved' then 'reserved' end as label from n),
-t(tmpl, label, word, need, size) as (values {rows}),
-b as (select doc_id, i // {STEP} as block, x from u union select doc_id, i // {STEP} - 1, x from u where i >= {STEP}),
-m as (select doc_id, block, tmpl, label, count(distinct x) as common, any_value(need) as need, any_value(size) as size from b join t on b.x = t.word group by 1, 2, 3, 4),
+t(tmpl, label, word, need, size, span) as (values {rows}),
+h as (select doc_id, i, x, tmpl, label, need, size, span from u join t on u.x = t.word),
+e as (select doc_id, tmpl from h group by doc_id, tmpl, need having count(distinct x) >= need),
+b as (select doc_id, unnest(range(greatest(i - span + 1, 0), i + 1)) as block, x, tmpl, label, need, size from h semi join e using (doc_id, tmpl)),
+m as (select doc_id, block, tmpl, label, count(distinct x) as common, any_value(need) as need, any_value(size) as size from b group by 1, 2, 3, 4),
 hit as (select doc_id, label, max(common / size) as share from m where common >= need group by 1, 2),
 one as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base where label is not null group by 1),
 l as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from base where label is not null union select doc_id, label from hit) group by 1),

@@ -80,9 +80,9 @@ def test_licenses(docs):
             starts += at
             base |= {label} if at else set()
         labels = set(base)
-        for b in range(0, len(w), licenses.STEP):
-            block = set(w[b : b + licenses.BLOCK])
-            for _, label, own in licenses.templates():
+        for _, label, own, span in licenses.templates():
+            for b in range(len(w)):
+                block = set(w[b : b + span])
                 c = len(block & set(own))
                 if c >= math.ceil(licenses.LEAST * len(own) - 1e-9):
                     labels.add(label)

@@ -1,6 +1,8 @@
 """Whole jobs: what earlier cuts of the text operators lost."""
 
 import math
+import random
+import re
 
 import pytest
 
@@ -19,10 +21,9 @@ def test_licenses_at_every_offset(spark, least):
     want = []
     for text in texts:
         w, found = [x.strip("(),").lower() for x in text.split()], {}
-        for b in range(len(w)):
-            block = set(w[b : b + licenses.BLOCK])
-            for _, label, own in licenses.templates():
-                c = len(block & set(own))
+        for _, label, own, span in licenses.templates():
+            for b in range(len(w)):
+                c = len(set(w[b : b + span]) & set(own))
                 if c >= math.ceil(least * len(own) - 1e-9):
                     found[label] = max(found.get(label, 0), c / len(own))
         want.append(found)
@@ -35,6 +36,41 @@ def test_licenses_at_every_offset(spark, least):
     assert least == licenses.LEAST or any(v < 1 for f in want for v in f.values())
 
 
+def held(w, own, span):
+    """The share of a template that its best block holds, and the share held without regard to blocks."""
+    best = max((len(set(w[b : b + span]) & own) for b in range(len(w))), default=0)
+    return best / len(own), len(set(w) & own) / len(own)
+
+
+def test_paragraphs_by_containment(spark):
+    """Whole license paragraphs with words changed, dropped or moved far apart: the threshold decides, block by block."""
+    rng = random.Random(3)
+    paragraphs = [re.findall(r"[0-9a-z]+", t.lower()) for texts in licenses.PARAGRAPHS.values() for t in texts]
+    texts = []
+    for words in paragraphs:
+        for lost in (0, 0.03, 0.06, 0.1, 0.15, 0.3):
+            own = [w if rng.random() >= lost else rng.choice(["", "other", f"x{rng.random()}".replace(".", "")]) for w in words]
+            texts.append(" ".join(["w"] * rng.randint(0, 90) + [w for w in own if w] + ["v"] * rng.randint(0, 90)))
+        half = len(words) // 2
+        texts += [" ".join(words[:half] + ["gap"] * gap + words[half:]).upper() for gap in (5, 12, 25, 60)]
+    texts.append(" ".join(" ".join(p) for p in paragraphs))
+    want, edge = [], 0
+    for text in texts:
+        w, found = text.lower().split(), {}
+        for _, label, own, span in licenses.templates():
+            share, loose = held(w, set(own), span)
+            if share >= licenses.LEAST - 1e-9:
+                found[label] = max(share, found.get(label, 0))
+            edge += licenses.LEAST <= share < 1 or share < licenses.LEAST <= loose
+        want.append(found)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = docs.transform(licenses.found_words)
+    shares = licenses.template_labels(words, licenses.word_order(words.selectExpr("explode(hits.word) as word")))
+    got = {r["_row"]["doc_id"]: (set(r["method_labels"]), r["containment"]) for r in shares.collect()}
+    assert got == {i: (set(f), max(f.values())) for i, f in enumerate(want) if f}
+    assert edge > 30 and len({label for f in want for label in f}) >= len(licenses.PARAGRAPHS)
+
+
 def test_what_was_seen_once_counts(spark):
     """A held-out text that repeats a passage seen once scores by its n-grams, not as if never seen."""
     docs = spark.createDataFrame([(0, "the red fox ran home"), (1, "red the home fox ran"), (2, "the red fox"), (3, "fox the red")], "doc_id long, text string")

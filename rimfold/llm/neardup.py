@@ -13,7 +13,7 @@ from seeded tables, another row of them in each band, picked by its hash: two sh
 probability 1 / TABLE and all bands' never but by equal hashes. A sample is told by shingle and t, so unlike shingles do not
 agree by value. BANDS bands of ROWS samples are the buckets.
 
-Texts of the same words are one node (smallest doc_id). In each bucket every node is compared with its hub: first each
+Texts of the same words are one node, whatever their ids. In each bucket every node is compared with its hub: first each
 node's most promising hub, which links nearly all, then its other hubs; then every pair of a bucket whose nodes are
 still in different classes. So a pair that shares a bucket is left out only if both are in one class already. Pairs are
 first held against the whole signatures (agreement of at least `hint`, five standard deviations below the threshold),
@@ -21,7 +21,9 @@ then verified: weighted Jaccard similarity of the texts' shingles of at least `t
 the pairs still apart are verified inside tasks, block against block, and only links come out. Classes are the connected
 components of the verified links, found by large-star and small-star rounds.
 
-Defined cases: texts without words (null, empty) are classes of one; rows of equal doc_id are nodes of equal id.
+Defined cases: texts without words (null, empty) are classes of one, with no class_key; rows of one doc_id with different
+texts are told apart, each in its text's class (two such classes may have one class_id, but not one class_key); a row without
+doc_id is in the class of its text, and a class of such rows alone has no class_id.
 """
 
 from __future__ import annotations
@@ -166,8 +168,13 @@ class Sampler:
         return out
 
 
+def row_of(text: str) -> F.Column:
+    """Rows of equal doc_id and text share it."""
+    return F.xxhash64("doc_id", F.coalesce(F.col(text), F.lit("")), F.lit(11))
+
+
 def signed(docs: DataFrame, weights: Weights, *, bands: int, rows: int, seed: int, text: str = "text") -> DataFrame:
-    """doc_id, h1, h2 (hashes of all words; null without words), keys (a hash for each band), digest (a byte a sample)."""
+    """doc_id, row (a hash of id and text), h1, h2 (hashes of all words; null without words), keys (a hash for each band), digest (a byte a sample)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(bands, rows, seed)
@@ -179,7 +186,7 @@ def signed(docs: DataFrame, weights: Weights, *, bands: int, rows: int, seed: in
                 for k in range(rows):
                     keys = keys * MIX + mixed[:, k::rows]
                 empty = whole[0] == 0
-                frame = pd.DataFrame({"doc_id": part["doc_id"].to_numpy()})
+                frame = pd.DataFrame({c: part[c].to_numpy() for c in ("doc_id", "known", "row")})
                 frame["h1"] = pd.array(whole[0].view(np.int64), dtype="Int64").copy()
                 frame["h2"] = pd.array(whole[1].view(np.int64), dtype="Int64").copy()
                 frame.loc[empty, ["h1", "h2"]] = pd.NA
@@ -187,8 +194,10 @@ def signed(docs: DataFrame, weights: Weights, *, bands: int, rows: int, seed: in
                 frame["digest"] = [d.tobytes() for d in (mixed & np.uint64(255)).astype(np.uint8)]
                 yield frame
 
-    schema = "doc_id long, h1 long, h2 long, keys array<long>, digest binary"
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(tidied(sign), schema)
+    schema = "doc_id long, known boolean, row long, h1 long, h2 long, keys array<long>, digest binary"
+    known = F.col("doc_id").isNotNull().alias("known")  # beside a null, ids would come as floats
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), known, row_of(text).alias("row"), F.col(text).alias("text")).mapInPandas(tidied(sign), schema)
+    return found.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
 
 
 def agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,13 +324,15 @@ def block_links(mixed: DataFrame, texts: DataFrame, weights: Weights, threshold:
     return left.groupBy("band", "key", "i", "j").cogroup(right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy("band_", "key_", "i_", "j_")).applyInPandas(compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hint: float = HINT, damping: float = DAMPING, seed: int = 5) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) for every row of docs."""
+def keyed_classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hint: float = HINT, damping: float = DAMPING, seed: int = 5) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and class_key (a hash of its texts) for every row of docs."""
     weights = learn_weights(docs, text=text, damping=damping)
     every = stored(signed(docs, weights, bands=bands, rows=rows, seed=seed, text=text))
+    # numbered as written; read back, they stay
     nodes = stored(
-        every.where("h1 is not null and doc_id is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("digest").alias("digest"))
+        every.where("h1 is not null").groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("digest").alias("digest"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     probes = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PROBES)]
@@ -331,7 +342,9 @@ def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     # texts of the nodes that any pair can need, written once; pairs are between nodes of one bucket. The ids grow with
     # the corpus, so they are never broadcast, in a small run either
     wanted = members.where("n > 2").select("node").unionByName(star.select(F.col("a").alias("node"))).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    texts = stored(docs.select(F.col("doc_id").alias("node"), F.col(text).alias("text")).join(wanted.hint("merge"), "node"))
+    asked = nodes.select("node", "row").join(wanted.hint("merge"), "node")
+    whole = docs.select(row_of(text).alias("row"), F.col(text).alias("text")).join(asked.hint("merge"), "row")
+    texts = stored(whole.dropDuplicates(["row", "node"]).select("node", "text"))
     best = star.groupBy("b").agg(F.max(F.struct("hint", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b")
     links = stored(verified(best, texts, weights, threshold)).select("a", "b")
     others = stored(apart(star.select("a", "b"), components(links)).join(best, ["a", "b"], "left_anti"))
@@ -344,8 +357,15 @@ def classes(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     if mixed.where(F.col("n") > SMALL).limit(1).count():
         links = links.unionByName(stored(block_links(mixed, texts, weights, threshold)))
     label = components(links)
-    of_node = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    return every.select("doc_id", "h1", "h2").join(of_node, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of_node = nodes.select("h1", "h2", "doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = of_node.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min("h1").alias("class_key"))
+    of_text = of_node.select("h1", "h2", "label").join(named.hint("merge"), "label").drop("label")
+    return every.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "class_key")
+
+
+def classes(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, class_id of keyed_classes."""
+    return keyed_classes(docs, **settings).select("doc_id", "class_id")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

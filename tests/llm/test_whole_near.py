@@ -91,3 +91,21 @@ def test_unlike_shingles_do_not_agree():
     doc, key, weight, _ = neardup.shingles(texts, weights)
     s = neardup.Sampler(16, 4, 1).signatures(4, doc, key, weight)
     assert all((s[i] != s[j]).all() for i in range(4) for j in range(i)) and (s != 0).all()
+
+
+def test_rows_are_told_apart_by_text(spark):
+    """One id with two texts, ids past 2^53 beside nulls, rows without id, and the same row many times."""
+    a, b, c = ([f"{k}{i}" for i in range(120)] for k in "abc")
+    near = lambda words, at: " ".join(words[:at] + ["other"] + words[at + 1 :])
+    big = (1 << 60) + 1
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 50)), (3, near(b, 70)), (None, near(a, 9)), (big, near(b, 4)), (big + 1, " ".join(c))]
+    rows += [(None, "x y z"), (None, None), (7, None), (8, " "), *[(5, near(c, 60))] * 300]
+    got = neardup.keyed_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["class_key"]].append((r["doc_id"], r["class_id"]))
+    alone = by.pop(None)
+    assert sorted(alone, key=str) == [(7, 7), (8, 8), (None, None)]
+    found = sorted((sorted(set(x), key=str) for x in by.values()), key=str)
+    want = [[(1, 1), (2, 1), (None, 1)], [(1, 1), (big, 1), (3, 1)], [(big + 1, 5), (5, 5)], [(None, None)]]
+    assert found == sorted((sorted(x, key=str) for x in want), key=str) and len(got) == len(rows)

@@ -10,16 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"))
-    return rows.agg(F.min("l_partkey").cast("long").alias("pk"), F.min("l_suppkey").cast("long").alias("sk"))
+#: Rows of lineitem in a partition of what is dealt by seq: what queries make of a row (points, samples) stays small in every task.
+DEALT = 60_000
+
+
+def base(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """ok, ln, pk, sk. dealt: with seq and in partitions by seq, as many as the table's size asks for, so that what rows become in a
+    query is grouped and joined by seq where it is made, without moving."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), "l_partkey", "l_suppkey")
+    keys = ["ok", "ln"]
+    if dealt:
+        n = max(2 * spark.sparkContext.defaultParallelism, rows.count() // DEALT)
+        rows, keys = rows.withColumn("seq", F.col("ok") * 8 + F.col("ln")).repartition(n, "seq"), ["ok", "ln", "seq"]
+    return rows.groupBy(*keys).agg(F.min("l_partkey").cast("long").alias("pk"), F.min("l_suppkey").cast("long").alias("sk"))
 
 
 def _shape(rows: DataFrame) -> DataFrame:
     ok, ln, pk = F.col("ok"), F.col("ln"), F.col("pk")
     a = (40 + (pk * 7 + ln * 13) % 80).cast("double")
     return rows.select(
-        "ok", "ln", "pk", "sk", F.floor(ok / 10).alias("image_no"), (ok * 8 + ln).alias("seq"),
+        "ok", "ln", "pk", "sk", F.floor(ok / 10).alias("image_no"), F.col("seq") if "seq" in rows.columns else (ok * 8 + ln).alias("seq"),
         (200 + (pk * 37 + ln * 411 + ok * 97) % 2192).cast("double").alias("cx"), (200 + (pk * 53 + ok * 131 + ln * 277) % 1648).cast("double").alias("cy"),
         a.alias("a"), (a * (0.70 + 0.30 * ((pk * 11) % 100) / 100)).alias("b"), ((pk * 29) % 180).cast("double").alias("rot"), ((pk + ln) % 5).cast("int").alias("cls"),
     )
@@ -28,14 +38,14 @@ def _shape(rows: DataFrame) -> DataFrame:
 KEEP = ["image_no", "seq", "cx", "cy", "a", "b", "rot"]
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shape(base(spark, sf_dir)).select(*KEEP, "cls")
+def truth(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return _shape(base(spark, sf_dir, dealt)).select(*KEEP, "cls")
 
 
-def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pred(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     pk, sk = F.col("pk"), F.col("sk")
     far = F.when(pk % 10 >= 8, 400).otherwise(0)
-    return _shape(base(spark, sf_dir)).where(sk % 8 != 0).select(
+    return _shape(base(spark, sf_dir, dealt)).where(sk % 8 != 0).select(
         "image_no", "seq", (F.col("cx") + (sk % 25 - 12) * 0.5 + far).alias("cx"), (F.col("cy") + ((sk * 7) % 25 - 12) * 0.5).alias("cy"),
         (F.col("a") * (0.90 + 0.01 * (sk % 20))).alias("a"), "b", ((pk * 29 + sk % 15) % 180).cast("double").alias("rot"),
         (0.550 + ((pk * 17 + sk * 3) % 450) / 1000).alias("conf"),

@@ -1,8 +1,10 @@
 """Queries on small tables of their own: results against SQL, and how the work is dealt."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from rimfold.operators import segment
 from rimfold.plans import catalog
 from tests.test_queries import plain
 
@@ -30,3 +32,26 @@ def differs(spark, folder: str, name: str) -> list:
 def test_axes_of_turned_ellipses(spark, tmp_path, name):
     """Sectors go by the ellipse's own frame: one part in 40 orders gives ellipses of many places, all turned by 29 degrees."""
     assert not differs(spark, written(spark, tmp_path, [(o, ln, 1, 1) for o in range(40) for ln in range(1, 4)]), name)
+
+
+@pytest.mark.parametrize("name", ["sg8_angular_samples", "wn1_circular_gap", "ra20_angle_histogram", "fe1_geometry", "sg9_direct_fit"])
+def test_points_stay_where_they_are_made(spark, tmp_path, capsys, name):
+    """Only rows of lineitem move, once, not the points made of them; and no partition grows with the table."""
+    folder = written(spark, tmp_path, [(o, ln, o % 7, o % 5) for o in range(30) for ln in range(1, 4)])
+    catalog.QUERIES[name](spark, folder).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    assert not differs(spark, folder, name)
+
+
+@pytest.mark.parametrize("method", ["direct", "taubin", "geometric"])
+def test_a_batch_of_fits_equals_fits_alone(method):
+    rng = np.random.default_rng(3)
+    sets = [rng.random((k, 2)) for k in (0, 3, 4, 5, 9, 200)] + [np.stack([np.arange(20.0), np.arange(20.0)], 1)]
+    for n in (6, 24, 24, 70):
+        t = rng.random(n) * 7
+        sets.append(np.stack([100 + 40 * np.cos(t), 80 + 25 * np.sin(t)], 1) + rng.normal(0, 0.1, (n, 2)))
+    got = segment.TOGETHER[method](sets)
+    want = np.array([segment.FITS[method](s) or (np.nan,) * 5 for s in sets], float)
+    assert (np.isnan(got) == np.isnan(want)).all() and np.allclose(got[-4:, :4], want[-4:, :4], rtol=1e-7)
+    if method != "geometric":
+        assert np.allclose(got[:, :4], want[:, :4], rtol=1e-9, equal_nan=True)

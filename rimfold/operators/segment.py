@@ -259,32 +259,120 @@ def fit_taubin(points: np.ndarray) -> tuple[float, float, float, float, float] |
     return cx * spread + mean[0], cy * spread + mean[1], a * spread, b * spread, rot
 
 
+def padded(points: list[np.ndarray]):
+    """(which sets, their points, which of these are real), sets of like sizes together, in blocks of bounded size."""
+    size = np.array([len(p) for p in points], int)
+    order = np.argsort(size, kind="stable")
+    k = 0
+    while k < len(order):
+        n = max(1, min(4096, 200_000 // max(1, int(size[order[min(k + 4095, len(order) - 1)]]))))
+        own = order[k : k + n]
+        use = np.arange(max(1, int(size[own].max())))[None] < size[own][:, None]
+        xy = np.zeros((*use.shape, 2))
+        if use.any():
+            xy[use] = np.concatenate([points[i] for i in own])
+        yield own, xy, use
+        k += n
+
+
+def ellipses_of(p: np.ndarray) -> np.ndarray:
+    """cx, cy, a >= b, degrees of conics (rows), nan where they are no ellipses."""
+    out = np.full((len(p), 5), np.nan)
+    fine = np.flatnonzero(np.isfinite(p).all(axis=1) & (p[:, 0] * p[:, 2] - p[:, 1] ** 2 / 4 > 0))
+    p = p[fine]
+    q = np.stack([p[:, 0], p[:, 1] / 2, p[:, 1] / 2, p[:, 2]], 1).reshape(-1, 2, 2)
+    centre = np.linalg.solve(-2 * q, p[:, 3:5, None])[:, :, 0]
+    values, vectors = np.linalg.eigh(q)
+    axes2 = -(p[:, 5] + 0.5 * (p[:, 3:5] * centre).sum(axis=1))[:, None] / values
+    real, k = (axes2 > 0).all(axis=1), np.argmax(axes2, axis=1)
+    rows = np.arange(len(p))
+    with np.errstate(invalid="ignore"):
+        found = np.column_stack([centre, np.sqrt(axes2[rows, k]), np.sqrt(axes2[rows, 1 - k]), np.degrees(np.arctan2(vectors[rows, 1, k], vectors[rows, 0, k])) % 180])
+    out[fine[real]] = found[real]
+    return out
+
+
+def centred(xy: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y about their mean over their spread (0 where not used), ones where used, mean and spread of each set."""
+    o = use.astype(float)
+    n = o.sum(axis=1)
+    mean = (xy * o[:, :, None]).sum(axis=1) / n[:, None]
+    spread = np.sqrt((((xy - mean.mean(axis=1)[:, None, None]) ** 2) * o[:, :, None]).sum(axis=(1, 2)) / (2 * n)) + 1e-12
+    x, y = np.moveaxis((xy - mean[:, None]) / spread[:, None, None] * o[:, :, None], 2, 0)
+    return x, y, o, mean, spread
+
+
+def direct_conics(x: np.ndarray, y: np.ndarray, o: np.ndarray) -> np.ndarray:
+    d1, d2 = np.stack([x * x, x * y, y * y], 2), np.stack([x, y, o], 2)
+    across = d1.transpose(0, 2, 1)
+    s2 = across @ d2
+    t = -np.linalg.solve(d2.transpose(0, 2, 1) @ d2, s2.transpose(0, 2, 1))
+    values, vectors = np.linalg.eig(np.linalg.solve(np.array([[0, 0, 2], [0, -1, 0], [2, 0, 0]], float), across @ d1 + s2 @ t))
+    real = np.real(vectors)
+    fine = np.isreal(values) & (4 * real[:, 0] * real[:, 2] - real[:, 1] ** 2 > 0)
+    own = real[np.arange(len(x)), :, np.argmax(fine, axis=1)]
+    own[~fine.any(axis=1)] = np.nan
+    return np.column_stack([own, (t @ own[:, :, None])[:, :, 0]])
+
+
+def taubin_conics(x: np.ndarray, y: np.ndarray, o: np.ndarray) -> np.ndarray:
+    z, count = np.zeros_like(x), o.sum(axis=1)[:, None, None]
+    d = np.stack([x * x, x * y, y * y, x, y, o], 2)
+    gx, gy = np.stack([2 * x, y, z, o, z], 2), np.stack([z, x, 2 * y, z, o], 2)
+    m, n = d.transpose(0, 2, 1) @ d / count, (gx.transpose(0, 2, 1) @ gx + gy.transpose(0, 2, 1) @ gy) / count
+    inner = m[:, :5, :5] - m[:, :5, 5:] * m[:, 5:, :5] / m[:, 5:, 5:]
+    values, vectors = np.linalg.eig(np.linalg.solve(n, inner))
+    k = np.argmin(np.where(np.isreal(values), np.real(values), np.inf), axis=1)
+    own = np.real(vectors[np.arange(len(x)), :, k])
+    return np.column_stack([own, -(m[:, 5, :5] * own).sum(axis=1) / m[:, 5, 5]])
+
+
+def fit_all(points: list[np.ndarray], conics=direct_conics, alone=fit_ellipse) -> np.ndarray:
+    """The fits (rows of cx, cy, a, b, degrees; nan: none) of many point sets, as `alone` fits one; what the batch cannot fit
+    goes through `alone`."""
+    out = np.full((len(points), 5), np.nan)
+    for own, xy, use in padded([p if len(p) >= 5 else p[:0] for p in points]):
+        own, xy, use = own[use.any(axis=1)], xy[use.any(axis=1)], use[use.any(axis=1)]
+        if not len(own):
+            continue
+        try:
+            x, y, o, mean, spread = centred(xy, use)
+            found = ellipses_of(conics(x, y, o))
+            out[own] = np.column_stack([found[:, :2] * spread[:, None] + mean, found[:, 2:4] * spread[:, None], found[:, 4]])
+        except np.linalg.LinAlgError:
+            pass
+        for i in own[np.isnan(out[own, 0])]:
+            out[i] = alone(points[i]) or (np.nan,) * 5
+    return out
+
+
 def foot_points(u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """The nearest points of axis-parallel ellipses to (u, v), all 0 or more, a >= b: the root t of (a u / (t + a^2))^2 +
-    (b v / (t + b^2))^2 = 1 above -b^2, which falls and is convex, so that Newton's steps from its left end never pass the root."""
+    (b v / (t + b^2))^2 = 1 above -b^2, which falls and is convex, so that Newton's steps from its left end never pass the root.
+    Steps end when none moves by more than rounding does."""
     tiny = 1e-12 * a
     v = np.maximum(v, tiny)
-    t = -b * b + b * v
+    a2, b2 = a * a, b * b
+    au, bv, t, least = a * u, b * v, -b2 + b * v, 1e-16 * a2
     for _ in range(steps):
-        p, q = a * u / (t + a * a), b * v / (t + b * b)
-        t = t + np.maximum((p * p + q * q - 1) / (2 * (p * p / (t + a * a) + q * q / (t + b * b))), 0)
-    x = np.minimum(a * a * u / (t + a * a), a)
+        ta, tb = t + a2, t + b2
+        p, q = (au / ta) ** 2, (bv / tb) ** 2
+        move = np.maximum((p + q - 1) / (2 * (p / ta + q / tb)), 0)
+        t = t + move
+        if not (move > least).any():
+            break
+    x = np.minimum(a2 * u / (t + a2), a)
     return x, b * np.sqrt(np.maximum(1 - (x / a) ** 2, 0))
 
 
-def fit_geometric_all(points: list[np.ndarray], steps: int = 60) -> list[tuple[float, float, float, float, float] | None]:
+def fit_geometric_all(points: list[np.ndarray], steps: int = 60) -> np.ndarray:
     """Least squares of orthogonal distances from the direct fits on: Levenberg-Marquardt for all point sets together, each with
     its own damping. A distance changes with the ellipse as its foot point moves along the normal, which gives the slopes."""
-    starts = [fit_ellipse(p) for p in points]
-    some = [i for i, e in enumerate(starts) if e is not None and all(map(np.isfinite, e)) and min(e[2:4]) > 1e-9]
-    out: list = list(starts)
-    for k in range(0, len(some), 4096):
-        own = some[k : k + 4096]
-        width = max(len(points[i]) for i in own)
-        xy, use = np.zeros((len(own), width, 2)), np.zeros((len(own), width))
-        for j, i in enumerate(own):
-            xy[j, : len(points[i])], use[j, : len(points[i])] = points[i], 1.0
-        p = np.array([[*starts[i][:2], np.log(starts[i][2]), np.log(starts[i][3]), np.radians(starts[i][4])] for i in own])
+    out = fit_all(points)
+    some = np.flatnonzero(np.isfinite(out).all(axis=1) & (out[:, 2:4].min(axis=1) > 1e-9))
+    for part, xy, use in padded([points[i] for i in some]):
+        own, use = some[part], use.astype(float)
+        p = np.column_stack([out[own, :2], np.log(out[own, 2:4]), np.radians(out[own, 4])])
 
         def distances(q: np.ndarray, xy: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b, c, s = np.exp(q[:, 2:3]), np.exp(q[:, 3:4]), np.cos(q[:, 4:5]), np.sin(q[:, 4:5])
@@ -305,35 +393,35 @@ def fit_geometric_all(points: list[np.ndarray], steps: int = 60) -> list[tuple[f
         live, damp = np.arange(len(own)), np.full(len(own), 1e-3)
         r, j = distances(p, xy, use)
         for _ in range(steps):
-            lhs = np.einsum("npi,npj->nij", j[live], j[live])
-            rhs = np.einsum("npi,np->ni", j[live], r[live])
+            across = j[live].transpose(0, 2, 1)
+            lhs, rhs = across @ j[live], across @ r[live][:, :, None]
             diag = np.einsum("nii->ni", lhs)
             lhs = lhs + np.eye(5) * (damp[live, None] * diag + 1e-12)[:, :, None]
-            step = -np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0]
+            step = -np.linalg.solve(lhs, rhs)[:, :, 0]
             new, slopes = distances(p[live] + step, xy[live], use[live])
             better = (new * new).sum(axis=1) < (r[live] ** 2).sum(axis=1)
             took = live[better]
             p[took] += step[better]
             r[took], j[took] = new[better], slopes[better]
             damp[live] = np.where(better, damp[live] / 3, damp[live] * 4)
-            done = np.where(better, np.abs(step).max(axis=1) < 1e-10, damp[live] > 1e10)
-            live = live[~done]
+            # after a step of no size more damping only makes it smaller
+            live = live[~((np.abs(step).max(axis=1) < 1e-10) | (~better & (damp[live] > 1e10)))]
             if not len(live):
                 break
-        for q, i in zip(p, own):
-            a, b, rot = float(np.exp(q[2])), float(np.exp(q[3])), float(np.degrees(q[4]))
-            out[i] = (float(q[0]), float(q[1]), a, b, rot % 180) if a >= b else (float(q[0]), float(q[1]), b, a, (rot + 90) % 180)
+        a, b, rot = np.exp(p[:, 2]), np.exp(p[:, 3]), np.degrees(p[:, 4])
+        out[own] = np.column_stack([p[:, :2], np.maximum(a, b), np.minimum(a, b), np.where(a >= b, rot, rot + 90) % 180])
     return out
 
 
 def fit_geometric(points: np.ndarray) -> tuple[float, float, float, float, float] | None:
-    return fit_geometric_all([points])[0]
+    found = fit_geometric_all([points])[0]
+    return None if np.isnan(found).any() else tuple(map(float, found))
 
 
 #: Ways to fit an ellipse to points; each falls back on, or starts from, the direct one.
 FITS = {"direct": fit_ellipse, "taubin": fit_taubin, "geometric": fit_geometric}
-#: Those that fit a whole batch together.
-TOGETHER = {"geometric": fit_geometric_all}
+#: The same for a whole batch: rows, nan where there is none.
+TOGETHER = {"direct": fit_all, "taubin": lambda points: fit_all(points, taubin_conics, fit_taubin), "geometric": fit_geometric_all}
 
 
 #: Least and largest axis of a polar fit, weight of log(a / b), width of the quadratic part of the loss (fixed values).
@@ -351,34 +439,40 @@ def polar_start(theta: np.ndarray, radius: np.ndarray, use: np.ndarray) -> np.nd
     return np.column_stack([axes, np.arctan2(s, c) / 2])
 
 
-def polar_terms(p: np.ndarray, theta: np.ndarray, radius: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Relative residuals of the radius at each angle, and the cost: Huber's of the residuals, and half the squared ratio term."""
-    a, b = np.exp(p[:, 0:1]), np.exp(p[:, 1:2])
-    d = theta - p[:, 2:3]
-    r = np.where(use, a * b / np.sqrt((b * np.cos(d)) ** 2 + (a * np.sin(d)) ** 2) / np.where(use, radius, 1.0) - 1, 0.0)
-    x = np.abs(r)
-    loss = np.where(x <= POLAR_WIDTH, 0.5 * r * r, POLAR_WIDTH * x - 0.5 * POLAR_WIDTH**2)
-    return r, loss.sum(axis=1) + 0.5 * (POLAR_RATIO * (p[:, 0] - p[:, 1])) ** 2
-
-
-def polar_slopes(p: np.ndarray, theta: np.ndarray, r: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Slopes of the residuals r by log a, log b and phi."""
-    a, b, d = np.exp(p[:, 0:1]), np.exp(p[:, 1:2]), theta - p[:, 2:3]
-    x, y = (b * np.cos(d)) ** 2, (a * np.sin(d)) ** 2
-    turn = (a * a - b * b) * np.sin(d) * np.cos(d) / (x + y)
-    return np.stack([1 - y / (x + y), 1 - x / (x + y), turn], axis=2) * np.where(use, r + 1, 0.0)[:, :, None]
+def polar_terms(p: np.ndarray, cos: np.ndarray, sin: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Relative residuals of the radius at each angle (cosines and sines; inverse: 1 / radius, 0 where there is none), their slopes by
+    log a, log b and phi (first axis), and the cost: Huber's of the residuals, and half the squared ratio term."""
+    a, b, c, s = np.exp(p[:, 0:1]), np.exp(p[:, 1:2]), np.cos(p[:, 2:3]), np.sin(p[:, 2:3])
+    x, y = b * (cos * c + sin * s), a * (sin * c - cos * s)
+    turn = (a * a - b * b) / (a * b) * x * y
+    x, y = x * x, y * y
+    both = x + y
+    q = a * b / np.sqrt(both) * inverse
+    r = np.where(inverse > 0, q - 1, 0.0)
+    size = np.abs(r)
+    loss = np.where(size <= POLAR_WIDTH, 0.5 * r * r, POLAR_WIDTH * size - 0.5 * POLAR_WIDTH**2)
+    q = q / both
+    return r, np.stack([q * x, q * y, q * turn]), loss.sum(axis=1) + 0.5 * (POLAR_RATIO * (p[:, 0] - p[:, 1])) ** 2
+
+
+def polar_normal(p: np.ndarray, r: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides of the normal equations, residuals beyond the width weighed down."""
+    ratio = np.array([POLAR_RATIO, -POLAR_RATIO, 0.0])
+    weighed = slope * np.minimum(1.0, POLAR_WIDTH / np.maximum(np.abs(r), 1e-12))
+    lhs, rhs = np.empty((len(p), 3, 3)), np.empty((len(p), 3))
+    for i in range(3):
+        rhs[:, i] = np.einsum("np,np->n", weighed[i], r)
+        for k in range(i + 1):
+            lhs[:, i, k] = lhs[:, k, i] = np.einsum("np,np->n", weighed[i], slope[k])
+    return lhs + np.outer(ratio, ratio), rhs + ratio * (POLAR_RATIO * (p[:, 0] - p[:, 1]))[:, None]
 
 
 def refine_polar(theta: np.ndarray, radius: np.ndarray, use: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(a, b, phi) with a >= b and phi in [0, pi), and the cost, of profiles (rows) of radii at the angles theta where `use`:
-    Levenberg-Marquardt on (log a, log b, phi) within the bounds, all profiles together, each with its own damping."""
-    low, high, ratio = np.log(POLAR_LEAST), np.log(POLAR_MOST), np.array([POLAR_RATIO, -POLAR_RATIO, 0.0])
-
-    def normal(p: np.ndarray, r: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slope = polar_slopes(p, theta, r, use)
-        w = np.minimum(1.0, POLAR_WIDTH / np.maximum(np.abs(r), 1e-12))
-        lhs = np.einsum("npi,np,npj->nij", slope, w, slope) + np.outer(ratio, ratio)
-        return lhs, np.einsum("npi,np->ni", slope, w * r) + ratio * (POLAR_RATIO * (p[:, 0] - p[:, 1]))[:, None]
+    Levenberg-Marquardt on (log a, log b, phi) within the bounds, all profiles together, each with its own damping. Only profiles
+    that still move are worked on."""
+    low, high, cos, sin = np.log(POLAR_LEAST), np.log(POLAR_MOST), np.cos(theta), np.sin(theta)
+    inverse = np.where(use, 1 / np.where(use, radius, 1.0), 0.0)
 
     def stepped(p: np.ndarray, lhs: np.ndarray, rhs: np.ndarray, damp: np.ndarray) -> np.ndarray:
         lhs = lhs + np.eye(3) * (damp[:, None] * np.einsum("nii->ni", lhs) + 1e-12)[:, :, None]
@@ -386,27 +480,37 @@ def refine_polar(theta: np.ndarray, radius: np.ndarray, use: np.ndarray, steps:
         new[:, :2] = np.clip(new[:, :2], low, high)
         return new
 
-    p, damp, live = polar_start(theta, radius, use), np.full(len(radius), 1e-3), np.arange(len(radius))
-    r, cost = polar_terms(p, theta, radius, use)
+    p = polar_start(theta, radius, use)
+    live, damp, at, own = np.arange(len(radius)), np.full(len(radius), 1e-3), p.copy(), inverse
+    r, slope, cost = polar_terms(p, cos, sin, inverse)
+    price = cost.copy()
+    lhs, rhs = polar_normal(p, r, slope)
     for _ in range(steps):
-        new = stepped(p[live], *normal(p[live], r[live], use[live]), damp[live])
-        fresh, price = polar_terms(new, theta, radius[live], use[live])
-        better, moved = price < cost[live], np.abs(new - p[live]).max(axis=1)
-        took = live[better]
-        p[took], r[took], cost[took] = new[better], fresh[better], price[better]
-        damp[live] = np.where(better, damp[live] / 3, damp[live] * 4)
-        live = live[~np.where(better, moved < 1e-8, damp[live] > 1e6)]
+        new = stepped(at, lhs, rhs, damp)
+        r, slope, fresh = polar_terms(new, cos, sin, own)
+        better, moved = fresh < price, np.abs(new - at).max(axis=1)
+        l, g = polar_normal(new, r, slope)
+        at[better], price[better], lhs[better], rhs[better] = new[better], fresh[better], l[better], g[better]
+        damp = np.where(better, damp / 3, damp * 4)
+        p[live], cost[live] = at, price
+        go = ~np.where(better, moved < 1e-8, damp > 1e6)
+        if not go.all():
+            live, at, price, lhs, rhs, damp, own = live[go], at[go], price[go], lhs[go], rhs[go], damp[go], own[go]
         if not len(live):
             break
     # where costs are equal to the last digit their slopes still tell: steps that shrink these
+    live, at, own = np.arange(len(radius)), p, inverse
+    r, slope, _ = polar_terms(at, cos, sin, own)
+    lhs, rhs = polar_normal(at, r, slope)
     for _ in range(40):
-        lhs, rhs = normal(p, r, use)
-        new = stepped(p, lhs, rhs, np.zeros(len(p)))
-        fresh, price = polar_terms(new, theta, radius, use)
-        better = np.abs(normal(new, fresh, use)[1]).max(axis=1) < np.abs(rhs).max(axis=1)
-        p[better], r[better], cost[better] = new[better], fresh[better], price[better]
-        if not better.any():
+        new = stepped(at, lhs, rhs, np.zeros(len(at)))
+        r, slope, fresh = polar_terms(new, cos, sin, own)
+        l, g = polar_normal(new, r, slope)
+        better = np.abs(g).max(axis=1) < np.abs(rhs).max(axis=1)
+        live, at, own, lhs, rhs = live[better], new[better], own[better], l[better], g[better]
+        if not len(live):
             break
+        p[live], cost[live] = at, fresh[better]
     a, b, phi = np.exp(p[:, 0]), np.exp(p[:, 1]), p[:, 2]
     swap = a < b
     return np.column_stack([np.where(swap, b, a), np.where(swap, a, b), (phi + np.where(swap, np.pi / 2, 0.0)) % np.pi]), cost
@@ -500,23 +604,34 @@ def angular_samples(points: DataFrame, keys: list[str], bins: int = 64) -> DataF
 
 def fits(points: DataFrame, keys: list[str], method: str = "direct") -> DataFrame:
     """keys and fit (cx, cy, a, b, rot; null if it fails) of each point set; the points of one candidate come together."""
-    rows, way = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points")), FITS[method]
+    together = TOGETHER[method]
+    rows = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
 
     @F.pandas_udf("struct<cx:double,cy:double,a:double,b:double,rot:double>")
-    def fit(points: pd.Series) -> pd.DataFrame:
-        sets = [np.array([[p["x"], p["y"]] for p in ps], float) for ps in points]
-        found = [e or (None,) * 5 for e in (TOGETHER[method](sets) if method in TOGETHER else map(way, sets))]
-        return pd.DataFrame(found, columns=["cx", "cy", "a", "b", "rot"], dtype=float)
+    def fit(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        found = together([np.column_stack([p, q]).astype(float) for p, q in zip(x, y)])
+        return pd.DataFrame(found, columns=["cx", "cy", "a", "b", "rot"]).astype(object).where(np.isfinite(found), None)
 
-    return rows.select(*keys, fit("points").alias("fit"))
+    return rows.select(*keys, fit("points.x", "points.y").alias("fit"))
 
 
 def angular_profile_of(points: DataFrame, keys: list[str], bins: int, name: str) -> DataFrame:
-    """keys and a map from sector to the largest radius about (cx, cy)."""
+    """keys, name and <name>_sector: the largest radius about (cx, cy) in each sector that has points, and the sectors, as arrays."""
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     sector = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.atan2(dy, dx) + F.lit(np.pi)) / (2 * np.pi / bins)).cast("int")))
     radii = points.select(*keys, sector.alias("sector"), F.sqrt(dx * dx + dy * dy).alias("r")).groupBy(*keys, "sector").agg(F.max("r").alias("r"))
-    return radii.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sector", "r"))).alias(name))
+    both = radii.groupBy(*keys).agg(F.collect_list(F.struct("sector", "r")).alias("_p"))
+    return both.select(*keys, F.col("_p.r").alias(name), F.col("_p.sector").alias(f"{name}_sector"))
+
+
+def profile_rows(radii: pd.Series, sectors: pd.Series, bins: int) -> np.ndarray:
+    """Profiles (rows) by sector, nan where there is none; a null is a profile without any."""
+    out = np.full((len(radii), bins), np.nan)
+    size = [0 if r is None else len(r) for r in radii]
+    if sum(size):
+        rows = np.repeat(np.arange(len(radii)), size)
+        out[rows, np.concatenate([s for s in sectors if s is not None])] = np.concatenate([r for r in radii if r is not None])
+    return out
 
 
 def polar_fits(points: DataFrame, keys: list[str], bins: int = 120, *, core: DataFrame | None = None, support: float = 0.5, share: float = 0.3, margin: float = 1.0) -> DataFrame:
@@ -527,27 +642,27 @@ def polar_fits(points: DataFrame, keys: list[str], bins: int = 120, *, core: Dat
     (an axis under 3)."""
     outer = angular_profile_of(points, keys, bins, "outer")
     inner = angular_profile_of(core, keys, bins, "inner") if core is not None else None
-    rows = outer.join(inner, keys, "left") if inner is not None else outer.withColumn("inner", F.lit(None).cast("map<int,double>"))
-    every = F.sequence(F.lit(0), F.lit(bins - 1))
-    radii = F.transform(every, lambda k: F.when(F.col("inner").isNull() | (F.try_element_at("outer", k) > F.try_element_at("inner", k) + margin), F.try_element_at("outer", k)))
-    found = rows.where(F.size("outer") >= support * bins).withColumn("_r", F.transform(radii, lambda r: F.coalesce(r, F.lit(float("nan")))))
-    found = found.withColumn("_n", F.size(F.filter("_r", lambda r: ~F.isnan(r)))).where(F.col("_n") >= max(10, int(share * bins)))
-
-    @F.pandas_udf("struct<a:double,b:double,phi:double,cost:double>")
-    def fit(profiles: pd.Series) -> pd.DataFrame:
-        out = np.full((len(profiles), 4), np.nan)
+    rows = outer.join(inner, keys, "left") if inner is not None else outer.withColumns({"inner": F.lit(None).cast("array<double>"), "inner_sector": F.lit(None).cast("array<int>")})
+
+    @F.pandas_udf("struct<a:double,b:double,phi:double,cost:double,n:int>")
+    def fit(outer: pd.Series, outer_at: pd.Series, inner: pd.Series, inner_at: pd.Series) -> pd.DataFrame:
+        out, count = np.full((len(outer), 4), np.nan), np.zeros(len(outer), int)
         theta = (np.arange(bins) + 0.5) * 2 * np.pi / bins - np.pi
-        for k in range(0, len(profiles), 4096):
-            radius = np.array(profiles.iloc[k : k + 4096].tolist(), float)
-            use = np.isfinite(radius)
-            middle = np.sort(np.where(use, radius, np.inf), axis=1)[np.arange(len(radius)), use.sum(axis=1) // 2]
-            fine = np.flatnonzero(middle >= POLAR_LEAST)
+        for k in range(0, len(outer), 2048):
+            part = slice(k, k + 2048)
+            radius, core = profile_rows(outer.iloc[part], outer_at.iloc[part], bins), profile_rows(inner.iloc[part], inner_at.iloc[part], bins)
+            any_core = np.array([r is not None for r in inner.iloc[part]])[:, None]
+            use = np.isfinite(radius) & (~any_core | (radius > core + margin))
+            count[part] = n = use.sum(axis=1)
+            middle = np.sort(np.where(use, radius, np.inf), axis=1)[np.arange(len(radius)), np.minimum(n // 2, bins - 1)]
+            fine = np.flatnonzero((n >= max(10, int(share * bins))) & (middle >= POLAR_LEAST))
             if len(fine):
                 e, cost = refine_polar(theta, radius[fine], use[fine])
                 out[k + fine] = np.column_stack([e, cost])
-        return pd.DataFrame(out, columns=["a", "b", "phi", "cost"])
+        return pd.DataFrame({**dict(zip(("a", "b", "phi", "cost"), out.T)), "n": count})
 
-    return found.select(*keys, F.col("_n").alias("n"), fit("_r").alias("fit")).select(*keys, "fit.*", "n").where("not isnan(a) and b >= 3")
+    found = rows.where(F.size("outer") >= support * bins)
+    return found.select(*keys, fit("outer", "outer_sector", "inner", "inner_sector").alias("fit")).select(*keys, "fit.*").where("not isnan(a) and b >= 3")
 
 
 def stability(points: DataFrame, keys: list[str], *, trials: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -557,21 +672,29 @@ def stability(points: DataFrame, keys: list[str], *, trials: int = 5, share: flo
     names = ["jitter_a", "jitter_b", "jitter_theta", "center_shift", "iou_subsample"]
 
     @F.pandas_udf(", ".join(f"stab_{n} double" for n in names))
-    def refit(e: pd.DataFrame, points: pd.Series, draw: pd.Series) -> pd.DataFrame:
-        out = []
-        for (_, own), ps, d in zip(e.iterrows(), points, draw):
-            xy, rng, moved = np.array([[p["x"], p["y"]] for p in ps], float), np.random.default_rng(abs(int(d))), []
-            for _ in range(trials if len(xy) >= 10 else 0):
-                found = fit_ellipse(xy[rng.choice(len(xy), int(share * len(xy)), replace=False)])
-                if found:
-                    cx, cy, a, b, rot = found
-                    turn = abs(np.radians(rot) - np.radians(own["rot"]) % np.pi)
-                    moved.append((abs(a - own["a"]) / (own["a"] + 1e-6), abs(b - own["b"]) / (own["b"] + 1e-6), min(turn, np.pi - turn), np.hypot(cx - own["cx"], cy - own["cy"]) / (np.sqrt(own["a"] * own["b"]) + 1e-6)))
-            mean = np.mean(moved, axis=0) if moved else None
-            out.append((*mean, 1 / (1 + mean[0] + mean[1])) if moved else (1.0,) * 5)
+    def refit(e: pd.DataFrame, x: pd.Series, y: pd.Series, draw: pd.Series) -> pd.DataFrame:
+        out, ours = np.ones((len(draw), 5)), e[["cx", "cy", "a", "b", "rot"]].to_numpy(float)
+        for k in range(0, len(draw), 1024):
+            sets, own = [], []
+            for i in range(k, min(k + 1024, len(draw))):
+                n = len(x.iloc[i])
+                if n >= 10:
+                    xy, rng = np.column_stack([x.iloc[i], y.iloc[i]]).astype(float), np.random.default_rng(abs(int(draw.iloc[i])))
+                    sets += [xy[rng.choice(n, int(share * n), replace=False)] for _ in range(trials)]
+                    own.append(i)
+            if not own:
+                continue
+            found, real = fit_all(sets).reshape(len(own), trials, 5), ours[own][:, None]
+            turn = np.abs(np.radians(found[..., 4]) - np.radians(real[..., 4]) % np.pi)
+            shift = np.hypot(found[..., 0] - real[..., 0], found[..., 1] - real[..., 1]) / (np.sqrt(real[..., 2] * real[..., 3]) + 1e-6)
+            axes = [np.abs(found[..., c] - real[..., c]) / (real[..., c] + 1e-6) for c in (2, 3)]
+            moved, fine = np.stack([*axes, np.minimum(turn, np.pi - turn), shift], 2), ~np.isnan(found[..., 0])
+            some = fine.any(axis=1)
+            mean = np.where(fine[..., None], moved, 0.0).sum(axis=1)[some] / fine.sum(axis=1)[some, None]
+            out[np.array(own)[some]] = np.column_stack([mean, 1 / (1 + mean[:, 0] + mean[:, 1])])
         return pd.DataFrame(out, columns=[f"stab_{n}" for n in names])
 
-    return rows.select(*keys, refit("e", "points", "draw").alias("s")).select(*keys, "s.*")
+    return rows.select(*keys, refit("e", "points.x", "points.y", "draw").alias("s")).select(*keys, "s.*")
 
 
 def guarded_refit(original: DataFrame, refit: DataFrame, keys: list[str], width: int, height: int, *, least: int = 20) -> DataFrame:

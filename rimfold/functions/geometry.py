@@ -1,10 +1,12 @@
 """Ellipse geometry as columns. An ellipse is (cx, cy, a, b, rot): centre, semi-axes, rotation in degrees.
 
-Null inputs give null; nothing here is a UDF, so all stays in generated code.
+Null inputs give null; but for the orthogonal distance, NumPy over Arrow batches, all stays in generated code.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,26 +144,26 @@ def orthogonal_distance(x, y, cx, cy, a, b, rot, steps: int = 60) -> Column:
     all the way; it is halved in from both sides, which no point, shape or start can mislead. Of an ellipse without extent the
     distance to its centre."""
     u, v = local_frame(x, y, cx, cy, rot)
-    centre, turned = F.hypot(u, v), col(a) < col(b)
-    u, v = F.when(turned, F.abs(v)).otherwise(F.abs(u)), F.when(turned, F.abs(u)).otherwise(F.abs(v))
-    a, b = F.greatest(col(a), col(b)), F.least(col(a), col(b))
-    given = F.struct(a.alias("a"), b.alias("b"), u.alias("u"), v.alias("v"))
-
-    def of(g):
-        a2, b2 = g["a"] * g["a"], g["b"] * g["b"]
-
-        def halve(s, _):
-            t = (s["lo"] + s["hi"]) / 2
-            p, q = F.try_divide(g["a"] * g["u"], t + a2), F.try_divide(g["b"] * g["v"], t + b2)
-            above = F.coalesce(p * p + q * q > 1, F.lit(False))
-            return F.struct(F.when(above, t).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(t).alias("hi"))
-
-        start = F.struct((g["b"] * g["v"] - b2).alias("lo"), (F.hypot(g["a"] * g["u"], g["b"] * g["v"]) - b2).alias("hi"))
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-        foot = F.transform(F.array(end["hi"]), lambda t: F.least(g["a"], F.coalesce(F.try_divide(a2 * g["u"], t + a2), F.lit(0.0))))
-        return F.transform(foot, lambda fx: F.hypot(fx - g["u"], g["b"] * F.sqrt(F.greatest(F.lit(0.0), 1 - (fx / g["a"]) * (fx / g["a"]))) - g["v"]))[0]
-
-    return F.when(b < 1e-6, centre).otherwise(F.transform(F.array(given), of)[0])
+
+    @F.pandas_udf("double")
+    def nearest(u: pd.Series, v: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        u, v, a, b = (np.abs(c.to_numpy(float)) if k < 2 else c.to_numpy(float) for k, c in enumerate((u, v, a, b)))
+        with np.errstate(all="ignore"):
+            u, v, a, b = np.where(a < b, v, u), np.where(a < b, u, v), np.maximum(a, b), np.minimum(a, b)
+            a2, b2, au, bv = a * a, b * b, a * u, b * v
+            lo, hi = bv - b2, np.hypot(au, bv) - b2
+            for _ in range(steps):
+                t = (lo + hi) / 2
+                p, q = au / (t + a2), bv / (t + b2)
+                above = p * p + q * q > 1
+                lo, hi = np.where(above, t, lo), np.where(above, hi, t)
+            foot = a2 * u / (hi + a2)
+            foot = np.minimum(a, np.where(np.isfinite(foot), foot, 0.0))
+            far = np.hypot(foot - u, b * np.sqrt(np.maximum(0.0, 1 - (foot / a) ** 2)) - v)
+            out = pd.Series(np.where(b < 1e-6, np.hypot(u, v), far))
+        return out.astype(object).where(~(np.isnan(u) | np.isnan(v) | np.isnan(a) | np.isnan(b)), None)
+
+    return nearest(u, v, col(a), col(b))
 
 
 def polar_score(support, residual, separation, gap) -> Column:

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rimfold.operators import segment
 from rimfold.plans import catalog
@@ -55,3 +56,17 @@ def test_a_batch_of_fits_equals_fits_alone(method):
     assert (np.isnan(got) == np.isnan(want)).all() and np.allclose(got[-4:, :4], want[-4:, :4], rtol=1e-7)
     if method != "geometric":
         assert np.allclose(got[:, :4], want[:, :4], rtol=1e-9, equal_nan=True)
+
+
+def test_distances_take_one_batch_of_rows(spark, capsys):
+    """The halving runs over whole batches; nulls stay null, points without extent go to the centre."""
+    from rimfold.functions import geometry
+
+    rows = spark.createDataFrame([(3.0, 4.0, 2.0, 1.0), (3.0, 4.0, 0.0, 0.0), (0.0, 2.0, 2.0, 2.0), (None, 1.0, 2.0, 1.0)], "x double, y double, a double, b double")
+    zero = F.lit(0.0)
+    found = rows.select(geometry.orthogonal_distance("x", "y", zero, zero, "a", "b", zero).alias("d"))
+    found.explain()
+    assert "ArrowEvalPython" in capsys.readouterr().out
+    got = [r["d"] for r in found.collect()]
+    t = np.linspace(0, np.pi / 2, 200_001)
+    assert got[0] == pytest.approx(np.hypot(2 * np.cos(t) - 3, np.sin(t) - 4).min(), abs=1e-8) and got[1:] == [5.0, pytest.approx(0.0, abs=1e-12), None]

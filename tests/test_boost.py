@@ -55,3 +55,18 @@ def test_squared_loss_reaches_the_means(spark):
     rows = spark.createDataFrame([(k, float(k % 2), 10.0 * (k % 2)) for k in range(60)], "key long, u double, y double")
     model = boost.boost(rows, ["u"], ["y"], [Spec(rate=1.0, least=1)], key="key", loss="squared", rounds=1, depth=1)
     assert {(r["u"], round(r["scores"][0], 9)) for r in model.scores(rows).collect()} == {(0.0, 0.0), (1.0, 10.0)}
+
+
+def test_equal_rows_are_one(spark, monkeypatch):
+    """What is kept between levels and trees grows with the different rows, not with their copies; counts weigh as copies do."""
+    kept, stored = [], boost.storage.stored
+    monkeypatch.setattr(boost.storage, "stored", lambda rows: (kept.append(out := stored(rows)), out)[1])
+    rows = spark.range(400).select(F.col("id").alias("key"), (F.col("id") % 4).cast("double").alias("u"), (F.col("id") % 8).cast("double").alias("y"), (F.col("id") % 2).alias("fold"), F.lit(1).alias("cls"))
+    found = []
+    for table in (rows, rows.where("key < 40")):
+        model = boost.boost(table, ["u"], ["y"], [Spec(rate=1.0, least=1), Spec(rate=0.5, least=1, fold=1)], key="key", fold="fold", cls="cls", loss="squared", rounds=2, depth=2, edges=[[0.0, 1.0, 2.0]])
+        found.append([(m, t, k, f, e, None if v is None else round(v, 9)) for m, t, k, f, e, _, _, v in model.splits])
+    assert found[0] == found[1] and all(k.count() == 8 for k in kept)
+    drawn = len(kept)
+    boost.boost(rows, ["u"], ["y"], [Spec(rows=0.5, least=1)], key="key", loss="squared", rounds=1, depth=1)
+    assert all(k.count() == 400 for k in kept[drawn:])

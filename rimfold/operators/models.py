@@ -7,11 +7,16 @@ it with higher-order functions. Training is in boost.py.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rimfold.sources import storage
+
 NODE = "array<struct<feature:int,threshold:double,left:int,right:int,value:double>>"
 
 
@@ -47,53 +52,133 @@ def feature_vector(values: str, names: list[str]) -> Column:
     return F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at(F.col(values), n), F.lit(0.0)))
 
 
-def oversample(rows: DataFrame, features: list[str], cls: str, key: str, *, neighbours: int = 5, seed: int = 42, block: int = 4096) -> DataFrame:
+def splits_of(points: np.ndarray, depth: int) -> list[tuple[int, float]]:
+    """Where points are halved `depth` times, along the widest feature of each part: (feature, cut) by node, at most the cut goes
+    left."""
+    out, parts = [], [points]
+    for _ in range(depth):
+        halves = []
+        for part in parts:
+            f = int(np.argmax(np.ptp(part, axis=0))) if len(part) else 0
+            cut = float(np.median(part[:, f])) if len(part) else 0.0
+            out.append((f, cut))
+            halves += [part[part[:, f] <= cut], part[part[:, f] > cut]]
+        parts = halves
+    return out
+
+
+def nearest(x: np.ndarray, first: np.ndarray, keys: list, y: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """For each row of y the `most` nearest rows, ties to the smaller key, of the points x, each of which stands for its keys (in
+    order; first: the least): number in y, distance, key, number in x."""
+    own = np.array([len(k) for k in keys])
+    starts, flat, out = np.cumsum(own) - own, np.concatenate(keys), []
+    step = max(1, 4_000_000 // (len(x) * x.shape[1]))
+    for a in range(0, len(y), step):
+        d = ((y[a : a + step, None, :] - x[None]) ** 2).sum(axis=2)
+        if d.shape[1] > most:  # what is no farther than the last of the nearest, ties by the least key
+            i, j = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most])
+        else:
+            i, j = (v.ravel() for v in np.indices(d.shape))
+        order = np.lexsort((first[j], d[i, j], i))
+        i, j = i[order], j[order]
+        use = np.arange(len(i)) - np.searchsorted(i, i) < most
+        i, j = i[use], j[use]
+        n = own[j]
+        at = np.repeat(starts[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        i, j, k = np.repeat(i, n), np.repeat(j, n), flat[at]
+        order = np.lexsort((k, d[i, j], i))
+        i, j, k = i[order], j[order], k[order]
+        use = np.arange(len(i)) - np.searchsorted(i, i) < most
+        out.append((a + i[use], d[i[use], j[use]], k[use], j[use]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def oversample(rows: DataFrame, features: list[str], cls: str, key: str, *, neighbours: int = 5, seed: int = 42, block: int = 2048) -> DataFrame:
     """features, cls, base and other (keys): synthetic rows that bring every class to the size of the largest. Each is a base
     row moved a random share of the way to one of its nearest rows of the class (of min(neighbours, rows - 1); ties to the
     smaller key). Bases are dealt in turn over a seeded order of the class.
 
-    The search is exact: a class is dealt into blocks, the bases that are needed go to every block of their class, and a block
-    gives back no more than the nearest few for each, so that neither a class nor all its pairs come together.
+    The search is exact, and one for all rows of a point: a point keeps its `neighbours` + 1 least keys, more are never among the
+    nearest of any row. The points of a class that lacks rows are halved into blocks of about `block`; a point is first held against
+    its own block, then against those blocks whose box is no farther than the last of the nearest found there. Cuts come from a
+    bounded number of points (they decide how even blocks are, not what is found). Rows with a feature that is null or not
+    finite have no neighbours and are nobody's.
     """
-    import numpy as np
-    import pandas as pd
-
     at = rows.select(cls, key, *[F.col(c).cast("double").alias(c) for c in features], F.xxhash64(key, F.lit(seed)).alias("_h")).withColumn("_b", F.pmod("_h", F.lit(1024)))
     counts = at.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
     most = counts.agg(F.max("_n")).first()[0] or 0
     earlier = Window.partitionBy(cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = at.groupBy(cls, "_b").agg(F.count(F.lit(1)).alias("_m")).select(cls, "_b", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"))
     nth = F.row_number().over(Window.partitionBy(cls, "_b").orderBy("_h", key)) - 1
-    placed = at.withColumn("_nth", nth).join(before, [cls, "_b"]).join(counts, cls).withColumn("_blocks", F.ceil(F.col("_n") / block))
-    lack = F.lit(most) - F.col("_n")
+    lack, few = F.lit(most) - F.col("_n"), F.broadcast(counts.where((F.col("_n") < most) & (F.col("_n") > 1)))  # a row for each class
+    placed = at.join(few, cls).withColumn("_nth", nth).join(F.broadcast(before), [cls, "_b"])
     times = F.floor(lack / F.col("_n")) + (F.col("_nth") + F.col("_before") < lack % F.col("_n")).cast("long")
-    bases = placed.where(F.col("_n") > 1).select(cls, key, *features, times.alias("_times"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")).where("_times > 0")
-    own = placed.select(cls, key, *features, F.pmod(F.shiftright("_h", 10), F.col("_blocks")).alias("_block"))
-    asked = bases.toDF("cls_", "key_", *[f"{c}_" for c in features], "times_", "block_")
+    wanted = placed.select(cls, F.col(key).alias("base"), *features, times.alias("_times")).where("_times > 0")
 
-    def search(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        x, keys, out = data[features].to_numpy(float), data[key].to_numpy(), []
-        for a in range(0, len(asks) if len(x) else 0, 256):
-            part = asks.iloc[a : a + 256]
-            y = part[[f"{c}_" for c in features]].to_numpy(float)
-            d = ((y[:, None, :] - x[None]) ** 2).sum(axis=2)
-            d[part["key_"].to_numpy()[:, None] == keys[None]] = np.inf
-            near = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :neighbours]
-            rank = np.take_along_axis(d, near, 1)
-            fine = np.isfinite(rank)
-            out.append(pd.DataFrame({"base": np.repeat(part["key_"].to_numpy(), near.shape[1])[fine.ravel()], "d": rank[fine], "other": keys[near][fine], "point": list(x[near][fine])}))
-        return pd.concat(out) if out else pd.DataFrame({"base": pd.Series(dtype="int64"), "d": pd.Series(dtype=float), "other": pd.Series(dtype="int64"), "point": pd.Series(dtype=object)})
-
-    found = own.groupBy(cls, "_block").cogroup(asked.groupBy("cls_", "block_")).applyInPandas(search, "base long, d double, other long, point array<double>")
-    near = found.groupBy("base").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "point"))), 1, neighbours).alias("_near"))
+    finite = reduce(Column.__and__, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in features])
+    nth_of_point = F.row_number().over(Window.partitionBy(cls, *features).orderBy(key))
+    points = at.join(few, cls).where(finite).withColumn("_k", nth_of_point).where(F.col("_k") <= neighbours + 1)
+    points = storage.stored(points.groupBy(cls, *features).agg(F.array_sort(F.collect_list(key)).alias("_keys")))
+    near = nearest_of_points(points, features, cls, neighbours + 1, block)
     draw = lambda k: F.pmod(F.xxhash64(F.col("base"), F.col("_j"), F.lit(seed + k)), F.lit(1 << 30))
-    wanted = placed.where(F.col("_n") > 1).select(cls, F.col(key).alias("base"), F.array(*features).alias("_x"), times.alias("_times")).where("_times > 0")
-    made = wanted.join(near.hint("merge"), "base").select(cls, "base", "_x", "_near", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_j"))
-    made = made.select(cls, "base", "_x", F.get("_near", (draw(1) % F.size("_near")).cast("int")).alias("_o"), (draw(2) / (1 << 30)).alias("_gap"))
+    others = F.slice(F.filter("_near", lambda o: o["other"] != F.col("base")), 1, neighbours)
+    made = wanted.join(near.hint("merge"), [cls, *features]).select(cls, "base", F.array(*features).alias("_x"), others.alias("_near"), F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_j"))
+    made = made.where(F.size("_near") > 0).select(cls, "base", "_x", F.get("_near", (draw(1) % F.size("_near")).cast("int")).alias("_o"), (draw(2) / (1 << 30)).alias("_gap"))
     point = [(F.get("_x", i) + F.col("_gap") * (F.get("_o.point", i) - F.get("_x", i))).alias(c) for i, c in enumerate(features)]
     return made.select(*point, cls, "base", F.col("_o.other").alias("other"))
 
 
+def nearest_of_points(points: DataFrame, features: list[str], cls: str, most: int, block: int, sample: int = 100_000) -> DataFrame:
+    """cls, features, and the `most` nearest rows of each point (an array of d, other, point; ties to the smaller key) of its class.
+    points: cls, features, _keys."""
+    sizes = {r[cls]: r["n"] for r in points.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts, place = {}, F.pmod(F.xxhash64(*features), F.lit(1 << 20))
+    for c, n in sizes.items():  # one row a class
+        depth = min(12, max(0, math.ceil(math.log2(n / block))))
+        drawn = points.where((F.col(cls) == c) & (place < math.ceil((1 << 20) * sample / n))).select(*features).limit(2 * sample) if depth else None
+        cuts[c] = (depth, splits_of(drawn.toPandas().to_numpy(float), depth) if depth else [])
+
+    @F.pandas_udf("int")
+    def block_of(c: pd.Series, wide: pd.DataFrame) -> pd.Series:
+        x, out = wide.to_numpy(float), np.zeros(len(c), "int32")
+        for name in c.unique():
+            depth, own = cuts[name]
+            at = np.flatnonzero(c.to_numpy() == name)
+            node = np.zeros(len(at), int)
+            for _ in range(depth):
+                f, cut = np.array([own[k][0] for k in node], int), np.array([own[k][1] for k in node])
+                node = 2 * node + 1 + (x[at, f] > cut)
+            out[at] = node
+        return pd.Series(out)
+
+    dealt = storage.stored(points.withColumn("_block", block_of(F.col(cls), F.struct(*features))))
+    box = lambda f, p: F.struct(*[f(c).alias(c) for c in features]).alias(p)
+    boxes = dealt.groupBy(F.col(cls).alias("_cls"), F.col("_block").alias("_other")).agg(box(F.min, "_lo"), box(F.max, "_hi"))
+    kind = dict(dealt.dtypes)
+    found_type = f"struct<d:double,other:{kind['_keys'][6:-1]},point:array<double>>"
+
+    def search(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(data) or not len(asks):
+            return pd.DataFrame({**{c: pd.Series(dtype=asks[c].dtype) for c in [cls, *features]}, "_near": pd.Series(dtype=object)})
+        x, y = (p[features].to_numpy(float) for p in (data, asks))
+        keys = [np.asarray(k) for k in data["_keys"]]
+        i, d, k, j = nearest(x, np.array([v[0] for v in keys]), keys, y, most)
+        each = [{"d": a, "other": b, "point": x[q]} for a, b, q in zip(d.tolist(), k.tolist(), j)]
+        ends = np.searchsorted(i, np.arange(len(y) + 1))
+        return asks[[cls, *features]].assign(_near=[each[ends[q] : ends[q + 1]] for q in range(len(y))])
+
+    schema = f"{cls} {kind[cls]}, " + ", ".join(f"{c} double" for c in features) + f", _near array<{found_type}>"
+    own = dealt.groupBy(cls, "_block").applyInPandas(lambda data: search(data, data).assign(_block=data["_block"]), schema + ", _block int")
+    own = storage.stored(own)
+    last = F.when(F.size("_near") >= most, F.element_at("_near", most)["d"]).otherwise(float("inf"))
+    gap = reduce(Column.__add__, [F.pow(F.greatest(F.col(f"_lo.{c}") - F.col(c), F.col(c) - F.col(f"_hi.{c}"), F.lit(0.0)), F.lit(2.0)) for c in features])
+    further = own.join(F.broadcast(boxes), (F.col(cls) == F.col("_cls")) & (F.col("_block") != F.col("_other")) & (gap * (1 - 1e-9) <= last))  # boxes: a row for each block
+    asks = further.select(F.col(cls), *features, F.col("_other").alias("_block"))
+    more = dealt.groupBy(cls, "_block").cogroup(asks.groupBy(cls, "_block")).applyInPandas(search, schema)
+    every = own.drop("_block").unionByName(more).groupBy(cls, *features).agg(F.flatten(F.collect_list("_near")).alias("_near"))
+    return every.withColumn("_near", F.slice(F.array_sort("_near"), 1, most))
+
+
 def read_trees(spark, path: str) -> tuple[list[list[tuple]], int]:
     """The trees of a boosted model's text dump, as tree_score takes them, and their depth. Lines are parsed and put together
     by tree in Spark; what comes to the driver is the model.

@@ -30,6 +30,21 @@ def test_oversampling_is_exact(spark):
     assert models.oversample(table.limit(0), ["u", "v"], "cls", "key").count() == 0
 
 
+def test_oversampling_searches_points_not_rows(spark, monkeypatch):
+    """Copies of a point are searched once, and their neighbours are those of the smallest keys; a null feature has none."""
+    kept, stored = [], models.storage.stored
+    monkeypatch.setattr(models.storage, "stored", lambda rows: (kept.append(out := stored(rows)), out)[1])
+    rows = [(i, 0, 0.0, 0.0) for i in range(1500)] + [(i, 1, float(i % 12), float(i % 9)) for i in range(2000, 2720)] + [(9000, 1, None, 1.0)]
+    got = models.oversample(spark.createDataFrame(rows, "key long, cls int, u double, v double"), ["u", "v"], "cls", "key", block=8).collect()
+    assert {k.count() for k in kept} == {36}
+    at = {r[0]: r[2:] for r in rows if 2000 <= r[0] < 9000}
+    for r in got:
+        (u, v), near = at[r["base"]], sorted((a - at[r["base"]][0]) ** 2 + (b - at[r["base"]][1]) ** 2 for k, (a, b) in at.items() if k != r["base"])[4]
+        own = sorted(((a - u) ** 2 + (b - v) ** 2, k) for k, (a, b) in at.items() if k != r["base"])[:5]
+        assert r["other"] in [k for _, k in own] and near == 0
+    assert 0 < len(got) <= 1500 - 721
+
+
 @pytest.mark.parametrize("method", ["direct", "taubin", "geometric"])
 def test_fits_of_noisy_points(method):
     rng = np.random.default_rng(4)

@@ -14,23 +14,45 @@ from pyspark.sql import functions as F
 
 from rimfold.functions import geometry as G
 from rimfold.operators import features, raster, segment, select
+from rimfold.operators.raster import reached
+from rimfold.operators.segment import basins
 from rimfold.sources import storage
 
 
+#: Bytes of planes that one read of stored planes may bring into memory at once; Parquet's reader takes up to 4096 rows of a file.
+READ = 16_000_000
+
+
+def edges(labels: np.ndarray) -> np.ndarray:
+    """Whether a pixel of planes of labels (planes, h, w) has a neighbour of another label, or is at the side."""
+    out = reached(labels, np.maximum) != reached(labels, np.minimum)
+    out[:, [0, -1]] = out[:, :, [0, -1]] = True
+    return out
+
+
 def labelled_planes(images: DataFrame, key: str, h: int, w: int, *, core: str, whole: str, rim: str, threshold: float) -> DataFrame:
-    """key, core, rim, and the regions' labels with the largest and least label around each pixel: written once, read by all that
-    follows."""
-    labelled = images.select(key, F.col(core).alias("core"), F.col(rim).alias("rim"), segment.watershed_of(F.col(core), F.col(whole), h, w, threshold).alias("l"))
-    return storage.stored(storage.stored(labelled).withColumns({"hi": raster.extreme("l", h, w, True), "lo": raster.extreme("l", h, w, False)}))
+    """key, rim, and z: place in the plane, label, edge, c and p (core and rim planes) of the pixels of all regions. Written once,
+    read by all that follows, in files of few planes."""
+
+    @F.pandas_udf("struct<i:array<int>,label:array<int>,edge:array<boolean>,c:array<double>,p:array<double>>")
+    def pixels(cores: pd.Series, wholes: pd.Series, rims: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, g, p in zip(cores, wholes, rims):
+            c, g, p = (np.asarray(x, float) for x in (c, g, p))
+            labels = basins(c.reshape(h, w), g.reshape(h, w), threshold)
+            i = np.flatnonzero(labels)
+            out.append((i.astype(np.int32), labels.ravel()[i].astype(np.int32), edges(labels[None]).ravel()[i], c[i], p[i]))
+        return pd.DataFrame(out, columns=["i", "label", "edge", "c", "p"])
+
+    found = images.select(key, F.col(rim).alias("rim"), pixels(core, whole, rim).alias("_z"))
+    return storage.stored(found.select(key, "rim", F.arrays_zip(*[F.col(f"_z.{n}").alias(n) for n in ("i", "label", "edge", "c", "p")]).alias("z")), most=max(1, READ // (40 * h * w)))
 
 
-def region_pixels(planes: DataFrame, key: str, h: int, w: int) -> DataFrame:
+def region_pixels(planes: DataFrame, key: str, w: int) -> DataFrame:
     """key, y, x, label, edge (the pixel has a neighbour of another label, or is at the image's side), c and p (core and rim
     planes) of the pixels of all regions."""
-    zipped = planes.select(key, F.arrays_zip("l", "hi", "lo", F.col("core").alias("c"), F.col("rim").alias("p")).alias("_z"))
-    side = F.col("y").isin(0, h - 1) | F.col("x").isin(0, w - 1)
-    px = raster.pixels(zipped, key, "_z", w, "z").where("z.l > 0")
-    return px.select(key, "y", "x", F.col("z.l").alias("label"), ((F.col("z.hi") != F.col("z.lo")) | side).alias("edge"), F.col("z.c").alias("c"), F.col("z.p").alias("p"))
+    px = planes.select(key, F.explode("z").alias("z"))
+    return px.select(key, F.floor(F.col("z.i") / w).cast("int").alias("y"), (F.col("z.i") % w).cast("int").alias("x"), "z.label", "z.edge", "z.c", "z.p")
 
 
 def regions(px: DataFrame, key: str, *, least_area: int = 40, small: int = 200) -> DataFrame:
@@ -79,7 +101,7 @@ def candidates(
     """
     keys = [key, "label"]
     planes = labelled_planes(images, key, h, w, core=core, whole=whole, rim=rim, threshold=threshold)
-    px = region_pixels(planes, key, h, w)
+    px = region_pixels(planes, key, w)
     found = regions(px, key, least_area=least_area)
     if most_area:
         found = found.where(F.col("area") <= most_area)

@@ -544,18 +544,20 @@ def signed_distance_of(plane, h: int, w: int, threshold: float) -> Column:
     return plane_udf(signed, "array<double>")(plane, F.lit(h), F.lit(w))
 
 
+def basins(core: np.ndarray, whole: np.ndarray, threshold: float) -> np.ndarray:
+    """Regions of the whole plane's mask, flooded by its distance from the parts of the core plane's mask."""
+    mask = whole > threshold
+    return watershed(-distance(mask), components(core > threshold), mask)
+
+
 def watershed_of(core, whole, h: int, w: int, threshold: float) -> Column:
     """Regions of the whole plane's mask, flooded by its distance from the parts of the core plane's mask."""
 
     @F.pandas_udf("array<int>")
-    def basins(cores: pd.Series, wholes: pd.Series) -> pd.Series:
-        out = []
-        for c, g in zip(cores, wholes):
-            core, mask = (np.asarray(p, float).reshape(h, w) > threshold for p in (c, g))
-            out.append(watershed(-distance(mask), components(core), mask).ravel().tolist())
-        return pd.Series(out)
+    def flooded(cores: pd.Series, wholes: pd.Series) -> pd.Series:
+        return pd.Series([basins(*(np.asarray(p, float).reshape(h, w) for p in planes), threshold).ravel().tolist() for planes in zip(cores, wholes)])
 
-    return basins(core, whole)
+    return flooded(core, whole)
 
 
 def height_of(plane, h: int, w: int) -> Column:

@@ -25,10 +25,11 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rimfold-{uuid.uuid4().hex}"
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """rows, computed once and written there: cuts lineage and outlives lost executors."""
+def stored(rows: DataFrame, most: int = 0) -> DataFrame:
+    """rows, computed once and written there: cuts lineage and outlives lost executors. most: so many rows in a file, for long rows,
+    as a reader's batch is of one file (0: any number)."""
     path = folder(rows.sparkSession)
-    rows.write.parquet(path)
+    rows.write.option("maxRecordsPerFile", most).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

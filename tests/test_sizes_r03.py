@@ -78,3 +78,31 @@ def test_images_in_a_partition_do_not_grow_with_the_table(spark):
     for n in (1000, 8000):
         rows = rasters.spread(spark.range(n).withColumnRenamed("id", "vec_id"), most=rasters.IMAGES)
         assert rows.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 2 * rasters.IMAGES
+
+
+def test_stored_planes_come_in_files_of_few_images(spark):
+    """A reader's batch is of one file and takes up to 4096 rows of it: with long files it is as large as the table."""
+    from rimfold.operators import extract
+
+    h, w, n = 48, 96, 200
+    y, x = np.mgrid[:h, :w]
+    soft = np.clip(1.6 - np.hypot((x - 40) / 12, (y - 20) / 9), 0, 1).ravel().tolist()
+    plane = F.when(F.col("id") == 7, F.lit(soft)).otherwise(F.array_repeat(F.lit(0.0), h * w))
+    images = spark.range(n).coalesce(1).select(F.col("id").alias("image_no"), *[plane.alias(c) for c in ("core", "whole", "rim")])
+    planes = extract.labelled_planes(images, "image_no", h, w, core="core", whole="whole", rim="rim", threshold=0.6)
+    files = planes.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == n and max(r["count"] for r in files) * h * w * 40 <= 16_000_000
+    found = extract.region_pixels(planes, "image_no", w).collect()
+    inside = np.reshape(soft, (h, w)) > 0.6
+    assert {(r["y"], r["x"]) for r in found} == set(zip(*np.nonzero(inside))) and {r["image_no"] for r in found} == {7}
+    around = [np.roll(inside, (dy, dx), (0, 1)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    assert {(r["y"], r["x"]) for r in found if r["edge"]} == set(zip(*np.nonzero(inside & ~np.all(around, axis=0))))
+    assert all(r["c"] == r["p"] == soft[r["y"] * w + r["x"]] and r["label"] == 1 for r in found)
+
+
+def test_edges_lie_between_labels_and_at_the_side():
+    from rimfold.operators import extract
+
+    labels = np.array([[[1, 1, 1, 2, 2], [1, 1, 1, 2, 2], [1, 1, 1, 2, 2], [1, 1, 1, 0, 2], [1, 1, 1, 2, 2]]])
+    inner = {(1, 1), (2, 1), (3, 1)}
+    assert {(y, x) for y, x in np.ndindex(5, 5) if not extract.edges(labels)[0, y, x]} == inner

@@ -29,6 +29,17 @@ def test_passages_across_the_parts_of_long_texts(spark, monkeypatch, part):
     assert sum(g[0] for g in got.values()) > 3000
 
 
+def test_large_ids_beside_rows_without_id(spark):
+    """An id over 2^53 is no double; a row without id is not the row of id 0 with its text."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, tail = noise(450), noise(500)
+    rows = [(2**53 + 1, noise(50) + passage), (None, noise(500)), (2**53 + 3, passage + noise(60)), (None, tail), (0, tail), (0, "é" * 30), (None, None)]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(2**53 + 1, 500, 450), (None, 500, 0), (2**53 + 3, 510, 450), (None, 500, 500), (0, 500, 500), (0, 60, 0), (None, 0, 0)]
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in found) == Counter(want)
+
+
 @pytest.mark.parametrize("tokens", [30_000, 300_000])
 def test_no_part_grows_with_the_corpus(spark, monkeypatch, tokens):
     """One word makes up one token in 20 and has ever more followers; no part gets over twice PART of the bigrams asked."""

@@ -439,78 +439,112 @@ def polar_start(theta: np.ndarray, radius: np.ndarray, use: np.ndarray) -> np.nd
     return np.column_stack([axes, np.arctan2(s, c) / 2])
 
 
-def polar_terms(p: np.ndarray, cos: np.ndarray, sin: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Relative residuals of the radius at each angle (cosines and sines; inverse: 1 / radius, 0 where there is none), their slopes by
-    log a, log b and phi (first axis), and the cost: Huber's of the residuals, and half the squared ratio term."""
-    a, b, c, s = np.exp(p[:, 0:1]), np.exp(p[:, 1:2]), np.cos(p[:, 2:3]), np.sin(p[:, 2:3])
-    x, y = b * (cos * c + sin * s), a * (sin * c - cos * s)
-    turn = (a * a - b * b) / (a * b) * x * y
-    x, y = x * x, y * y
-    both = x + y
-    q = a * b / np.sqrt(both) * inverse
-    r = np.where(inverse > 0, q - 1, 0.0)
-    size = np.abs(r)
-    loss = np.where(size <= POLAR_WIDTH, 0.5 * r * r, POLAR_WIDTH * size - 0.5 * POLAR_WIDTH**2)
-    q = q / both
-    return r, np.stack([q * x, q * y, q * turn]), loss.sum(axis=1) + 0.5 * (POLAR_RATIO * (p[:, 0] - p[:, 1])) ** 2
-
-
-def polar_normal(p: np.ndarray, r: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both sides of the normal equations, residuals beyond the width weighed down."""
-    ratio = np.array([POLAR_RATIO, -POLAR_RATIO, 0.0])
-    weighed = slope * np.minimum(1.0, POLAR_WIDTH / np.maximum(np.abs(r), 1e-12))
-    lhs, rhs = np.empty((len(p), 3, 3)), np.empty((len(p), 3))
-    for i in range(3):
-        rhs[:, i] = np.einsum("np,np->n", weighed[i], r)
-        for k in range(i + 1):
-            lhs[:, i, k] = lhs[:, k, i] = np.einsum("np,np->n", weighed[i], slope[k])
-    return lhs + np.outer(ratio, ratio), rhs + ratio * (POLAR_RATIO * (p[:, 0] - p[:, 1]))[:, None]
+def polar_terms(p: np.ndarray, cos: np.ndarray, sin: np.ndarray, inverse: np.ndarray, bent: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cost, gradient and matrix (xx, xy, yy, xz, yz, zz in log a, log b, phi) of profiles (rows): Huber's loss of the relative
+    residuals of the radius and half the squared ratio term. The matrix weighs residuals beyond the width down, or (bent) holds the
+    second derivatives. cos, sin: of twice the angles; inverse: 1 / radius, 0 where there is none.
+
+    With d the angle from phi, D = b^2 cos^2 d + a^2 sin^2 d: log q = log(a b / sqrt(D) / radius) has the slopes x = b^2 cos^2 d / D,
+    1 - x and t = (a^2 - b^2) cos d sin d / D; what x and t change by with phi is 2 (b^2 cos d sin d / D + x t) and
+    2 t^2 - (a^2 - b^2) cos 2d / D."""
+    a2, b2, c, s = np.exp(2 * p[:, 0:1]), np.exp(2 * p[:, 1:2]), np.cos(2 * p[:, 2:3]), np.sin(2 * p[:, 2:3])
+    ahead, side, half = cos * c + sin * s, sin * c - cos * s, (a2 - b2) / 2
+    below = 1 / ((a2 + b2) / 2 - half * ahead)
+    q = np.sqrt(a2 * b2 * below) * inverse
+    r = q - (inverse > 0)
+    x, side, ahead = (ahead + 1) * below * (b2 / 2), side * below, ahead * below
+    t = side * half
+    pull = np.clip(r, -POLAR_WIDTH, POLAR_WIDTH)
+    force, q2 = pull * q, q * q
+    total = lambda v, w: np.einsum("np,np->n", v, w)
+
+    def matrix(weight: np.ndarray) -> np.ndarray:
+        wx, wt = weight * x, weight * t
+        n, sx, st, xx, xt, tt = weight.sum(axis=1), wx.sum(axis=1), wt.sum(axis=1), total(wx, x), total(wx, t), total(wt, t)
+        return np.stack([xx, sx - xx, n - 2 * sx + xx, xt, st - xt, tt])
+
+    steep = POLAR_RATIO**2
+    apart = steep * (p[:, 0] - p[:, 1])
+    f, gx, gt = force.sum(axis=1), total(force, x), total(force, t)
+    cost = total(pull, r) - 0.5 * total(pull, pull) + 0.5 * apart * (p[:, 0] - p[:, 1])
+    ratio, size = np.array([steep, -steep, steep, 0.0, 0.0, 0.0])[:, None], np.abs(r)
+    if bent:
+        fx = force * x
+        bend, turn = 2 * (gx - total(fx, x)), 2 * (total(force, side) * b2[:, 0] / 2 + total(fx, t))
+        m = matrix((size <= POLAR_WIDTH) * q2 + force) + np.stack([-bend, bend, -bend, turn, -turn, 2 * total(force * t, t) - 2 * half[:, 0] * total(force, ahead)])
+    else:
+        m = matrix(POLAR_WIDTH / np.maximum(size, POLAR_WIDTH) * q2)
+    return cost, np.stack([gx + apart, f - gx - apart, gt]), m + ratio
+
+
+def solved(m: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The solutions (rows) of symmetric systems (xx, xy, yy, xz, yz, zz) of three, and which matrices are positive definite."""
+    xx, xy, yy, xz, yz, zz = m
+    minor, u, v, w = xx * yy - xy * xy, yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy
+    det = xx * u + xy * v + xz * w
+    fine = (xx > 0) & (minor > 0) & (det > 0)
+    k, l = xx * zz - xz * xz, xy * xz - xx * yz
+    by = np.stack([u * g[0] + v * g[1] + w * g[2], v * g[0] + k * g[1] + l * g[2], w * g[0] + l * g[1] + minor * g[2]], 1)
+    return by / np.where(fine, det, np.inf)[:, None], fine
 
 
 def refine_polar(theta: np.ndarray, radius: np.ndarray, use: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(a, b, phi) with a >= b and phi in [0, pi), and the cost, of profiles (rows) of radii at the angles theta where `use`:
-    Levenberg-Marquardt on (log a, log b, phi) within the bounds, all profiles together, each with its own damping. Only profiles
-    that still move are worked on."""
-    low, high, cos, sin = np.log(POLAR_LEAST), np.log(POLAR_MOST), np.cos(theta), np.sin(theta)
-    inverse = np.where(use, 1 / np.where(use, radius, 1.0), 0.0)
-
-    def stepped(p: np.ndarray, lhs: np.ndarray, rhs: np.ndarray, damp: np.ndarray) -> np.ndarray:
-        lhs = lhs + np.eye(3) * (damp[:, None] * np.einsum("nii->ni", lhs) + 1e-12)[:, :, None]
-        new = p - np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0]
-        new[:, :2] = np.clip(new[:, :2], low, high)
-        return new
-
+    Levenberg-Marquardt on (log a, log b, phi) within the bounds, all profiles together, each with its own damping, until steps are
+    small; then Newton's steps. Where these do not settle, or at the bounds, the former go on to the end. Only profiles that
+    still move are worked on."""
+    low, high = np.log(POLAR_LEAST), np.log(POLAR_MOST)
     p = polar_start(theta, radius, use)
-    live, damp, at, own = np.arange(len(radius)), np.full(len(radius), 1e-3), p.copy(), inverse
-    r, slope, cost = polar_terms(p, cos, sin, inverse)
-    price = cost.copy()
-    lhs, rhs = polar_normal(p, r, slope)
-    for _ in range(steps):
-        new = stepped(at, lhs, rhs, damp)
-        r, slope, fresh = polar_terms(new, cos, sin, own)
-        better, moved = fresh < price, np.abs(new - at).max(axis=1)
-        l, g = polar_normal(new, r, slope)
-        at[better], price[better], lhs[better], rhs[better] = new[better], fresh[better], l[better], g[better]
-        damp = np.where(better, damp / 3, damp * 4)
+    order = np.argsort(~use, axis=1, kind="stable")[:, : max(1, int(use.sum(axis=1).max(initial=0)))]
+    cos, sin = np.cos(2 * theta)[order], np.sin(2 * theta)[order]
+    inverse = np.take_along_axis(np.where(use, 1 / np.where(use, radius, 1.0), 0.0), order, axis=1)
+    cost = np.empty(len(p))
+
+    def bounded(q: np.ndarray) -> np.ndarray:
+        q[:, :2] = np.clip(q[:, :2], low, high)
+        return q
+
+    def damped(live: np.ndarray, little: float) -> None:
+        damp, at, own = np.full(len(live), 1e-3), p[live], (cos[live], sin[live], inverse[live])
+        price, slope, lhs = polar_terms(at, *own)
+        for _ in range(steps):
+            more = lhs.copy()
+            more[[0, 2, 5]] += damp * lhs[[0, 2, 5]] + 1e-12
+            new = bounded(at - solved(more, slope)[0])
+            fresh, g, m = polar_terms(new, *own)
+            better, moved = fresh < price, np.abs(new - at).max(axis=1)
+            at[better], price[better], slope[:, better], lhs[:, better] = new[better], fresh[better], g[:, better], m[:, better]
+            damp = np.where(better, damp / 3, damp * 4)
+            go = ~np.where(better, moved < little, damp > 1e6)
+            if not go.all():
+                p[live], cost[live] = at, price
+                live, at, price, slope, lhs, damp, own = live[go], at[go], price[go], slope[:, go], lhs[:, go], damp[go], tuple(z[go] for z in own)
+            if not len(live):
+                return
         p[live], cost[live] = at, price
-        go = ~np.where(better, moved < 1e-8, damp > 1e6)
-        if not go.all():
-            live, at, price, lhs, rhs, damp, own = live[go], at[go], price[go], lhs[go], rhs[go], damp[go], own[go]
-        if not len(live):
-            break
-    # where costs are equal to the last digit their slopes still tell: steps that shrink these
-    live, at, own = np.arange(len(radius)), p, inverse
-    r, slope, _ = polar_terms(at, cos, sin, own)
-    lhs, rhs = polar_normal(at, r, slope)
-    for _ in range(40):
-        new = stepped(at, lhs, rhs, np.zeros(len(at)))
-        r, slope, fresh = polar_terms(new, cos, sin, own)
-        l, g = polar_normal(new, r, slope)
-        better = np.abs(g).max(axis=1) < np.abs(rhs).max(axis=1)
-        live, at, own, lhs, rhs = live[better], new[better], own[better], l[better], g[better]
-        if not len(live):
-            break
-        p[live], cost[live] = at, fresh[better]
+
+    def shrunk(live: np.ndarray, newton: bool) -> np.ndarray:
+        """Steps that shrink slopes, which still tell where costs are equal to the last digit; which profiles did not settle."""
+        at, own, loose = p[live], (cos[live], sin[live], inverse[live]), []
+        price, slope, m = polar_terms(at, *own, newton)
+        for _ in range(40):
+            step, fine = solved(m, slope)
+            new = bounded(at - step)
+            fresh, g, n = polar_terms(new, *own, newton)
+            better = fine & (np.abs(g).max(axis=0) < np.abs(slope).max(axis=0)) & (fresh <= price + 1e-9 * (1 + price))
+            loose.append(live[~better & (~fine | (np.abs(step).max(axis=1) > 1e-11))])
+            live, at, own, price, slope, m = live[better], new[better], tuple(z[better] for z in own), fresh[better], g[:, better], n[:, better]
+            p[live], cost[live] = at, price
+            if not len(live):
+                break
+        return np.concatenate([*loose, live])
+
+    damped(np.arange(len(p)), 3e-3)
+    inside = ((p[:, :2] > low) & (p[:, :2] < high)).all(axis=1)
+    left = np.concatenate([np.flatnonzero(~inside), shrunk(np.flatnonzero(inside), True)])
+    if len(left):
+        damped(left, 1e-8)
+        shrunk(left, False)
     a, b, phi = np.exp(p[:, 0]), np.exp(p[:, 1]), p[:, 2]
     swap = a < b
     return np.column_stack([np.where(swap, b, a), np.where(swap, a, b), (phi + np.where(swap, np.pi / 2, 0.0)) % np.pi]), cost
@@ -636,6 +670,20 @@ def profile_rows(radii: pd.Series, sectors: pd.Series, bins: int) -> np.ndarray:
     return out
 
 
+def polar_rows(radius: np.ndarray, core: np.ndarray, cored: np.ndarray, share: float = 0.3, margin: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """a, b, phi, cost (nan: none) and counted sectors of profiles (lines; nan: no point) over core profiles where there are any
+    (cored); see polar_fits."""
+    bins = radius.shape[1]
+    theta, out = (np.arange(bins) + 0.5) * 2 * np.pi / bins - np.pi, np.full((len(radius), 4), np.nan)
+    use = np.isfinite(radius) & (~cored[:, None] | (radius > core + margin))
+    n = use.sum(axis=1)
+    middle = np.sort(np.where(use, radius, np.inf), axis=1)[np.arange(len(radius)), np.minimum(n // 2, bins - 1)]
+    fine = np.flatnonzero((n >= max(10, int(share * bins))) & (middle >= POLAR_LEAST))
+    if len(fine):
+        out[fine] = np.column_stack(refine_polar(theta, radius[fine], use[fine]))
+    return out, n
+
+
 def polar_fits(points: DataFrame, keys: list[str], bins: int = 120, *, core: DataFrame | None = None, support: float = 0.5, share: float = 0.3, margin: float = 1.0) -> DataFrame:
     """keys, a, b, phi, cost, n of the polar fit to each candidate's outer profile: the largest radius of its points about (cx, cy)
     in each sector. With core points (keys, x, y, cx, cy) a sector counts only where the outer radius exceeds the core's by
@@ -649,63 +697,125 @@ def polar_fits(points: DataFrame, keys: list[str], bins: int = 120, *, core: Dat
     @F.pandas_udf("struct<a:double,b:double,phi:double,cost:double,n:int>")
     def fit(outer: pd.Series, outer_at: pd.Series, inner: pd.Series, inner_at: pd.Series) -> pd.DataFrame:
         out, count = np.full((len(outer), 4), np.nan), np.zeros(len(outer), int)
-        theta = (np.arange(bins) + 0.5) * 2 * np.pi / bins - np.pi
         for k in range(0, len(outer), 2048):
             part = slice(k, k + 2048)
             radius, core = profile_rows(outer.iloc[part], outer_at.iloc[part], bins), profile_rows(inner.iloc[part], inner_at.iloc[part], bins)
-            any_core = np.array([r is not None for r in inner.iloc[part]])[:, None]
-            use = np.isfinite(radius) & (~any_core | (radius > core + margin))
-            count[part] = n = use.sum(axis=1)
-            middle = np.sort(np.where(use, radius, np.inf), axis=1)[np.arange(len(radius)), np.minimum(n // 2, bins - 1)]
-            fine = np.flatnonzero((n >= max(10, int(share * bins))) & (middle >= POLAR_LEAST))
-            if len(fine):
-                e, cost = refine_polar(theta, radius[fine], use[fine])
-                out[k + fine] = np.column_stack([e, cost])
+            out[part], count[part] = polar_rows(radius, core, np.array([r is not None for r in inner.iloc[part]]), share, margin)
         return pd.DataFrame({**dict(zip(("a", "b", "phi", "cost"), out.T)), "n": count})
 
     found = rows.where(F.size("outer") >= support * bins)
     return found.select(*keys, fit("outer", "outer_sector", "inner", "inner_sector").alias("fit")).select(*keys, "fit.*").where("not isnan(a) and b >= 3")
 
 
+def mixed(z: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits mixed (the finalizer of splitmix64)."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def parts_of(draw: np.ndarray, use: np.ndarray, trials: int, share: float) -> np.ndarray:
+    """Random parts (lines, trials, points) of int(share n) of the n points of each line: those whose number, mixed from the line's
+    draw, trial and place, is least."""
+    n, m = use.shape
+    place = np.arange(1, trials * m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    drawn = mixed(mixed(draw.astype(np.uint64))[:, None] + place).reshape(n, trials, m) >> np.uint64(1)
+    drawn = np.where(use[:, None], drawn, np.uint64(2**64 - 1))
+    take = (share * use.sum(axis=1)).astype(int)
+    last = np.sort(drawn, axis=2)[np.arange(n), :, np.maximum(take - 1, 0)]
+    return (drawn <= last[:, :, None]) & (take > 0)[:, None, None]
+
+
+def ellipses_of_moments(q: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """The direct fits (last axis cx, cy, a >= b, radians; nan: none) to point sets given by the sums of x^i y^k, i + k up to 4. The
+    conic is the one vector of S - l C without extent for the one l > 0, S the scatter of x2, xy, y2 once the linear part is
+    taken out and C the constraint; l is the largest root of a cubic."""
+    a, b, c, d, e, f = q[2, 0], q[1, 1], q[1, 0], q[0, 2], q[0, 1], q[0, 0]
+    i00, i01, i02, i11, i12, i22 = d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b
+    with np.errstate(all="ignore"):
+        det = a * i00 + b * i01 + c * i02
+        rows = [(q[3, 0], q[2, 1], q[2, 0]), (q[2, 1], q[1, 2], q[1, 1]), (q[1, 2], q[0, 3], q[0, 2])]
+        t = [(-(i00 * x + i01 * y + i02 * z) / det, -(i01 * x + i11 * y + i12 * z) / det, -(i02 * x + i12 * y + i22 * z) / det) for x, y, z in rows]
+        out_of = lambda k, m: rows[k][0] * t[m][0] + rows[k][1] * t[m][1] + rows[k][2] * t[m][2]
+        s00, s01, s02 = q[4, 0] + out_of(0, 0), q[3, 1] + out_of(0, 1), q[2, 2] + out_of(0, 2)
+        s11, s12, s22 = q[2, 2] + out_of(1, 1), q[1, 3] + out_of(1, 2), q[0, 4] + out_of(2, 2)
+        c0 = s11 * (s00 * s22 - s02 * s02) - s00 * s12 * s12 - s01 * s01 * s22 + 2 * s01 * s12 * s02
+        c1, c2 = s00 * s22 - 4 * s01 * s12 - s02 * s02 + 4 * s02 * s11, 4 * (s02 - s11)
+        third = c2 / 12
+        down, side = np.maximum(c1 / 4 + 3 * third * third, 0.0), 2 * third**3 + third * c1 / 4 + c0 / 4
+        root = third + 2 * np.sqrt(down / 3) * np.cos(np.arccos(np.clip(1.5 * side / down * np.sqrt(3 / down), -1, 1)) / 3)
+        for _ in range(2):
+            slope = c1 + root * (2 * c2 - 12 * root)
+            root = root - (c0 + root * (c1 + root * (c2 - 4 * root))) / np.where(slope == 0, np.inf, slope)
+        m02, m11 = s02 - 2 * root, s11 + root
+        adjoint = [(m11 * s22 - s12 * s12, s12 * m02 - s01 * s22, s01 * s12 - m11 * m02), (s12 * m02 - s01 * s22, s00 * s22 - m02 * m02, s01 * m02 - s00 * s12), (s01 * s12 - m11 * m02, s01 * m02 - s00 * s12, s00 * m11 - s01 * s01)]
+        size = np.stack([x * x + y * y + z * z for x, y, z in adjoint])
+        best = np.argmax(np.nan_to_num(size), axis=0)
+        xx, xy, yy = (np.choose(best, [v[k] for v in adjoint]) for k in range(3))
+        sign = np.sign(xx + yy) / np.sqrt(size.max(axis=0))
+        xx, xy, yy = xx * sign, xy * sign, yy * sign
+        x, y, o = (xx * t[0][k] + xy * t[1][k] + yy * t[2][k] for k in range(3))
+        area = 4 * xx * yy - xy * xy
+        cx, cy = (xy * y - 2 * yy * x) / area, (xy * x - 2 * xx * y) / area
+        level = -(o + 0.5 * (x * cx + y * cy))
+        large = (xx + yy) / 2 + np.hypot((xx - yy) / 2, xy / 2)
+        found = np.stack([cx, cy, np.sqrt(4 * level * large / area), np.sqrt(level / large), (np.arctan2(xy, xx - yy) + np.pi) / 2], axis=-1)
+        found[~((area > 0) & (level > 0) & np.isfinite(found).all(axis=-1))] = np.nan
+    return found
+
+
+STABILITY = [f"stab_{n}" for n in ("jitter_a", "jitter_b", "jitter_theta", "center_shift", "iou_subsample")]
+
+
+def stability_rows(x: np.ndarray, y: np.ndarray, use: np.ndarray, e: np.ndarray, draw: np.ndarray, trials: int = 5, share: float = 0.8) -> np.ndarray:
+    """The five values of `stability` for point sets (lines, where `use`) and their ellipses (cx, cy, a, b, degrees)."""
+    out = np.ones((len(x), 5))
+    own = np.flatnonzero(use.sum(axis=1) >= 10)
+    if not len(own):
+        return out
+    x, y, o, mean, size = centred(np.stack([x[own], y[own]], 2), use[own])
+    real, place, parts = e[own][:, None], [(i, k) for i in range(5) for k in range(5 - i)], parts_of(draw[own], use[own], trials, share)
+    px, py = [o, x, x * x, x**3, x**4], [o, y, y * y, y**3, y**4]
+    sums = parts.astype(float) @ np.stack([px[i] * py[k] for i, k in place], 2)
+    found = ellipses_of_moments({p: sums[:, :, n] for n, p in enumerate(place)})
+    size, mean = size[:, None], mean[:, None]
+    shift = np.hypot(found[..., 0] * size + mean[..., 0] - real[..., 0], found[..., 1] * size + mean[..., 1] - real[..., 1]) / (np.sqrt(real[..., 2] * real[..., 3]) + 1e-6)
+    turn = np.abs(found[..., 4] % np.pi - np.radians(real[..., 4]) % np.pi)
+    axes = [np.abs(found[..., c] * size - real[..., c]) / (real[..., c] + 1e-6) for c in (2, 3)]
+    moved, fine = np.stack([*axes, np.minimum(turn, np.pi - turn), shift], 2), ~np.isnan(found[..., 0])
+    some = fine.any(axis=1)
+    mean = np.where(fine[..., None], moved, 0.0).sum(axis=1)[some] / fine.sum(axis=1)[some, None]
+    out[own[some]] = np.column_stack([mean, 1 / (1 + mean[:, 0] + mean[:, 1])])
+    return out
+
+
 def stability(points: DataFrame, keys: list[str], *, trials: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
     """How far fits to random parts of a candidate's points (x, y) lie from its ellipse (a, b, rot about cx, cy): mean
     relative change of the axes, of the angle, of the centre, and 1 / (1 + both axes' changes); 1 under 10 points."""
     rows = points.groupBy(*keys).agg(F.first(F.struct("cx", "cy", "a", "b", "rot")).alias("e"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"), F.xxhash64(*[F.first(k) for k in keys], F.lit(seed)).alias("draw"))
-    names = ["jitter_a", "jitter_b", "jitter_theta", "center_shift", "iou_subsample"]
 
-    @F.pandas_udf(", ".join(f"stab_{n} double" for n in names))
+    @F.pandas_udf(", ".join(f"{n} double" for n in STABILITY))
     def refit(e: pd.DataFrame, x: pd.Series, y: pd.Series, draw: pd.Series) -> pd.DataFrame:
-        out, ours = np.ones((len(draw), 5)), e[["cx", "cy", "a", "b", "rot"]].to_numpy(float)
-        for k in range(0, len(draw), 1024):
-            sets, own = [], []
-            for i in range(k, min(k + 1024, len(draw))):
-                n = len(x.iloc[i])
-                if n >= 10:
-                    xy, rng = np.column_stack([x.iloc[i], y.iloc[i]]).astype(float), np.random.default_rng(abs(int(draw.iloc[i])))
-                    sets += [xy[rng.choice(n, int(share * n), replace=False)] for _ in range(trials)]
-                    own.append(i)
-            if not own:
-                continue
-            found, real = fit_all(sets).reshape(len(own), trials, 5), ours[own][:, None]
-            turn = np.abs(np.radians(found[..., 4]) - np.radians(real[..., 4]) % np.pi)
-            shift = np.hypot(found[..., 0] - real[..., 0], found[..., 1] - real[..., 1]) / (np.sqrt(real[..., 2] * real[..., 3]) + 1e-6)
-            axes = [np.abs(found[..., c] - real[..., c]) / (real[..., c] + 1e-6) for c in (2, 3)]
-            moved, fine = np.stack([*axes, np.minimum(turn, np.pi - turn), shift], 2), ~np.isnan(found[..., 0])
-            some = fine.any(axis=1)
-            mean = np.where(fine[..., None], moved, 0.0).sum(axis=1)[some] / fine.sum(axis=1)[some, None]
-            out[np.array(own)[some]] = np.column_stack([mean, 1 / (1 + mean[:, 0] + mean[:, 1])])
-        return pd.DataFrame(out, columns=[f"stab_{n}" for n in names])
+        out, ours, draws = np.ones((len(draw), 5)), e[["cx", "cy", "a", "b", "rot"]].to_numpy(float), draw.to_numpy(np.int64).view(np.uint64)
+        for own, xy, use in padded([np.column_stack([p, q]).astype(float) for p, q in zip(x, y)]):
+            out[own] = stability_rows(xy[:, :, 0], xy[:, :, 1], use, ours[own], draws[own], trials, share)
+        return pd.DataFrame(out, columns=STABILITY)
 
     return rows.select(*keys, refit("e", "points.x", "points.y", "draw").alias("s")).select(*keys, "s.*")
 
 
-def guarded_refit(original: DataFrame, refit: DataFrame, keys: list[str], width: int, height: int, *, least: int = 20) -> DataFrame:
-    """The refitted axes (a, b, phi, n points) where there are `least` points, both are 3 or more, the box lies inside the
-    image and no axis exceeds 0.6 of the longer side; else the original."""
-    new = refit.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("a", "b", "phi", "n")])
-    rows = original.join(new, keys, "left")
+def guarded(rows: DataFrame, width: int, height: int, *, least: int = 20) -> DataFrame:
+    """rows (an ellipse; _a, _b, _phi, _n: its refit and number of points, null where there is none) with the refitted axes where
+    there are `least` points, both are 3 or more, the box lies inside the image and no axis exceeds 0.6 of the longer side; else
+    the original; refitted: which."""
     r = F.greatest("_a", "_b")
     inside = (F.col("cx") - r >= 0) & (F.col("cy") - r >= 0) & (F.col("cx") + r < width) & (F.col("cy") + r < height)
     fine = F.coalesce((F.col("_n") >= least) & (F.least("_a", "_b") >= 3) & inside & (r <= 0.6 * max(width, height)), F.lit(False))
     pick = {c: F.when(fine, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("a", "b")} | {"rot": F.when(fine, F.degrees("_phi")).otherwise(F.col("rot")), "refitted": fine}
-    return rows.withColumns(pick).select(*original.columns, "refitted")
+    return rows.withColumns(pick).drop("_a", "_b", "_phi", "_n")
+
+
+def guarded_refit(original: DataFrame, refit: DataFrame, keys: list[str], width: int, height: int, *, least: int = 20) -> DataFrame:
+    """The refitted axes (a, b, phi, n points) where the guard lets them; else the original."""
+    new = refit.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("a", "b", "phi", "n")])
+    return guarded(original.join(new, keys, "left"), width, height, least=least).select(*original.columns, "refitted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DEALT = 60_000
 
 
-def base(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, dealt: bool | Column = False) -> DataFrame:
     """ok, ln, pk, sk. dealt: with seq and in partitions by seq, as many as the table's size asks for, so that what rows become in a
-    query is grouped and joined by seq where it is made, without moving."""
+    query is grouped and joined by seq where it is made, without moving; or by a column made of seq, which the rows keep as `whole`."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), "l_partkey", "l_suppkey")
     keys = ["ok", "ln"]
-    if dealt:
+    if dealt is not False:
         n = max(2 * spark.sparkContext.defaultParallelism, rows.count() // DEALT)
-        rows, keys = rows.withColumn("seq", F.col("ok") * 8 + F.col("ln")).repartition(n, "seq"), ["ok", "ln", "seq"]
+        rows, keys = rows.withColumn("seq", F.col("ok") * 8 + F.col("ln")), ["ok", "ln", "seq"]
+        if isinstance(dealt, Column):
+            rows, keys = rows.withColumn("whole", dealt), [*keys, "whole"]
+        rows = rows.repartition(n, keys[-1])
     return rows.groupBy(*keys).agg(F.min("l_partkey").cast("long").alias("pk"), F.min("l_suppkey").cast("long").alias("sk"))
 
 
@@ -29,7 +32,7 @@ def _shape(rows: DataFrame) -> DataFrame:
     ok, ln, pk = F.col("ok"), F.col("ln"), F.col("pk")
     a = (40 + (pk * 7 + ln * 13) % 80).cast("double")
     return rows.select(
-        "ok", "ln", "pk", "sk", F.floor(ok / 10).alias("image_no"), F.col("seq") if "seq" in rows.columns else (ok * 8 + ln).alias("seq"),
+        *[c for c in rows.columns if c != "seq"], F.floor(ok / 10).alias("image_no"), F.col("seq") if "seq" in rows.columns else (ok * 8 + ln).alias("seq"),
         (200 + (pk * 37 + ln * 411 + ok * 97) % 2192).cast("double").alias("cx"), (200 + (pk * 53 + ok * 131 + ln * 277) % 1648).cast("double").alias("cy"),
         a.alias("a"), (a * (0.70 + 0.30 * ((pk * 11) % 100) / 100)).alias("b"), ((pk * 29) % 180).cast("double").alias("rot"), ((pk + ln) % 5).cast("int").alias("cls"),
     )
@@ -38,8 +41,9 @@ def _shape(rows: DataFrame) -> DataFrame:
 KEEP = ["image_no", "seq", "cx", "cy", "a", "b", "rot"]
 
 
-def truth(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    return _shape(base(spark, sf_dir, dealt)).select(*KEEP, "cls")
+def truth(spark: SparkSession, sf_dir: str, dealt: bool | Column = False) -> DataFrame:
+    rows = _shape(base(spark, sf_dir, dealt))
+    return rows.select(*KEEP, "cls", *[c for c in rows.columns if c == "whole"])
 
 
 def pred(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:

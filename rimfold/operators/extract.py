@@ -1,19 +1,21 @@
-"""From probability planes to candidates: the extraction as one chain of joins, groupings and column expressions.
+"""From probability planes to candidates: NumPy over Arrow batches of images up to the candidates, columns and joins from there on.
 
 core and whole planes -> regions by watershed (the whole plane's mask, flooded from the core's parts) -> shape gates -> rim
 points on the regions' borders -> ellipse or polar fit -> scale of the rim's crest -> eccentricity floor -> confidence ->
-gates; then overlaps, adaptive threshold and rescue. Labels, fits and the search for the scale are NumPy over Arrow batches.
+gates; then overlaps, adaptive threshold and rescue.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimfold.functions import geometry as G
-from rimfold.operators import features, raster, segment, select
+from rimfold.operators import segment, select
 from rimfold.operators.raster import reached
 from rimfold.operators.segment import basins
 from rimfold.sources import storage
@@ -50,90 +52,175 @@ def labelled_planes(images: DataFrame, key: str, h: int, w: int, *, core: str, w
 
 def region_pixels(planes: DataFrame, key: str, w: int) -> DataFrame:
     """key, y, x, label, edge (the pixel has a neighbour of another label, or is at the image's side), c and p (core and rim
-    planes) of the pixels of all regions."""
+    planes) of the pixels of all regions, as rows; the extraction itself needs none."""
     px = planes.select(key, F.explode("z").alias("z"))
     return px.select(key, F.floor(F.col("z.i") / w).cast("int").alias("y"), (F.col("z.i") % w).cast("int").alias("x"), "z.label", "z.edge", "z.c", "z.p")
 
 
-def regions(px: DataFrame, key: str, *, least_area: int = 40, small: int = 200) -> DataFrame:
-    """The regions' properties that pass the gates of shape. Solidity is asked of small regions only, so hulls are too."""
-    found = segment.region_properties(px, key).where(F.col("area") >= least_area)
-    few = px.join(found.where(F.col("area") < small).select(key, "label"), [key, "label"], "left_semi")
-    hulls = segment.hulls(few, key).select(key, "label", "solidity")
-    shaped = found.join(hulls, [key, "label"], "left").withColumns({"ecc": F.col("eccentricity"), "solidity": F.coalesce("solidity", F.lit(1.0))})
-    return select.region_shape(shaped, area=least_area)
-
-
-def crest(h: int, w: int, scales: np.ndarray, samples: int):
-    """A column function: the scale whose perimeter has the highest mean on the plane (the smallest of equals; the mean of ends
-    if none is over 0), and that mean."""
-    angle = 2 * np.pi * np.arange(samples) / samples
-    c, s = np.cos(angle), np.sin(angle)
-
-    @F.pandas_udf("struct<scale:double,score:double>")
-    def search(e: pd.DataFrame, plane: pd.Series) -> pd.DataFrame:
-        out = []
-        for (cx, cy, a, b, rot), p in zip(e.to_numpy(float), plane):
-            p, t = np.asarray(p, float), np.radians(rot)
-            u, v = np.outer(scales, a * c), np.outer(scales, b * s)
-            x, y = cx + u * np.cos(t) - v * np.sin(t), cy + u * np.sin(t) + v * np.cos(t)
-            inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
-            n = inside.sum(axis=1)
-            at = np.where(inside, y, 0).astype(int) * w + np.where(inside, x, 0).astype(int)
-            mean = np.where(2 * n >= samples, np.round((p[at] * inside).sum(axis=1) / np.maximum(n, 1), 12), 0.0)
-            k = int(mean.argmax())
-            out.append((scales[k], mean[k]) if mean[k] > 0 else (1.14, 0.0))
-        return pd.DataFrame(out, columns=["scale", "score"], dtype=float)
-
-    return search
-
-
-def candidates(
-    images: DataFrame, key: str, h: int, w: int, *, core: str = "core", whole: str = "whole", rim: str = "rim", method: str = "direct", threshold: float = 0.6, rim_threshold: float = 0.25,
-    least_area: int = 40, bins: int = 64, least_points: int = 16, most_area: int | None = None, scales: tuple = (1.0, 1.4, 40), scale_samples: int = 72, samples: int = 120, floor: float = 0.15,
-    completeness: float = 0.35, polar_bins: int = 120, polar_support: float = 0.4,
-) -> DataFrame:
+def shapes(labels: np.ndarray, *, least_area: int = 40, small: int = 200) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Properties by label (0, which is no region, to the greatest) of planes of labels that go on from plane to plane, as
+    segment.region_properties has them, and which labels pass the gates of shape of select.region_shape."""
+    plane, y, x = np.nonzero(labels)
+    k = labels[plane, y, x]
+    n = int(k.max(initial=0)) + 1
+    size = np.bincount(k, minlength=n)
+    some = np.maximum(size, 1)
+    by = lambda v: np.bincount(k, v, n) / some
+    cy, cx = by(y), by(x)
+    dy, dx = y - cy[k], x - cx[k]
+    vy, vx, vxy = by(dy * dy), by(dx * dx), by(dx * dy)
+    root = np.hypot((vy - vx) / 2, vxy)
+    major, minor = (4 * np.sqrt(np.maximum(0.0, (vy + vx) / 2 + r)) for r in (root, -root))
+    ecc = np.sqrt(np.maximum(0.0, 1 - (minor / np.where(major > 0, major, np.inf)) ** 2)) * (major > 0)
+    box = {}
+    for name, v in (("x", x), ("y", y)):
+        box[f"{name}0"], box[f"{name}1"] = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        np.minimum.at(box[f"{name}0"], k, v)
+        np.maximum.at(box[f"{name}1"], k, v)
+    fine = (size >= least_area) & (minor >= np.maximum(3.0, 0.02 * np.sqrt(size))) & ~((ecc > 0.95) & (size < 200))
+    fine[0] = False
+    for label in np.flatnonzero(fine & (size < min(small, 150))):
+        at = k == label
+        fine[label] = not size[label] / segment.hull_area(np.column_stack([x[at], y[at]]).astype(float)) < 0.7
+    return {"area": size, "cx": cx, "cy": cy, **box}, fine
+
+
+def outermost(k: np.ndarray, x: np.ndarray, y: np.ndarray, dx: np.ndarray, dy: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which points are the outermost of their sector of their set k, the first by (y, x) of equals, by set and sector, and the
+    sets' numbers there; see segment.angular_samples."""
+    sector = np.minimum(bins - 1, np.floor((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * bins)).astype(int)
+    order = np.lexsort((x, y, -(dx * dx + dy * dy), sector, k))
+    key = (k * bins + sector)[order]
+    at = order[np.append(True, key[1:] != key[:-1])[: len(order)]]
+    return at, k[at]
+
+
+def profiles(k: np.ndarray, dx: np.ndarray, dy: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """The largest radius in each sector of sets 0 to n - 1 (lines), nan where there is no point."""
+    sector = np.clip(np.floor((np.arctan2(dy, dx) + np.pi) / (2 * np.pi / bins)).astype(int), 0, bins - 1)
+    out = np.full(n * bins, -1.0)
+    np.maximum.at(out, k * bins + sector, np.hypot(dx, dy))
+    return np.where(out < 0, np.nan, out).reshape(n, bins)
+
+
+def perimeters(e: np.ndarray, planes: np.ndarray, plane: np.ndarray, scales: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of planes (planes, h, w) on the perimeters of ellipses (rows of cx, cy, a, b, degrees) at some scales, 0 outside the
+    image, and which samples are inside: (ellipses, scales, samples)."""
+    angle, (cx, cy, a, b, rot) = 2 * np.pi * np.arange(samples) / samples, (v[:, None, None] for v in e.T)
+    t, s = np.radians(rot), scales[..., None]
+    u, v = a * s * np.cos(angle), b * s * np.sin(angle)
+    x, y = cx + u * np.cos(t) - v * np.sin(t), cy + u * np.sin(t) + v * np.cos(t)
+    inside = (x >= 0) & (y >= 0) & (x < planes.shape[2]) & (y < planes.shape[1])
+    return np.where(inside, planes[plane[:, None, None], np.where(inside, y, 0).astype(int), np.where(inside, x, 0).astype(int)], 0.0), inside
+
+
+def confidences(value: np.ndarray, inside: np.ndarray, bins: int = 36) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """confidence, completeness and mean of perimeters' samples (lines), as features.confidence gives them."""
+    n = value.shape[1]
+    m = inside.sum(axis=1)
+    some = np.maximum(m, 1)
+    mean, share, complete = value.sum(axis=1) / some, (inside & (value > 0.5)).sum(axis=1) / some, (inside & (value > 0.2)).sum(axis=1) / some
+    angle = 2 * np.pi * np.arange(n) / n
+    sector = np.minimum(bins - 1, np.floor(angle / (2 * np.pi) * bins)).astype(int)
+    squares = ((inside[:, :, None] & (sector[:, None] == np.arange(bins))).sum(axis=1) ** 2).sum(axis=1)
+    each = m / bins
+    spread = np.sqrt(np.maximum(0.0, squares / bins - each * each))
+    uneven = np.minimum(spread / (np.sqrt(each * (bins - 1)) + 1e-6), 1.0)
+    # the widest gap: from one sample inside to the next, around
+    twice, last, gap = np.tile(inside, 2), np.full(len(m), -1), np.zeros(len(m), int)
+    for k in range(2 * n):
+        here = twice[:, k]
+        gap = np.where(here & (last >= 0), np.maximum(gap, k - last), gap)
+        last = np.where(here, k, last)
+    value = 0.4 * mean + 0.3 * share + 0.15 * (1 - uneven) + 0.15 * (1 - np.where(m > 1, gap / n, 1.0))
+    return np.where(2 * m < n, 0.0, value), complete, mean
+
+
+def found_in(
+    cores: np.ndarray, wholes: np.ndarray, rims: np.ndarray, *, method: str = "direct", threshold: float = 0.6, rim_threshold: float = 0.25, least_area: int = 40, bins: int = 64, least_points: int = 16,
+    most_area: int | None = None, scales: tuple = (1.0, 1.4, 40), scale_samples: int = 72, samples: int = 120, floor: float = 0.15, completeness: float = 0.35, polar_bins: int = 120, polar_support: float = 0.4,
+) -> dict[str, np.ndarray]:
+    """The candidates of images whose planes are (images, h, w); image: the place of each one's image. See candidates."""
+    labels, before = segment.basins_all(cores, wholes, threshold)
+    shape, fine = shapes(labels, least_area=least_area)
+    if most_area:
+        fine &= shape["area"] <= most_area
+    image, y, x = np.nonzero(labels)
+    k, edge, c, p = labels[image, y, x], edges(labels)[image, y, x], cores[image, y, x], rims[image, y, x]
+    dx, dy = x - shape["cx"][k], y - shape["cy"][k]
+    outer = fine[k] & edge & (p > rim_threshold)
+    n = len(fine)
+    enough = np.bincount(k[outer], minlength=n) >= 20
+    outer &= enough[k]
+    at, own = outermost(k[outer], x[outer], y[outer], dx[outer], dy[outer], bins)
+    xy = np.column_stack([x[outer], y[outer]]).astype(float)[at]
+    count = np.bincount(own, minlength=n)
+    sampled = np.flatnonzero(count >= least_points)
+    ends = np.searchsorted(own, sampled)
+    fits = np.full((n, 5), np.nan)
+    if len(sampled):
+        fits[sampled] = segment.TOGETHER["direct" if method == "polar" else method]([xy[i : i + count[s]] for s, i in zip(sampled, ends)])
+    taken = np.zeros(n, bool)
+    taken[sampled] = True
+    if method == "polar":
+        own = np.flatnonzero(enough)
+        line = np.full(n, -1)
+        line[own] = np.arange(len(own))
+        inner = (line[k] >= 0) & (c > threshold)
+        radius, core = profiles(line[k[outer]], dx[outer], dy[outer], len(own), polar_bins), profiles(line[k[inner]], dx[inner], dy[inner], len(own), polar_bins)
+        polar, _ = segment.polar_rows(radius, core, np.isfinite(core).any(axis=1))
+        good = (np.isfinite(radius).sum(axis=1) >= polar_support * polar_bins) & (polar[:, 1] >= segment.POLAR_LEAST)
+        fits[own[good]] = np.column_stack([np.full((good.sum(), 2), np.nan), polar[good, :2], np.degrees(polar[good, 2])])
+        taken[own[good]] = True
+    taken = np.flatnonzero(taken)
+    e, own = fits[taken], {c: v[taken] for c, v in shape.items()}
+    w2, h2 = 2 * e[:, 2], 2 * e[:, 3]
+    valid = (w2 >= 5) & (h2 >= 5) & (np.maximum(w2, h2) / (np.minimum(w2, h2) + 1e-6) < 4.0)
+    e = np.column_stack([
+        np.where(np.isnan(e[:, 0]), own["cx"], e[:, 0]), np.where(np.isnan(e[:, 1]), own["cy"], e[:, 1]), np.where(valid, e[:, 2], (own["x1"] - own["x0"] + 1) / 2),
+        np.where(valid, e[:, 3], (own["y1"] - own["y0"] + 1) / 2), np.nan_to_num(e[:, 4]),
+    ])
+    image = np.searchsorted(before, taken, "left") - 1
+    steps = np.linspace(scales[0], scales[1], int(scales[2]))
+    scale = np.full(len(e), 1.14)
+    for i in range(0, len(e), 256):
+        part = slice(i, i + 256)
+        value, inside = perimeters(e[part], rims, image[part], np.broadcast_to(steps, (len(e[part]), len(steps))), scale_samples)
+        m = inside.sum(axis=2)
+        mean = np.where(2 * m >= scale_samples, np.round(value.sum(axis=2) / np.maximum(m, 1), 12), 0.0)
+        best = mean.argmax(axis=1)
+        scale[part] = np.where(mean[np.arange(len(best)), best] > 0, steps[best], 1.14)
+    a, b = e[:, 2] * scale, e[:, 3] * scale
+    big, little = np.maximum(a, b), np.minimum(a, b)
+    b = np.where(np.sqrt(np.maximum(0.0, 1 - (little / big) ** 2)) < floor, b * (big * np.sqrt(1 - floor * floor) / little), b)
+    e = np.column_stack([e[:, :2], a, b, e[:, 4]])
+    value, inside = perimeters(e, rims, image, np.ones((len(e), 1)), samples)
+    confidence, complete, mean = confidences(value[:, 0], inside[:, 0])
+    out = {"image": image, "seq": taken - before[image]} | dict(zip(("cx", "cy", "a", "b", "rot"), e.T)) | {"scale": scale, "confidence": confidence, "completeness": complete, "rim_score": mean}
+    keep = inside[:, 0].any(axis=1) & (complete >= completeness)
+    return {name: v[keep] for name, v in out.items()}
+
+
+def candidates(images: DataFrame, key: str, h: int, w: int, *, core: str = "core", whole: str = "whole", rim: str = "rim", draw: Callable | None = None, **how) -> DataFrame:
     """key, seq (the label), cx, cy, a, b, rot, scale, confidence, completeness, rim_score of the candidates of images (key and
-    the planes core, whole, rim).
+    the planes core, whole, rim). Planes are worked on where they are: neither they nor their pixels move or are stored.
 
-    method: a fit of segment.FITS over one point in each of `bins` sectors, or polar: the fit of outer and inner profiles, with
+    draw: makes the three planes (images, h, w) from a batch of rows (key and numbers), where images have none yet. how: method: a fit of segment.FITS over one point in each of `bins` sectors, or polar: the fit of outer and inner profiles, with
     the direct one where that has none. A region without a valid fit is taken by its box. scales: least, most, number.
-    """
-    keys = [key, "label"]
-    planes = labelled_planes(images, key, h, w, core=core, whole=whole, rim=rim, threshold=threshold)
-    px = region_pixels(planes, key, w)
-    found = regions(px, key, least_area=least_area)
-    if most_area:
-        found = found.where(F.col("area") <= most_area)
-    real = {c: F.col(c).cast("double") for c in ("x", "y")}
-    outer = px.where(F.col("edge") & (F.col("p") > rim_threshold)).join(found.select(*keys, "cx", "cy"), keys).withColumns(real)
-    enough = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 20).drop("_n")
-    outer = outer.join(enough, keys, "left_semi")
-    points = segment.angular_samples(outer, keys, bins)
-    some = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_points).drop("_n")
-    fits = segment.fits(points.join(some, keys, "left_semi"), keys, "direct" if method == "polar" else method).select(*keys, F.col("fit.a").isNotNull().alias("_fitted"), F.col("fit.cx").alias("_cx"), F.col("fit.cy").alias("_cy"), F.col("fit.a").alias("_a"), F.col("fit.b").alias("_b"), F.col("fit.rot").alias("_rot"))
-    if method == "polar":
-        inner = px.where(F.col("c") > threshold).join(found.select(*keys, "cx", "cy"), keys).withColumns(real)
-        polar = segment.polar_fits(outer, keys, polar_bins, core=inner, support=polar_support).select(*keys, F.col("a").alias("_pa"), F.col("b").alias("_pb"), F.degrees("phi").alias("_prot"))
-        fits = enough.join(fits, keys, "left").join(polar, keys, "left").where("_fitted is not null or _pa is not null").withColumns({
-            "_cx": F.when(F.col("_pa").isNull(), F.col("_cx")), "_cy": F.when(F.col("_pa").isNull(), F.col("_cy")),
-            "_a": F.coalesce("_pa", "_a"), "_b": F.coalesce("_pb", "_b"), "_rot": F.coalesce("_prot", "_rot"),
-        })
-    fine = F.coalesce(select.valid_axes(2 * F.col("_a"), 2 * F.col("_b")), F.lit(False))
-    pick = {"cx": F.coalesce("_cx", "cx"), "cy": F.coalesce("_cy", "cy"), "a": F.when(fine, F.col("_a")).otherwise((F.col("x1") - F.col("x0") + 1) / 2), "b": F.when(fine, F.col("_b")).otherwise((F.col("y1") - F.col("y0") + 1) / 2), "rot": F.coalesce("_rot", F.lit(0.0))}
-    shaped = found.join(fits, keys).select(key, F.col("label").alias("seq"), *[c.alias(n) for n, c in pick.items()])
-    search = crest(h, w, np.linspace(scales[0], scales[1], int(scales[2])), scale_samples)
-    tried = shaped.join(planes.select(key, "rim"), key).withColumn("_s", search(F.struct("cx", "cy", "a", "b", "rot"), F.col("rim")))
-    sized = tried.withColumn("scale", F.col("_s.scale")).withColumns({"a": F.col("a") * F.col("scale"), "b": F.col("b") * F.col("scale")}).withColumn("b", G.eccentricity_floor("a", "b", floor))
-
-    def sample(k: Column) -> Column:
-        x, y = G.perimeter_point("cx", "cy", "a", "b", "rot", F.lit(2 * G.PI) * k / samples)
-        inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
-        return F.struct(k.alias("k"), F.when(inside, raster.at("rim", w, y.cast("int"), x.cast("int"))).alias("p"))
-
-    each = F.struct(key, "seq", "cx", "cy", "a", "b", "rot", "scale")
-    on = sized.select(each.alias("cand"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), sample)).alias("s")).where("s.p is not null").select("cand", "s.k", "s.p")
-    return features.confidence(on, "cand", samples).where(F.col("completeness") >= completeness).select("cand.*", "confidence", "completeness", "rim_score")
+    """
+    names = ["cx", "cy", "a", "b", "rot", "scale", "confidence", "completeness", "rim_score"]
+    most = max(1, READ // (40 * h * w))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                part = batch.slice(k, most)
+                cores, wholes, rims = draw(part) if draw else (part[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w) for c in (core, whole, rim))
+                found = found_in(cores, wholes, rims, **how)
+                yield pa.RecordBatch.from_pydict({key: part[key].take(pa.array(found["image"])), "seq": pa.array(found["seq"], pa.int32()), **{n: found[n] for n in names}})
+
+    returns = f"{key} {images.schema[key].dataType.simpleString()}, seq int, " + ", ".join(f"{n} double" for n in names)
+    return (images if draw else images.select(key, *[F.col(c).cast("array<double>") for c in (core, whole, rim)])).mapInArrow(run, returns)
 
 
 def chosen(found: DataFrame, *, overlaps: bool = True, rescue: bool = True, top: float = 0.7, bottom: float = 0.6, enough: int = 10, rescue_least: float = 0.85) -> DataFrame:

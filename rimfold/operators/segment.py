@@ -60,14 +60,19 @@ def components(mask: np.ndarray, connectivity: int = 2) -> np.ndarray:
 def distance(mask: np.ndarray) -> np.ndarray:
     """Euclidean distance to the nearest pixel outside the mask, exactly: by columns, then in each row the lower envelope of
     the parabolas that stand on the columns' distances. All rows go in step, and memory is a few planes."""
-    h, w = mask.shape
+    return distances(mask[None])[0]
+
+
+def distances(masks: np.ndarray) -> np.ndarray:
+    """The same for masks (planes, h, w), each on its own."""
+    n, h, w = masks.shape
     far = float(h + w)
-    g = np.where(mask, far, 0.0)
+    g = np.where(masks, far, 0.0)
     for y in range(1, h):
-        np.minimum(g[y], g[y - 1] + 1, out=g[y])
+        np.minimum(g[:, y], g[:, y - 1] + 1, out=g[:, y])
     for y in range(h - 2, -1, -1):
-        np.minimum(g[y], g[y + 1] + 1, out=g[y])
-    return by_rows(g * g, far)
+        np.minimum(g[:, y], g[:, y + 1] + 1, out=g[:, y])
+    return by_rows((g * g).reshape(n * h, w), far).reshape(n, h, w)
 
 
 def by_rows(f: np.ndarray, far: float) -> np.ndarray:
@@ -584,6 +589,16 @@ def basins(core: np.ndarray, whole: np.ndarray, threshold: float) -> np.ndarray:
     return watershed(-distance(mask), components(core > threshold), mask)
 
 
+def basins_all(cores: np.ndarray, wholes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for planes (planes, h, w), flooded together on one canvas with a line between them: labels that go on from plane
+    to plane, and the last label before each plane. Values and arrivals of a plane keep their order among the others'."""
+    canvas = lambda planes: np.pad(planes, ((0, 0), (0, 1), (0, 0))).reshape(-1, planes.shape[2])
+    mask, markers = wholes > threshold, components(canvas(cores > threshold))
+    labels = watershed(canvas(-distances(mask)), markers, canvas(mask))
+    last = np.maximum.accumulate(markers.reshape(len(mask), -1).max(axis=1, initial=0))
+    return labels.reshape(len(mask), -1, mask.shape[2])[:, :-1], np.append(0, last[:-1])
+
+
 def watershed_of(core, whole, h: int, w: int, threshold: float) -> Column:
     """Regions of the whole plane's mask, flooded by its distance from the parts of the core plane's mask."""
 

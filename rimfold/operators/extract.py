@@ -105,11 +105,13 @@ def profiles(k: np.ndarray, dx: np.ndarray, dy: np.ndarray, n: int, bins: int) -
 
 def perimeters(e: np.ndarray, planes: np.ndarray, plane: np.ndarray, scales: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
     """Values of planes (planes, h, w) on the perimeters of ellipses (rows of cx, cy, a, b, degrees) at some scales, 0 outside the
-    image, and which samples are inside: (ellipses, scales, samples)."""
+    image, and which samples are inside: (ellipses, scales, samples). A sample has the value of the pixel it is nearest to, as
+    centres and fits take a pixel to be where its whole numbers are."""
     angle, (cx, cy, a, b, rot) = 2 * np.pi * np.arange(samples) / samples, (v[:, None, None] for v in e.T)
     t, s = np.radians(rot), scales[..., None]
     u, v = a * s * np.cos(angle), b * s * np.sin(angle)
     x, y = cx + u * np.cos(t) - v * np.sin(t), cy + u * np.sin(t) + v * np.cos(t)
+    x, y = np.floor(x + 0.5), np.floor(y + 0.5)
     inside = (x >= 0) & (y >= 0) & (x < planes.shape[2]) & (y < planes.shape[1])
     return np.where(inside, planes[plane[:, None, None], np.where(inside, y, 0).astype(int), np.where(inside, x, 0).astype(int)], 0.0), inside
 

@@ -24,6 +24,17 @@ def embedded(spark, tmp_path, vectors: list) -> str:
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", ["sg15_extraction", "sg16_polar_extraction"])
+def test_the_stronger_rim_comes_first(spark, tmp_path, name):
+    folder = embedded(spark, tmp_path, NEAR_TIES)
+    df = catalog.QUERIES[name](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    rel = con.sql(catalog.ORACLES[name])
+    got = sorted(tuple(plain(v) for v in r) for r in df.select(*rel.columns).collect())
+    assert got == sorted(tuple(plain(v) for v in r) for r in rel.fetchall())
+
+
 @pytest.mark.parametrize("name", ["sg15_extraction", "sg16_polar_extraction"])
 def test_planes_are_not_stored(spark, tmp_path, monkeypatch, name):
     """Only candidates are written, not planes or their pixels."""

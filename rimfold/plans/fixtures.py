@@ -16,15 +16,13 @@ DEALT = 60_000
 
 def base(spark: SparkSession, sf_dir: str, dealt: bool | Column = False) -> DataFrame:
     """ok, ln, pk, sk. dealt: with seq and in partitions by seq, as many as the table's size asks for, so that what rows become in a
-    query is grouped and joined by seq where it is made, without moving; or by a column made of seq, which the rows keep as `whole`."""
+    query is grouped and joined by seq where it is made, without moving; or by a column made of ok and ln, kept as `whole`."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), "l_partkey", "l_suppkey")
     keys = ["ok", "ln"]
     if dealt is not False:
         n = max(2 * spark.sparkContext.defaultParallelism, rows.count() // DEALT)
-        rows, keys = rows.withColumn("seq", F.col("ok") * 8 + F.col("ln")), ["ok", "ln", "seq"]
-        if isinstance(dealt, Column):
-            rows, keys = rows.withColumn("whole", dealt), [*keys, "whole"]
-        rows = rows.repartition(n, keys[-1])
+        by, value = ("whole", dealt) if isinstance(dealt, Column) else ("seq", F.col("ok") * 8 + F.col("ln"))
+        rows, keys = rows.withColumn(by, value).repartition(n, by), ["ok", "ln", by]
     return rows.groupBy(*keys).agg(F.min("l_partkey").cast("long").alias("pk"), F.min("l_suppkey").cast("long").alias("sk"))
 
 
